@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontam import OP8_SQL, op8_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .packing import op3_best_fit_packing
+from .simhash import op5_simhash_golay
 from .token_output import op1_token_orc
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_line_dedup": op2_line_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_simhash_golay": op5_simhash_golay,
+    "op8_decontaminate": op8_decontaminate,
 }
 
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_decontaminate": OP8_SQL}
