@@ -36,6 +36,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("words").alias("h"), F.size("words").alias("size"), "words", "items")
 
 
+def _window_hash(n: int):
+    return lambda i: F.xxhash64(F.slice("w", i, n))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_hit, items: of documents with hits, the words inside any occurring window and the distinct items, sorted as strings.
 
@@ -53,7 +57,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     held = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     found = None
     for n in sorted(sizes):
-        scan = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice("w", i, n)))
+        scan = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _window_hash(n))
         at = held.where(F.size("w") >= n).select("doc_id", "w", F.posexplode(scan).alias("at", "h"))
         own = set_.where(F.col("size") == n)
         if size_bytes <= BROADCAST_BYTES:
