@@ -41,7 +41,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     held = held.select("doc_id", "h.a", "h.b")
     # countDistinct groups by key and document first, so one line in a third of all documents is spread before it is counted.
     common = stage(held.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "lines")
-    lost = held.join(common, ["a", "b"]).where("doc_id < keeper")
+    lost = held.join(common.hint("merge"), ["a", "b"]).where("doc_id < keeper")
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("hashes"))
 
 
@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     # one 128-bit struct per lost key and document: bounded by the document's own lines
     lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnsRenamed({"doc_id": "_doc", "hashes": "_hashes"})
-    all_rows = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left")
+    all_rows = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(lines, lambda x: ~(long_line(x, min_chars) & F.array_contains(F.col("_hashes"), line_hash(x))))
     all_rows = all_rows.withColumn("_stay", F.when(F.col("_hashes").isNull(), lines).otherwise(stay))
