@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .decontam import OP8_SQL, op8_decontaminate
+from .embeddings import op6_embedding_collisions
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_best_fit_packing
 from .simhash import op5_simhash_golay
 from .token_output import op1_token_orc
+from .warc import op7_warc_index
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_simhash_golay": op5_simhash_golay,
+    "op6_embedding_collisions": op6_embedding_collisions,
+    "op7_warc_index": op7_warc_index,
     "op8_decontaminate": op8_decontaminate,
 }
 
