@@ -9,12 +9,14 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_best_fit_packing
 from .simhash import op5_simhash_golay
 from .token_output import op1_token_orc
+from .toxicity import op4_toxicity
 from .warc import op7_warc_index
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_embedding_collisions": op6_embedding_collisions,
     "op7_warc_index": op7_warc_index,
