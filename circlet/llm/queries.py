@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import OP8_SQL, op8_decontaminate
 from .embeddings import op6_embedding_collisions
 from .html_text import op10_html_layout
+from .language_model import op9_gated_lm
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_best_fit_packing
 from .simhash import op5_simhash_golay
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_embedding_collisions": op6_embedding_collisions,
     "op7_warc_index": op7_warc_index,
     "op8_decontaminate": op8_decontaminate,
+    "op9_gated_lm": op9_gated_lm,
     "op10_html_layout": op10_html_layout,
 }
 
