@@ -24,6 +24,27 @@ def words_of(text):
     return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), NO_WORD, -1), "")
 
 
+def with_window_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows (w, ...) with h<n> for each n of sizes: hashes of all windows of n words, by place.
+
+    A window's hash is made from those of its halves, so each costs as many
+    steps as its size has binary digits. Each column is used twice and is
+    therefore a projection of its own, which is evaluated once.
+    """
+    need, ahead = {1}, list(sizes)
+    while ahead:
+        n = ahead.pop()
+        if n not in need:
+            need.add(n)
+            ahead += [1 << (n - 1).bit_length() - 1, n - (1 << (n - 1).bit_length() - 1)]
+    rows = rows.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    for n in sorted(need - {1}):
+        half = 1 << (n - 1).bit_length() - 1
+        count = F.greatest(F.lit(0), F.size("w") - (n - 1))
+        rows = rows.withColumn(f"h{n}", F.zip_with(F.slice(f"h{half}", 1, count), F.slice(f"h{n - half}", F.lit(half + 1), count), lambda x, y: F.xxhash64(x, y)))
+    return rows
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """h, size, words, items (distinct item_ids that hold this window): one row for each distinct window.
 
@@ -32,12 +53,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     w = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
-    each = w.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), window).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("words").alias("h"), F.size("words").alias("size"), "words", "items")
-
-
-def _window_hash(n: int):
-    return lambda i: F.xxhash64(F.slice("w", i, n))
+    each = w.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), window).alias("w"))
+    each = with_window_hashes(each.groupBy("w").agg(F.collect_set("item_id").alias("items")), list(range(1, window + 1)))
+    h = F.coalesce(*[F.when(F.size("w") == n, F.try_element_at(f"h{n}", F.lit(1))) for n in range(1, window + 1)])
+    return each.select(h.alias("h"), F.size("w").alias("size"), F.col("w").alias("words"), "items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,11 +73,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     if not sizes:
         return docs.select("doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     set_ = set_.withColumnRenamed("words", "_words")
-    held = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    held = with_window_hashes(docs.select("doc_id", words_of(F.col("text")).alias("w")), sizes)
     found = None
     for n in sorted(sizes):
-        scan = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _window_hash(n))
-        at = held.where(F.size("w") >= n).select("doc_id", "w", F.posexplode(scan).alias("at", "h"))
+        # "outer": else the optimiser filters on the size of the array, which it then makes twice
+        at = held.select("doc_id", "w", F.posexplode_outer(f"h{n}").alias("at", "h"))
         own = set_.where(F.col("size") == n)
         if size_bytes <= BROADCAST_BYTES:
             own = F.broadcast(own)
