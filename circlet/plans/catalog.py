@@ -4,8 +4,635 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = ""
+from circlet.functions import text
+from circlet.operators import bins, breakpoints, cells, copynumber, graph, intervals, reads, segmentation, velocity
+from circlet.plans.adapters import ctes, load
+from circlet.streaming import events as streams
+
+FLAGSHIP = "amplified_genes"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PASS = "mapq >= 20 and nm <= 3 and not dup"
+BIN = "cast(floor(start / 10000.0) as bigint) * 10000"
+BINS = f"b0 AS (SELECT chrom, {BIN} AS coord, count(*) AS n FROM reads WHERE {PASS} GROUP BY ALL),\nbins AS (SELECT chrom, coord, n, 2.0 * n / (SELECT avg(n) FROM b0) AS cn FROM b0)"
+
+
+def query(name: str, *tables: str, sql: str | None = None, also: str = ""):
+    """Registers a function of the named tables."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*[load(spark, sf_dir, t) for t in tables])
+        if sql is not None:
+            own = [t for t in tables if t in ("reads", "sites", "genes", "segments", "links", "rings", "frags", "strings")]
+            head = ctes(*own) if own else ""
+            if also:
+                head = f"{head},\n{also}" if head else f"WITH {also}"
+            ORACLE_SQL[name] = f"{head}\n{sql}"
+        return f
+
+    return add
+
+
+def r6(*names: str) -> dict:
+    return {n: F.round(F.col(n), 6) for n in names}
+
+
+def bins_of(df: DataFrame) -> DataFrame:
+    return bins.copy_number(bins.bin_counts(reads.passing(df)))
+
+
+# --- reads -----------------------------------------------------------------
+
+
+@query("read_filter", "reads", sql=f"SELECT rid, line, pk, sk, chrom, start, stop, mapq, nm FROM reads WHERE {PASS}")
+def _(df):
+    return reads.passing(df).select("rid", "line", "pk", "sk", "chrom", "start", "stop", "mapq", "nm")
+
+
+@query("clip_project", "reads", sql="SELECT rid, line, chrom, start AS coord, 'L' AS clip FROM reads WHERE clip_l UNION ALL SELECT rid, line, chrom, stop - 1, 'R' FROM reads WHERE clip_r")
+def _(df):
+    return reads.clip_sites(df).select("rid", "line", "chrom", "coord", "clip")
+
+
+@query("barcode_coalesce", "reads", sql="SELECT rid, line, pk, sk, coalesce(CASE WHEN bc % 3 <> 0 THEN cast(bc AS varchar) END, CASE WHEN bc % 5 <> 0 THEN cast(pk AS varchar) END) AS barcode FROM reads")
+def _(df):
+    cb = F.when(F.col("bc") % 3 == 0, F.lit(" none ")).otherwise(F.concat(F.lit(" "), F.col("bc").cast("string")))
+    cr = F.when(F.col("bc") % 5 == 0, F.lit("")).otherwise(F.col("pk").cast("string"))
+    return df.select("rid", "line", "pk", "sk", reads.first_barcode(cb, cr).alias("barcode"))
+
+
+@query("clip_counts", "reads", sql="SELECT chrom, coord, clip, count(*) AS n FROM (SELECT chrom, start AS coord, 'L' AS clip FROM reads WHERE clip_l UNION ALL SELECT chrom, stop - 1, 'R' FROM reads WHERE clip_r) GROUP BY ALL")
+def _(df):
+    return reads.clip_counts(reads.clip_sites(df))
+
+
+@query("clip_bedgraph", "sites", sql="SELECT chrom, coord AS start, coord + 1 AS stop, CASE WHEN clip = 'L' THEN -n ELSE n END AS value FROM sites WHERE n >= 2")
+def _(df):
+    return reads.bedgraph(df)
+
+
+@query("downsample_crc32", "reads")
+def _(df):
+    return reads.downsample(df, "rid", 0.4).select("rid", "line", "chrom", "start")
+
+
+@query("discordant_reads", "reads", sql="SELECT rid, line, pk, sk, start, m FROM (SELECT *, CASE WHEN dup THEN 1025 ELSE CASE WHEN clip_l THEN 17 ELSE 1 END END AS flag, start + pk % 900 AS m FROM reads) WHERE (flag & 1024) = 0 AND mapq > 5 AND NOT ((flag & 16) <> 0 AND abs(start - m) < 450)")
+def _(df):
+    df = df.withColumns({"flag": F.when(F.col("dup"), 1025).otherwise(F.when(F.col("clip_l"), 17).otherwise(1)), "mate_chrom": F.col("chrom"), "mate_start": F.col("start") + F.col("pk") % 900})
+    return reads.discordant(df).select("rid", "line", "pk", "sk", "start", F.col("mate_start").alias("m"))
+
+
+@query("insert_size", "reads", sql="SELECT round(avg(t), 6) AS mean, round(stddev_pop(t), 6) AS sd, round(avg(t) + 3 * stddev_pop(t), 6) AS upper FROM (SELECT pk % 500 AS t FROM reads ORDER BY rid, line, pk, sk, start LIMIT 100000)")
+def _(df):
+    ordered = df.withColumns({"tlen": F.col("pk") % 500, "o": F.struct("rid", "line", "pk", "sk", "start")})
+    return reads.insert_size(ordered, "o").withColumns(r6("mean", "sd", "upper"))
+
+
+@query("breakpoint_depth", "sites", "reads", sql=f"SELECT chrom, coord, clip, n, k AS inside, k - n AS outside, coalesce(n * 1.0 / nullif(k, 0) >= 0.2, false) AS clean FROM (SELECT s.chrom, s.coord, s.clip, s.n, count(r.chrom) AS k FROM sites s LEFT JOIN (SELECT chrom, start, stop FROM reads WHERE {PASS}) r ON s.chrom = r.chrom AND r.start <= s.coord AND r.stop > s.coord GROUP BY s.chrom, s.coord, s.clip, s.n)")
+def _(sites, df):
+    return reads.depth_at(sites, reads.passing(df))
+
+
+# --- bins ------------------------------------------------------------------
+
+
+@query("bin_cn", "reads", also=BINS, sql="SELECT chrom, coord, n, round(cn, 6) AS cn FROM bins")
+def _(df):
+    return bins_of(df).withColumns(r6("cn"))
+
+
+@query("robust_bin_quantile", "reads", also=f"s AS (SELECT chrom, cast(floor(start / 1000.0) as bigint) * 1000 AS coord, count(*) AS n FROM reads WHERE {PASS} GROUP BY ALL)", sql="SELECT chrom, cast(floor(coord / 10000.0) as bigint) * 10000 AS coord, round(quantile_cont(n::DOUBLE, 0.8), 6) AS n FROM s GROUP BY ALL")
+def _(df):
+    return bins.robust_bins(bins.bin_counts(reads.passing(df), 1000)).withColumns(r6("n"))
+
+
+@query("targeted_bin_cn", "reads", "genes", also=BINS + ",\nm AS (SELECT b.*, EXISTS (SELECT 1 FROM genes g WHERE g.chrom = b.chrom AND g.start < b.coord + 10000 AND g.stop > b.coord AND g.start < g.stop) AS i FROM bins b)", sql="SELECT chrom, coord, n, round(2.0 * n / (SELECT CASE WHEN count(*) FILTER (NOT i) >= 10 THEN avg(n) FILTER (NOT i) ELSE avg(n) END FROM m), 6) AS cn FROM m")
+def _(df, genes):
+    return bins.targeted_copy_number(bins.bin_counts(reads.passing(df)), genes).withColumns(r6("cn"))
+
+
+@query("bias_per_bin", "genes", sql="SELECT chrom, cast(floor(start / 10000.0) as bigint) * 10000 AS coord, round(avg((gid % 100) / 100.0), 6) AS gc, round(avg((gid % 37) / 37.0), 6) AS mappability FROM genes GROUP BY ALL")
+def _(genes):
+    bias = genes.select("chrom", "start", ((F.col("gid") % 100) / 100.0).alias("gc"), ((F.col("gid") % 37) / 37.0).alias("mappability"))
+    return bins.mean_bias(bias).withColumns(r6("gc", "mappability"))
+
+
+@query("blacklist_reset", "reads", "genes", also=BINS, sql="SELECT chrom, coord, n, round(CASE WHEN EXISTS (SELECT 1 FROM genes g WHERE g.chrom = b.chrom AND b.coord BETWEEN floor(g.start / 10000.0) * 10000 AND floor(g.stop / 10000.0) * 10000) THEN 2 ELSE cn END, 6) AS cn FROM bins b")
+def _(df, genes):
+    return bins.reset_bins(bins_of(df), genes).withColumns(r6("cn"))
+
+
+NEAR_W = "OVER (PARTITION BY chrom ORDER BY coord ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING EXCLUDE CURRENT ROW)"
+
+
+@query("smooth_outlier", "reads", also=BINS + f",\nx AS (SELECT *, log2(cn / 2) AS x FROM bins),\ne AS (SELECT *, avg(x) {NEAR_W} AS m, stddev_samp(x) {NEAR_W} AS s FROM x)", sql="SELECT chrom, coord, round(x, 4) AS x, round(m, 4) AS near_mean, round(s, 4) AS near_sd FROM e")
+def _(df):
+    x = bins_of(df).withColumn("x", F.log2(F.col("cn") / 2))
+    return bins.smooth_outliers(x).select("chrom", "coord", F.round("x", 4).alias("x"), F.round("near_mean", 4).alias("near_mean"), F.round("near_sd", 4).alias("near_sd"))
+
+
+@query("smoothed_cn", "reads")
+def _(df):
+    x = bins_of(df).withColumn("x", F.log2(F.col("cn") / 2))
+    return bins.smooth_outliers(x, far=2.0).select("chrom", "coord", F.round("smooth", 6).alias("smooth"))
+
+
+@query("mask_upper_outlier", "reads", also=BINS + f",\ne AS (SELECT *, avg(n) {NEAR_W} AS m, stddev_samp(n) {NEAR_W} AS s FROM bins)", sql="SELECT chrom, coord, CASE WHEN n > m + 2 * s + 1e-9 THEN NULL ELSE n::DOUBLE END AS n FROM e")
+def _(df):
+    return bins.mask_upper(bins.bin_counts(reads.passing(df)), passes=1).select("chrom", "coord", "n")
+
+
+@query("mask_ten_passes", "reads")
+def _(df):
+    return bins.mask_upper(bins.bin_counts(reads.passing(df)), passes=10).select("chrom", "coord", "n")
+
+
+@query("interpolate_gaps", "reads", also=BINS + """,
+g AS (SELECT chrom, coord, row_number() OVER (PARTITION BY chrom ORDER BY coord) AS i, CASE WHEN n % 3 = 0 THEN NULL ELSE n::DOUBLE END AS n FROM bins),
+k AS (SELECT *, CASE WHEN n IS NOT NULL THEN i END AS k FROM g),
+f AS (SELECT chrom, coord, i, n, last_value(n IGNORE NULLS) OVER a AS a, last_value(k IGNORE NULLS) OVER a AS ai, first_value(n IGNORE NULLS) OVER b AS b, first_value(k IGNORE NULLS) OVER b AS bi FROM k
+ WINDOW a AS (PARTITION BY chrom ORDER BY coord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY chrom ORDER BY coord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", sql="SELECT chrom, coord, round(coalesce(n, CASE WHEN a IS NULL THEN NULL WHEN b IS NULL THEN a ELSE a + (b - a) * (i - ai) * 1.0 / nullif(bi - ai, 0) END), 6) AS filled FROM f")
+def _(df):
+    x = bins.bin_counts(reads.passing(df)).withColumn("n", F.when(F.col("n") % 3 == 0, None).otherwise(F.col("n").cast("double")))
+    return bins.fill_linear(x).select("chrom", "coord", F.round("filled", 6).alias("filled"))
+
+
+@query("runs_above", "reads", also=BINS + ",\nh AS (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY chrom ORDER BY coord) <= 30000 THEN 0 ELSE 1 END AS k FROM bins WHERE cn > 3),\ng AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY coord) AS g FROM h)", sql="SELECT chrom, min(coord) AS start, max(coord) + 10000 AS stop, count(*) AS bins, round(avg(cn), 6) AS cn FROM g GROUP BY chrom, g HAVING count(*) > 1")
+def _(df):
+    return bins.runs_above(bins_of(df), 3.0, bridge=2, drop_single=True).withColumns(r6("cn"))
+
+
+AMPLIFIED = BINS + ",\nh AS (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY chrom ORDER BY coord) <= 20000 THEN 0 ELSE 1 END AS k FROM bins WHERE cn > 2.99),\ng AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY coord) AS g FROM h),\namp AS (SELECT chrom, min(coord) AS start, max(coord) + 10000 AS stop, count(*) AS bins, avg(cn) AS cn FROM g GROUP BY chrom, g)"
+
+
+def amplified(df):
+    return bins.runs_above(bins_of(df), 2.99, bridge=1)
+
+
+@query("amplified_genes", "reads", "genes", also=AMPLIFIED, sql="SELECT a.chrom, a.start, a.stop, a.bins, round(a.cn, 6) AS cn, coalesce(string_agg(DISTINCT g.name, '; ' ORDER BY g.name), '') AS genes FROM amp a LEFT JOIN genes g ON g.chrom = a.chrom AND g.start < a.stop AND a.start < g.stop AND g.start < g.stop GROUP BY ALL")
+def _(df, genes):
+    amp = amplified(df)
+    named = intervals.map_all(amp, genes, ["chrom", "start", "stop"], "name")
+    return amp.join(named, ["chrom", "start", "stop"], "left").withColumns(r6("cn")).withColumn("genes", F.coalesce("name", F.lit(""))).drop("name")
+
+
+@query("coverage_stats", "reads", "genes", also=f"w AS (SELECT DISTINCT chrom, start, start + 10000 AS stop FROM genes),\nd AS (SELECT count(*) * 100 / 10001.0 AS d FROM w JOIN (SELECT * FROM reads WHERE {PASS}) r ON r.chrom = w.chrom AND r.start < w.stop AND w.start < r.stop GROUP BY w.chrom, w.start),\nm AS (SELECT list_sort(list(d))[cast(floor(count(*) / 2.0) as bigint) + 1] AS m FROM d)", sql="SELECT round(max(m), 6) AS median, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd, count(*) AS windows FROM d, m WHERE d > 0 AND d < 5 * m")
+def _(df, genes):
+    windows = genes.select("chrom", "start", (F.col("start") + 10000).alias("stop")).distinct()
+    return bins.coverage_windows(windows, reads.passing(df)).withColumns(r6("median", "mean", "sd"))
+
+
+# --- intervals -------------------------------------------------------------
+
+OVER = "g.chrom = s.chrom AND g.start < s.stop AND s.start < g.stop AND g.start < g.stop AND s.start < s.stop"
+
+
+@query("interval_semi", "segments", "genes", sql=f"SELECT seg, chrom, start, stop FROM segments s WHERE EXISTS (SELECT 1 FROM genes g WHERE {OVER} AND g.brand <> s.brand)")
+def _(segments, genes):
+    met = intervals.overlap_join(segments, genes).where("brand <> r_brand").select("seg").distinct()
+    return segments.join(met, "seg", "left_semi").select("seg", "chrom", "start", "stop")
+
+
+@query("interval_anti", "segments", "reads", sql="SELECT seg, chrom, start, stop FROM segments s WHERE NOT EXISTS (SELECT 1 FROM reads g WHERE g.mapq = 50 AND g.chrom = s.chrom AND g.start < s.stop AND s.start < g.stop)")
+def _(segments, df):
+    return intervals.clear_of(segments, df.where("mapq = 50"), ["seg"]).select("seg", "chrom", "start", "stop")
+
+
+@query("interval_map_first", "segments", "genes", sql=f"SELECT seg, arg_min(g.name, g.gid) AS name FROM segments s JOIN genes g ON {OVER} GROUP BY seg")
+def _(segments, genes):
+    return intervals.map_first(segments, genes, ["seg"], "name", "gid")
+
+
+@query("interval_map_all", "segments", "genes", sql=f"SELECT seg, string_agg(DISTINCT g.name, '; ' ORDER BY g.name) AS name FROM segments s JOIN genes g ON {OVER} GROUP BY seg")
+def _(segments, genes):
+    return intervals.map_all(segments, genes, ["seg"], "name")
+
+
+@query("cancer_gene_intersect", "segments", "genes", sql=f"SELECT seg, string_agg(DISTINCT g.name, '; ' ORDER BY g.name) AS cancer FROM segments s JOIN genes g ON {OVER} AND g.gid % 10 = 0 GROUP BY seg")
+def _(segments, genes):
+    listed = genes.where("gid % 10 = 0").select("name").distinct()
+    met = intervals.overlap_join(segments, genes).join(listed.select(F.col("name").alias("r_name")), "r_name", "left_semi")
+    return met.groupBy("seg").agg(F.array_join(F.array_sort(F.collect_set("r_name")), "; ").alias("cancer"))
+
+
+ISLANDS = "i0 AS (SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} OR row_number() OVER (PARTITION BY chrom ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS k FROM {t}),\ni1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM i0),\nmerged AS (SELECT chrom, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i1 GROUP BY chrom, g)"
+
+
+@query("merge_bed", "segments", also=ISLANDS.format(gap=200000, t="segments"), sql="SELECT * FROM merged")
+def _(segments):
+    return intervals.merge_bed(segments)
+
+
+@query("padded_membership", "sites", "segments", also=ISLANDS.format(gap=200000, t="segments"), sql="SELECT DISTINCT p.chrom, coord, clip, p.n FROM sites p JOIN merged m ON p.chrom = m.chrom AND coord < m.stop + 10000 AND coord >= m.start - 10000")
+def _(sites, segments):
+    return intervals.padded_membership(sites, segments)
+
+
+@query("size_filter", "segments", also=ISLANDS.format(gap=200000, t="segments"), sql="SELECT seg, chrom, start, stop FROM segments s WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.chrom = s.chrom AND m.start = s.start AND m.stop = s.stop AND m.stop - m.start < 30000)")
+def _(segments):
+    return intervals.drop_small_rois(segments, 30_000).select("seg", "chrom", "start", "stop")
+
+
+@query("component_boundaries", "segments", also=ISLANDS.replace("start >= max", "start > max").format(gap=30000, t="(SELECT * FROM segments WHERE cn >= 4.5)"), sql="SELECT chrom, start AS left_end, stop AS right_end, n FROM merged")
+def _(segments):
+    return intervals.supported_boundaries(segments)
+
+
+@query("component_membership", "sites", "segments", also="c AS (SELECT chrom, start, stop FROM segments WHERE start < stop),\nd AS (SELECT p.chrom, coord, clip, c.start, c.stop, greatest(c.start - coord, coord - c.stop, 0) AS far FROM sites p JOIN c ON c.chrom = p.chrom AND c.start - coord <= 20000 AND coord - c.stop <= 20000)", sql="SELECT chrom, coord, clip, min(far) AS distance FROM d GROUP BY ALL")
+def _(sites, segments):
+    return intervals.component_of(sites, segments.select("chrom", "start", "stop"), ["chrom", "coord", "clip"]).select("chrom", "coord", "clip", "distance")
+
+
+@query("reciprocal_overlap", "rings", also="""q AS (SELECT * FROM rings),
+i0 AS (SELECT ring, chrom, start, stop, CASE WHEN start > max(stop) OVER (PARTITION BY ring, chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR row_number() OVER (PARTITION BY ring, chrom ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS k FROM q),
+i1 AS (SELECT *, sum(k) OVER (PARTITION BY ring, chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM i0),
+m AS (SELECT ring, chrom, min(start) AS start, max(stop) + 1 AS stop FROM i1 GROUP BY ring, chrom, g),
+t AS (SELECT ring, sum(stop - start)::BIGINT AS total FROM m GROUP BY ring),
+c AS (SELECT a.ring, b.ring AS other, sum(least(a.stop, b.stop) - greatest(a.start, b.start))::BIGINT AS common FROM m a JOIN m b ON a.chrom = b.chrom AND a.ring < b.ring AND a.start < b.stop AND b.start < a.stop GROUP BY ALL)""", sql="SELECT c.ring, other, common, t.total, u.total AS other_total, round(common * 1.0 / greatest(t.total, u.total), 6) AS overlap FROM c JOIN t USING (ring) JOIN t u ON u.ring = other")
+def _(rings):
+    return intervals.reciprocal_overlap(rings).withColumns(r6("overlap"))
+
+
+@query("linear_positions", "sites", also="z AS (SELECT chrom, max(coord) + 1 AS length FROM sites GROUP BY chrom),\no AS (SELECT chrom, sum(length) OVER (ORDER BY chrom) - length AS o FROM z)", sql="SELECT chrom, coord, clip, (coord + o)::BIGINT AS position FROM sites JOIN o USING (chrom)")
+def _(sites):
+    sizes = sites.groupBy("chrom").agg((F.max("coord") + 1).alias("length"))
+    return intervals.linear_positions(sites, sizes).select("chrom", "coord", "clip", "position")
+
+
+# --- breakpoints -----------------------------------------------------------
+
+EDGES = "ln AS (SELECT CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom1, coord1, clip1) ELSE row(chrom2, coord2, clip2) END AS a, CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom2, coord2, clip2) ELSE row(chrom1, coord1, clip1) END AS b, rid FROM links),\npairs AS (SELECT a[1] AS chrom1, a[2] AS coord1, a[3] AS clip1, b[1] AS chrom2, b[2] AS coord2, b[3] AS clip2, count(*) AS n, min(rid) AS first_rid, count(DISTINCT rid) AS rids FROM ln GROUP BY a, b)"
+
+
+@query("nearest_clip_boundary", "segments", "sites", also="e AS (SELECT DISTINCT chrom, start AS coord, 'L' AS clip FROM segments)", sql="SELECT e.chrom, e.coord, e.clip, arg_max(s.coord, (s.n, -abs(e.coord - s.coord), -s.coord)) AS at, max(s.n) AS n FROM e JOIN sites s ON s.chrom = e.chrom AND s.clip = e.clip AND abs(e.coord - s.coord) <= 10000 GROUP BY ALL")
+def _(segments, sites):
+    ends = segments.select("chrom", F.col("start").alias("coord"), F.lit("L").alias("clip")).distinct()
+    return breakpoints.nearest_strong_clip(ends, sites)
+
+
+@query("rescue_near_edge", "sites", "links", also="e AS (SELECT chrom1 AS chrom, coord1 AS coord, clip1 AS clip, count(*) AS support FROM links GROUP BY ALL)", sql="SELECT chrom, coord, clip, n FROM sites s WHERE n >= 3 OR EXISTS (SELECT 1 FROM e WHERE e.support >= 2 AND e.chrom = s.chrom AND e.clip = s.clip AND abs(e.coord - s.coord) <= 150)")
+def _(sites, links):
+    ends = links.groupBy(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord"), F.col("clip1").alias("clip")).agg(F.count("*").alias("support"))
+    return breakpoints.rescue_near_edge(sites, ends)
+
+
+@query("topn_ties_dropped", "sites", also="r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY n DESC, chrom, coord) AS k FROM sites),\nc AS (SELECT clip, n AS cut FROM r WHERE k = 500)", sql="SELECT chrom, coord, s.clip, n FROM sites s LEFT JOIN c ON c.clip = s.clip WHERE cut IS NULL OR n > cut")
+def _(sites):
+    return breakpoints.top_n(sites, 500).select("chrom", "coord", "clip", "n")
+
+
+@query("topn_per_chrom", "sites", sql="SELECT * FROM (SELECT chrom, coord, clip, n, row_number() OVER (PARTITION BY chrom, clip ORDER BY n DESC, coord) AS rank FROM sites) WHERE rank <= 20")
+def _(sites):
+    return breakpoints.top_n_per_chrom(sites, 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("collapse_edges", "links", also=EDGES, sql="SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n, first_rid, rids FROM pairs")
+def _(links):
+    out = breakpoints.count_links(links)
+    return out.select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n", F.element_at("rids", 1).alias("first_rid"), F.size("rids").cast("long").alias("rids"))
+
+
+@query("refine_counts", "links", "sites", also=EDGES + ",\ne AS (SELECT chrom1 AS chrom, coord1 AS coord, clip1 AS clip, n FROM pairs UNION ALL SELECT chrom2, coord2, clip2, n FROM pairs),\ng AS (SELECT chrom, coord, clip, sum(n)::BIGINT AS p FROM e GROUP BY ALL)", sql="SELECT g.chrom, g.coord, g.clip, greatest(p, coalesce(s.n, 0)) AS n FROM g LEFT JOIN sites s ON s.chrom = g.chrom AND s.coord = g.coord AND s.clip = g.clip AND s.n > 1")
+def _(links, sites):
+    return breakpoints.refine_counts(breakpoints.count_links(links), sites)
+
+
+@query("pe_pairs", "links", also="e AS (SELECT DISTINCT chrom1 || ':' || (coord1 // 100000) AS e, rid FROM links)", sql="SELECT a.e AS \"end\", b.e AS other, count(*) AS n FROM e a JOIN e b ON a.rid = b.rid AND a.e < b.e GROUP BY ALL HAVING count(*) >= 2")
+def _(links):
+    ends = links.select(F.concat_ws(":", "chrom1", F.floor(F.col("coord1") / 100000)).alias("end"), "rid").distinct()
+    return breakpoints.shared_reads(ends)
+
+
+@query("pair_combinations", "sites", "links", also="t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, clip ORDER BY n DESC, coord) AS k FROM sites) WHERE k <= 20)", sql="SELECT a.chrom AS grp, a.chrom AS chrom1, a.coord AS coord1, a.clip AS clip1, b.chrom AS chrom2, b.coord AS coord2, b.clip AS clip2 FROM t a JOIN t b ON a.chrom = b.chrom AND (a.coord, a.clip) < (b.coord, b.clip) WHERE NOT EXISTS (SELECT 1 FROM links l WHERE (l.chrom1 = a.chrom AND l.coord1 = a.coord AND l.clip1 = a.clip AND l.chrom2 = b.chrom AND l.coord2 = b.coord AND l.clip2 = b.clip) OR (l.chrom2 = a.chrom AND l.coord2 = a.coord AND l.clip2 = a.clip AND l.chrom1 = b.chrom AND l.coord1 = b.coord AND l.clip1 = b.clip))")
+def _(sites, links):
+    top = breakpoints.top_n_per_chrom(sites, 20).withColumn("grp", F.col("chrom"))
+    return breakpoints.combinations(top, links, ["grp"])
+
+
+@query("discordant_clusters", "links", also="w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0)", sql="SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, clip1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2, clip2, count(*) AS support FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2")
+def _(links):
+    return breakpoints.cluster_links(links, gap=3500)
+
+
+@query("endpoint_collapse", "sites", also="w0 AS (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY chrom, clip ORDER BY coord) <= 1000 THEN 0 ELSE 1 END AS k FROM sites),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom, clip ORDER BY coord) AS g FROM w0)", sql="SELECT chrom, clip, arg_max(coord, (n, -coord)) AS coord, max(n) AS support FROM w1 GROUP BY chrom, clip, g")
+def _(sites):
+    return breakpoints.collapse_ends(sites.withColumnRenamed("n", "support"), reach=1000)
+
+
+SNAP = EDGES + ",\ned AS (SELECT chrom1, coord1 + 700 AS coord1, clip1, chrom2, coord2 - 300 AS coord2, clip2, n AS support FROM pairs),\nbth AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs UNION SELECT chrom2, coord2, clip2, chrom1, coord1, clip1, n FROM pairs),\nm AS (SELECT e.*, p.coord1 AS t1, p.coord2 AS t2, p.n FROM ed e JOIN bth p ON p.chrom1 = e.chrom1 AND p.clip1 = e.clip1 AND p.chrom2 = e.chrom2 AND p.clip2 = e.clip2 AND abs(p.coord1 - e.coord1) <= 2000 AND abs(p.coord2 - e.coord2) <= 2000),\nt AS (SELECT *, max(n) OVER (PARTITION BY chrom1, coord1, clip1, chrom2, coord2, clip2) AS top FROM m),\nbst AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, min(t1) AS t1, min(t2) AS t2 FROM t WHERE n = top GROUP BY ALL HAVING count(*) = 1)"
+
+
+@query("two_ended_snap", "links", also=SNAP, sql="SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, support, coalesce(t1, coord1) AS to1, coalesce(t2, coord2) AS to2, t1 IS NOT NULL AS snapped FROM ed LEFT JOIN bst USING (chrom1, coord1, clip1, chrom2, coord2, clip2)")
+def _(links):
+    pairs = breakpoints.count_links(links).drop("rids")
+    edges = pairs.select("chrom1", (F.col("coord1") + 700).alias("coord1"), "clip1", "chrom2", (F.col("coord2") - 300).alias("coord2"), "clip2", F.col("n").alias("support"))
+    return breakpoints.snap_two_ended(edges, pairs, reach=2000)
+
+
+JUNCTIONS = "jx AS (SELECT *, count(*) OVER (PARTITION BY ring) AS k, first_value(row(chrom, CASE WHEN strand = '+' THEN start ELSE stop END, CASE WHEN strand = '+' THEN 'L' ELSE 'R' END)) OVER (PARTITION BY ring ORDER BY idx) AS f, lead(row(chrom, CASE WHEN strand = '+' THEN start ELSE stop END, CASE WHEN strand = '+' THEN 'L' ELSE 'R' END)) OVER (PARTITION BY ring ORDER BY idx) AS l FROM rings),\njunctions AS (SELECT ring, idx, chrom AS chrom1, CASE WHEN strand = '+' THEN stop ELSE start END AS coord1, CASE WHEN strand = '+' THEN 'R' ELSE 'L' END AS clip1, coalesce(l, f)[1] AS chrom2, coalesce(l, f)[2] AS coord2, coalesce(l, f)[3] AS clip2, k = 1 AS single FROM jx)"
+
+
+@query("junction_inference", "rings", also=JUNCTIONS, sql="SELECT ring, idx, chrom1, coord1, clip1, chrom2, coord2, clip2, single FROM junctions")
+def _(rings):
+    return cells.ring_junctions(rings).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("known_junction_match", "rings", "links", also=JUNCTIONS + ",\n" + EDGES + ",\nbth AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs UNION SELECT chrom2, coord2, clip2, chrom1, coord1, clip1, n FROM pairs)", sql="SELECT DISTINCT j.ring, j.idx, j.chrom1, j.coord1, j.clip1, j.chrom2, j.coord2, j.clip2, p.coord1 AS p_coord1, p.coord2 AS p_coord2, p.n AS p_n FROM junctions j JOIN bth p ON p.chrom1 = j.chrom1 AND p.clip1 = j.clip1 AND p.chrom2 = j.chrom2 AND p.clip2 = j.clip2 AND abs(p.coord1 - j.coord1) <= 400000 AND abs(p.coord2 - j.coord2) <= 400000")
+def _(rings, links):
+    junctions = cells.ring_junctions(rings).withColumn("idx", F.col("idx").cast("long")).drop("single")
+    return breakpoints.match_known(junctions, breakpoints.count_links(links).drop("rids"), window=400_000)
+
+
+@query("evidence_merge", "links", also="e AS (SELECT chrom1 || '-' || chrom2 AS junction, CASE WHEN clip1 = 'L' THEN 0 ELSE 1 END AS source, rid % 7 AS n, CASE WHEN rid % 5 = 0 THEN NULL ELSE rid END AS rid, CASE WHEN bc % 4 = 0 THEN NULL ELSE bc END AS bc FROM links),\nr AS (SELECT junction, rid, arg_min(coalesce(bc, -1), (bc IS NULL, source, coalesce(bc, -1))) AS bc FROM e WHERE rid IS NOT NULL GROUP BY ALL),\ng AS (SELECT junction, count(*) AS reads, count(DISTINCT nullif(bc, -1)) AS barcodes FROM r GROUP BY ALL),\nb AS (SELECT junction, arg_max(source, (-source, n)) AS source, arg_max(n, (-source, n)) AS top, sum(n)::BIGINT AS total FROM e GROUP BY ALL)", sql="SELECT junction, source, top, coalesce(reads, total) AS n, coalesce(barcodes, 0) AS barcodes FROM b LEFT JOIN g USING (junction)")
+def _(links):
+    rows = links.select(F.concat_ws("-", "chrom1", "chrom2").alias("junction"), F.when(F.col("clip1") == "L", 0).otherwise(1).alias("source"), (F.col("rid") % 7).alias("n"), F.when(F.col("rid") % 5 != 0, F.col("rid")).alias("rid"), F.when(F.col("bc") % 4 != 0, F.col("bc")).alias("bc"))
+    return breakpoints.merge_evidence(rows)
+
+
+@query("pair_filter_basic", "links", "segments", also=EDGES + ",\n" + ISLANDS.format(gap=200000, t="segments"), sql="SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs p WHERE n >= 1 AND (chrom1 <> chrom2 OR abs(coord1 - coord2) >= 500) AND EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom1 AND coord1 < m.stop + 10000 AND coord1 >= m.start - 10000) AND EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom2 AND coord2 < m.stop + 10000 AND coord2 >= m.start - 10000)")
+def _(links, segments):
+    return breakpoints.filter_pairs(breakpoints.count_links(links).drop("rids"), 1, 500, segments)
+
+
+# --- text ------------------------------------------------------------------
+
+
+@query("revcomp", "strings", sql="SELECT doc_id, reverse(translate(regexp_replace(a, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM strings")
+def _(df):
+    return df.select("doc_id", text.reverse_complement(F.col("a")).alias("rc"))
+
+
+@query("norm_levenshtein", "strings", sql="SELECT doc_id, round(levenshtein(translate(a, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), translate(b, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) * 1.0 / greatest(length(a), length(b), 1), 6) AS d FROM (SELECT doc_id, regexp_replace(a, '[^ -~]', '?', 'g') AS a, regexp_replace(b, '[^ -~]', '?', 'g') AS b FROM strings)")
+def _(df):
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")
+    return df.select("doc_id", F.round(text.normalised_distance(plain("a"), plain("b")), 6).alias("d"))
+
+
+@query("first_upper_run", "documents", sql="SELECT doc_id, coalesce(regexp_extract(text, '([A-Z]+)', 1), '') AS run FROM documents")
+def _(df):
+    return df.select("doc_id", F.coalesce(text.first_upper_run(F.col("text")), F.lit("")).alias("run"))
+
+
+CIGAR = "cast(pk % 30 as varchar) || 'S' || cast(sk % 90 + 1 as varchar) || 'M' || cast(line as varchar) || 'D' || cast(mapq as varchar) || 'I' || cast(rid % 40 as varchar) || 'H'"
+
+
+@query("cigar_ref_len", "reads", sql="SELECT rid, line, pk, sk, cast(sk % 90 + 1 + line as bigint) AS length, CASE WHEN pk % 30 = 0 AND rid % 40 = 0 THEN NULL WHEN pk % 30 >= rid % 40 THEN 'L' ELSE 'R' END AS side FROM reads")
+def _(df):
+    cigar = F.expr(CIGAR.replace("varchar", "string"))
+    return df.select("rid", "line", "pk", "sk", text.cigar_length(cigar).alias("length"), text.cigar_clip(cigar).alias("side"))
+
+
+@query("sa_parse", "reads", sql="SELECT rid, line, pk, sk, chrom, start AS pos, mapq, nm FROM reads")
+def _(df):
+    tag = F.concat_ws(",", "chrom", F.col("start") + 1, F.lit("+"), F.lit("100M"), "mapq", "nm")
+    rows = df.select("rid", "line", "pk", "sk", F.explode(text.parse_sa(F.concat(tag, F.lit(";chr1,5;")))).alias("x"))
+    return rows.select("rid", "line", "pk", "sk", "x.chrom", "x.pos", "x.mapq", "x.nm")
+
+
+@query("junction_ids", "links", sql="SELECT rid, coord1, coord2, least(a, b) || '|' || greatest(a, b) AS id FROM (SELECT *, chrom1 || ':' || coord1 || ':' || clip1 AS a, chrom2 || ':' || coord2 || ':' || clip2 AS b FROM links)")
+def _(df):
+    return df.select("rid", "coord1", "coord2", text.junction_id(*[F.col(c).cast("string") for c in ("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2")]).alias("id"))
+
+
+@query("consensus_bases", "strings", also="ch AS (SELECT doc_id % 50 AS g, p AS pos, substr(a, p::BIGINT, 1) AS base FROM strings, range(1, 61) t(p) WHERE p <= length(a) AND substr(a, p::BIGINT, 1) BETWEEN 'a' AND 'z'),\nc AS (SELECT g, pos, base, count(*) AS n FROM ch GROUP BY ALL),\nb AS (SELECT g, pos, arg_max(base, (n, -ascii(base))) AS base FROM c GROUP BY ALL)", sql="SELECT g, string_agg(base, '' ORDER BY pos) AS consensus FROM b GROUP BY g")
+def _(df):
+    rows = df.select((F.col("doc_id") % 50).alias("g"), F.posexplode(F.split("a", "")).alias("pos", "base")).where("base between 'a' and 'z'")
+    return text.consensus(rows, by=["g"])
+
+
+@query("short_repeat_filter", "strings")
+def _(df):
+    return df.select("doc_id", F.round(text.repeat_share(F.col("a")), 6).alias("share"))
+
+
+@query("semi_global_distance", "strings")
+def _(df):
+    return df.select("doc_id", F.round(text.semi_global_distance("b", "a"), 6).alias("d"))
+
+
+@query("common_substring", "strings")
+def _(df):
+    return df.select("doc_id", text.common_substring("a", "b").alias("x")).select("doc_id", "x.*")
+
+
+@query("fuzzy_clip_match", "strings")
+def _(df):
+    return df.select("doc_id", text.fuzzy_find(F.substring("b", 1, 20), "a").alias("at"))
+
+
+# --- segments, graph and score ---------------------------------------------
+
+
+@query("segment_pairing_knn", "sites", also="r AS (SELECT * FROM sites WHERE clip = 'R'), l AS (SELECT DISTINCT chrom, coord FROM sites WHERE clip = 'L'),\nm AS (SELECT l.chrom, l.coord AS start, r.coord AS stop, r.n, row_number() OVER (PARTITION BY l.chrom, l.coord ORDER BY r.coord) AS k FROM l JOIN r ON r.chrom = l.chrom AND r.coord > l.coord)", sql="SELECT chrom, start, arg_max(stop, (n, -stop)) AS stop, max(n) AS n FROM m WHERE k <= 5 AND stop - start BETWEEN 100 AND 50000000 GROUP BY ALL")
+def _(sites):
+    return segmentation.pair_ends(sites)
+
+
+@query("interior_cn_fraction", "segments", "reads", also=BINS, sql="SELECT seg, round(avg(b.cn), 6) AS mean_cn, count(*) AS bins, round(avg(CASE WHEN b.cn >= 4.5 THEN 1.0 ELSE 0.0 END), 6) AS high_share FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord >= s.start AND b.coord < s.stop GROUP BY seg")
+def _(segments, df):
+    return segmentation.interior_cn(segments, bins_of(df)).withColumns(r6("mean_cn", "high_share"))
+
+
+@query("add_cn", "segments", "genes", "reads", also=BINS + ",\nt AS (SELECT s.seg, round_even(max(g.cn), 0) AS top FROM segments s JOIN (SELECT chrom, start, stop, (gid % 11) / 2.0 AS cn FROM genes WHERE gid % 5 = 0) g ON g.chrom = s.chrom AND g.start < s.stop AND s.start < g.stop GROUP BY s.seg),\nm AS (SELECT seg, avg(b.cn) AS mean FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord >= s.start - 10000 AND b.coord < s.stop + 10000 GROUP BY seg)", sql="SELECT s.seg, round(coalesce(top, mean), 6) AS cn FROM segments s LEFT JOIN t USING (seg) LEFT JOIN m USING (seg)")
+def _(segments, genes, df):
+    calls = genes.where("gid % 5 = 0").select("chrom", "start", "stop", ((F.col("gid") % 11) / 2.0).alias("cn"))
+    return segmentation.add_cn(segments, calls, bins_of(df)).select("seg", F.round("cn", 6).alias("cn"))
+
+
+@query("snap_to_boundary", "sites", "segments", also="b AS (SELECT DISTINCT chrom, start AS at FROM segments),\nd AS (SELECT s.chrom, s.coord, s.clip, b.at, abs(s.coord - b.at) AS far FROM sites s JOIN b ON b.chrom = s.chrom AND abs(s.coord - b.at) <= 30000),\nt AS (SELECT *, min(far) OVER (PARTITION BY chrom, coord, clip) AS nearest FROM d),\no AS (SELECT chrom, coord, clip, min(t.at) AS \"to\" FROM t WHERE far = nearest GROUP BY ALL HAVING count(*) = 1)", sql="SELECT s.chrom, s.coord, s.clip, o.\"to\" FROM sites s LEFT JOIN o USING (chrom, coord, clip)")
+def _(sites, segments):
+    points = sites.select(F.struct("chrom", "coord", "clip").alias("id"), "chrom", "coord", "clip")
+    return segmentation.snap_to_boundary(points, segments.select("chrom", F.col("start").alias("at")).distinct()).select("chrom", "coord", "clip", "to")
+
+
+@query("graph_edges", "segments", "links", also=EDGES + ",\nv AS (SELECT row_number() OVER (ORDER BY chrom, coord, clip) AS id, chrom, coord, clip FROM (SELECT chrom1 AS chrom, coord1 AS coord, clip1 AS clip FROM pairs UNION SELECT chrom2, coord2, clip2 FROM pairs UNION SELECT chrom, start, 'L' FROM segments UNION SELECT chrom, stop, 'R' FROM segments)),\ne AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, 'outer' AS kind, n::DOUBLE AS weight FROM pairs p JOIN v a ON a.chrom = chrom1 AND a.coord = coord1 AND a.clip = clip1 JOIN v b ON b.chrom = chrom2 AND b.coord = coord2 AND b.clip = clip2 UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 'inner', s.cn FROM segments s JOIN v a ON a.chrom = s.chrom AND a.coord = s.start AND a.clip = 'L' JOIN v b ON b.chrom = s.chrom AND b.coord = s.stop AND b.clip = 'R')", sql="SELECT va.chrom || va.coord || va.clip AS a, vb.chrom || vb.coord || vb.clip AS b, kind, max(weight) AS weight FROM e JOIN v va ON va.id = a JOIN v vb ON vb.id = b GROUP BY ALL")
+def _(segments, links):
+    pairs = breakpoints.count_links(links).drop("rids")
+    v = pairs.select(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord"), F.col("clip1").alias("clip")).union(pairs.select("chrom2", "coord2", "clip2")).union(segments.select("chrom", "start", F.lit("L"))).union(segments.select("chrom", "stop", F.lit("R"))).distinct()
+    v = v.withColumn("id", F.row_number().over(Window.orderBy("chrom", "coord", "clip")).cast("long"))
+    edges = graph.graph_edges(v, pairs, segments)
+    name = v.select("id", F.concat("chrom", F.col("coord").cast("string"), "clip").alias("name"))
+    return edges.join(name.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "kind", "weight")
+
+
+def ring_graph(rings: DataFrame):
+    """The rings' own graph: two vertices a segment, and the junctions between segments."""
+    v = rings.select("ring", "idx", F.explode(F.array(F.struct(F.lit("L").alias("clip"), F.col("start").alias("coord")), F.struct(F.lit("R").alias("clip"), F.col("stop").alias("coord")))).alias("x"), "chrom", "cn", "splits")
+    v = v.select(F.xxhash64("ring", "idx", "x.clip").alias("id"), "ring", "idx", "chrom", "x.coord", "x.clip", "cn", "splits")
+    end = lambda idx, clip: F.xxhash64("ring", idx, clip)
+    w = Window.partitionBy("ring").orderBy("idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    j = rings.select("ring", "idx", "splits", F.coalesce(F.lead("idx").over(w), F.first("idx").over(whole)).alias("nxt"))
+    outer = j.select(end("idx", F.lit("R")).alias("x"), end("nxt", F.lit("L")).alias("y"), F.lit("outer").alias("kind"), F.col("splits").cast("double").alias("weight"))
+    inner = rings.select(end("idx", F.lit("L")).alias("x"), end("idx", F.lit("R")).alias("y"), F.lit("inner").alias("kind"), F.col("cn").alias("weight"))
+    return v, outer.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind", "weight")
+
+
+@query("ring_paths", "rings", sql="SELECT chrom, count(*) AS rings, sum(k)::BIGINT AS nodes FROM (SELECT ring, chrom, 2 * count(*) AS k FROM rings GROUP BY ALL) GROUP BY chrom")
+def _(rings):
+    v, edges = ring_graph(rings)
+    paths = graph.find_paths(edges, graph.label_components(edges)).where("kind = 'ring'")
+    return paths.select(F.element_at("path", 1).alias("id"), F.size("path").alias("k")).join(v.select("id", "chrom"), "id").groupBy("chrom").agg(F.count("*").alias("rings"), F.sum("k").cast("long").alias("nodes"))
+
+
+@query("circle_table", "rings", sql="SELECT chrom, start, stop, round(cn, 6) AS cn, count(*) AS n FROM rings GROUP BY ALL")
+def _(rings):
+    v, edges = ring_graph(rings)
+    paths = graph.find_paths(edges, graph.label_components(edges)).where("kind = 'ring'")
+    return graph.path_segments(paths, v, edges).groupBy("chrom", "start", "stop", F.round("cn", 6).alias("cn")).agg(F.count("*").alias("n"))
+
+
+@query("circle_stats_score", "rings", "reads", also=BINS)
+def _(rings, df):
+    out = graph.score_rings(graph.segment_contrast(rings, bins_of(df)))
+    return out.withColumns(r6(*[n for n, t in out.dtypes if t == "double"]))
+
+
+@query("circle_dedup", "rings", "reads")
+def _(rings, df):
+    scores = graph.score_rings(graph.segment_contrast(rings, bins_of(df)))
+    return graph.pick_rings(scores, intervals.reciprocal_overlap(rings), above=0.5).withColumns(r6("score"))
+
+
+@query("cbs_segments", "reads")
+def _(df):
+    x = bins_of(df).withColumn("x", F.log2(F.col("cn") / 2))
+    return segmentation.cbs_segments(x).withColumns(r6("n", "x"))
+
+
+@query("glm_norm", "reads", "genes")
+def _(df, genes):
+    bias = bins.mean_bias(genes.select("chrom", "start", ((F.col("gid") % 100) / 100.0).alias("gc"), ((F.col("gid") % 37) / 37.0).alias("mappability")))
+    x = bins.bin_counts(reads.passing(df)).join(bias, ["chrom", "coord"])
+    return copynumber.normalise(x, ["gc", "mappability"]).select("chrom", "coord", "n", F.round("n_norm", 4).alias("n_norm"), F.round("cn", 4).alias("cn"))
+
+
+@query("kde_mode", "reads", also=BINS + ",\ns AS (SELECT stddev_samp(n) * pow(count(*), -0.2) AS h, quantile_cont(n::DOUBLE, 0.99) AS top FROM bins),\ng AS (SELECT i * top / 499 AS g, h FROM s, range(0, 500) t(i)),\nc AS (SELECT n, count(*) AS k FROM bins GROUP BY n),\nd AS (SELECT g, sum(k * exp(-0.5 * pow((g - n) / h, 2))) AS d FROM g, c GROUP BY g)", sql="SELECT round(arg_max(g, (d, -g)), 4) AS mode FROM d")
+def _(df):
+    return copynumber.mode(bins.bin_counts(reads.passing(df)), "n").select(F.round("mode", 4).alias("mode"))
+
+
+@query("threshold_estimate", "sites")
+def _(sites):
+    return segmentation.histogram_threshold(sites).withColumns(r6("threshold"))
+
+
+# --- cells and targets -----------------------------------------------------
+
+JCS = JUNCTIONS + ",\ns AS (SELECT chrom1, chrom2, max(k) AS n FROM (SELECT chrom1, chrom2, count(*) AS k FROM links GROUP BY ALL) GROUP BY ALL),\nj AS (SELECT DISTINCT ring AS circle, idx AS junction, coord1 FROM junctions),\nm AS (SELECT j.circle, j.junction, coalesce(j.coord1 % 11, 0) AS n FROM j WHERE j.coord1 % 3 <> 0)"
+
+
+@query("jcs", "rings", "links", also=JCS, sql="SELECT j.circle, count(DISTINCT j.junction) AS total, sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END)::BIGINT AS validated, sum(CASE WHEN coalesce(n, 0) >= 5 THEN n ELSE 0 END)::BIGINT AS support, round(sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END) * 1.0 / count(DISTINCT j.junction), 6) AS jcs, sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END) * 1.0 / count(DISTINCT j.junction) >= 0.5 AS detected FROM j LEFT JOIN m ON m.circle = j.circle AND m.junction = j.junction GROUP BY j.circle")
+def _(rings, links):
+    j = cells.ring_junctions(rings).select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), "coord1")
+    matched = j.where("coord1 % 3 <> 0").select("circle", "junction", (F.col("coord1") % 11).alias("n"))
+    out = cells.concordance(j.select("circle", "junction"), matched)
+    return out.select("circle", "total", F.col("validated").cast("long").alias("validated"), F.col("support").cast("long").alias("support"), F.round("jcs", 6).alias("jcs"), "detected")
+
+
+@query("segment_cn_summary", "rings", sql="SELECT ring, count(*) AS segments, round(sum(cn), 8) AS cn_sum, round(avg(cn), 8) AS cn_mean, round(median(cn), 8) AS cn_median, round(coalesce(stddev_samp(cn), 0), 8) AS cn_sd, round(min(cn), 8) AS cn_min, round(max(cn), 8) AS cn_max FROM rings GROUP BY ring")
+def _(rings):
+    out = cells.segment_summary(rings)
+    return out.withColumns({n: F.round(n, 8) for n in ("cn_sum", "cn_mean", "cn_median", "cn_sd", "cn_min", "cn_max")})
+
+
+@query("weighted_cn", "segments", "reads", also=BINS, sql="SELECT seg, round(sum((least(s.stop, b.coord + 10000) - greatest(s.start, b.coord)) * b.cn) / sum(least(s.stop, b.coord + 10000) - greatest(s.start, b.coord)), 6) AS cn, count(*) AS bins FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord < s.stop AND s.start < b.coord + 10000 GROUP BY seg")
+def _(segments, df):
+    return cells.weighted_cn(segments, bins_of(df)).withColumns(r6("cn"))
+
+
+@query("cell_support_matrix", "reads", sql="SELECT bc, " + ", ".join(f"count(*) FILTER (chrom = 'chr{k}') AS chr{k}" for k in range(1, 25)) + " FROM reads GROUP BY bc")
+def _(df):
+    rows = df.select("bc", "chrom", F.lit(1).cast("long").alias("n"))
+    return cells.support_matrix(rows, "bc", "chrom", "n", [f"chr{k}" for k in range(1, 25)])
+
+
+@query("all_matrix_ratio", "reads", also="a AS (SELECT bc AS cell, chrom AS junction, count(DISTINCT rid) AS a FROM reads WHERE clip_l GROUP BY ALL),\nb AS (SELECT bc AS cell, chrom AS junction, count(DISTINCT rid) AS b FROM reads WHERE NOT clip_l AND NOT clip_r GROUP BY ALL)", sql="SELECT cell, junction, coalesce(a, 0) AS a, coalesce(b, 0) AS b, round(coalesce(a, 0) * 1.0 / (coalesce(a, 0) + coalesce(b, 0) + 1), 6) AS ratio FROM a FULL JOIN b USING (cell, junction)")
+def _(df):
+    rows = df.select(F.col("bc").alias("cell"), F.col("chrom").alias("junction"), "rid", "clip_l", "clip_r")
+    return cells.allele_ratio(rows.where("clip_l"), rows.where("not clip_l and not clip_r")).withColumns(r6("ratio"))
+
+
+CELLS = "f AS (SELECT cell, 'ring' || (cell % 5) AS ring, count(*) * 1.0 AS rate, count(*) FILTER (kind = 'purchase') AS direct, count(*) FILTER (kind = 'click') / 40.0 AS weak, count(DISTINCT chrom) / 8.0 AS enrichment FROM frags GROUP BY cell)"
+
+
+def cell_features(frags):
+    return frags.groupBy("cell").agg((F.count("*") * 1.0).cast("double").alias("rate"), F.count(F.when(F.col("kind") == "purchase", 1)).alias("direct"), (F.count(F.when(F.col("kind") == "click", 1)) / 40.0).alias("weak"), (F.count_distinct("chrom") / 8.0).alias("enrichment")).withColumn("ring", F.concat(F.lit("ring"), (F.col("cell") % 5).cast("string")))
+
+
+@query("ring_q1", "frags", also=CELLS, sql="SELECT cell, ring, round(rate, 6) AS rate, direct, round(q1, 6) AS q1 FROM f LEFT JOIN (SELECT ring, quantile_cont(rate::DOUBLE, 0.25) AS q1 FROM f WHERE direct >= 1 GROUP BY ring) USING (ring)")
+def _(frags):
+    return cells.ring_quartile(cell_features(frags)).select("cell", "ring", F.round("rate", 6).alias("rate"), "direct", F.round("q1", 6).alias("q1"))
+
+
+@query("cell_rules", "frags", also=CELLS + ",\nq AS (SELECT ring, quantile_cont(rate::DOUBLE, 0.25) AS q1 FROM f WHERE direct >= 3 GROUP BY ring)", sql="SELECT cell, CASE WHEN direct >= 3 THEN 'high' WHEN weak >= 0.3 THEN 'probable' WHEN rate >= q1 AND enrichment >= 2 THEN 'probable' ELSE 'none' END AS call FROM f LEFT JOIN q USING (ring)")
+def _(frags):
+    f = cell_features(frags).withColumn("direct", F.when(F.col("direct") >= 3, F.col("direct")).otherwise(0))
+    f = f.withColumns({"cosine": F.lit(1.0), "covered": F.lit(1.0)})
+    return cells.assign(cells.ring_quartile(f)).select("cell", "call")
+
+
+@query("weak_evidence_max", "frags", also="e AS (SELECT cell, chrom AS junction, start % 997 AS rid, CASE kind WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.7 WHEN 'view' THEN 0.3 ELSE 0.0 END AS w FROM frags),\nb AS (SELECT cell, junction, rid, max(w) AS w FROM e GROUP BY ALL)", sql="SELECT cell, junction, round(sum(w), 6)::DOUBLE AS weak, count(*) AS reads FROM b GROUP BY ALL")
+def _(frags):
+    kind = F.when(F.col("kind") == "purchase", "split").when(F.col("kind") == "click", "discordant").when(F.col("kind") == "view", "clip").otherwise("other")
+    rows = frags.select("cell", F.col("chrom").alias("junction"), (F.col("start") % 997).alias("rid"), kind.alias("kind"))
+    return cells.weakest_path(rows).withColumns(r6("weak"))
+
+
+@query("flank_intervals", "rings", also="r AS (SELECT * FROM rings),\nf AS (SELECT ring, idx, 'left' AS side, chrom, greatest(0, start - (stop - start)) AS start, start AS stop FROM r UNION ALL SELECT ring, idx, 'right', chrom, stop, stop + (stop - start) FROM r)", sql="SELECT ring, idx, side, chrom, start, stop FROM f WHERE start < stop AND NOT EXISTS (SELECT 1 FROM r WHERE r.chrom = f.chrom AND r.start < f.stop AND f.start < r.stop)")
+def _(rings):
+    return cells.flanks(rings).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("fragment_counts", "frags", "segments", sql="SELECT cell, seg, sum(n)::BIGINT AS n FROM frags f JOIN segments s ON s.chrom = f.chrom AND f.start < s.stop AND s.start < f.stop AND s.start < s.stop GROUP BY ALL")
+def _(frags, segments):
+    return cells.fragment_counts(frags, segments)
+
+
+@query("profile_cosine", "frags", "segments", also="c AS (SELECT cell, seg, sum(n)::DOUBLE AS n FROM frags f JOIN segments s ON s.chrom = f.chrom AND f.start < s.stop AND s.start < f.stop GROUP BY ALL),\na AS (SELECT seg, sum(n) AS n FROM c GROUP BY seg)", sql="SELECT cell, round(sum(c.n * a.n) / (sqrt(sum(c.n * c.n)) * (SELECT sqrt(sum(n * n)) FROM a)), 6) AS cosine FROM c JOIN a USING (seg) GROUP BY cell")
+def _(frags, segments):
+    counts = cells.fragment_counts(frags, segments)
+    return cells.profile_cosine(counts, counts.groupBy("seg").agg(F.sum("n").alias("n"))).withColumns(r6("cosine"))
+
+
+@query("ecdna_ratio", "frags", also="c AS (SELECT cell, count(*) FILTER (kind = 'click') AS s, count(*) FILTER (kind <> 'click') AS n FROM frags GROUP BY cell),\nr AS (SELECT *, least(1.0, greatest(0.0, s / greatest(s + n, 1))) AS ratio FROM c)", sql="SELECT cell, s, n, round(ratio, 6) AS ratio, cast(round_even(99 * ratio, 0) AS bigint) + 1 AS colour FROM r")
+def _(frags):
+    c = frags.groupBy("cell").agg(F.count(F.when(F.col("kind") == "click", 1)).alias("s"), F.count(F.when(F.col("kind") != "click", 1)).alias("n"))
+    return cells.ratio_index(c).withColumns(r6("ratio"))
+
+
+# --- embedding flow --------------------------------------------------------
+
+KNN = "p AS (SELECT vec_id AS id, embedding AS vec FROM embeddings),\nd AS (SELECT q.id AS q, p.id, pow(list_distance(q.vec::DOUBLE[], p.vec::DOUBLE[]), 2) AS d FROM p q JOIN p ON p.id <> q.id WHERE q.id % 100 = 0),\nk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM d)"
+
+
+@query("embedding_knn", "embeddings", also=KNN, sql="SELECT q, id, round(d, 4) AS d, rank FROM k WHERE rank <= 10")
+def _(df):
+    p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return velocity.nearest(p.where("id % 100 = 0"), p).select("q", "id", F.round("d", 4).alias("d"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("transition_prob", "embeddings", also=KNN + ",\ne AS (SELECT q AS a, id AS b, exp((1 - d / 10) / 0.1) AS e FROM k WHERE rank <= 10)", sql="SELECT a, b, round(e / sum(e) OVER (PARTITION BY b), 6) AS p FROM e")
+def _(df):
+    p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    near = velocity.nearest(p.where("id % 100 = 0"), p).select(F.col("q").alias("a"), F.col("id").alias("b"), (1 - F.col("d") / 10).alias("r"))
+    return velocity.transition(near).withColumns(r6("p"))
+
+
+@query("grid_flow", "embeddings", also="a AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS dx, embedding[4]::DOUBLE AS dy FROM embeddings),\ns AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM a),\ng AS (SELECT i, j, x0 + i * (x1 - x0) / 9 AS gx, y0 + j * (y1 - y0) / 9 AS gy FROM s, range(0, 10) t(i), range(0, 10) u(j)),\nw AS (SELECT i, j, exp(-(pow(x - gx, 2) + pow(y - gy, 2)) / 0.02) AS w, dx, dy FROM a, g),\no AS (SELECT i, j, sum(w) AS mass, sum(w * dx) / greatest(1, sum(w)) AS dx, sum(w * dy) / greatest(1, sum(w)) AS dy FROM w GROUP BY ALL)", sql="SELECT i, j, round(mass, 4) AS mass, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy FROM o WHERE mass >= 1")
+def _(df):
+    e = lambda k: F.element_at("embedding", k).cast("double")
+    out = velocity.grid_flow(df.select(e(1).alias("x"), e(2).alias("y"), e(3).alias("dx"), e(4).alias("dy")), width=0.1)
+    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("mass", 4).alias("mass"), (F.round("dx", 4) + 0.0).alias("dx"), (F.round("dy", 4) + 0.0).alias("dy"))
+
+
+# --- streams in batch form -------------------------------------------------
+
+
+@query("event_sessions", "events", also="w0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS k FROM events),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM w0)", sql="SELECT user_id, count(*) AS n FROM w1 GROUP BY user_id, g")
+def _(df):
+    return streams.sessions(df).select("user_id", "n")
