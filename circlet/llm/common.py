@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 import zlib
@@ -89,9 +88,22 @@ def lower_az(col):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Rows hold whole texts, so batches between the JVM and Python are of few rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrap(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns row (all of docs as a struct) and those named, so that no other name can clash with an operator's own."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[docs[n] for n in names])
+
+
+def unwrap(columns: list[str], **changed) -> list:
+    """Columns of the wrapped rows in their order, those in changed replaced."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
@@ -124,6 +136,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
-
-def setting(name: str, default: str) -> str:
-    return os.environ.get(name, default)

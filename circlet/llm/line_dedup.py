@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_az, stage, table
+from .common import lower_az, stage, table, unwrap, wrap
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -46,21 +46,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text reassembled by position, and n_lines, n_dropped, touched (a line was dropped).
+    """docs with text reassembled by position, and n_lines and n_dropped, which replace columns of these names.
 
-    Any other column stays. Repeated rows of one doc_id count as one document
-    and lose the same lines. Null and empty texts are one empty line. If every
-    line goes, the text is empty.
+    All other columns stay. Repeated rows of one doc_id count as one document
+    and lose the same lines. Null and empty texts are one empty line and stay
+    as they are. If every line goes, the text is empty. No rows: no rows.
     """
-    # one 128-bit struct per lost key and document: bounded by the document's own lines
-    lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnsRenamed({"doc_id": "_doc", "hashes": "_hashes"})
-    all_rows = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    # the lost keys of a document are bounded by its own lines
+    lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnRenamed("doc_id", "lost_by")
+    held = wrap(docs, "doc_id", "text").join(lost.hint("merge"), F.col("doc_id") == F.col("lost_by"), "left")
     lines = lines_of(F.col("text"))
-    stay = F.filter(lines, lambda x: ~(long_line(x, min_chars) & F.array_contains(F.col("_hashes"), line_hash(x))))
-    all_rows = all_rows.withColumn("_stay", F.when(F.col("_hashes").isNull(), lines).otherwise(stay))
+    stay = F.filter(lines, lambda x: ~(long_line(x, min_chars) & F.array_contains(F.col("hashes"), line_hash(x))))
+    held = held.withColumn("stay", F.when(F.col("hashes").isNull(), lines).otherwise(stay))
     n = F.size(lines).cast("long")
-    out = all_rows.withColumns({"_text": F.array_join("_stay", "\n"), "n_lines": n, "n_dropped": n - F.size("_stay")})
-    return out.select(*[F.when(F.col("_hashes").isNull(), F.col("text")).otherwise(F.col("_text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_dropped")
+    text = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n"))
+    return held.select(*unwrap([c for c in docs.columns if c not in ("n_lines", "n_dropped")], text=text), n.alias("n_lines"), (n - F.size("stay")).alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
