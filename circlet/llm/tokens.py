@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Latin letters, digits and fractions up to U+017F: here \p{L} and \p{N} are fixed, so Python's re can cut where the tokenizer cuts.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -19,39 +18,48 @@ _WORD = re.compile(rf"{_SHORT}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _ODD = re.compile("[\x1c-\x1fİŉſ]|[^\x00-ſ]")
 
 
+#: Byte-level vocabularies write each byte as a letter: visible ones as themselves, the others as those after U+00FF.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+
+
+class _Known(dict):
+    """ids of pieces by piece; a new one goes to the vocabulary's own model. At most ``limit`` are kept."""
+
+    def __init__(self, tokenize, lower: bool, limit: int):
+        self.tokenize, self.lower, self.limit = tokenize, lower, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        letters = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_LETTER)
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
 class Encoder:
     """ids of whole texts as little-endian 32-bit bytes.
 
-    Cuts a text where the tokenizer itself always cuts, encodes each distinct
-    piece once per batch and keeps at most ``cache`` pieces.
-    Special tokens' strings in a text are ordinary text.
+    Cuts a text where the tokenizer itself always cuts, and keeps the ids of at
+    most ``cache`` pieces. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, words: bool, cache: int = 400_000):
+    def __init__(self, path: str, words: bool, cache: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.cut, self.limit, self.known = (_WORD if words else _BYTE).findall, cache, {}
+        self.cut = (_WORD if words else _BYTE).findall
+        self.known = _Known(self.t.model.tokenize, words, cache)
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, text: str) -> bytes:
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Null texts are empty and have no ids."""
-        texts = ["" if x is None else x for x in texts]
-        pieces = [None if _ODD.search(x) else self.cut(x) for x in texts]
-        known = self.known
-        new = list({p for ps in pieces if ps for p in ps}.difference(known))
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({p for ps in pieces if ps for p in ps})
-        for at in range(0, len(new), 4096):
-            known.update(zip(part := new[at : at + 4096], self.plain(part)))
-        odd = iter(self.plain([x for x, ps in zip(texts, pieces) if ps is None]))
-        get = known.__getitem__
-        return [next(odd) if ps is None else b"".join(map(get, ps)) for ps in pieces]
+        get, cut, odd = self.known.__getitem__, self.cut, _ODD.search
+        return [b"" if not x else self.plain(x) if odd(x) else b"".join(map(get, cut(x))) for x in texts]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
