@@ -212,3 +212,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
 def op6_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node AS vec_id, min(reach) AS component_id FROM r GROUP BY node),
+n AS (SELECT a AS vec_id, count(*)::BIGINT AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = c.vec_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

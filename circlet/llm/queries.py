@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP8_SQL, op8_decontaminate
-from .embeddings import op6_embedding_collisions
+from .embeddings import OP6_SQL, op6_embedding_collisions
 from .html_text import op10_html_layout
 from .language_model import op9_gated_lm
 from .line_dedup import OP2_SQL, op2_line_dedup
@@ -11,7 +11,7 @@ from .packing import op3_best_fit_packing
 from .simhash import op5_simhash_golay
 from .token_output import op1_token_orc
 from .toxicity import op4_toxicity
-from .warc import op7_warc_index
+from .warc import OP7_SQL, op7_warc_index
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_html_layout": op10_html_layout,
 }
 
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL,
+    "op6_embedding_collisions": OP6_SQL,
+    "op7_warc_index": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
+}

@@ -79,8 +79,6 @@ def test_warc(spark):
     path = warc.write_warc(df, new_path(spark, "warc"))
     got = warc.read_warc(spark, path).collect()
     assert len(got) == len(rows)
-    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
-    assert kinds == sorted([(0, "response", None), (1, "revisit", 9), (2, "response", None), (3, "response", None), (4, "revisit", 9), (5, "response", None), (6, "response", None), (9, "response", None), (9, "response", None), (12, "response", None)], key=str) or kinds == sorted(kinds)
     assert {(r.page_id, r.record_type) for r in got if r.record_type == "revisit"} == {(1, "revisit"), (4, "revisit")}
     for r in got:
         if r.page_id in (1, 4, 9):
@@ -119,7 +117,7 @@ def test_url_key(url, key):
         ("<pre> x\n  y</pre>", " x\n  y"),
         ("<div hidden>no</div><div style='display: none'>no</div><span aria-hidden=true>no</span>yes<!-- no -->", "yes"),
         ("a<br>b", "a\nb"),
-        ("<td>stray</td></p></b>end", "stray end" if False else None),
+        ("<td>stray</td></p></b>end", None),
         ("x < y and <unclosed", "x < y and <unclosed"),
         ("<textarea>a<b></textarea>", "a<b>"),
         ("<div>" * 5000 + "deep", "deep"),
@@ -142,7 +140,7 @@ def test_html_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
     rows = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
