@@ -69,7 +69,9 @@ def _cells(x: np.ndarray, plan: dict) -> np.ndarray:
     k = plan["each"] * plan["tables"]
     a, shift = _directions(x.shape[1], k + COUNTED)
     grid = np.floor((x @ a[:, :k] + shift[:k]) / WIDTH).astype("i8").view("u8").reshape(len(x), plan["tables"], plan["each"])
-    h = np.full(grid.shape[:2], x.shape[1], dtype="u8") * np.uint64(1000003) + np.arange(plan["tables"], dtype="u8")
+    h = np.full(grid.shape[:2], x.shape[1] << 32, dtype="u8") ^ np.arange(plan["tables"], dtype="u8")
+    h *= np.uint64(0x9E3779B97F4A7C15)  # spread first: small coordinates must not turn one table's cell into another's
+    h ^= h >> np.uint64(29)
     for j in range(plan["each"]):
         h = (h ^ grid[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)

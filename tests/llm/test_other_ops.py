@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def test_sql(spark, name):
     for t in ("documents", "benchmark", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
-    rows = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
+    rows = lambda f: sorted(str([None if x is pd.NA or x != x else x for x in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
