@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def reverse_complement(s: Column) -> Column:
@@ -65,7 +66,7 @@ def turn_clip(s: Column, turn: Column) -> Column:
     return F.when(turn.isin("L2R", "R2L"), F.reverse(s)).otherwise(reverse_complement(s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def semi_global_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Fewest edits of a against any part of b that begins at b's start, over the length of a: the minimum of the last row."""
     import numpy as np
@@ -87,7 +88,7 @@ def semi_global_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("a_at int, b_at int, size int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a_at", "b_at", "size")]))
 def common_substring(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The longest common substring: its places and size."""
     rows = []
@@ -97,7 +98,7 @@ def common_substring(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a_at", "b_at", "size"], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fuzzy_find(clip: pd.Series, seq: pd.Series) -> pd.Series:
     """First place in seq where clip matches with at most a tenth of its letters changed; -1: none."""
     import numpy as np

@@ -534,10 +534,10 @@ def _(rings, links):
     return out.select("circle", "total", F.col("validated").cast("long").alias("validated"), F.col("support").cast("long").alias("support"), F.round("jcs", 6).alias("jcs"), "detected")
 
 
-@query("segment_cn_summary", "rings", sql="SELECT ring, count(*) AS segments, round(sum(cn), 8) AS cn_sum, round(avg(cn), 8) AS cn_mean, round(median(cn), 8) AS cn_median, round(coalesce(stddev_samp(cn), 0), 8) AS cn_sd, round(min(cn), 8) AS cn_min, round(max(cn), 8) AS cn_max FROM rings GROUP BY ring")
+@query("segment_cn_summary", "rings", sql="SELECT ring, count(*) AS segments, round(sum(cn), 10) AS cn_sum, round(avg(cn), 10) AS cn_mean, round(median(cn), 10) AS cn_median, round(coalesce(stddev_samp(cn), 0), 10) AS cn_sd, round(min(cn), 10) AS cn_min, round(max(cn), 10) AS cn_max FROM rings GROUP BY ring")
 def _(rings):
     out = cells.segment_summary(rings)
-    return out.withColumns({n: F.round(n, 8) for n in ("cn_sum", "cn_mean", "cn_median", "cn_sd", "cn_min", "cn_max")})
+    return out.withColumns({n: F.round(n, 10) for n in ("cn_sum", "cn_mean", "cn_median", "cn_sd", "cn_min", "cn_max")})
 
 
 @query("weighted_cn", "segments", "reads", also=BINS, sql="SELECT seg, round(sum((least(s.stop, b.coord + 10000) - greatest(s.start, b.coord)) * b.cn) / sum(least(s.stop, b.coord + 10000) - greatest(s.start, b.coord)), 6) AS cn, count(*) AS bins FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord < s.stop AND s.start < b.coord + 10000 GROUP BY seg")

@@ -21,13 +21,13 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     from circlet.functions.text import cigar_length
 
     rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
-    f = F.col("f")
-    tag = lambda name: F.try_element_at(F.transform(F.filter(f, lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, "^..:.:", "")), F.lit(1))
-    start = f[3].cast("long") - 1
-    mate = F.when(f[6] == "=", f[2]).when(f[6] == "*", None).otherwise(f[6])
+    f = lambda i: F.get("f", F.lit(i))
+    tag = lambda name: F.try_element_at(F.transform(F.filter("f", lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, "^..:.:", "")), F.lit(1))
+    start = f(3).cast("long") - 1
+    mate = F.when(f(6) == "=", f(2)).when(f(6) == "*", None).otherwise(f(6))
     return rows.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), F.when(f[2] != "*", f[2]).alias("chrom"), start.alias("start"), (start + F.when(f[5] == "*", 0).otherwise(cigar_length(f[5]))).alias("stop"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        mate.alias("mate_chrom"), (f[7].cast("long") - 1).alias("mate_start"), f[8].cast("int").alias("tlen"), f[9].alias("seq"), tag("NM").cast("int").alias("nm"), tag("SA").alias("sa"), tag("CB").alias("cb"),
+        f(0).alias("qname"), f(1).cast("int").alias("flag"), F.when(f(2) != "*", f(2)).alias("chrom"), start.alias("start"), (start + F.when(f(5) == "*", 0).otherwise(cigar_length(f(5)))).alias("stop"), f(4).cast("int").alias("mapq"), f(5).alias("cigar"),
+        mate.alias("mate_chrom"), (f(7).cast("long") - 1).alias("mate_start"), f(8).cast("int").alias("tlen"), f(9).alias("seq"), tag("NM").cast("int").alias("nm"), tag("SA").alias("sa"), tag("CB").alias("cb"),
     )
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from circlet.plans import catalog
@@ -20,7 +21,7 @@ def duck():
 
 
 def rows(frame):
-    return sorted(map(str, frame[sorted(frame.columns)].itertuples(index=False, name=None)))
+    return sorted(str([None if x is pd.NA or x != x else int(x) if isinstance(x, float) and x == int(x) else x for x in r]) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
