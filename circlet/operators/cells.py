@@ -102,3 +102,31 @@ def ratio_index(cells: DataFrame) -> DataFrame:
     """Ratio s / max(s + n, 1) held to [0, 1], and its colour of 100."""
     ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") / F.greatest(F.col("s") + F.col("n"), F.lit(1))))
     return cells.withColumn("ratio", ratio).withColumn("colour", (F.bround(99 * F.col("ratio")) + 1).cast("long"))
+
+
+def interval_reads(segments: DataFrame, reads: DataFrame) -> DataFrame:
+    """Distinct reads of each segment, and for each thousand bases."""
+    met = overlap_join(segments.select("seg", "chrom", "start", "stop"), reads.select("chrom", "start", "stop", "rid"))
+    out = met.groupBy("seg", "start", "stop").agg(F.count_distinct("r_rid").alias("reads"))
+    return out.select("seg", "reads", (F.col("reads") * 1000.0 / (F.col("stop") - F.col("start"))).alias("per_kb"))
+
+
+def annotate_cells(support: DataFrame, strong: int = 2) -> DataFrame:
+    """Distinct reads and junctions of each cell, with a status."""
+    out = support.groupBy("cell").agg(F.count_distinct("rid").alias("reads"), F.count_distinct("junction").alias("junctions"))
+    return out.withColumn("status", F.when(F.col("reads") >= strong, "supported").when(F.col("reads") >= 1, "weak").otherwise("none"))
+
+
+def cell_features(frags: DataFrame, segments: DataFrame, flank: DataFrame, cells_: DataFrame) -> DataFrame:
+    """Coverage of each cell on a ring's segments: rate per million and kilobase, enrichment over flanks, share covered.
+
+    cells_: cell, total (all fragments of the cell). segments and flank: ring, seg, chrom, start, stop.
+    """
+    size = segments.groupBy("ring").agg(F.sum(F.col("stop") - F.col("start")).alias("_len"), F.count("*").alias("_k"))
+    out_size = flank.groupBy("ring").agg(F.sum(F.col("stop") - F.col("start")).alias("_out_len"))
+    inside = overlap_join(frags, segments).groupBy("cell", F.col("r_ring").alias("ring")).agg(F.sum("n").alias("_in"), F.count_distinct("r_seg").alias("_hit"))
+    outside = overlap_join(frags, flank).groupBy("cell", F.col("r_ring").alias("ring")).agg(F.sum("n").alias("_out"))
+    rows = inside.join(outside, ["cell", "ring"], "left").join(cells_, "cell").join(size, "ring").join(out_size, "ring", "left")
+    per = lambda n, length: F.coalesce(F.try_divide(n * 1e9, F.col("total") * length), F.lit(0.0))
+    rate, around = per(F.col("_in"), F.col("_len")), per(F.coalesce("_out", F.lit(0)), F.coalesce("_out_len", F.lit(0)))
+    return rows.select("cell", "ring", rate.alias("rate"), (F.log1p(rate) - F.log1p(around)).alias("enrichment"), (F.col("_hit") / F.col("_k")).alias("covered"))

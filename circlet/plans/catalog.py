@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import bins, breakpoints, cells, copynumber, graph, intervals, reads, segmentation, velocity
+from circlet.operators import bins, boundaries, breakpoints, cells, copynumber, graph, intervals, reads, segmentation, splitreads, velocity
 from circlet.plans.adapters import ctes, load
 from circlet.streaming import events as streams
 
@@ -636,3 +636,109 @@ def _(df):
 @query("event_sessions", "events", also="w0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS k FROM events),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM w0)", sql="SELECT user_id, count(*) AS n FROM w1 GROUP BY user_id, g")
 def _(df):
     return streams.sessions(df).select("user_id", "n")
+
+
+# --- split reads, boundaries and plots -------------------------------------
+
+
+
+
+def alignments_of(df):
+    w = Window.partitionBy("rid").orderBy("line", "pk", "sk", "start")
+    rows = df.withColumns({"k": F.row_number().over(w), "reverse": F.col("start") % 2 == 0})
+    lead, own = (F.col("pk") % 40 + F.col("k") * 100).cast("string"), (F.col("nm") + 50).cast("string")
+    tail = (F.col("k") * 0 + 900).cast("string")
+    plus = F.concat(lead, F.lit("S"), own, F.lit("M"), tail, F.lit("H"))
+    minus = F.concat(tail, F.lit("H"), own, F.lit("M"), lead, F.lit("S"))
+    return rows.select(F.col("rid").cast("string").alias("qname"), "chrom", "start", "stop", "reverse", F.when(F.col("reverse"), minus).otherwise(plus).alias("cigar"), F.repeat(F.lit("A"), (F.col("nm") + 50).cast("int")).alias("seq"), F.col("bc").cast("string").alias("bc"))
+
+
+@query("split_junctions", "reads", also="""a0 AS (SELECT rid, chrom, start, stop, start % 2 = 0 AS rev, pk % 40 + 100 * row_number() OVER (PARTITION BY rid ORDER BY line, pk, sk, start) AS q, nm + 50 AS own FROM reads),
+a1 AS (SELECT *, lead(chrom) OVER w AS c2, lead(CASE WHEN rev THEN stop - 1 ELSE start END) OVER w AS x2, lead(CASE WHEN rev THEN 'R' ELSE 'L' END) OVER w AS k2, lead(q) OVER w AS q2 FROM a0 WINDOW w AS (PARTITION BY rid ORDER BY q))""", sql="SELECT rid::VARCHAR AS qname, chrom AS chrom1, CASE WHEN rev THEN start ELSE stop - 1 END AS coord1, CASE WHEN rev THEN 'L' ELSE 'R' END AS clip1, c2 AS chrom2, x2 AS coord2, k2 AS clip2, q + own - q2 AS \"offset\" FROM a1 WHERE c2 IS NOT NULL")
+def _(df):
+    out = splitreads.split_junctions(alignments_of(df))
+    return out.select("qname", *[F.col(f"{s}.{c}").alias(f"{c}{k}") for k, s in ((1, "a"), (2, "b")) for c in ("chrom", "coord", "clip")], F.col("offset").cast("long").alias("offset"))
+
+
+@query("junction_support", "reads")
+def _(df):
+    return splitreads.count_junctions(splitreads.split_junctions(alignments_of(df))).select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n", "offset")
+
+
+@query("read_groups", "reads", sql="SELECT rid::VARCHAR AS qname, count(*) FILTER (line % 4 = 1) AS read1, count(*) FILTER (line % 4 = 3) AS read1_s, count(*) FILTER (line % 4 = 2) AS read2, count(*) FILTER (line % 4 = 0) AS single FROM reads GROUP BY rid")
+def _(df):
+    flag = F.when(F.col("line") % 4 == 1, 65).when(F.col("line") % 4 == 3, 65 + 2048).when(F.col("line") % 4 == 2, 129).otherwise(0)
+    out = splitreads.group_by_read(df.select(F.col("rid").cast("string").alias("qname"), "chrom", "start", F.lit("50M").alias("cigar"), flag.alias("flag")))
+    return out.select("qname", *[F.size(c).cast("long").alias(c) for c in ("read1", "read1_s", "read2", "single")])
+
+
+@query("normal_spanning", "sites", "reads", also=f"g AS (SELECT DISTINCT chrom, start, stop, rid FROM reads WHERE nm <= 1 AND NOT clip_l AND NOT clip_r)", sql="SELECT s.chrom || ':' || s.coord || s.clip AS site, g.rid::VARCHAR AS qname FROM sites s JOIN g ON g.chrom = s.chrom AND g.start <= s.coord - 5 AND g.stop > s.coord + 5 GROUP BY ALL")
+def _(sites, df):
+    rows = df.select("chrom", "start", "stop", F.col("rid").cast("string").alias("qname"), "nm", F.lit(None).cast("string").alias("sa"), F.when(F.col("clip_l") | F.col("clip_r"), "3S50M").otherwise("50M").alias("cigar"))
+    return splitreads.spans_normally(rows, sites.withColumn("site", F.concat(F.concat_ws(":", "chrom", "coord"), F.col("clip"))))
+
+
+@query("best_evidence", "reads", sql="SELECT chrom AS junction, rid::VARCHAR AS qname, CASE min(CASE WHEN line = 1 THEN 0 WHEN line = 2 THEN 1 ELSE 2 END) WHEN 0 THEN 'split_SA' WHEN 1 THEN 'single_clip' ELSE 'normal_spanning' END AS kind FROM reads GROUP BY ALL")
+def _(df):
+    kind = F.when(F.col("line") == 1, "split_SA").when(F.col("line") == 2, "single_clip").otherwise("normal_spanning")
+    return splitreads.best_evidence(df.select(F.col("chrom").alias("junction"), F.col("rid").cast("string").alias("qname"), kind.alias("kind")))
+
+
+@query("target_gene_filter", "rings", sql="SELECT ring, idx FROM rings WHERE ring IN (SELECT ring FROM rings WHERE splits IN (3, 7))")
+def _(rings):
+    rows = rings.select(F.col("ring").alias("circle"), "idx", F.concat(F.lit("x; g"), F.col("splits").cast("string")).alias("gene"))
+    return splitreads.any_gene(rows, ["g3", "g7"]).select(F.col("circle").alias("ring"), F.col("idx").cast("long").alias("idx"))
+
+
+@query("fragment_builder", "reads", sql="SELECT chrom, start + 4 AS start, start + 4 + t - 9 AS stop, bc::VARCHAR AS barcode, count(*) AS n FROM (SELECT *, pk % 6000 AS t FROM reads) WHERE NOT dup AND mapq >= 20 AND t > 0 AND t - 9 BETWEEN 10 AND 5000 GROUP BY ALL")
+def _(df):
+    rows = df.select("chrom", "start", "mapq", F.when(F.col("dup"), 1026).otherwise(2).alias("flag"), (F.col("pk") % 6000).alias("tlen"), F.col("bc").cast("string").alias("cb"))
+    return splitreads.fragments_of(rows)
+
+
+@query("merge_close_pairs", "links")
+def _(links):
+    return splitreads.merge_close_pairs(breakpoints.count_links(links), reach=20_000).select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n")
+
+
+@query("boundary_support", "segments", "sites", also="l AS (SELECT seg, arg_max(coord, (n, -abs(start - coord), -coord)) AS x FROM segments s JOIN sites e ON e.chrom = s.chrom AND e.clip = 'L' AND abs(e.coord - s.start) <= 10000 WHERE seg % 3 <= 1 GROUP BY seg),\nr AS (SELECT seg, arg_max(coord, (n, -abs(stop - coord), -coord)) AS x FROM segments s JOIN sites e ON e.chrom = s.chrom AND e.clip = 'R' AND abs(e.coord - s.stop) <= 10000 WHERE seg % 2 <= 1 GROUP BY seg)", sql="SELECT seg, chrom, coalesce(l.x, start) AS start, coalesce(r.x, stop) AS stop FROM segments LEFT JOIN l USING (seg) LEFT JOIN r USING (seg)")
+def _(segments, sites):
+    rows = segments.withColumns({"clip_left": F.col("seg") % 3, "clip_right": F.col("seg") % 2})
+    return boundaries.boundary_support(rows, sites.withColumnRenamed("n", "support")).select("seg", "chrom", "start", "stop")
+
+
+@query("rescue_segments", "sites", "segments", "reads")
+def _(sites, segments, df):
+    return boundaries.rescue_segments(sites.withColumnRenamed("n", "support"), segments, bins_of(df), least_cn=2.0).withColumns(r6("cn"))
+
+
+@query("plot_axis", "sites", "segments", also="g AS (SELECT chrom, start, stop, sum(stop - start) OVER (ORDER BY seg) - (stop - start) AS o FROM segments)", sql="SELECT s.chrom, coord, clip, (coord - g.start + g.o)::BIGINT AS x FROM sites s JOIN g ON g.chrom = s.chrom AND coord >= g.start AND coord < g.stop")
+def _(sites, segments):
+    return boundaries.remap_axis(sites, segments.withColumnRenamed("seg", "idx")).select("chrom", "coord", "clip", "x")
+
+
+@query("plot_rows", "genes")
+def _(genes):
+    return boundaries.pack_rows(genes)
+
+
+@query("plot_rois", "segments")
+def _(segments):
+    return boundaries.merge_rois(segments.withColumnRenamed("cn", "score"))
+
+
+@query("prune_neighbours", "links", also=EDGES + ",\ne AS (SELECT CASE WHEN chrom1 <= chrom2 THEN chrom1 ELSE chrom2 END AS a, CASE WHEN chrom1 <= chrom2 THEN chrom2 ELSE chrom1 END AS b, sum(n)::DOUBLE AS weight FROM pairs GROUP BY ALL),\nd AS (SELECT a AS v, * FROM e UNION ALL SELECT b AS v, * FROM e),\nr AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY weight DESC, a, b) AS k FROM d)", sql="SELECT a, b, max(weight) AS weight FROM r WHERE k <= 4 GROUP BY a, b HAVING count(*) = 2 OR a = b")
+def _(links):
+    pairs = breakpoints.count_links(links)
+    edges = pairs.groupBy(F.least("chrom1", "chrom2").alias("a"), F.greatest("chrom1", "chrom2").alias("b")).agg(F.sum("n").cast("double").alias("weight")).withColumn("kind", F.lit("outer"))
+    return graph.prune_neighbours(edges).select("a", "b", "weight")
+
+
+@query("interval_counts", "segments", "reads", sql="SELECT seg, count(DISTINCT rid) AS reads, round(count(DISTINCT rid) * 1000.0 / (s.stop - s.start), 6) AS per_kb FROM segments s JOIN reads r ON r.chrom = s.chrom AND r.start < s.stop AND s.start < r.stop AND s.start < s.stop GROUP BY seg, s.start, s.stop")
+def _(segments, df):
+    return cells.interval_reads(segments, df).withColumns(r6("per_kb"))
+
+
+@query("cell_annotation", "reads", sql="SELECT bc AS cell, count(DISTINCT rid) AS reads, count(DISTINCT chrom) AS junctions, CASE WHEN count(DISTINCT rid) >= 20 THEN 'supported' WHEN count(DISTINCT rid) >= 1 THEN 'weak' ELSE 'none' END AS status FROM reads WHERE clip_l GROUP BY bc")
+def _(df):
+    return cells.annotate_cells(df.where("clip_l").select(F.col("bc").alias("cell"), F.col("chrom").alias("junction"), "rid"), strong=20)
