@@ -486,10 +486,34 @@ def _(rings):
     return graph.path_segments(paths, v, edges).groupBy("chrom", "start", "stop", F.round("cn", 6).alias("cn")).agg(F.count("*").alias("n"))
 
 
-@query("circle_stats_score", "rings", "reads", also=BINS)
+CONTRAST = BINS + """,
+r AS (SELECT *, lag(chrom) OVER w AS pc, lag(stop) OVER w AS ps, lead(chrom) OVER w AS nc, lead(start) OVER w AS ns FROM rings WINDOW w AS (PARTITION BY ring ORDER BY idx)),
+f AS (SELECT *, CASE WHEN pc IS NULL OR pc <> chrom THEN start - 100000 WHEN start - ps <= 10000 THEN ps - 10000 ELSE ps END AS la, CASE WHEN pc IS NULL OR pc <> chrom THEN start - 10000 WHEN start - ps <= 10000 THEN start + 10000 ELSE start END AS lb,
+  CASE WHEN nc IS NULL OR nc <> chrom THEN stop + 10000 WHEN ns - stop <= 10000 THEN stop - 10000 ELSE stop END AS ra, CASE WHEN nc IS NULL OR nc <> chrom THEN stop + 100000 WHEN ns - stop <= 10000 THEN ns + 10000 ELSE ns END AS rb FROM r),
+o AS (SELECT ring, idx, avg(b.cn) AS m, CASE WHEN count(*) = 1 THEN -1 ELSE stddev_samp(b.cn) END AS d FROM f JOIN bins b ON b.chrom = f.chrom AND b.coord >= f.start AND b.coord <= f.stop GROUP BY ALL),
+fl AS (SELECT ring, idx, avg(b.cn) AS m FROM f JOIN bins b ON b.chrom = f.chrom AND b.coord > least(la, lb) AND b.coord < greatest(la, lb) GROUP BY ALL),
+fr AS (SELECT ring, idx, avg(b.cn) AS m FROM f JOIN bins b ON b.chrom = f.chrom AND b.coord > least(ra, rb) AND b.coord < greatest(ra, rb) GROUP BY ALL),
+g AS (SELECT f.*, CASE WHEN stop - start <= 10000 THEN cn ELSE o.m END AS sm, CASE WHEN stop - start <= 10000 THEN -1 ELSE o.d END AS sd, fl.m AS lm, fr.m AS rm FROM f LEFT JOIN o USING (ring, idx) LEFT JOIN fl USING (ring, idx) LEFT JOIN fr USING (ring, idx)),
+c AS (SELECT ring, idx, start, stop, splits, cn, abs(log2(CASE WHEN sm < 0 THEN 2 WHEN sm = 0 THEN 0.01 ELSE sm END / CASE WHEN lm = 0 THEN 0.01 ELSE lm END)) AS x, abs(log2(CASE WHEN sm < 0 THEN 2 WHEN sm = 0 THEN 0.01 ELSE sm END / CASE WHEN rm = 0 THEN 0.01 ELSE rm END)) AS y,
+  CASE WHEN sm < 0 THEN 2 WHEN sm = 0 THEN 0.01 ELSE sm END / CASE WHEN sd = 0 THEN 0.01 ELSE sd END AS iv FROM g),
+st AS (SELECT *, ln(CASE WHEN iv < 0 THEN abs(iv) / 100 ELSE iv END + 1) AS z FROM c)"""
+
+
+@query("segment_contrast", "rings", "reads", also=CONTRAST, sql="SELECT ring, idx, round(x, 6) AS fc_left, round(y, 6) AS fc_right, round(z, 6) AS steady FROM st")
+def _(rings, df):
+    return graph.segment_contrast(rings, bins_of(df)).select("ring", F.col("idx").cast("long").alias("idx"), *[F.round(n, 6).alias(n) for n in ("fc_left", "fc_right", "steady")])
+
+
+SCORE = CONTRAST + """,
+a AS (SELECT ring, count(*) AS segments, sum(stop - start)::BIGINT AS length, sum(splits)::BIGINT AS split_sum, avg(splits) AS split_mean, coalesce(stddev_samp(splits), -1) AS ssd, avg(cn) AS cn_mean, coalesce(stddev_samp(cn), -1) AS csd, coalesce(sum(x), 0) / count(*) AS l, coalesce(sum(y), 0) / count(*) AS r, coalesce(avg(z), -1) AS steady FROM st GROUP BY ring),
+b AS (SELECT *, split_mean / CASE WHEN ssd = 0 THEN 0.2 ELSE ssd END AS iv, CASE WHEN csd = -1 THEN 1 ELSE csd END AS cn_sd FROM a),
+d AS (SELECT *, ln(CASE WHEN iv < 0 THEN abs(iv) / 100 ELSE iv END + 1) AS split_steady, greatest(l, r) AS top, CASE WHEN l + r > 0 THEN 2 * l * r / (l + r) ELSE 0 END AS h FROM b)"""
+
+
+@query("circle_stats_score", "rings", "reads", also=SCORE, sql="SELECT ring, segments, length, split_sum, round(split_mean, 5) AS split_mean, round(cn_mean, 5) AS cn_mean, round(cn_sd, 5) AS cn_sd, round(l, 5) AS \"left\", round(r, 5) AS \"right\", round(steady, 5) AS steady, round(split_steady, 5) AS split_steady, round((l + r + steady + split_steady - CASE WHEN top > 0 THEN abs(l - r) * (1 - h / top) * top ELSE 0 END) * (1 - least(CASE WHEN steady < 0.5 THEN 1 - steady ELSE 0 END + 0.6 / (1 + exp(-0.02 * (cn_sd - 200))) / (1 + exp(-0.1 * (cn_sd - 50))), 0.6)), 5) AS score FROM d")
 def _(rings, df):
     out = graph.score_rings(graph.segment_contrast(rings, bins_of(df)))
-    return out.withColumns(r6(*[n for n, t in out.dtypes if t == "double"]))
+    return out.withColumns({n: F.round(n, 5) for n, t in out.dtypes if t == "double"})
 
 
 @query("circle_dedup", "rings", "reads")
