@@ -150,3 +150,33 @@ def merge_evidence(rows: DataFrame) -> DataFrame:
     reads = reads.groupBy("junction").agg(F.count("*").alias("reads"), F.count_distinct("bc").alias("barcodes"))
     best = rows.groupBy("junction").agg(F.max_by("source", F.struct(-F.col("source"), "n")).alias("source"), F.max_by("n", F.struct(-F.col("source"), "n")).alias("top"), F.sum("n").alias("total"))
     return best.join(reads, "junction", "left").select("junction", "source", "top", F.coalesce("reads", "total").alias("n"), F.coalesce("barcodes", F.lit(0)).alias("barcodes"))
+
+
+def drop_listed(sites: DataFrame, listed: DataFrame, pad: int = 100) -> DataFrame:
+    """Sites (chrom, coord, clip) away from the listed intervals by more than pad."""
+    from .intervals import clear_of
+
+    rows = sites.withColumns({"start": F.col("coord"), "stop": F.col("coord") + 1})
+    wide = listed.select("chrom", (F.col("start") - pad).alias("start"), (F.col("stop") + pad).alias("stop"))
+    return clear_of(rows, wide, ["chrom", "coord", "clip"]).select(*sites.columns)
+
+
+def pairs_by_end(pairs: DataFrame, regions: DataFrame, pad: int = 0, keep: bool = True) -> DataFrame:
+    """Pairs of which either end lies in a region widened by pad (keep), or neither."""
+    from .intervals import overlap_join
+
+    wide = regions.select("chrom", (F.col("start") - pad).alias("start"), (F.col("stop") + pad).alias("stop"))
+    ends = pairs.select(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord")).union(pairs.select("chrom2", "coord2")).distinct()
+    hit = overlap_join(ends.withColumns({"start": F.col("coord"), "stop": F.col("coord") + 1}), wide).select("chrom", "coord").distinct().withColumn("_hit", F.lit(True))
+    out = pairs
+    for k in (1, 2):
+        out = out.join(hit.toDF(f"chrom{k}", f"coord{k}", f"_hit{k}"), [f"chrom{k}", f"coord{k}"], "left")
+    either = F.coalesce("_hit1", F.lit(False)) | F.coalesce("_hit2", F.lit(False))
+    return out.where(either if keep else ~either).select(*pairs.columns)
+
+
+def stratified_sample(sites: DataFrame, value: str, strata: int, each: int, seed: int = 1) -> DataFrame:
+    """At most ``each`` rows of every one of ``strata`` equal parts of the order of value, by hash. For tables of top sites, whose size is bounded."""
+    part = F.ntile(strata).over(Window.orderBy(value, "chrom", "coord", "clip"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed), "chrom", "coord", "clip")))
+    return sites.withColumn("_part", part).withColumn("_rn", rank).where(F.col("_rn") <= each).drop("_part", "_rn")

@@ -104,3 +104,10 @@ def linear_positions(points: DataFrame, sizes: DataFrame) -> DataFrame:
     """Points with their position on the concatenated genome; sizes: chrom, length, in the order of chrom."""
     before = sizes.select("chrom", (F.sum("length").over(Window.orderBy("chrom")) - F.col("length")).alias("offset"))
     return points.join(F.broadcast(before), "chrom").withColumn("position", F.col("coord") + F.col("offset")).drop("offset")
+
+
+def intersections(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Common parts of two sets of closed ranges (chrom, start, stop); parts that touch are one, and a shared end is a part of no length."""
+    closed = lambda df: df.select("chrom", "start", (F.col("stop") + 1).alias("stop"))
+    met = overlap_join(closed(left), closed(right)).select("chrom", F.greatest("start", "r_start").alias("start"), (F.least("stop", "r_stop") - 1).alias("stop"))
+    return islands(met, 0, ["chrom"], touching=True).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")

@@ -139,11 +139,37 @@ def snap_to_boundary(points: DataFrame, boundaries: DataFrame, reach: int = 30_0
     return points.join(one, "id", "left")
 
 
-def histogram_threshold(counts: DataFrame, value: str = "n", bins: int = 1000, share: float = 0.95) -> DataFrame:
-    """Threshold on log counts: the upper edge of the first of equal-width bins that takes the running share to ``share``; null for at most ten rows."""
-    x = counts.where(F.col(value) > 0).select(F.log(value).alias("x"))
-    span = x.agg(F.min("x").alias("_a"), F.max("x").alias("_b"), F.count("*").alias("_n"))
-    rows = x.crossJoin(F.broadcast(span)).where("_n > 10").withColumn("_k", F.least(F.lit(bins), F.coalesce(F.floor(F.try_divide((F.col("x") - F.col("_a")) * bins, F.col("_b") - F.col("_a"))) + 1, F.lit(1))))
-    held = rows.groupBy("_k").agg(F.count("*").alias("_c"), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("_n").alias("_n"))  # at most ``bins`` rows
-    run = held.withColumn("_s", F.sum("_c").over(Window.orderBy("_k")) / F.col("_n")).where(F.col("_s") >= share)
-    return run.agg(F.min(F.exp(F.col("_a") + F.col("_k") * (F.col("_b") - F.col("_a")) / bins)).alias("threshold"))
+def support_threshold(counts: DataFrame, value: str = "n", bins: int = 1000) -> float | None:
+    """Least support of a pair, from the histogram of the log of all pairs' counts; None for at most ten pairs.
+
+    The driver gets the occupied bins, of which there are at most ``bins``, and
+    for very many pairs the 1,201st largest count.
+    """
+    x = counts.select(F.log(value).alias("x"), value)
+    span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).first()
+    if span.n <= 10:
+        return None
+    lo, hi = (span.lo, span.hi) if span.hi > span.lo else (span.lo - 0.5, span.hi + 0.5)
+    place = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) * (bins / (hi - lo))).cast("int"))
+    held = sorted((r.k, r.c) for r in x.groupBy(place.alias("k")).agg(F.count("*").alias("c")).collect())
+    sizes = np.array([c for _, c in held], dtype="f8")
+    share = sizes[:-1] / np.cumsum(sizes)[1:]
+    at = -1
+    if len(sizes) > 5:
+        at = int(np.argmax(share <= 0.01))
+        if at >= 9 and span.n <= 10_000:
+            at = min(int(np.argmax(share <= 0.05)), 4 if span.n <= 2000 else 6 if span.n <= 4000 else 10)
+    k = next(k for k, c in held if c == sizes[at + 1])
+    width = (hi - lo) / bins
+    level = float(np.exp(lo + (k + 0.5) * width))
+    kept = lambda t: counts.where(F.col(value) >= round(t)).count()
+    n = kept(level)
+    if n > 30_000:
+        level = float(counts.orderBy(F.desc(value)).select(value).limit(1201).agg(F.min(value)).first()[0])
+    if span.n > 10_000 and n > 1000:
+        level = max(level, 20.0)
+    if span.n <= 5000 and n < 300:
+        level = min(level, 5.0)
+    if span.n > 1000 and n >= 300:
+        level = max(level, 3.0)
+    return level

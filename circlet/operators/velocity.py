@@ -43,3 +43,20 @@ def grid_flow(arrows: DataFrame, n: int = 10, width: float = 0.5, least_mass: fl
 def squash(x, kind: str):
     """Transform of a shift: log (sign * log10(|x| + 1)), sqrt (sign * sqrt(|x|)) or linear."""
     return F.signum(x) * F.log10(F.abs(x) + 1) if kind == "log" else F.signum(x) * F.sqrt(F.abs(x)) if kind == "sqrt" else x
+
+
+def delta_correlation(cells: DataFrame, pairs: DataFrame, kind: str = "log") -> DataFrame:
+    """Correlation r of the shift from cell a to b with the velocity of a, both squashed; a cell with itself has 0.
+
+    cells: id, e (state) and v (velocity) as arrays of one length; pairs: a, b.
+    """
+    left = cells.select(F.col("id").alias("a"), F.col("e").alias("_ea"), F.col("v").alias("_va"))
+    right = cells.select(F.col("id").alias("b"), F.col("e").alias("_eb"))
+    shift = F.zip_with("_eb", "_ea", lambda x, y: squash(x - y, kind))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", shift.alias("_x"), F.transform("_va", lambda x: squash(x, kind)).alias("_y"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    product = lambda c, d: F.zip_with(c, d, lambda x, y: x * y)
+    rows = rows.select("a", "b", F.size("_x").alias("n"), total("_x").alias("x"), total("_y").alias("y"), total(product("_x", "_x")).alias("xx"), total(product("_y", "_y")).alias("yy"), total(product("_x", "_y")).alias("xy"))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    r = F.try_divide(n * F.col("xy") - x * y, F.sqrt((n * F.col("xx") - x * x) * (n * F.col("yy") - y * y)))
+    return rows.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(r).alias("r"))

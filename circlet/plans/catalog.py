@@ -540,9 +540,10 @@ def _(df):
     return copynumber.mode(bins.bin_counts(reads.passing(df)), "n").select(F.round("mode", 4).alias("mode"))
 
 
-@query("threshold_estimate", "sites")
-def _(sites):
-    return segmentation.histogram_threshold(sites).withColumns(r6("threshold"))
+@query("threshold_estimate", "links")
+def _(links):
+    level = segmentation.support_threshold(links.groupBy("chrom1", "chrom2", "bc").agg(F.count("*").alias("n")))
+    return links.select(F.lit(level).cast("double").alias("threshold")).limit(1).withColumns(r6("threshold"))
 
 
 # --- cells and targets -----------------------------------------------------
@@ -766,3 +767,42 @@ def _(segments, df):
 @query("cell_annotation", "reads", sql="SELECT bc AS cell, count(DISTINCT rid) AS reads, count(DISTINCT chrom) AS junctions, CASE WHEN count(DISTINCT rid) >= 20 THEN 'supported' WHEN count(DISTINCT rid) >= 1 THEN 'weak' ELSE 'none' END AS status FROM reads WHERE clip_l GROUP BY bc")
 def _(df):
     return cells.annotate_cells(df.where("clip_l").select(F.col("bc").alias("cell"), F.col("chrom").alias("junction"), "rid"), strong=20)
+
+
+# --- filters by interval, and projections ----------------------------------
+
+
+@query("drop_listed_sites", "sites", "genes", sql="SELECT chrom, coord, clip, n FROM sites s WHERE NOT EXISTS (SELECT 1 FROM genes g WHERE g.chrom = s.chrom AND g.start - 100 <= coord AND coord < g.stop + 100)")
+def _(sites, genes):
+    return breakpoints.drop_listed(sites, genes)
+
+
+NEAR_END = "EXISTS (SELECT 1 FROM segments g WHERE g.chrom = p.chrom{k} AND g.start - 20000 <= coord{k} AND coord{k} < g.stop + 20000)"
+
+
+@query("pairs_near_segments", "links", "segments", also=EDGES, sql=f"SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs p WHERE {NEAR_END.format(k=1)} OR {NEAR_END.format(k=2)}")
+def _(links, segments):
+    return breakpoints.pairs_by_end(breakpoints.count_links(links).drop("rids"), segments, 20_000)
+
+
+@query("pairs_off_listed", "links", "segments", also=EDGES, sql=f"SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs p WHERE NOT ({NEAR_END.format(k=1)} OR {NEAR_END.format(k=2)})")
+def _(links, segments):
+    return breakpoints.pairs_by_end(breakpoints.count_links(links).drop("rids"), segments, 20_000, keep=False)
+
+
+@query("stratified_sites", "sites")
+def _(sites):
+    return breakpoints.stratified_sample(breakpoints.top_n_per_chrom(sites, 50).drop("rank"), "n", 10, 20)
+
+
+@query("range_intersections", "segments", "genes", also="m AS (SELECT s.chrom, greatest(s.start, g.start) AS start, least(s.stop, g.stop) AS stop FROM segments s JOIN (SELECT * FROM genes WHERE gid % 2 = 0) g ON g.chrom = s.chrom AND g.start <= s.stop AND s.start <= g.stop),\n" + ISLANDS.replace("start >= max", "start > max").format(gap=0, t="m"), sql="SELECT chrom, start, stop FROM merged")
+def _(segments, genes):
+    return intervals.intersections(segments, genes.where("gid % 2 = 0"))
+
+
+@query("delta_projection", "embeddings", also=KNN + ",\ng AS (SELECT k.q, k.id, unnest(range(1, 33)) AS i FROM k WHERE rank <= 10),\nx AS (SELECT g.q, g.id, b.vec[i]::DOUBLE - a.vec[i]::DOUBLE AS d, a.vec[i + 32]::DOUBLE AS v FROM g JOIN p a ON a.id = g.q JOIN p b ON b.id = g.id)", sql="SELECT q AS a, id AS b, round(corr(sign(d) * log10(abs(d) + 1), sign(v) * log10(abs(v) + 1)), 5) AS r FROM x GROUP BY q, id")
+def _(df):
+    p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    state = p.select("id", F.slice("vec", 1, 32).alias("e"), F.slice("vec", 33, 32).alias("v"))
+    near = velocity.nearest(p.where("id % 100 = 0"), p).select(F.col("q").alias("a"), F.col("id").alias("b"))
+    return velocity.delta_correlation(state, near, "log").withColumn("r", F.round("r", 5))

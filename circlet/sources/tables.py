@@ -82,3 +82,31 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+#: Columns of a structure table without header, in their order (fixed format).
+HEADERLESS = ["Chrom", "Start", "End", "Strand", "Score", "AmpliconID", "Gene", "CancerGene", "SegmentEdge"]
+
+
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """Known structures: a headered table with AmpliconID, Chrom, Start, End and Strand, or six columns and more without a header. Row order becomes idx."""
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        raise ValueError(f"{path} is empty")
+    fields = first[0].value.split("\t")
+    headered = {"AmpliconID", "Chrom", "Start", "End", "Strand"} <= set(fields)
+    if not headered and len(fields) < 6:
+        raise ValueError(f"{path}: neither the named columns nor six columns")
+    names = fields if headered else [*HEADERLESS[: len(fields)], *[f"Extra{i}" for i in range(len(fields) - len(HEADERLESS))]]
+    rows = spark.read.csv(path, sep="\t", header=headered, schema=", ".join(f"`{n}` string" for n in names)).withColumn("idx", F.monotonically_increasing_id())
+    return rows.withColumns({"Start": F.col("Start").cast("long"), "End": F.col("End").cast("long")})
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first path that exists in its store."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return path
+    return None

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from circlet import cli
-from circlet.operators import boundaries, graph, splitreads
+from circlet.operators import boundaries, graph, segmentation, splitreads
 from circlet.plans import run
+from circlet.sources import tables
 from circlet.sources.alignments import SCHEMA
 
 PAIRS = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, n long, rids array<long>"
@@ -100,3 +101,29 @@ def test_new_circles(spark):
     schema = "ring string, idx int, chrom string, start long, stop long, strand string"
     a = spark.createDataFrame([("x", 1, "c", 1, 2, "+"), ("y", 1, "c", 1, 3, "+")], schema)
     assert {r.ring for r in graph.new_circles(a, a.where("ring = 'x'")).collect()} == {"y"}
+
+
+def test_support_threshold(spark):
+    few = spark.createDataFrame([(5,)] * 10, "n int")
+    assert segmentation.support_threshold(few) is None
+    counts = [1] * 3000 + [2] * 300 + [3] * 60 + [4] * 20 + [7] * 9 + [30] * 5
+    rows = spark.createDataFrame([(c,) for c in counts], "n int")
+    x = np.log(counts)
+    held, edges = np.histogram(x, bins=1000)
+    full = held[held != 0]
+    at = int(np.argmax(full[:-1] / np.cumsum(full)[1:] <= 0.01))
+    k = int(np.argmax(held == full[at + 1]))
+    want = min(float(np.exp(edges[k : k + 2].mean())), 5.0)
+    assert segmentation.support_threshold(rows) == pytest.approx(want, rel=1e-9)
+
+
+def test_structures(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("AmpliconID\tChrom\tStart\tEnd\tStrand\na\tchr1\t1\t9\t+\na\tchr2\t2\t8\t-\n")
+    (tmp_path / "n.tsv").write_text("chr1\t1\t9\t+\t0.5\ta\nchr2\t2\t8\t-\t0.5\ta\n")
+    (tmp_path / "bad.tsv").write_text("chr1\t1\t9\n")
+    for name in ("h.tsv", "n.tsv"):
+        got = tables.read_structures(spark, str(tmp_path / name)).orderBy("idx").collect()
+        assert [(r.AmpliconID, r.Chrom, r.Start, r.End, r.Strand) for r in got] == [("a", "chr1", 1, 9, "+"), ("a", "chr2", 2, 8, "-")]
+    with pytest.raises(ValueError):
+        tables.read_structures(spark, str(tmp_path / "bad.tsv"))
+    assert tables.first_existing(spark, str(tmp_path / "no"), str(tmp_path / "h.tsv")) == str(tmp_path / "h.tsv")
