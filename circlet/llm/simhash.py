@@ -358,7 +358,7 @@ def _similar(batches, few: int = 32):
     for batch in batches:
         k = np.concatenate((k, np.asarray(batch.column("key"))))
         x = np.concatenate((x, np.stack([np.asarray(batch.column(c)).view("u8") for c in ("a", "b")], axis=1)))
-        if len(k) and (last := np.searchsorted(k, k[-1])) > 100_000:
+        if len(k) and (last := np.searchsorted(k, k[-1])) > 20_000:
             yield buckets(k[:last], x[:last])
             k, x = k[last:], x[last:]
     if len(k):
