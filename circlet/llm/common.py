@@ -94,14 +94,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wrap(docs: DataFrame, *names: str) -> DataFrame:
-    """Columns row (all of docs as a struct) and those named, so that no other name can clash with an operator's own."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[docs[n] for n in names])
-
-
-def unwrap(columns: list[str], **changed) -> list:
-    """Columns of the wrapped rows in their order, those in changed replaced."""
-    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns renamed that clash with an operator's own names, and how to name them back (withColumnsRenamed)."""
+    own = {n.lower() for n in names}
+    back = {f"its own {c}": c for c in docs.columns if c.lower() in own}
+    return docs.withColumnsRenamed({c: new for new, c in back.items()}), back
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_az, stage, table, unwrap, wrap
+from .common import aside, lower_az, stage, table
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -54,13 +54,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     # the lost keys of a document are bounded by its own lines
     lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnRenamed("doc_id", "lost_by")
-    held = wrap(docs, "doc_id", "text").join(lost.hint("merge"), F.col("doc_id") == F.col("lost_by"), "left")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    held, back = aside(docs.select(*columns), "lost_by", "hashes", "stay")
+    held = held.join(lost.hint("merge"), F.col("doc_id") == F.col("lost_by"), "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(lines, lambda x: ~(long_line(x, min_chars) & F.array_contains(F.col("hashes"), line_hash(x))))
     held = held.withColumn("stay", F.when(F.col("hashes").isNull(), lines).otherwise(stay))
     n = F.size(lines).cast("long")
     text = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n"))
-    return held.select(*unwrap([c for c in docs.columns if c not in ("n_lines", "n_dropped")], text=text), n.alias("n_lines"), (n - F.size("stay")).alias("n_dropped"))
+    names = {c: new for new, c in back.items()}
+    return held.select(*[(text if c == "text" else F.col(f"`{names.get(c, c)}`")).alias(c) for c in columns], n.alias("n_lines"), (n - F.size("stay")).alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
