@@ -275,130 +275,269 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, limit
     return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies by similarity: 64-bit words of a print, bits of it that verify a pair, bands, plain bits of a band beside its Golay segment.
-WORDS, VERIFY, BANDS, PLAIN = 4, 128, 22, 9
-#: Differing bits of 128 up to which a pair is similar: at a Jaccard similarity of 0.8 the two sets' cosine is 0.889 and a bit differs with probability 0.152, 19.4 of 128.
-SIMILAR = 22
+#: Near copies by similarity: 64-bit words of a print, bands of least hashes that propose a pair, hashes of a band.
+WORDS, BANDS, ROWS = 2, 32, 4
+#: Two texts are near copies if their sets of shingles have a Jaccard similarity of ALIKE[0] / ALIKE[1] or more.
+ALIKE = (4, 5)
+#: Differing bits of 128 up to which a pair is proposed: at a similarity of 0.8 the two sets' cosine is 0.889 and a bit differs with probability 0.152, 19.4 of 128 with a deviation of 4. In large buckets the first proposals are of SIMILAR bits.
+LOOSE, SIMILAR = 40, 22
+#: Places of the map that says which texts' shingles are needed; one map a task and 16 at the driver.
+PLACES = 1 << 23
 
 
-def long_print(text: str | None, shingle: int) -> np.ndarray:
-    """SimHash of WORDS * 64 bits: further hashes of a shingle are mixed from its first. No words: all zero."""
-    ones, n = np.zeros((WORDS, 64), dtype="i8"), 0
-    for hashes in _shingles(text, shingle):
-        n += len(hashes)
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    found = list(_shingles(text, shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype="<u8")
+
+
+def set_id(hashes: np.ndarray) -> bytes:
+    """16 bytes that name a set of shingles: texts of equal sets are one node."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS * 64 bits of distinct shingles: further hashes of a shingle are mixed from its first. No words: all zero."""
+    ones = np.zeros((WORDS, 64), dtype="i8")
+    for s in range(0, len(hashes), 1 << 16):
         for k in range(WORDS):
-            z = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)  # the public splitmix64 mixer
+            z = hashes[s : s + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)  # the public splitmix64 mixer
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             ones[k] += _ones(z ^ (z >> np.uint64(31)))
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _bands() -> list[np.ndarray]:
-    rng = np.random.default_rng(11)
-    return [rng.permutation(64 * WORDS)[: 23 + PLAIN] for _ in range(BANDS)]
+def _mixers() -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 2**63, BANDS * ROWS, dtype="u8") << np.uint64(1) | np.uint64(1)
 
 
-def band_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) of prints (n, WORDS): in each band the Golay keys of 23 bits beside PLAIN other bits."""
-    bits = np.unpackbits(prints.view("u1").reshape(len(prints), -1), axis=1, bitorder="little").astype("i8")
-    rows, out = [], []
-    for i, spots in enumerate(_bands()):
-        golay = golay_keys(bits[:, spots[:23]] @ (1 << np.arange(23)))
-        plain = bits[:, spots[23:]] @ (1 << np.arange(PLAIN))
-        at, k = np.nonzero(golay >= 0)
-        rows.append(at)
-        out.append(i << 40 | golay[at, k] << PLAIN | plain[at])
-    return np.concatenate(rows), np.concatenate(out)
+def band_keys(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set that isn't empty, each of the least of the set under ROWS orders: sets of similarity s share a given one with probability s ** ROWS, so at 0.8 all but one pair in 20 million share one."""
+    least = np.full(len(mixers), 2**64 - 1, dtype="u8")
+    for s in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[s : s + 4096, None] * mixers).min(0), out=least)
+    key = np.arange(BANDS, dtype="u8")
+    for x in least.reshape(BANDS, ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+_KEYED = ("key", "n0", "n1", "size", "p0", "p1", "label")
 
 
-def _similar(batches, few: int = 32):
-    """Over rows (key, a, b) sorted by key: similar pairs of small buckets, spanning links of larger ones."""
-    k, x = np.zeros(0, dtype="i8"), np.zeros((0, VERIFY // 64), dtype="u8")
+def _proposals(again: bool, few: int = 32, most: int = 50_000):
+    """Over rows of _KEYED sorted by key and node: pairs of nodes that may be near copies.
 
-    def far(u, v):
-        return np.bitwise_count(u ^ v).sum(-1)
+    First all pairs of small buckets, of larger ones spanning links and each
+    member as a link to itself. Again: of larger ones all pairs of unlike label.
+    """
+    low, high = ALIKE
 
     def out(u, v):
-        text = lambda m: pa.array([r.tobytes() for r in m.astype(">u8")], pa.binary())
-        return pa.RecordBatch.from_arrays([text(u), text(v)], names=["u", "v"])
+        text = lambda m: pa.array([r.tobytes() for r in m.astype(">i8")], pa.binary())
+        both = np.unique(np.concatenate([u, v], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([text(both[:, :2]), text(both[:, 2:])], names=["u", "v"])
+
+    def buckets(x):
+        k, node, size, label = x["key"], np.stack([x["n0"], x["n1"]], axis=1), x["size"], x["label"]
+        bits = np.stack([x["p0"], x["p1"]], axis=1).view("u8")
+
+        def near(i, j, limit):
+            """Few enough bits differ, and the sizes let the sets be alike."""
+            s, t = size[i], size[j]
+            return (np.bitwise_count(bits[i] ^ bits[j]).sum(-1) <= limit) & (high * np.minimum(s, t) >= low * np.maximum(s, t))
 
-    def buckets(k, x):
         at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        size = np.repeat(np.diff(at), np.diff(at))
-        us, vs = [], []
-        left = np.flatnonzero(size[:-1] <= few) if len(k) > 1 else np.zeros(0, dtype="i8")
-        for step in range(1, few):
-            left = left[left + step < len(k)]
-            left = left[k[left] == k[left + step]]
-            if not len(left):
-                break
-            ok = left[far(x[left], x[left + step]) <= SIMILAR]
-            us.append(x[ok])
-            vs.append(x[ok + step])
+        us, vs, held = [], [], 0
+        if not again:
+            count = np.repeat(np.diff(at), np.diff(at))
+            left = np.flatnonzero(count <= few)
+            for step in range(1, few):
+                left = left[left + step < len(k)]
+                left = left[k[left] == k[left + step]]
+                if not len(left):
+                    break
+                ok = left[near(left, left + step, LOOSE)]
+                us.append(node[ok])
+                vs.append(node[ok + step])
         for s, e in zip(at[:-1], at[1:]):
-            if e - s > few:
-                rest = np.arange(s, e)
-                while len(rest):
-                    ahead, rest = [rest[0]], rest[1:]
-                    while ahead and len(rest):
-                        j = ahead.pop()
-                        near = far(x[rest], x[j]) <= SIMILAR
-                        if near.any():
-                            us.append(np.repeat(x[j : j + 1], near.sum(), axis=0))
-                            vs.append(x[rest[near]])
-                            ahead.extend(rest[near])
-                            rest = rest[~near]
+            if e - s <= few:
+                continue
+            rest = np.arange(s, e)
+            if again:
+                if (label[s:e] == label[s]).all():
+                    continue
+                for i in range(s, e - 1):
+                    j = rest[i - s + 1 :]
+                    j = j[label[j] != label[i]]
+                    j = j[near(i, j, LOOSE)]
+                    us.append(np.repeat(node[i : i + 1], len(j), axis=0))
+                    vs.append(node[j])
+                    held += len(j)
+                    if held > most:
+                        yield out(np.concatenate(us), np.concatenate(vs))
+                        us, vs, held = [], [], 0
+                continue
+            us.append(node[s:e])
+            vs.append(node[s:e])
+            while len(rest):
+                ahead, rest = [rest[0]], rest[1:]
+                while ahead and len(rest):
+                    j = ahead.pop()
+                    ok = near(j, rest, SIMILAR)
+                    if ok.any():
+                        us.append(np.repeat(node[j : j + 1], ok.sum(), axis=0))
+                        vs.append(node[rest[ok]])
+                        ahead.extend(rest[ok])
+                        rest = rest[~ok]
         if us:
-            both = np.unique(np.concatenate([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-            n = VERIFY // 64
-            return out(both[:, :n], both[:, n:])
-        return out(x[:0], x[:0])
+            yield out(np.concatenate(us), np.concatenate(vs))
 
-    for batch in batches:
-        k = np.concatenate((k, np.asarray(batch.column("key"))))
-        x = np.concatenate((x, np.stack([np.asarray(batch.column(c)).view("u8") for c in ("a", "b")], axis=1)))
-        if len(k) and (last := np.searchsorted(k, k[-1])) > 20_000:
-            yield buckets(k[:last], x[:last])
-            k, x = k[last:], x[last:]
-    if len(k):
-        yield buckets(k, x)
+    def run(batches):
+        x = {c: np.zeros(0, dtype="i8") for c in _KEYED}
+        for batch in batches:
+            x = {c: np.concatenate((x[c], np.asarray(batch.column(c)))) for c in _KEYED}
+            if len(x["key"]) and (last := np.searchsorted(x["key"], x["key"][-1])) > 20_000:
+                yield from buckets({c: y[:last] for c, y in x.items()})
+                x = {c: y[last:] for c, y in x.items()}
+        if len(x["key"]):
+            yield from buckets(x)
+
+    return run
+
+
+def _place(node: bytes) -> int:
+    return int.from_bytes(node[:8], "big") % PLACES
+
+
+def _needed(pairs: DataFrame) -> np.ndarray:
+    """A map of PLACES bits with those of the pairs' nodes set: all of them, and few others."""
+
+    def mark(batches):
+        found = np.zeros(PLACES // 8, dtype="u1")
+        for batch in batches:
+            for c in ("u", "v"):
+                at = np.array([_place(x) for x in batch.column(c).to_pylist()], dtype="i8")
+                np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype("u1"))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["m"])
+
+    def join(batches):
+        found = np.zeros(PLACES // 8, dtype="u1")
+        for batch in batches:
+            for x in batch.column("m").to_pylist():
+                found |= np.frombuffer(x, dtype="u1")
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["m"])
+
+    found = np.zeros(PLACES // 8, dtype="u1")
+    for r in pairs.mapInArrow(mark, "m binary").repartition(16).mapInArrow(join, "m binary").collect():  # 16 maps of 1 MB
+        found |= np.frombuffer(r.m, dtype="u1")
+    return found
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes: the shingles of each node of pairs, made anew from the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(_needed(pairs))
+
+    def run(batches):
+        needed, seen = shared.value, set()
+        for batch in batches:
+            nodes, sets, held = [], [], 0
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_set(text, shingle)
+                node = set_id(hashes)
+                at = _place(node)
+                if node not in seen and needed[at >> 3] >> (at & 7) & 1:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(hashes.tobytes())
+                    held += len(sets[-1])
+                if held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+                    nodes, sets, held = [], [], 0
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return docs.select("text").mapInArrow(run, "node binary, hashes binary").dropDuplicates(["node"])
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ALIKE or more, counted exactly; empty sets are alike."""
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v whose sets are alike."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("su"), batch.column("sv")
+            ok = [alike(np.frombuffer(x[i].as_buffer(), dtype="<u8"), np.frombuffer(y[i].as_buffer(), dtype="<u8")) for i in range(batch.num_rows)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"s{n}")).hint("merge")
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
 
 
 def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id: the smallest doc_id of each group of near copies, by estimated similarity of their shingles of 0.8 or more.
+    """doc_id, mark: of each group of near copies the row of the smallest doc_id, mark being the hash of its text (of several the smallest).
 
-    Texts with equal verifying bits are one node. Pairs that are just as
-    similar share a key with probability 0.96, more similar ones nearly always.
-    Null doc_ids are not counted. Null and empty texts are copies of each other.
+    Groups are closed over links of a Jaccard similarity of 0.8 or more between
+    the distinct shingles of two texts. Bands of least hashes only propose pairs; every
+    link is verified on the shingles themselves. Null doc_ids are not counted.
+    Null and empty texts are copies of each other.
     """
+    names = ["n0", "n1", "size", "p0", "p1"]
 
     def run(batches):
+        mixers = _mixers()
         for batch in batches:
-            prints = np.array([long_print(t, shingle) for t in batch.column("text").to_pylist()], dtype="u8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(prints[:, k]).view("i8")) for k in range(WORDS)]], names=["doc_id", *[f"p{k}" for k in range(WORDS)]])
+            rows, keys = np.zeros((batch.num_rows, len(names)), dtype="i8"), []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hashes = shingle_set(text, shingle)
+                rows[i, :2] = np.frombuffer(set_id(hashes), dtype=">i8")
+                rows[i, 2] = len(hashes)
+                rows[i, 3:] = long_print(hashes).view("i8")
+                keys.append(band_keys(hashes, mixers).tobytes() if len(hashes) else b"")  # texts without words are one node already
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *[pa.array(np.ascontiguousarray(x)) for x in rows.T], pa.array(keys, pa.binary())], names=["doc_id", "mark", *names, "keys"])
 
     def give(batches):
         for batch in batches:
-            prints = np.stack([np.asarray(batch.column(f"p{k}")).view("u8") for k in range(WORDS)], axis=1)
-            for s in range(0, len(prints), 1024):
-                part = np.ascontiguousarray(prints[s : s + 1024])
-                rows, key = band_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows, 0].view("i8")), pa.array(part[rows, 1].view("i8"))], names=["key", "a", "b"])
-
-    names = [f"p{k}" for k in range(WORDS)]
-    prints = stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+            keys = batch.column("keys").to_pylist()
+            rows = np.repeat(np.arange(len(keys)), [len(x) // 8 for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), dtype="i8")), *[pa.array(np.asarray(batch.column(c))[rows]) for c in (*names, "label")]], names=["key", *names, "label"])
+
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    prints = stage(marked.mapInArrow(run, "doc_id long, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys binary"), "prints")
     n = partitions(docs.sparkSession)
-    met = prints.select(*names).distinct().mapInArrow(give, "key long, a long, b long").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_similar, "u binary, v binary")
-    roots = stage(components(stage(met.where("u <> v").distinct(), "met")), "roots")
-    node = F.unhex(F.concat(F.lpad(F.hex("p0"), 16, "0"), F.lpad(F.hex("p1"), 16, "0")))
-    nodes = stage(prints.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
-    return nodes.join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("doc_id")).where("doc_id is not null").select("doc_id")
+    node = F.unhex(F.concat(F.lpad(F.hex("n0"), 16, "0"), F.lpad(F.hex("n1"), 16, "0")))
+
+    def proposed(nodes: DataFrame, again: bool) -> DataFrame:
+        met = nodes.mapInArrow(give, ", ".join(f"{c} long" for c in _KEYED)).repartition(n, "key").sortWithinPartitions("key", "n0", "n1").mapInArrow(_proposals(again), "u binary, v binary")
+        return stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
+
+    distinct = prints.select(*names, "keys").dropDuplicates(["n0", "n1"])
+    met = proposed(distinct.withColumn("label", F.lit(0).cast("long")), False)
+    sets = stage(shingle_sets(docs, met, shingle), "sets")
+    links = stage(verified(met.where("u <> v"), sets), "links")
+    roots = stage(components(links), "roots")
+    if not met.where("u = v").isEmpty():  # members of larger buckets whose spanning links were not alike may be alike to others
+        label = F.xxhash64(F.coalesce("root", "node")).alias("label")
+        labelled = distinct.withColumn("node", node).join(roots.hint("merge"), "node", "left").select(*names, "keys", label)
+        more = proposed(labelled, True)
+        if not more.isEmpty():
+            links = links.union(stage(verified(more, sets), "links"))
+            roots = stage(components(links), "roots")
+    nodes = stage(prints.groupBy(node.alias("node")).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least")), "nodes")
+    least = nodes.join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    return least.where("least is not null").select("least.doc_id", "least.mark")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without the rows of a group of near copies but one: that of the smallest doc_id; of rows that repeat it, one stays. Rows without doc_id name no document: one of each text stays."""
-    kept = stage(similar_least(docs, shingle), "kept")
+    kept = stage(similar_least(docs, shingle).select("doc_id"), "kept")
     out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     lone = docs.where("doc_id is null")
     return out if lone.isEmpty() else out.union(lone.dropDuplicates(["text"]))

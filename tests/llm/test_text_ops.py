@@ -185,6 +185,34 @@ def test_near_groups(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_copies_equal_exact_similarity(spark, monkeypatch):
+    """Groups are those of exact Jaccard similarity: also where one phrase is repeated, at the edge of 0.8, and in buckets of many."""
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(10**9)}"
+    texts = ["the " * 400 + " ".join(word() for _ in range(30)) for _ in range(4)]
+    for _ in range(4):
+        base = [word() for _ in range(104)]
+        texts.append(" ".join(base))
+        for _ in range(25):
+            w = list(base)
+            for k in rng.choice(104, rng.integers(1, 6), replace=False):
+                w[k] = word()
+            texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    want = sorted(set(root))
+    assert {0, 1, 2, 3} < set(want) and len(want) < 100
+    plain = simhash._proposals
+    for few in (32, 2):
+        monkeypatch.setattr(simhash, "_proposals", lambda again, few=few: plain(again, few))
+        assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     rng = np.random.default_rng(2)
     ids = rng.permutation(300).tolist()
