@@ -37,8 +37,7 @@ _CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "%": "x"}
 EDGE = ".,;:!?\"'()[]{}<>|*#&%$@~^_=+-/\\`«»“”„…"
 SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 0.6, 0.4
-MAX_DISGUISED = 40
-_REPEATED = re.compile(r"(.)\1\1")
+_REPEATED = re.compile(r"(.)\1")
 _RUNS = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s\w]?\w[^\s\w]?[ \t]+){2,}[^\s\w]?\w[^\s\w]?(?!\S)")
 
@@ -76,41 +75,59 @@ def char_model(counts: list[tuple[int, int]]) -> np.ndarray:
     return np.log((n + 5 * two) / (n.sum(2, keepdims=True) + 5)).astype("f4")
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: np.ndarray, bounds: bool = False) -> str:
     """The likeliest reading of a disguised token, by Viterbi over pairs of letters.
 
     At each place the letter itself is read, a sign is read as a letter it may
     stand for, a sign is dropped, or a letter repeating the one before it is
-    dropped. Runs of three or more of a letter enter as two.
+    dropped. Runs of three or more of a letter enter as two. With bounds a word
+    may also end at each place, which is read as a blank.
     """
     token = _RUNS.sub(r"\1\1", token)
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a reading is kept as (reading before, letter), so a long token is not copied at each letter
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ch in token:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         readings = [(ch, 0.0)] if ch in _CLASS else [(x, SIGN_COST) for x in SIGNS.get(ch, "")]
         for (a, b), (score, text) in paths.items():
             for letter, cost in readings:
                 c = _CLASS[letter]
                 new = score + float(model[a, b, c]) - cost
                 if new > after.get((b, c), (-1e30,))[0]:
-                    after[b, c] = (new, text + letter)
-            drop = REPEAT_COST if ch in _CLASS and text.endswith(ch) else DROP_COST if ch not in _CLASS else None
+                    after[b, c] = (new, (text, letter))
+            drop = REPEAT_COST if ch in _CLASS and b == _CLASS[ch] else DROP_COST if ch not in _CLASS else None
             if drop is not None or not readings:
                 new = score - (drop if drop is not None else DROP_COST)
                 if ch not in SIGNS or ch in "!|+(%" or ch in _CLASS:
                     if new > after.get((a, b), (-1e30,))[0]:
                         after[a, b] = (new, text)
+        if bounds:
+            for (a, b), (score, text) in list(after.items()):
+                new = score + float(model[a, b, 0])
+                if b and new > after.get((b, 0), (-1e30,))[0]:
+                    after[b, 0] = (new, (text, " "))
         paths = after or paths
-    return max((score + float(model[a, b, 0]), text) for (a, b), (score, text) in paths.items())[1]
+    text, found = max(((score + float(model[a, b, 0]), text) for (a, b), (score, text) in paths.items()), key=lambda x: x[0])[1], []
+    while text:
+        text, letter = text
+        found.append(letter)
+    return "".join(reversed(found))
 
 
 def disguised(core: str) -> bool:
-    if len(core) < 3 or len(core) > MAX_DISGUISED:
+    """Whether a token may hide letters: doubled letters, signs among letters, or signs alone. Digits alone are a number."""
+    core = _RUNS.sub(r"\1\1", core)
+    if len(core) < 3:
         return False
     if core.isalpha():
         return bool(_REPEATED.search(core))
     letters = sum(c.isalpha() for c in core)
-    return letters >= 2 or sum(c in SIGNS for c in core) + letters == len(core) and letters >= 1
+    return letters >= 2 or sum(c in SIGNS for c in core) + letters == len(core) and not core.isdigit()
+
+
+def spaced(joined: str, model: np.ndarray) -> set[str]:
+    """The readings of a run of spaced-out letters: as one word, and as the words of a phrase."""
+    return {decode(joined, model), *(w for w in decode(joined, model, True).split() if len(w) > 2)}
 
 
 def readings(token: str, model: np.ndarray) -> tuple[str, ...]:
@@ -138,9 +155,7 @@ def tokens_of(text: str | None) -> set[str]:
     found = set(text.split())
     if len(text) > 4:
         for m in _SPACED.finditer(text):
-            joined = "".join(m[0].split())
-            if len(joined) <= MAX_DISGUISED:
-                found.add("\x00" + joined)
+            found.add("\x00" + "".join(m[0].split()))
     return found
 
 
@@ -154,7 +169,7 @@ class Scorer:
         get, best = self.weights.get, 0.0
         if token[0] == "\x00":
             token = token[1:]
-            words = {token, decode(token, self.model)}
+            words = {token, *spaced(token, self.model)}
         else:
             words = readings(token, self.model)
         for word in words:
@@ -212,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = set()
                 for t in tokens_of(text):
-                    words.update((decode(t[1:], shared.value),) if t[0] == "\x00" else readings(t, shared.value))
+                    words.update(spaced(t[1:], shared.value) if t[0] == "\x00" else readings(t, shared.value))
                 held.update({(f, y) for w in words for f in features(w)})
                 if len(held) > 300_000:
                     yield rows()

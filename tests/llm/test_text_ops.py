@@ -293,6 +293,22 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in p.items() if not x}
 
 
+def test_long_and_doubled_disguises(spark):
+    rows, labels = toxic_rows()
+    rows += [(i + 5_000, f"an ass {t}") for i, (_, t) in enumerate(rows[:200])]
+    labels += [(i + 5_000, 1) for i in range(200)]
+    words = [w for w in rows[1][1].split() if w not in ("idiot", "moron", "pathetic")][:8]
+    out = lambda *w: " ".join("".join(w))
+    hidden = ["idio" + "o" * 40 + "t", "iddiott", "@$$", out(words[0], "idiot", words[1]), out(*words, "moron", *words), "m" + "." * 50 + "oron"]
+    clean = [out(*words), "1000 455 2024", "leth" + "e" * 60 + "r"]
+    rows += [(10_000 + i, t) for i, t in enumerate(hidden)] + [(20_000 + i, t) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).where("doc_id >= 10000").collect()
+    p = {r.doc_id: r.predicted for r in got}
+    assert [p[10_000 + i] for i in range(len(hidden))] == [1] * len(hidden)
+    assert [p[20_000 + i] for i in range(len(clean))] == [0] * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a", None])
     none = spark.createDataFrame([], "doc_id long, toxic int")
