@@ -213,6 +213,18 @@ def test_near_copies_equal_exact_similarity(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == want
 
 
+def test_near_dedup_of_texts_that_share_a_doc_id(spark):
+    one, two = ("one two three four five six seven", "quite another text than these others here")
+    rows = [(5, one), (5, two), (5, two.upper()), (3, one), (3, one), (7, None), (7, two + " " + one)]
+    for part in (1, 7):
+        kept = simhash.near_dedup(spark.createDataFrame(rows, DOCS).repartition(part)).collect()
+        got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in kept)
+        assert got == {(3, one): 1, (5, two): 1, (7, ""): 1, (7, two + " " + one): 1}
+        upper = [r.text for r in kept if r.doc_id == 5][0]
+        assert part == 1 or upper == first
+        first = upper
+
+
 def test_components_of_a_long_chain(spark):
     rng = np.random.default_rng(2)
     ids = rng.permutation(300).tolist()
