@@ -279,8 +279,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, limit
 WORDS, BANDS, ROWS = 2, 32, 4
 #: Two texts are near copies if their sets of shingles have a Jaccard similarity of ALIKE[0] / ALIKE[1] or more.
 ALIKE = (4, 5)
-#: Differing bits of 128 up to which a pair is proposed: at a similarity of 0.8 the two sets' cosine is 0.889 and a bit differs with probability 0.152, 19.4 of 128 with a deviation of 4. In large buckets the first proposals are of SIMILAR bits.
-LOOSE, SIMILAR = 40, 22
+#: Differing bits of 128 up to which a pair is proposed: at a similarity of 0.8 the two sets' cosine is 0.889 and a bit differs with probability 0.152, 19.4 of 128 with a deviation of 4.
+LOOSE = 40
+#: Nodes of a chunk; groups of more are compared as pairs of chunks.
+CHUNK = 256
 #: Places of the map that says which texts' shingles are needed; one map a task and 16 at the driver.
 PLACES = 1 << 23
 
@@ -324,88 +326,47 @@ def band_keys(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
     return key
 
 
-_KEYED = ("key", "n0", "n1", "size", "p0", "p1", "label")
+_KEYED = ("key", "n0", "n1", "size", "p0", "p1")
 
 
-def _proposals(again: bool, few: int = 32, most: int = 50_000):
-    """Over rows of _KEYED sorted by key and node: pairs of nodes that may be near copies.
-
-    First all pairs of small buckets, of larger ones spanning links and each
-    member as a link to itself. Again: of larger ones all pairs of unlike label.
-    """
+def _near(bits: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Of j those that few enough bits part from i, and whose sizes let the sets be alike."""
     low, high = ALIKE
+    return j[(np.bitwise_count(bits[i] ^ bits[j]).sum(-1) <= LOOSE) & (high * np.minimum(size[i], size[j]) >= low * np.maximum(size[i], size[j]))]
 
-    def out(u, v):
-        text = lambda m: pa.array([r.tobytes() for r in m.astype(">i8")], pa.binary())
-        both = np.unique(np.concatenate([u, v], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([text(both[:, :2]), text(both[:, 2:])], names=["u", "v"])
+
+def _proposals(batches):
+    """Over rows of _KEYED sorted by key and node: links that span, in each bucket, what may be near copies."""
 
     def buckets(x):
-        k, node, size, label = x["key"], np.stack([x["n0"], x["n1"]], axis=1), x["size"], x["label"]
+        k, node, size = x["key"], np.stack([x["n0"], x["n1"]], axis=1), x["size"]
         bits = np.stack([x["p0"], x["p1"]], axis=1).view("u8")
-
-        def near(i, j, limit):
-            """Few enough bits differ, and the sizes let the sets be alike."""
-            s, t = size[i], size[j]
-            return (np.bitwise_count(bits[i] ^ bits[j]).sum(-1) <= limit) & (high * np.minimum(s, t) >= low * np.maximum(s, t))
-
         at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        us, vs, held = [], [], 0
-        if not again:
-            count = np.repeat(np.diff(at), np.diff(at))
-            left = np.flatnonzero(count <= few)
-            for step in range(1, few):
-                left = left[left + step < len(k)]
-                left = left[k[left] == k[left + step]]
-                if not len(left):
-                    break
-                ok = left[near(left, left + step, LOOSE)]
-                us.append(node[ok])
-                vs.append(node[ok + step])
+        us, vs = [node[:0]], [node[:0]]
         for s, e in zip(at[:-1], at[1:]):
-            if e - s <= few:
-                continue
             rest = np.arange(s, e)
-            if again:
-                if (label[s:e] == label[s]).all():
-                    continue
-                for i in range(s, e - 1):
-                    j = rest[i - s + 1 :]
-                    j = j[label[j] != label[i]]
-                    j = j[near(i, j, LOOSE)]
-                    us.append(np.repeat(node[i : i + 1], len(j), axis=0))
-                    vs.append(node[j])
-                    held += len(j)
-                    if held > most:
-                        yield out(np.concatenate(us), np.concatenate(vs))
-                        us, vs, held = [], [], 0
-                continue
-            us.append(node[s:e])
-            vs.append(node[s:e])
-            while len(rest):
+            while len(rest) > 1:
                 ahead, rest = [rest[0]], rest[1:]
                 while ahead and len(rest):
                     j = ahead.pop()
-                    ok = near(j, rest, SIMILAR)
-                    if ok.any():
-                        us.append(np.repeat(node[j : j + 1], ok.sum(), axis=0))
-                        vs.append(node[rest[ok]])
-                        ahead.extend(rest[ok])
-                        rest = rest[~ok]
-        if us:
-            yield out(np.concatenate(us), np.concatenate(vs))
-
-    def run(batches):
-        x = {c: np.zeros(0, dtype="i8") for c in _KEYED}
-        for batch in batches:
-            x = {c: np.concatenate((x[c], np.asarray(batch.column(c)))) for c in _KEYED}
-            if len(x["key"]) and (last := np.searchsorted(x["key"], x["key"][-1])) > 20_000:
-                yield from buckets({c: y[:last] for c, y in x.items()})
-                x = {c: y[last:] for c, y in x.items()}
-        if len(x["key"]):
-            yield from buckets(x)
+                    new = _near(bits, size, j, rest)
+                    if len(new):
+                        us.append(np.repeat(node[j : j + 1], len(new), axis=0))
+                        vs.append(node[new])
+                        ahead.extend(new)
+                        rest = np.setdiff1d(rest, new, assume_unique=True)
+        text = lambda m: pa.array([r.tobytes() for r in m.astype(">i8")], pa.binary())
+        both = np.unique(np.concatenate([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([text(both[:, :2]), text(both[:, 2:])], names=["u", "v"])
 
-    return run
+    x = {c: np.zeros(0, dtype="i8") for c in _KEYED}
+    for batch in batches:
+        x = {c: np.concatenate((x[c], np.asarray(batch.column(c)))) for c in _KEYED}
+        if len(x["key"]) and (last := np.searchsorted(x["key"], x["key"][-1])) > 20_000:
+            yield buckets({c: y[:last] for c, y in x.items()})
+            x = {c: y[last:] for c, y in x.items()}
+    if len(x["key"]):
+        yield buckets(x)
 
 
 def _place(node: bytes) -> int:
@@ -468,24 +429,54 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return both * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v whose sets are alike."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("su"), batch.column("sv")
-            ok = [alike(np.frombuffer(x[i].as_buffer(), dtype="<u8"), np.frombuffer(y[i].as_buffer(), dtype="<u8")) for i in range(batch.num_rows)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    of = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"s{n}")).hint("merge")
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+def _verified(batches):
+    """Over rows (root, c, d, node, chunk, hashes) sorted by root, c, d: links of alike sets that span what is alike in a chunk, or between two."""
+
+    def links(c, d, nodes, chunks, sets):
+        size = np.array([len(x) for x in sets])
+        bits, chunk = np.array([long_print(x) for x in sets]), np.array(chunks)
+        root, us, vs = np.arange(len(nodes)), [], []
+        for i in range(len(nodes)):
+            j = np.arange(i + 1, len(nodes))
+            if c != d:
+                j = j[chunk[j] != chunk[i]]
+            for x in _near(bits, size, i, j):
+                if root[i] != root[x] and alike(sets[i], sets[x]):
+                    root[root == root[x]] = root[i]
+                    us.append(nodes[i])
+                    vs.append(nodes[x])
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+    at, held = None, ([], [], [])
+    for batch in batches:
+        hashes = batch.column("hashes")
+        for i, (*key, node, chunk) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("root", "c", "d", "node", "chunk")))):
+            if key != at:
+                if len(held[0]) > 1:
+                    yield links(at[1], at[2], *held)
+                at, held = key, ([], [], [])
+            for x, y in zip(held, (node, chunk, np.frombuffer(hashes[i].as_py(), dtype="<u8"))):
+                x.append(y)
+    if len(held[0]) > 1:
+        yield links(at[1], at[2], *held)
+
+
+def verified(loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links u, v of alike sets that span every group: all nodes (node, root) of a loose group are compared, in pairs of chunks."""
+    spark = loose.sparkSession
+    count = stage(loose.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")), "count")
+    chunk = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = loose.join(count.hint("merge"), "root").withColumn("chunk", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("root", F.least("chunk", "o").alias("c"), F.greatest("chunk", "o").alias("d"), "node", "chunk")
+    full = stage(dealt, "dealt").join(sets.hint("merge"), "node").select("root", "c", "d", "node", "chunk", "hashes")
+    return full.repartition(partitions(spark), "root", "c", "d").sortWithinPartitions("root", "c", "d").mapInArrow(_verified, "u binary, v binary")
 
 
 def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, mark: of each group of near copies the row of the smallest doc_id, mark being the hash of its text (of several the smallest).
 
     Groups are closed over links of a Jaccard similarity of 0.8 or more between
-    the distinct shingles of two texts. Bands of least hashes only propose pairs; every
+    the distinct shingles of two texts. Bands of least hashes only propose groups; every
     link is verified on the shingles themselves. Null doc_ids are not counted.
     Null and empty texts are copies of each other.
     """
@@ -507,29 +498,18 @@ def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for batch in batches:
             keys = batch.column("keys").to_pylist()
             rows = np.repeat(np.arange(len(keys)), [len(x) // 8 for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), dtype="i8")), *[pa.array(np.asarray(batch.column(c))[rows]) for c in (*names, "label")]], names=["key", *names, "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), dtype="i8")), *[pa.array(np.asarray(batch.column(c))[rows]) for c in names]], names=["key", *names])
 
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     prints = stage(marked.mapInArrow(run, "doc_id long, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys binary"), "prints")
     n = partitions(docs.sparkSession)
     node = F.unhex(F.concat(F.lpad(F.hex("n0"), 16, "0"), F.lpad(F.hex("n1"), 16, "0")))
 
-    def proposed(nodes: DataFrame, again: bool) -> DataFrame:
-        met = nodes.mapInArrow(give, ", ".join(f"{c} long" for c in _KEYED)).repartition(n, "key").sortWithinPartitions("key", "n0", "n1").mapInArrow(_proposals(again), "u binary, v binary")
-        return stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
-
-    distinct = prints.select(*names, "keys").dropDuplicates(["n0", "n1"])
-    met = proposed(distinct.withColumn("label", F.lit(0).cast("long")), False)
+    keyed = prints.select(*names, "keys").dropDuplicates(["n0", "n1"]).mapInArrow(give, ", ".join(f"{c} long" for c in _KEYED))
+    met = keyed.repartition(n, "key").sortWithinPartitions("key", "n0", "n1").mapInArrow(_proposals, "u binary, v binary")
+    met = stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
     sets = stage(shingle_sets(docs, met, shingle), "sets")
-    links = stage(verified(met.where("u <> v"), sets), "links")
-    roots = stage(components(links), "roots")
-    if not met.where("u = v").isEmpty():  # members of larger buckets whose spanning links were not alike may be alike to others
-        label = F.xxhash64(F.coalesce("root", "node")).alias("label")
-        labelled = distinct.withColumn("node", node).join(roots.hint("merge"), "node", "left").select(*names, "keys", label)
-        more = proposed(labelled, True)
-        if not more.isEmpty():
-            links = links.union(stage(verified(more, sets), "links"))
-            roots = stage(components(links), "roots")
+    roots = stage(components(stage(verified(stage(components(met), "loose"), sets), "links")), "roots")
     nodes = stage(prints.groupBy(node.alias("node")).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least")), "nodes")
     least = nodes.join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     return least.where("least is not null").select("least.doc_id", "least.mark")

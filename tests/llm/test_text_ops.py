@@ -207,9 +207,8 @@ def test_near_copies_equal_exact_similarity(spark, monkeypatch):
                 root = [new if r == old else r for r in root]
     want = sorted(set(root))
     assert {0, 1, 2, 3} < set(want) and len(want) < 100
-    plain = simhash._proposals
-    for few in (32, 2):
-        monkeypatch.setattr(simhash, "_proposals", lambda again, few=few: plain(again, few))
+    for chunk in (256, 10):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
         assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == want
 
 
