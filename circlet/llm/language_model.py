@@ -36,8 +36,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every task holds; of these, SOFT are scored by the inner softmax, in CLASSES classes. Others are in ENDINGS classes.
 HEAD, SOFT, CLASSES, ENDINGS = 131_072, 2_047, 48, 16
 HIDDEN, STEPS, LANES = 16, 32, 320
-#: Each round trains on one part in SHARE of the training documents, by hash; a constant share, so the training grows with the corpus.
-ROUNDS, SHARE, TRAIN_LANES, RATE = 2, 20, 48, 0.01
+#: The rounds share out all training documents, by hash, so each is trained on once.
+ROUNDS, TRAIN_LANES, RATE = 2, 48, 0.01
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 _WHITE = b" \t\n\x0b\x0c\r"
 LN10 = float(np.log(10.0))
@@ -307,8 +307,13 @@ def _doc_ids(v: Vocabulary, text):
     yield _END
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
-    """Weights from training documents; what reaches the driver are at most 16 sums of weights a round."""
+def round_part(docs: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
+    """The documents of round k: every row is in one round."""
+    return docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text")), F.lit(rounds)) == k)
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights from all training documents; what reaches the driver are at most 16 sums of weights a round."""
     spark = docs.sparkSession
     w = start_weights(v)
     words = spark.sparkContext.broadcast(v)
@@ -324,13 +329,14 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHA
             for inp, tgt, reset, number in Lanes(docs, TRAIN_LANES, v.n_soft + ENDINGS).windows():
                 _, g, h = net.gradients(inp, tgt, reset, number >= 0, h)
                 steps += 1
+                live = float((number >= 0).mean())  # a window in part padding takes a smaller step, so no long document outweighs the others
                 tokens += int((number >= 0).sum())
                 size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
                 for n, x in g.items():  # Adam, the gradient's size held to one
                     x *= min(1.0, 1.0 / (size + 1e-9))
                     m[n] += 0.1 * (x - m[n])
                     s[n] += 0.01 * (x * x - s[n])
-                    own[n] -= RATE * (m[n] / (1 - 0.9**steps)) / (np.sqrt(s[n] / (1 - 0.99**steps)) + 1e-8)
+                    own[n] -= RATE * live * (m[n] / (1 - 0.9**steps)) / (np.sqrt(s[n] / (1 - 0.99**steps)) + 1e-8)
             if tokens:
                 flat = np.concatenate([own[n].ravel() for n in sorted(own)])
                 yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
@@ -344,7 +350,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHA
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("f4").tobytes()], pa.binary())], names=["n", "w"])
 
-        part = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text")), F.lit(share)) == k).select("text")
+        part = round_part(docs, k, rounds).select("text")
         sums = part.mapInArrow(run, "n double, w binary").repartition(16).mapInArrow(mean, "n double, w binary").collect()
         if sums:
             flat = sum(r.n * np.frombuffer(r.w, dtype="f4").astype("f8") for r in sums) / sum(r.n for r in sums)

@@ -389,6 +389,12 @@ def test_language_model(spark, monkeypatch, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_trains_on_every_document(spark):
+    docs = docs_of(spark, [f"w{i} x" for i in range(300)] + [None, "", "w1 x"])
+    seen = [r.doc_id for k in range(language_model.ROUNDS) for r in language_model.round_part(docs, k).collect()]
+    assert sorted(seen) == sorted(r.doc_id for r in docs.collect())
+
+
 def test_language_model_of_no_documents(spark):
     assert language_model.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     only = spark.createDataFrame([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], DOCS)
