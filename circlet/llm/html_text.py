@@ -23,7 +23,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never shown.
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select meta link base".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist select meta link base".split())
+#: Elements inside svg or math that are never shown.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
 #: Elements that stand on lines of their own.
 BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot".split())
 #: Blocks with a blank line before and after.
@@ -33,9 +35,12 @@ IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "col": ({"caption"}, {"table"}),
+    "caption": ({"caption", "colgroup"}, {"table"}),
+    "colgroup": ({"caption", "colgroup"}, {"table"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
@@ -46,7 +51,7 @@ IMPLIED_END = {
 }
 #: Blocks that end an open p.
 ENDS_P = BLOCK - {"html", "body", "caption", "tr", "thead", "tbody", "tfoot", "legend"}
-#: Deepest nesting that is built; deeper elements join the deepest one.
+#: Deepest nesting that is built; deeper elements join the deepest one, but for hidden ones, which keep what they hide.
 DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
@@ -92,8 +97,11 @@ def build(source: str) -> Node:
             if stack[i].tag in bounds:
                 return
 
+    def foreign() -> bool:
+        return any(x.tag in ("svg", "math") for x in stack)
+
     def open_(tag: str, attrs: dict) -> Node:
-        node = Node(tag, attrs, _hidden(tag, attrs))
+        node = Node(tag, attrs, stack[-1].hidden and len(stack) > 1 or _hidden(tag, attrs) or tag in UNDRAWN and foreign())
         stack[-1].children.append(node)
         return node
 
@@ -134,7 +142,7 @@ def build(source: str) -> Node:
         if tag == "a":
             close({"a"}, {"td", "th", "table"})
         node = open_(tag, attrs)
-        if tag in VOID or m[4] and tag in ("path", "circle", "rect", "line", "use"):
+        if tag in VOID or m[4] and (tag in ("path", "circle", "rect", "line", "use") or tag not in ("svg", "math") and foreign()):
             continue
         if tag in RAW:
             if not folded:
@@ -148,7 +156,7 @@ def build(source: str) -> Node:
             close_at = source.find(">", stop)
             at = end if close_at < 0 else close_at + 1
             continue
-        if len(stack) < DEPTH:
+        if len(stack) < DEPTH or node.hidden:
             stack.append(node)
     return root
 
@@ -226,9 +234,9 @@ def _table(node: Node, out: _Out) -> None:
                     elif isinstance(x2, str) and x2.strip():
                         out.text(x2, False)
                         out.line()
-            elif c.tag in ("thead", "tbody", "tfoot"):
+            elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 walk(c)
-            elif c.tag not in ("col", "colgroup"):
+            elif c.tag != "col":
                 _block(c, out, False, 0)
                 out.line()
 
@@ -256,7 +264,7 @@ def _block(node: Node, out: _Out, pre: bool, depth: int) -> None:
         return
     if tag == "wbr":
         return
-    own = tag in BLOCK
+    own = tag in BLOCK or tag == "text"  # svg's text stands by itself
     if own:
         out.line()
         if tag in SPACED and not (tag in ("ul", "ol") and depth):

@@ -130,6 +130,23 @@ def test_html(source, text):
     assert isinstance(got, str) and (text is None or got == text)
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><colgroup><col><tr><td>x</td></tr></table>", "x"),
+        ("<table><colgroup><col><td>x</table>", "x"),
+        ("<table><caption>c<tr><td>x</td></tr></table>", "c\nx"),
+        ("<table><colgroup><p>stray</p><col></colgroup><tr><td>x</table>", "stray\n\nx"),
+        ("<p>a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x+1 b"),
+        ("<svg><defs/><desc>no</desc><g/><text>one</text><text>two</text><style>no</style></svg>", "one\ntwo"),
+        ("<div>" * 250 + "<div hidden><div>no</div>no<b>no</b></div>yes", "yes"),
+        ("<div>" * 250 + "<script>no</script><div style='display:none'>" + "<div>" * 9 + "no" + "</div>" * 9 + "no</div>yes", "yes"),
+    ],
+)
+def test_html_loses_and_leaks_nothing(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_html_rows(spark):
     rows = [(1, None), (1, "<p>a</p>"), (None, "b"), (2, "<p>" + "w " * 200_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit(1))).collect()
