@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import accumulate, islice, pairwise
+from math import exp
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,17 +22,37 @@ def _t(inner, total, k, n):
     return np.abs(inner / k - (total - inner) / (n - k)) / np.sqrt(1 / k + 1 / (n - k))
 
 
+class _Orders:
+    """The orders of n values after each shuffle: shuffle k starts from seed k and from the order that the last one left. Made in blocks, and the same for all values."""
+
+    def __init__(self, n: int, block: int = 50):
+        self.n, self.block, self.blocks = n, block, []
+
+    def __iter__(self):
+        for k in range(PERMUTATIONS // self.block):
+            if k == len(self.blocks):
+                order = self.blocks[-1][-1].astype("i8") if self.blocks else np.arange(self.n)
+                made = np.empty((self.block, self.n), dtype="i4")
+                for row in range(self.block):
+                    np.random.seed(k * self.block + row)
+                    np.random.shuffle(order)
+                    made[row] = order
+                self.blocks.append(made)
+            yield self.blocks[k]
+
+
+_orders = lru_cache(maxsize=24)(_Orders)
+
+
 def _significant(x: np.ndarray, t: float, i: int, j: int | None) -> bool:
-    """Whether shuffles reach t at the same places no more often than the level allows. Shuffle k starts from seed k and from the order that the last one left."""
+    """Whether shuffles reach t at the same places no more often than the level allows."""
     if t < LEAST_T:
         return False
-    x, reached, n = x.copy(), 0, len(x)
-    for seed in range(PERMUTATIONS):
-        np.random.seed(seed)
-        np.random.shuffle(x)
-        s = np.cumsum(x)
-        inner, k = (s[i], i + 1) if j is None else (s[j] - s[i], j - i)
-        reached += _t(inner, s[-1], k, n) >= t
+    reached, n = 0, len(x)
+    for orders in _orders(n):
+        s = np.cumsum(x[orders], axis=1)
+        inner, k = (s[:, i], i + 1) if j is None else (s[:, j] - s[:, i], j - i)
+        reached += int((_t(inner, s[:, -1], k, n) >= t).sum())
         if reached > PERMUTATIONS * LEVEL:
             return False
     return True
@@ -66,41 +90,66 @@ def _split(x: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
     return done
 
 
+def _window_count(n):
+    """How many windows n bins have, as a number or a Column: the last is part of the one before where it would be shorter than half a window."""
+    if isinstance(n, int):
+        full = max(1, -(-n // WINDOW))
+        return full - (full > 1 and n - (full - 1) * WINDOW < WINDOW // 2)
+    full = F.greatest(F.lit(1), F.ceil(n / WINDOW))
+    return full - F.when((full > 1) & (n - (full - 1) * WINDOW < WINDOW // 2), 1).otherwise(0)
+
+
+def recheck(x: np.ndarray, cuts: list[int]) -> list[tuple[int, int]]:
+    """Segments [start, end) between those cuts that stand out from the last one kept to the next."""
+    kept = [0]
+    for at, end in pairwise([*cuts[1:], len(x)] if len(cuts) > 1 else []):
+        part = x[kept[-1] : end]
+        s, i = np.cumsum(part), at - kept[-1] - 1
+        if _significant(part, float(_t(s[i], s[-1], i + 1, len(part))), i, None):
+            kept.append(at)
+    return list(pairwise([*kept, len(x)]))
+
+
 def cbs(x: np.ndarray) -> list[tuple[int, int]]:
     """Segments [start, end) of one chromosome's values: arcs in overlapping windows, then a recheck of every boundary."""
     n = len(x)
     if not n:
         return []
-    windows = [[max(0, i - OVERLAP), i + WINDOW + OVERLAP] for i in range(0, n, WINDOW)]
-    windows[-1][1] = n
-    if len(windows) > 1 and n - windows[-1][0] < WINDOW / 2 + OVERLAP:
-        windows.pop()
-        windows[-1][1] = n
-    cuts = sorted({a for w in windows for a, _ in _split(x, *w)} | {n})
-    kept = [0]
-    while len(cuts) >= 3:
-        a, mid, b = cuts[:3]
-        s = np.cumsum(x[a:b])
-        i = mid - a - 1
-        if _significant(x[a:b], float(_t(s[i], s[-1], i + 1, b - a)), i, None):
-            kept.append(mid)
-            cuts.pop(0)
-        else:
-            cuts.pop(1)
-    kept = sorted({*kept, cuts[-1]})
-    return list(zip(kept[:-1], kept[1:]))
+    w = _window_count(n)
+    parts = [(max(0, k * WINDOW - OVERLAP), n if k == w - 1 else (k + 1) * WINDOW + OVERLAP) for k in range(w)]
+    return recheck(x, sorted({a for part in parts for a, _ in _split(x, *part)}))
 
 
 def cbs_segments(bins: DataFrame, width: int = 10_000) -> DataFrame:
-    """Segments of each chromosome's bins (chrom, coord, n, x); a chromosome's bins are a bounded group, so one task takes it."""
+    """Segments of each chromosome's bins (chrom, coord, n, x).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("coord")
+    The overlapping windows of a chromosome are independent, so each is a group
+    of its own; only the recheck of the boundaries that they find reads a
+    chromosome's bins, one number each, in one task.
+    """
+    rows = bins.where("x is not null").select("chrom", "coord", "n", "x")
+    order = Window.partitionBy("chrom").orderBy("coord")
+    rows = rows.withColumns({"_i": F.row_number().over(order) - 1, "_w": _window_count(F.count("*").over(Window.partitionBy("chrom")))})
+    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (WINDOW + OVERLAP - 1)) / WINDOW))
+    spread = F.sequence(F.least(first, F.col("_w") - 1), F.least(F.floor((F.col("_i") + OVERLAP) / WINDOW), F.col("_w") - 1))
+
+    def arcs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i")
+        x, base = rows.x.to_numpy("f8"), int(rows._i.iloc[0])
+        return pd.DataFrame({"chrom": rows.chrom.iloc[0], "_i": [base + a for a, _ in _split(x, 0, len(x))]})
+
+    # Few bytes, but much work: a stated number of partitions isn't coalesced by adaptive execution.
+    n = int(bins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.select("chrom", "_i", "x", F.explode(spread).alias("window")).repartition(n, "chrom", "window").groupBy("chrom", "window").applyInPandas(arcs, "chrom string, _i int").distinct().withColumn("_cut", F.lit(True))
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i")
         x, coord, n = rows.x.to_numpy("f8"), rows.coord.to_numpy(), rows.n.to_numpy("f8")
-        out = [(rows.chrom.iloc[0], coord[a], coord[b - 1] + width, b - a, n[a:b].mean(), x[a:b].mean()) for a, b in cbs(x)]
+        found = recheck(x, np.flatnonzero(rows._cut.notna()).tolist())
+        out = [(rows.chrom.iloc[0], coord[a], coord[b - 1] + width, b - a, n[a:b].mean(), x[a:b].mean()) for a, b in found]
         return pd.DataFrame(out, columns=["chrom", "start", "stop", "bins", "n", "x"])
 
-    return bins.where("x is not null").select("chrom", "coord", "n", "x").groupBy("chrom").applyInPandas(run, "chrom string, start long, stop long, bins long, n double, x double")
+    return rows.drop("_w").join(cuts, ["chrom", "_i"], "left").repartition(n, "chrom").groupBy("chrom").applyInPandas(whole, "chrom string, start long, stop long, bins long, n double, x double")
 
 
 def add_cn(segments: DataFrame, calls: DataFrame, bins: DataFrame, pad: int = 10_000, width: int = 10_000) -> DataFrame:
@@ -139,37 +188,46 @@ def snap_to_boundary(points: DataFrame, boundaries: DataFrame, reach: int = 30_0
     return points.join(one, "id", "left")
 
 
+#: Limits of the least support of a pair (fixed values). A bin of the histogram begins the tail if it holds at most a share of the pairs up to the next occupied bin: STRICT, or LOOSE where the strict tail begins after LATE bins; up to so many pairs, that one begins after at most so many bins (EARLIEST).
+STRICT, LOOSE, LATE, EARLIEST = 0.01, 0.05, 9, {2_000: 5, 4_000: 7, 10_000: 11}
+#: No threshold for at most FEW_PAIRS; no tail in at most FEW_BINS; where more than MOST pairs would be kept, the count of the pair of rank RANK is the threshold.
+FEW_PAIRS, FEW_BINS, MOST, RANK = 10, 5, 30_000, 1_201
+#: The threshold isn't below the last number where there are more pairs than the first and more are kept than the second; nor above CEILING's last where there are at most as many pairs and fewer are kept.
+FLOORS, CEILING = ((10_000, 1_000, 20.0), (1_000, 299, 3.0)), (5_000, 300, 5.0)
+
+
+def _tail(sizes: list[int], pairs: int) -> int:
+    """The occupied bin that follows the last one before the tail."""
+    if len(sizes) <= FEW_BINS:
+        return 0
+    shares = [c / upto for c, upto in zip(sizes, islice(accumulate(sizes), 1, None))]
+    begins = {limit: 1 + next((i for i, x in enumerate(shares) if x <= limit), 0) for limit in (STRICT, LOOSE)}
+    earliest = min((bins for most, bins in EARLIEST.items() if pairs <= most), default=None)
+    late = begins[STRICT] > LATE and earliest is not None
+    return min(begins[LOOSE], earliest) if late else begins[STRICT]
+
+
 def support_threshold(counts: DataFrame, value: str = "n", bins: int = 1000) -> float | None:
-    """Least support of a pair, from the histogram of the log of all pairs' counts; None for at most ten pairs.
+    """Least support of a pair, from the histogram of the log of all pairs' counts; None for at most FEW_PAIRS pairs.
 
-    The driver gets the occupied bins, of which there are at most ``bins``, and
-    for very many pairs the 1,201st largest count.
+    It is the middle of the first bin that holds as many pairs as the first bin
+    of the tail, within the limits above. The driver gets the occupied bins, of
+    which there are at most ``bins``, and for very many pairs one count.
     """
     x = counts.select(F.log(value).alias("x"), value)
-    span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).first()
-    if span.n <= 10:
+    lo, hi, pairs = x.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if pairs <= FEW_PAIRS:
         return None
-    lo, hi = (span.lo, span.hi) if span.hi > span.lo else (span.lo - 0.5, span.hi + 0.5)
-    place = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) * (bins / (hi - lo))).cast("int"))
-    held = sorted((r.k, r.c) for r in x.groupBy(place.alias("k")).agg(F.count("*").alias("c")).collect())
-    sizes = np.array([c for _, c in held], dtype="f8")
-    share = sizes[:-1] / np.cumsum(sizes)[1:]
-    at = -1
-    if len(sizes) > 5:
-        at = int(np.argmax(share <= 0.01))
-        if at >= 9 and span.n <= 10_000:
-            at = min(int(np.argmax(share <= 0.05)), 4 if span.n <= 2000 else 6 if span.n <= 4000 else 10)
-    k = next(k for k, c in held if c == sizes[at + 1])
-    width = (hi - lo) / bins
-    level = float(np.exp(lo + (k + 0.5) * width))
-    kept = lambda t: counts.where(F.col(value) >= round(t)).count()
-    n = kept(level)
-    if n > 30_000:
-        level = float(counts.orderBy(F.desc(value)).select(value).limit(1201).agg(F.min(value)).first()[0])
-    if span.n > 10_000 and n > 1000:
-        level = max(level, 20.0)
-    if span.n <= 5000 and n < 300:
-        level = min(level, 5.0)
-    if span.n > 1000 and n >= 300:
-        level = max(level, 3.0)
-    return level
+    if lo == hi:  # one count alone has a bin of its own
+        lo, hi = lo - 0.5, hi + 0.5
+    bin_of = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) * (bins / (hi - lo))).cast("int"))
+    held = dict(sorted(tuple(r) for r in x.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("c")).collect()))
+    sizes = list(held.values())
+    alike = sizes[_tail(sizes, pairs)]
+    level = exp(lo + (min(b for b, c in held.items() if c == alike) + 0.5) * (hi - lo) / bins)
+    kept = x.where(F.col(value) >= round(level)).count()
+    if kept > MOST:
+        level = float(x.select(value).orderBy(F.desc(value)).limit(RANK).agg(F.min(value)).first()[0])
+    least = max((to for over, keeps, to in FLOORS if pairs > over and kept > keeps), default=0.0)
+    most = CEILING[2] if pairs <= CEILING[0] and kept < CEILING[1] else level
+    return max(least, min(most, level))
