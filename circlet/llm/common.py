@@ -19,11 +19,13 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset and all is one machine."""
     global _own_root
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="circlet-")
     return "file://" + _own_root
@@ -66,7 +68,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_stage(*staged: DataFrame) -> None:
+    """Deletes what stage() wrote, once nothing reads it any more."""
+    for df in staged:
+        release(df.staged_at)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,14 +111,16 @@ def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed({c: new for new, c in back.items()}), back
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     links: columns u, v of one orderable type; rows with a null or u = v are
     skipped. Returns one row (node, root) for each node of a link, root being
     the component's smallest node. No links: no rows. Each half step takes the
     minimum around each node with map-side combining, stages it, and joins it
-    back; hubs are thus summed before the shuffle and split in the join.
+    back; hubs are thus summed before the shuffle and split in the join. Steps
+    are taken until nothing changes, of the order of the logarithm of the
+    longest chain; each one's tables are deleted when the next are written.
     """
     spark = links.sparkSession
     edges = stage(
@@ -116,20 +128,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         "edges",
     )
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        near = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "edges")
+        drop_stage(edges, near)
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop_stage(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -2,8 +2,11 @@
 
 Windows of ``WINDOW`` consecutive words of the benchmark are a set of 64-bit
 hashes with the words beside them. Each document's words are scanned window by
-window; a hit on the hash is verified on the words. The set is broadcast where
-its measured size allows (``BROADCAST_BYTES``); beyond it, it is joined by shuffle.
+window, all sizes in one pass; a hit on the hash is verified on the words. The
+set is broadcast where its measured size allows (``BROADCAST_BYTES``). Beyond
+it, its hashes alone are broadcast as long as they fit, so that only windows
+that may be hits are shuffled; beyond that too, windows are joined by shuffle.
+Hits belong to texts, by 128 bits of hashes, not to doc_ids.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_az, stage, table
+from .common import aside, lower_az, stage, table
 
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
@@ -59,53 +62,69 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select(h.alias("h"), F.size("w").alias("size"), F.col("w").alias("words"), "items")
 
 
+HASH_BYTES = 64  # of one hash in a broadcast table
+
+
+def text_name():
+    """128 bits that name a text."""
+    return F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_hit, items: of documents with hits, the words inside any occurring window and the distinct items, sorted as strings.
+    """t1, t2, n_hit, items: of texts with hits, the words inside any occurring window and the distinct items, sorted as strings.
 
-    A document's hits are bounded by its own words, since a window that occurs
-    at a place is one row whatever number of items hold it.
+    A text's hits are bounded by its own words, since a window that occurs at
+    a place is one row whatever number of items hold it; copies of a text, and
+    a window that many documents share, are summed up before the shuffle.
     """
     set_ = stage(benchmark_windows(benchmark, window), "windows")
-    sizes, size_bytes = [], 0
-    for r in set_.groupBy("size").agg(F.sum(F.lit(64) + F.octet_length(F.array_join("words", " ")) + 24 * F.size("words") + 8 * F.size("items")).alias("b")).collect():  # at most ``window`` rows
+    sizes, size_bytes, count = [], 0, 0
+    for r in set_.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.lit(64) + F.octet_length(F.array_join("words", " ")) + 24 * F.size("words") + 8 * F.size("items")).alias("b")).collect():  # at most ``window`` rows
         sizes.append(r["size"])
+        count += r.n
         size_bytes += r.b
     if not sizes:
-        return docs.select("doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    set_ = set_.withColumnRenamed("words", "_words")
-    held = with_window_hashes(docs.select("doc_id", words_of(F.col("text")).alias("w")), sizes)
-    found = None
-    for n in sorted(sizes):
-        # "outer": else the optimiser filters on the size of the array, which it then makes twice
-        at = held.select("doc_id", "w", F.posexplode_outer(f"h{n}").alias("at", "h"))
-        own = set_.where(F.col("size") == n)
-        if size_bytes <= BROADCAST_BYTES:
-            own = F.broadcast(own)
-            met = at.join(own, "h").where(F.slice("w", F.col("at") + 1, n) == F.col("_words"))
-        else:
-            met = at.select("doc_id", "at", "h", F.slice("w", F.col("at") + 1, n).alias("_w")).join(own, "h").where("_w = _words")
-        met = met.select("doc_id", "at", F.lit(n).alias("size"), "h", "items")
-        found = met if found is None else found.union(met)
-    places = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))
+        return docs.select(*text_name()).where("false").select("t1", "t2", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    set_ = set_.withColumnsRenamed({"words": "_words", "size": "_size"})
+    held = with_window_hashes(docs.select(*text_name(), words_of(F.col("text")).alias("w")), sizes)
+    # "outer": else the optimiser filters on the size of the array, which it then makes twice
+    if len(sizes) == 1:
+        at = held.select("t1", "t2", "w", F.lit(sizes[0]).alias("size"), F.posexplode_outer(f"h{sizes[0]}").alias("at", "h"))
+    else:
+        places = lambda n: F.transform(f"h{n}", lambda h, i: F.struct(F.lit(n).alias("size"), i.alias("at"), h.alias("h")))
+        at = held.select("t1", "t2", "w", F.explode_outer(F.concat(*[places(n) for n in sorted(sizes)])).alias("x")).select("t1", "t2", "w", "x.size", "x.at", "x.h")
+    own = F.slice("w", F.col("at") + 1, F.col("size"))
+    if size_bytes <= BROADCAST_BYTES:
+        met = at.join(F.broadcast(set_), "h").where((F.col("size") == F.col("_size")) & (own == F.col("_words")))
+    else:
+        if count * HASH_BYTES <= BROADCAST_BYTES:
+            at = at.join(F.broadcast(set_.select("h").distinct()), "h", "left_semi")
+        # staged, so that a window in many documents is split in the join
+        maybe = stage(at.select("t1", "t2", "at", "size", "h", own.alias("_w")).where("h is not null"), "maybe")
+        met = maybe.join(set_.hint("merge"), "h").where((F.col("size") == F.col("_size")) & (F.col("_w") == F.col("_words")))
+    inside = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))
     items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string")))
-    return found.groupBy("doc_id").agg(F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+    return met.select("t1", "t2", "at", "size", "items").groupBy("t1", "t2").agg(F.size(inside).cast("long").alias("n_hit"), items.alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated: one row for each row of docs.
 
-    Rows without doc_id are never hit. Repeated rows of one doc_id share their hits.
+    Each row's figures are those of its own text, whether doc_ids repeat or are
+    null. Null and empty texts have no words. Without benchmark items nothing
+    is hit. Other columns are ignored.
     """
-    held = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    hit = stage(hits(docs.where("doc_id is not null"), benchmark, window), "hits")
+    held = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_name())
+    hit = stage(hits(docs, benchmark, window), "hits")
     none = F.array().cast("array<string>")
-    return held.join(hit.hint("merge"), "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return held.join(hit.hint("merge"), ["t1", "t2"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a window of the benchmark; rows without doc_id stay."""
-    hit = stage(hits(docs.where("doc_id is not null"), benchmark, window).select("doc_id"), "hits")
-    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds a window of the benchmark; all columns stay as they are."""
+    hit = stage(hits(docs, benchmark, window).select("t1", "t2"), "hits")
+    held, back = aside(docs, "t1", "t2")
+    return held.select("*", *text_name()).join(hit.hint("merge"), ["t1", "t2"], "left_anti").drop("t1", "t2").withColumnsRenamed(back).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

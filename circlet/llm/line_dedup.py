@@ -31,18 +31,25 @@ def long_line(line, min_chars: int):
     return F.char_length(F.btrim(line, F.lit(SPACE))) >= min_chars
 
 
+def text_name(text):
+    """128 bits that name a text: rows of one doc_id may differ in it."""
+    return F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, hashes: the keys that this document loses.
+    """doc_id, t1, t2, places: the lines, by place from 0, that the text t1, t2 of this document loses.
 
     Keys of at least min_chars code points in at least min_docs distinct
     doc_ids; the largest doc_id keeps its lines. A null doc_id holds no line.
     """
-    held = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(long_line(F.col("line"), min_chars)).select("doc_id", line_hash(F.col("line")).alias("h"))
-    held = held.select("doc_id", "h.a", "h.b")
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", text_name(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    long = known.where(long_line(F.col("line"), min_chars)).select("doc_id", "t.t1", "t.t2", "place", line_hash(F.col("line")).alias("h"))
+    # Written once, as lines are hashed from whole texts; both uses read numbers.
+    held = stage(long.select("doc_id", "t1", "t2", "place", "h.a", "h.b"), "held")
     # countDistinct groups by key and document first, so one line in a third of all documents is spread before it is counted.
     common = stage(held.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "lines")
     lost = held.join(common.hint("merge"), ["a", "b"]).where("doc_id < keeper")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("hashes"))
+    return lost.groupBy("doc_id", "t1", "t2").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -50,20 +57,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     All other columns stay. Repeated rows of one doc_id count as one document
     and lose the same lines. Null and empty texts are one empty line and stay
-    as they are. If every line goes, the text is empty. No rows: no rows.
+    as they are. If every line goes, the text is empty. No rows: no rows. A
+    text costs time in proportion to its length, however many lines it has and
+    loses.
     """
-    # the lost keys of a document are bounded by its own lines
-    lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnRenamed("doc_id", "lost_by")
+    # the lost places of a text are bounded by its own lines
+    lost = stage(dropped_lines(docs, min_chars, min_docs), "lost").withColumnsRenamed({"doc_id": "lost_by", "t1": "lost_1", "t2": "lost_2"})
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    held, back = aside(docs.select(*columns), "lost_by", "hashes", "stay")
-    held = held.join(lost.hint("merge"), F.col("doc_id") == F.col("lost_by"), "left")
-    lines = lines_of(F.col("text"))
-    stay = F.filter(lines, lambda x: ~(long_line(x, min_chars) & F.array_contains(F.col("hashes"), line_hash(x))))
-    held = held.withColumn("stay", F.when(F.col("hashes").isNull(), lines).otherwise(stay))
-    n = F.size(lines).cast("long")
-    text = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n"))
+    held, back = aside(docs.select(*columns), "lost_by", "lost_1", "lost_2", "places", "t1", "t2", "lines", "stay")
+    # hashes and lines are columns, so that neither a sort nor the transform below makes them again
+    held = held.withColumn("t", text_name(F.col("text"))).withColumns({"t1": F.col("t.t1"), "t2": F.col("t.t2")}).drop("t")
+    held = held.join(lost.hint("merge"), (F.col("doc_id") == F.col("lost_by")) & (F.col("t1") == F.col("lost_1")) & (F.col("t2") == F.col("lost_2")), "left")
+    held = held.withColumn("lines", lines_of(F.col("text")))
+    # array_except looks places up in a hash set; a line is then taken by its place
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda i: F.get("lines", i))
     names = {c: new for new, c in back.items()}
-    return held.select(*[(text if c == "text" else F.col(f"`{names.get(c, c)}`")).alias(c) for c in columns], n.alias("n_lines"), (n - F.size("stay")).alias("n_dropped"))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    n_dropped = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places"))
+    return held.select(*[(text if c == "text" else F.col(f"`{names.get(c, c)}`")).alias(c) for c in columns], F.size("lines").cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

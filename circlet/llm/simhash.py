@@ -7,16 +7,18 @@ bits away, else six. Segments that differ in at most two bits share such a key.
 
 Up to four differing bits, let e1, e2, e3 be those of the three segments:
 
-* e1 >= 3: e2 + e3 <= 1, so segment 2 is equal, or the Golay key of 2 and segment 3 are;
+* e1 >= 3: e2 + e3 <= 1, so segment 2 and two of the three 6-bit blocks of
+  segment 3 are equal, or the Golay key of 2 and segment 3 are;
 * e2 >= 3: likewise with segments 1 and 3;
-* else both Golay keys are shared; with e3 <= 2 one of the three 6-bit blocks of
-  segment 3 is equal too; with e3 >= 3, e1 + e2 <= 1, so segment 1 or 2 is equal.
-
-Every link thus shares one of these composite keys, about 97 a fingerprint.
-Equal fingerprints are one item throughout. Documents meet by key; each bucket
-is verified and gives a spanning forest of its links, never all pairs. A bucket
-over ``LIMIT`` takes another exact way: its fingerprints list all 2,081 points
-within two bits, and whoever shares such a point is within four bits.
+* else both Golay keys are shared; with e3 <= 2 one of the blocks of segment 3
+  is equal too; with e3 >= 3, e1 + e2 <= 1, so segment 1 and the Golay key of 2
+  are equal, or segment 2 and the Golay key of 1.
+
+Every link thus shares one of these composite keys, of 30 bits or more and about
+113 a fingerprint. Equal fingerprints are one item throughout. Documents meet by
+key; each bucket is verified and gives a spanning forest of its links, never all
+pairs. A bucket over ``LIMIT`` takes another exact way: its fingerprints list
+all points within half the bits, and whoever shares such a point is a link.
 """
 
 from __future__ import annotations
@@ -128,6 +130,8 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(ids if ok is None else ids[ok])
         out.append((key if ok is None else key[ok]) | family << 50)
 
+    blocks = [s3 >> 6, s3 & 0x3F03F, s3 & 0xFFF]  # two of three each
+
     for i in range(6):
         for j in range(6):
             if (ok := (g1[:, i] >= 0) & (g2[:, j] >= 0)).any():
@@ -136,8 +140,11 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     add(k, row[ok], both | (s3[ok] >> 6 * k & 63))
         add(3, row, g2[:, i] << 18 | s3, g2[:, i] >= 0)
         add(4, row, g1[:, i] << 18 | s3, g1[:, i] >= 0)
-    add(5, row, s2)
-    add(6, row, s1)
+        add(5, row, s1 << 12 | g2[:, i], g2[:, i] >= 0)
+        add(6, row, s2 << 12 | g1[:, i], g1[:, i] >= 0)
+    for k, two in enumerate(blocks):
+        add(7 + k, row, s2 << 18 | two)
+        add(10 + k, row, s1 << 18 | two)
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -208,33 +215,42 @@ def _meet(bits: int, limit: int):
     return run
 
 
-def _points(batches):
-    """All points within two bits of each fingerprint."""
-    masks = np.array([0] + [1 << a for a in range(64)] + [1 << a | 1 << b for a, b in combinations(range(64), 2)], dtype="u8")
-    for batch in batches:
-        fps = np.asarray(batch.column("fp")).view("u8")
-        for s in range(0, len(fps), 64):
-            part = fps[s : s + 64]
-            yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ masks).ravel().view("i8")), pa.array(np.repeat(part, len(masks)).view("i8"))], names=["key", "fp"])
+def _points(bits: int):
+    """All points within half the bits of each fingerprint; far: those that are within the larger half alone, if the bits are odd."""
+    near = [sum(1 << x for x in spots) for n in range(bits // 2 + 1) for spots in combinations(range(64), n)]
+    beyond = [sum(1 << x for x in spots) for spots in combinations(range(64), bits // 2 + 1)] if bits % 2 else []
+    masks, far = np.array(near + beyond, dtype="u8"), np.arange(len(near) + len(beyond)) >= len(near)
+
+    def run(batches):
+        for batch in batches:
+            fps = np.asarray(batch.column("fp")).view("u8")
+            for s in range(0, len(fps), 64):
+                part = fps[s : s + 64]
+                yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ masks).ravel().view("i8")), pa.array(np.tile(far, len(part))), pa.array(np.repeat(part, len(masks)).view("i8"))], names=["key", "far", "fp"])
+
+    return run
 
 
 def _stars(batches):
-    """Over rows sorted by point: links to the point's first fingerprint."""
-    key = first = None
+    """Over rows sorted by point, near ones first: links to the point's first fingerprint, if one is near."""
+    key = first = far = None
     for batch in batches:
-        k, f = np.asarray(batch.column("key")), np.asarray(batch.column("fp"))
+        k, f, away = np.asarray(batch.column("key")), np.asarray(batch.column("fp")), np.asarray(batch.column("far"))
         if not len(k):
             continue
         at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        head = np.repeat(f[at], np.diff(np.append(at, len(k))))
+        size = np.diff(np.append(at, len(k)))
+        head, none = np.repeat(f[at], size), np.repeat(away[at], size)
         if key is not None and k[0] == key:
-            head[: at[1] if len(at) > 1 else len(k)] = first
-        key, first = k[-1], head[-1]
-        yield _link_batch(f[f != head], head[f != head])
+            n = at[1] if len(at) > 1 else len(k)
+            head[:n], none[:n] = first, far
+        key, first, far = k[-1], head[-1], none[-1]
+        ok = (f != head) & ~none
+        yield _link_batch(f[ok], head[ok])
 
 
 def links(distinct: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
-    """distinct (fp long) -> u, v: links of at most four bits that span every component."""
+    """distinct (fp long) -> u, v: links of at most ``bits`` bits (up to four) that span every component."""
     if bits > 4:
         raise ValueError("the keys are complete up to four bits")
     n = partitions(distinct.sparkSession)
@@ -251,9 +267,7 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFram
     hot = met.where("u = v").select(F.col("u").alias("fp")).distinct()
     if hot.isEmpty():
         return met
-    if bits < 4:
-        raise ValueError("large buckets need four bits")
-    near = hot.mapInArrow(_points, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_stars, _LINK)
+    near = hot.mapInArrow(_points(bits), "key long, far boolean, fp long").repartition(n, "key").sortWithinPartitions("key", "far", "fp").mapInArrow(_stars, _LINK)
     return met.where("u <> v").union(near.distinct())
 
 
@@ -283,6 +297,8 @@ ALIKE = (4, 5)
 LOOSE = 40
 #: Nodes of a chunk; groups of more are compared as pairs of chunks.
 CHUNK = 256
+#: Rows of a bucket beyond which all its nodes are proposed with its first one, so that no task holds it.
+BUCKET = 1 << 18
 #: Places of the map that says which texts' shingles are needed; one map a task and 16 at the driver.
 PLACES = 1 << 23
 
@@ -359,14 +375,35 @@ def _proposals(batches):
         both = np.unique(np.concatenate([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([text(both[:, :2]), text(both[:, 2:])], names=["u", "v"])
 
-    x = {c: np.zeros(0, dtype="i8") for c in _KEYED}
+    def star(node, first):
+        text = lambda m: pa.array([r.tobytes() for r in m.astype(">i8")], pa.binary())
+        return pa.RecordBatch.from_arrays([text(np.repeat(first[None], len(node), axis=0)), text(node)], names=["u", "v"])
+
+    held, rows, hot = [], 0, None
     for batch in batches:
-        x = {c: np.concatenate((x[c], np.asarray(batch.column(c)))) for c in _KEYED}
-        if len(x["key"]) and (last := np.searchsorted(x["key"], x["key"][-1])) > 20_000:
+        x = {c: np.asarray(batch.column(c)) for c in _KEYED}
+        if hot is not None and (n := int(np.searchsorted(x["key"], hot[0], "right"))):
+            yield star(np.stack([x["n0"][:n], x["n1"][:n]], axis=1), hot[1])
+            x = {c: y[n:] for c, y in x.items()}
+        if not len(x["key"]):
+            continue
+        hot = None
+        held.append(x)
+        rows += len(x["key"])
+        if rows <= 20_000 or len(held) > 1 and held[0]["key"][0] == x["key"][-1] and rows <= BUCKET:
+            continue
+        x = {c: np.concatenate([h[c] for h in held]) for c in _KEYED}
+        last = int(np.searchsorted(x["key"], x["key"][-1]))
+        if last:
             yield buckets({c: y[:last] for c, y in x.items()})
             x = {c: y[last:] for c, y in x.items()}
-    if len(x["key"]):
-        yield buckets(x)
+        held, rows = [x], len(x["key"])
+        if rows > BUCKET:
+            node = np.stack([x["n0"], x["n1"]], axis=1)
+            yield star(node, node[0])
+            held, rows, hot = [], 0, (x["key"][0], node[0])
+    if rows:
+        yield buckets({c: np.concatenate([h[c] for h in held]) for c in _KEYED})
 
 
 def _place(node: bytes) -> int:

@@ -31,12 +31,14 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int |
     """docs (doc_id, text) as shard int, doc_id, shard_start long (ids before the document within its shard), tokens array<int>.
 
     Shards are ranges of doc_id in ascending order, null ids first; rows of the
-    same doc_id are ordered by their text. Null and empty texts give the end id
-    alone. Every row of the input is one document, repeated rows included.
-    Other columns are ignored.
+    same doc_id, which may span shards, stay in the order in which they are
+    read. Null and empty texts give the end id alone. Every row of the input is
+    one document, repeated rows included. Other columns are ignored.
     """
     shards = shards or partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    # the row's place makes every key of the range one of its own, so no doc_id is hot
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    rows = placed.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):

@@ -27,8 +27,8 @@ from .tokens import groups
 FOLDS = 5
 #: Most labelled rows that the classifier learns from; if there are more, those of the smallest hashes of doc_id.
 SAMPLE = 20_000
-#: Most features that are kept, those of the largest weights; a feature is in at least SUPPORT toxic documents of the sample.
-FEATURES, SUPPORT = 50_000, 5
+#: A feature is in at least SUPPORT toxic documents of the sample, and its odds are at least e to 1; so there are at most a fifth as many as the sample's toxic documents have words and beginnings.
+SUPPORT, LEAST = 5, 1.0
 #: Letters of the character model: all others are boundaries (class 0).
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 K = len(LETTERS) + 1
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         return {"model": model, "weights": {}, "curve": (0.0, 0.0, base)}
     n = sample.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("c"))
     odds = F.log((F.col("t") + 0.1) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
-    best = n.where(F.col("t") >= SUPPORT).select("feature", odds.alias("w")).where("w > 1").orderBy(F.desc("w"), "feature").limit(FEATURES).collect()
+    best = n.where(F.col("t") >= SUPPORT).select("feature", odds.alias("w")).where(F.col("w") > LEAST).collect()  # bounded by the sample
     weights = {r.feature: r.w for r in best}
     held = spark.sparkContext.broadcast(weights)
 
@@ -257,7 +257,13 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def score(docs: DataFrame, trained: dict) -> DataFrame:
-    """docs and score double, predicted int, which replace columns of these names: one row for each row. Null and empty texts score as texts without weighty words."""
+    """docs and score double, predicted int, which replace columns of these names: one row for each row.
+
+    Null and empty texts score as texts without weighty words. Equal texts have
+    equal scores, whatever their doc_id; repeated rows stay rows, and a score of
+    exactly one half is predicted 1. A token's reading, and so a score, depends
+    on its text alone; of readings of equal probability the one met first counts.
+    """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

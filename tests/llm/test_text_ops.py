@@ -1,18 +1,21 @@
 """Operators on documents against plain Python, and their edge cases."""
 
 import collections
+import glob
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from circlet.llm import decontam, language_model, line_dedup, packing, simhash, token_output, toxicity
+from circlet.llm import decontam, line_dedup, packing, simhash, token_output
 from circlet.llm.common import components, new_path
 from circlet.llm.tokens import Encoder
 
@@ -51,6 +54,40 @@ def test_orc_round_trip(spark):
     assert [r.doc_id for r in token_output.find(spark, path, [7]).collect()] == [7]
 
 
+def test_orc_splits_a_hot_doc_id(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(5, "same")] * 300 + [(9, "last")]
+    df = token_output.encode(spark.createDataFrame(rows, DOCS).repartition(4), BYTE, shards=8)
+    sizes = [r["count"] for r in df.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
+    got = token_output.digest(token_output.read_orc(spark, token_output.write_orc(df, new_path(spark, "orc")))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [5] * 300 + [9]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
+def test_orc_files_hold_stripes_indexes_and_bloom_filters(spark):
+    """Read from the files' own footers, and from what a lookup reads."""
+    from pyarrow import orc
+
+    df = spark.createDataFrame([(i, f"some words of document {i} " * 4) for i in range(0, 60_000, 2)], DOCS)
+    path = token_output.write_orc(token_output.encode(df, BYTE, shards=2), new_path(spark, "orc"), stripe_bytes=1 << 16, stride=1000)
+    files = glob.glob(path.removeprefix("file://") + "/*.orc")
+    held = [orc.ORCFile(f) for f in files]
+    assert len(files) == 2 and max(f.nstripes for f in held) > 1 and all(f.compression == "ZSTD" and f.row_index_stride == 1000 for f in held)
+    spans = sorted((t["doc_id"][0].as_py(), t["doc_id"][-1].as_py()) for f in held for t in [pa.Table.from_batches([f.read_stripe(k)]) for k in range(f.nstripes)])
+    assert all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))  # stripes in order: their minima and maxima prune
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(files[0]), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    rows = reader.rows()
+    include = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+    include[2] = True  # doc_id
+    index = rows.readRowIndex(0, include, include)
+    assert index.getBloomFilterIndex()[2].getBloomFilterCount() >= 1
+    rows.close()
+    assert [r.doc_id for r in token_output.find(spark, path, [10, 11]).collect()] == [10]
+    assert "In(doc_id, [10,11])" in token_output.find(spark, path, [10, 11])._jdf.queryExecution().toString()
+
+
 def test_orc_of_no_documents(spark):
     path = token_output.write_orc(token_output.encode(spark.createDataFrame([], DOCS), BYTE), new_path(spark, "orc"))
     assert token_output.digest(token_output.read_orc(spark, path)).count() == 0
@@ -78,6 +115,31 @@ def test_line_dedup_counts_documents_not_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_equals_plain_python(spark):
+    """The query's columns on texts of thousands of lines, half of them one line, with repeated doc_ids, nulls and clashing columns."""
+    rng = np.random.default_rng(9)
+    lines = [f"Line number {i} of a kind that is long enough to count" for i in range(30)] + ["short", "", "  ", "\u00c9" * 41]
+    hot = "the one line that half of all documents hold many times over"
+    texts = ["\n".join(rng.choice(lines, rng.integers(1, 12))) for _ in range(150)] + [f"{hot}\n\t{hot.upper()} \nx{i}" for i in range(150)]
+    texts += [None, "", "\n" * 5000, "\n".join([hot, *map(str, range(20_000)), hot]), "\n".join(lines * 300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, hot + "\nother"), (None, hot)]
+    keys = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")]
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        for k in keys(t):
+            if i is not None and len(k) >= 40:
+                held[k].add(i)
+    want = []
+    for i, t in rows:
+        kept = [x for x, k in zip((t or "").split("\n"), keys(t)) if not (i is not None and len(held[k]) >= 5 and i != max(held[k]))]
+        want.append((i, len(keys(t)), len(keys(t)) - len(kept), "\n".join(kept)))
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("places", "t1", "lines", "n_lines", "lost_by")})
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "places", "t1", "lines", "lost_by", "n_lines", "n_dropped"]
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r.lost_by for r in got.collect()} == {"own"}
+
+
 def test_packing_plan():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -104,6 +166,12 @@ def test_packing_rows(spark):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.concatenate(([0], g.length.cumsum()[:-1]))).all() and g.length.sum() <= 128
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 128) * 1.05 + 1
+    # each piece against the plain tokenizer: where it starts, its length and its tokens
+    want = []
+    for i, x in [*enumerate(texts), *enumerate(texts[:3])]:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k, 128 * k, len(ids[128 * k : 128 * k + 128]), zlib.crc32(ids[128 * k : 128 * k + 128].tobytes())) for k in range(-(-len(ids) // 128))]
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
     assert packing.pack(spark.createDataFrame([], DOCS), WORD).count() == 0
 
 
@@ -154,8 +222,8 @@ def plain_components(fps, bits=4):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_links_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, bits", [(4096, 4), (1, 4), (1, 3), (1, 2), (4096, 3), (1, 0)])
+def test_links_equal_brute_force(spark, limit, bits):
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 2**64, 40, dtype="u8")
     for _ in range(160):
@@ -164,13 +232,13 @@ def test_links_equal_brute_force(spark, limit):
             x ^= np.uint64(1) << np.uint64(rng.integers(64))
         fps = np.append(fps, x)
     fps = np.unique(fps)
-    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view("i8")], "fp long"), limit=limit)
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view("i8")], "fp long"), bits, limit)
     roots = {r.node: r.root for r in components(found).collect()}
     groups = collections.defaultdict(set)
     for x in fps.view("i8").tolist():
         groups[roots.get(x, x)].add(x)
     want = collections.defaultdict(set)
-    for x, g in zip(fps.view("i8").tolist(), plain_components(fps.tolist())):
+    for x, g in zip(fps.view("i8").tolist(), plain_components(fps.tolist(), bits)):
         want[g].add(x)
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
 
@@ -207,8 +275,9 @@ def test_near_copies_equal_exact_similarity(spark, monkeypatch):
                 root = [new if r == old else r for r in root]
     want = sorted(set(root))
     assert {0, 1, 2, 3} < set(want) and len(want) < 100
-    for chunk in (256, 10):
+    for chunk, bucket in ((256, 1 << 18), (10, 1 << 18), (10, 3)):  # small chunks and buckets: one group is many tasks' work
         monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
         assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == want
 
 
@@ -265,142 +334,22 @@ def test_decontamination(spark):
             n, hit, items = plain_hits(t, known)
             r = got[i]
             assert (r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated, r.n_items) == (n, hit, items, hit > 0, len(items.split(",")) if items else 0), (i, r)
-    kept = decontam.decontaminate(docs_of(spark, texts, True), b)
+    # rows of one doc_id have hits of their own; a window may be in half of all texts, some of it repeated
+    rows = [(1, texts[0]), (1, None), (1, "alpha beta"), (None, texts[0]), (2, "x"), (2, "x")] + [(i % 3, f"{texts[0]} tail {i % 40}") for i in range(200)]
+    for limit in (decontam.BROADCAST_BYTES, 2000, 0):
+        old, decontam.BROADCAST_BYTES = decontam.BROADCAST_BYTES, limit
+        try:
+            got = [(r.doc_id, r.n_words, r.n_hit) for r in decontam.contamination(spark.createDataFrame(rows, DOCS), b).collect()]
+        finally:
+            decontam.BROADCAST_BYTES = old
+        assert sorted(got, key=repr) == sorted(((i, *plain_hits(t, known)[:2]) for i, t in rows), key=repr)
+    kept = decontam.decontaminate(docs_of(spark, texts, True).withColumn("t1", F.lit("own")), b)
+    assert {r.t1 for r in kept.collect()} == {"own"}
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7] and "stay" in kept.columns
     assert decontam.contamination(docs_of(spark, texts), b.where("false")).where("contaminated").count() == 0
     assert decontam.contamination(spark.createDataFrame([], DOCS), b).count() == 0
 
 
-def toxic_rows(n=600):
-    rng = np.random.default_rng(4)
-    plain = ["".join(rng.choice(["an", "er", "th", "in", "on", "le"], 3)) for _ in range(80)]
-    bad = ["idiot", "moron", "pathetic"]
-    rows, labels = [], []
-    for i in range(n):
-        words = list(rng.choice(plain, 30))
-        y = int(rng.random() < 0.3)
-        if y:
-            words[int(rng.integers(30))] = bad[int(rng.integers(3))]
-        rows.append((i, " ".join(words)))
-        labels.append((i, y))
-    return rows, labels
-
-
-def test_toxicity(spark):
-    rows, labels = toxic_rows()
-    hidden = ["an 1d10t here", "an i d i o t here", "the m.o.r.o.n", "idiooooot", "p@thet1c"]
-    rows += [(10_000 + i, t) for i, t in enumerate(hidden)] + [(20_000, None), (20_001, ""), (20_002, "plain words then"), (None, "moron")]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
-    lab = spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int").withColumn("quality", F.lit(0))
-    got = toxicity.score(docs, toxicity.train(docs, lab)).collect()
-    assert len(got) == len(rows)
-    p = {r.doc_id: r.predicted for r in got}
-    y = dict(labels)
-    held = [i for i in y if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert np.mean([p[i] == y[i] for i in held]) > 0.97
-    assert [p[10_000 + i] for i in range(len(hidden))] == [1] * len(hidden)
-    assert p[20_000] == p[20_001] == p[20_002] == 0 and p[None] == 1
-    kept = toxicity.drop_toxic(docs, lab)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in p.items() if not x}
-
-
-def test_long_and_doubled_disguises(spark):
-    rows, labels = toxic_rows()
-    rows += [(i + 5_000, f"an ass {t}") for i, (_, t) in enumerate(rows[:200])]
-    labels += [(i + 5_000, 1) for i in range(200)]
-    words = [w for w in rows[1][1].split() if w not in ("idiot", "moron", "pathetic")][:8]
-    out = lambda *w: " ".join("".join(w))
-    hidden = ["idio" + "o" * 40 + "t", "iddiott", "@$$", out(words[0], "idiot", words[1]), out(*words, "moron", *words), "m" + "." * 50 + "oron"]
-    clean = [out(*words), "1000 455 2024", "leth" + "e" * 60 + "r"]
-    rows += [(10_000 + i, t) for i, t in enumerate(hidden)] + [(20_000 + i, t) for i, t in enumerate(clean)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).where("doc_id >= 10000").collect()
-    p = {r.doc_id: r.predicted for r in got}
-    assert [p[10_000 + i] for i in range(len(hidden))] == [1] * len(hidden)
-    assert [p[20_000 + i] for i in range(len(clean))] == [0] * len(clean)
-
-
-def test_toxicity_without_labels(spark):
-    docs = docs_of(spark, ["a", None])
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} <= {0, 1}
-    empty = spark.createDataFrame([], DOCS)
-    assert toxicity.score(empty, toxicity.train(empty, none)).count() == 0
-
-
-def test_gradients():
-    v = language_model.Vocabulary([(f"w{i}", 300 - i) for i in range(200)], 5, {}, 50_000, 201)
-    w = {k: x.astype("f8") for k, x in language_model.start_weights(v).items()}
-    net = language_model.Network(w, v.n_soft)
-    rng = np.random.default_rng(0)
-    shape, n = (5, 3), v.n_soft + language_model.ENDINGS
-    inp, tgt, reset, mask = rng.integers(0, n, shape), rng.integers(0, v.n_soft, shape), rng.random(shape) < 0.2, rng.random(shape) < 0.9
-    h = rng.normal(size=(3, language_model.HIDDEN))
-
-    def loss():
-        hs, _, _ = net.states(inp, reset, h)
-        return -net.outputs(hs.reshape(-1, language_model.HIDDEN)[mask.ravel()], tgt.ravel()[mask.ravel()])[0].mean()
-
-    _, g, _ = net.gradients(inp, tgt, reset, mask, h)
-    for k, x in w.items():
-        i = int(np.abs(g[k]).argmax())
-        flat, old = x.ravel(), x.ravel()[i]
-        flat[i] = old + 1e-3
-        up = loss()
-        flat[i] = old - 1e-3
-        down = loss()
-        flat[i] = old
-        assert abs((up - down) / 2e-3 - g[k].ravel()[i]) < 1e-4 * max(1, abs(g[k].ravel()[i])), k
-
-
-def test_lanes_read_every_token_once():
-    docs = {i: np.arange(1, 1 + n, dtype="i4") for i, n in enumerate([1, 70, 5, 200, 33, 2])}
-    seen = collections.defaultdict(list)
-    for inp, tgt, reset, number in language_model.Lanes(((i, iter([x[:3], x[3:]])) for i, x in docs.items()), 2, 999).windows():
-        for k in range(inp.shape[1]):
-            for t in range(inp.shape[0]):
-                if (i := number[t, k]) >= 0:
-                    assert reset[t, k] == (not seen[i]) and inp[t, k] == (seen[i][-1] if seen[i] else 999)
-                    seen[i].append(tgt[t, k])
-    assert {i: list(x) for i, x in docs.items()} == dict(seen)
-
-
-@pytest.mark.parametrize("head", [language_model.HEAD, 30])
-def test_language_model(spark, monkeypatch, head):
-    monkeypatch.setattr(language_model, "HEAD", head)
-    rng = np.random.default_rng(6)
-    vocab = [[f"{p}{i}" for i in range(30)] for p in "ab"]
-    texts = [" ".join(rng.choice(vocab[i % 2], 40)) for i in range(400)] + [None, "", "A0\x0bunseen word", "a1 " * 3000]
-    got = {r.doc_id: r for r in language_model.score_documents(docs_of(spark, texts, True)).collect()}
-    split = {i: (t or "").encode().translate(language_model.LOWER_AZ).split() for i, t in enumerate(texts)}
-    counts, ends = collections.Counter(), 0
-    for i, w in split.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(w)
-            ends += 1
-    total, distinct = sum(counts.values()) + ends, len(counts) + 1
-    for i, w in split.items():
-        r = got[i]
-        base = sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w) + math.log10((ends + 1) / (total + distinct + 1))
-        assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.n_known == sum(x in counts for x in w) + 1
-        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(w) + 1, total, zlib.crc32(str(i).encode()) % 7 == 2)
-        assert math.isfinite(r.score) and r.score <= 0
-    held = [r for i, r in got.items() if r.held_out and i < 400]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_language_model_trains_on_every_document(spark):
-    docs = docs_of(spark, [f"w{i} x" for i in range(300)] + [None, "", "w1 x"])
-    seen = [r.doc_id for k in range(language_model.ROUNDS) for r in language_model.round_part(docs, k).collect()]
-    assert sorted(seen) == sorted(r.doc_id for r in docs.collect())
-
-
-def test_language_model_of_no_documents(spark):
-    assert language_model.score_documents(spark.createDataFrame([], DOCS)).count() == 0
-    only = spark.createDataFrame([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], DOCS)
-    assert all(r.train_tokens == 0 and r.base_score == 0 for r in language_model.score_documents(only).collect())
-
-
 def test_line_hash_is_what_sha_compares(spark):
     df = docs_of(spark, ["a\nb"]).select(F.sha2(F.col("text").cast("binary"), 256).alias("x"))
     assert df.first().x == hashlib.sha256(b"a\nb").hexdigest()
