@@ -1,7 +1,9 @@
 """Operators on vectors and pages, the registered queries, and the pipeline."""
 
+import glob
 import hashlib
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -89,12 +91,38 @@ def test_warc(spark):
     assert [c["page_id"] for c in index.lookup("http://b.org")] == [2, 3] and index.lookup("http://nowhere.example/") == []
     (c,) = index.lookup("http://long.example")
     assert index.fetch(c) == b"y" * 300_000
-    assert len(index.rows) > 3
+    assert spark.read.parquet(f"{index.path}/directory").count() > 3
+    ids = [x for r in spark.read.text(path, wholetext=True).collect() for x in re.findall("WARC-Record-ID: (\\S+)", r.value)]
+    assert len(ids) == len(set(ids)) == len(rows)  # page_id 9 is there twice
+
+
+@pytest.mark.parametrize("segment, read_bytes", [(1024, 8 << 20), (2, 100)])
+def test_records_by_way_of_the_index(spark, monkeypatch, segment, read_bytes):
+    """A third of the pages are one URL and one payload; sizes are skewed; archives are cut by bytes."""
+    monkeypatch.setattr(warc, "SEGMENT", segment)
+    monkeypatch.setattr(warc, "READ_BYTES", read_bytes)
+    rng = np.random.default_rng(4)
+    rows = [(i, "http://hot.example/", "the same page " * 100) for i in range(100)]
+    rows += [(100 + i, f"http://site{i % 9}.org/{i}", "x" * int(rng.pareto(0.7) * 50)) for i in range(200)] + [(7, None, None), (None, "", "é" * 3000)]
+    path = warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), new_path(spark, "warc"), file_bytes=20_000)
+    for f in glob.glob(path.removeprefix("file://") + "/**/*.txt", recursive=True):
+        assert os.path.getsize(f) <= 20_000 + max(len((h or "").encode()) for _, _, h in rows) + 1000
+    plain = warc.read_warc(spark, path, html=True)
+    index = warc.write_index(warc.read_warc(spark, path), new_path(spark, "index"), block_lines=7)
+    by_index = warc.fetch_records(warc.index_captures(spark, index), html=True)
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, by_index.collect()), key=repr)
+    assert by_index.count() == len(rows) and by_index.where("record_type = 'revisit'").count() == 99
+    look = warc.CaptureIndex(spark, index)
+    assert [c["page_id"] for c in look.lookup("http://hot.example")] == list(range(100))
+    found = look.lookup("http://site3.org/12")
+    assert [c["page_id"] for c in found] == [112] and look.fetch(found[0]).decode() == rows[112][2]
 
 
 def test_warc_of_no_pages(spark):
     path = warc.write_warc(spark.createDataFrame([], PAGES), new_path(spark, "warc"))
-    assert warc.read_warc(spark, path).count() == 0
+    captures = warc.read_warc(spark, path)
+    assert captures.count() == 0
+    assert warc.fetch_records(warc.index_captures(spark, warc.write_index(captures, new_path(spark, "index")))).count() == 0
 
 
 @pytest.mark.parametrize(
