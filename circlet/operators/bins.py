@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .intervals import overlap_join
 
 
+#: What rounding may leave of a difference that is none.
+ROUNDING = 1e-9
+
+
 def bin_start(col, width: int):
     return F.floor(col / width).cast("long") * width
 
@@ -74,7 +78,7 @@ def smooth_outliers(df: DataFrame, value: str = "x", reach: int = 10, far: float
         for x in (F.lag(value, k).over(order), F.lead(value, k).over(order)):
             top = top + F.coalesce(x * (reach + 1 - k), F.lit(0.0))
             bottom = bottom + F.when(x.isNull(), 0).otherwise(reach + 1 - k)
-    out = F.abs(F.col(value) - F.col("near_mean")) > far * F.col("near_sd")
+    out = F.abs(F.col(value) - F.col("near_mean")) > far * F.col("near_sd") + ROUNDING
     return df.withColumn("smooth", F.when(out, F.try_divide(top, bottom)).otherwise(F.col(value)))
 
 
@@ -83,7 +87,7 @@ def mask_upper(df: DataFrame, value: str = "n", reach: int = 10, far: float = 2.
     df = df.withColumn(value, F.col(value).cast("double"))
     for _ in range(passes):
         df = neighbours(df, value, reach)
-        df = df.withColumn(value, F.when(F.col(value) > F.col("near_mean") + far * F.col("near_sd"), None).otherwise(F.col(value))).drop("near_n", "near_mean", "near_sd")
+        df = df.withColumn(value, F.when(F.col(value) > F.col("near_mean") + far * F.col("near_sd") + ROUNDING, None).otherwise(F.col(value))).drop("near_n", "near_mean", "near_sd")
     return df
 
 
@@ -109,6 +113,8 @@ def coverage_windows(windows: DataFrame, reads: DataFrame, read_length: int = 10
     """Depth of each window, and its median, mean and deviation over sound windows in one row. The median is the upper middle value."""
     hit = overlap_join(windows, reads.select("chrom", "start", "stop")).groupBy("chrom", "start").agg(F.count("*").alias("k"))
     depth = hit.select((F.col("k") * read_length / F.lit(width + 1)).alias("depth"))
-    middle = depth.where("depth > 0").agg(F.sort_array(F.collect_list("depth")).alias("d")).select(F.element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int")).alias("median"))
+    # The upper middle of the counts, from their histogram: as long as there are different ones, however many windows.
+    held = hit.groupBy("k").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.orderBy("k")))
+    middle = held.crossJoin(F.broadcast(held.agg(F.max("_upto").alias("_all")))).where(F.col("_upto") > F.floor(F.col("_all") / 2)).agg((F.min("k") * read_length / F.lit(width + 1)).alias("median"))
     sound = depth.crossJoin(F.broadcast(middle)).where("depth > 0 and depth < 5 * median")
     return sound.agg(F.max("median").alias("median"), F.avg("depth").alias("mean"), F.stddev_pop("depth").alias("sd"), F.count("*").alias("windows"))

@@ -24,8 +24,10 @@ def rescue_near_edge(sites: DataFrame, ends: DataFrame, least: int = 3, reach: i
 
 def top_n(sites: DataFrame, n: int) -> DataFrame:
     """For each side, sites with a count above that of the n-th; ties with it are left out. With fewer than n sites all stay."""
-    ranks = sites.withColumn("_rn", F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("n"), "chrom", "coord")))
-    cut = ranks.where(F.col("_rn") == n).select("clip", F.col("n").alias("_cut"))
+    # The n-th count is found on the histogram of counts, which is as long as there are different ones.
+    held = sites.groupBy("clip", "n").agg(F.count("*").alias("_k"))
+    upto = held.withColumn("_upto", F.sum("_k").over(Window.partitionBy("clip").orderBy(F.desc("n"))))
+    cut = upto.where(F.col("_upto") >= n).groupBy("clip").agg(F.max("n").alias("_cut"))
     return sites.join(F.broadcast(cut), "clip", "left").where(F.col("_cut").isNull() | (F.col("n") > F.col("_cut"))).drop("_cut")
 
 
@@ -104,8 +106,9 @@ def snap_two_ended(edges: DataFrame, pairs: DataFrame, reach: int = NEAR) -> Dat
     near = band(near, reach + 1, "to1")
     rows = edges.withColumn("_band", F.floor(F.col("coord1") / (reach + 1)))
     met = rows.join(near, ["chrom1", "clip1", "chrom2", "clip2", "_band"]).where((F.abs(F.col("coord1") - F.col("to1")) <= reach) & (F.abs(F.col("coord2") - F.col("to2")) <= reach))
-    top = met.groupBy(*key).agg(F.max("n").alias("_top"))
-    best = met.join(top, key).where("n = _top").groupBy(*key).agg(F.count("*").alias("_k"), F.min("to1").alias("to1"), F.min("to2").alias("to2")).where("_k = 1").drop("_k")
+    # The strongest is the only one if it is both the first and the last of the strongest by place.
+    best = met.groupBy(*key).agg(F.max(F.struct("n", "to1", "to2")).alias("_last"), F.max(F.struct("n", -F.col("to1"), -F.col("to2"))).alias("_first"))
+    best = best.where("_last.to1 = -_first.col2 and _last.to2 = -_first.col3").select(*key, "_last.to1", "_last.to2")
     out = edges.join(best, key, "left")
     return out.select(*edges.columns, F.coalesce("to1", "coord1").alias("to1"), F.coalesce("to2", "coord2").alias("to2"), F.col("to1").isNotNull().alias("snapped"))
 
@@ -134,6 +137,48 @@ def filter_pairs(pairs: DataFrame, least: int = 2, shortest: int = 500, segments
     return rows.select(*pairs.columns)
 
 
+def sound_pairs(pairs: DataFrame, least: int = 5, shortest: int = 200, segments: DataFrame | None = None, sites: DataFrame | None = None, pad: int = 10_000, overlap: int = 20, gap: int = 1000, repeats: float = 0.7, match: int = 5) -> DataFrame:
+    """The whole filter of pairs (chrom1..clip2, n, offset, seq, source, pe): source is split, pe or ds; pe says that read pairs support it too.
+
+    Enough support; not short on one chromosome; read bases that both ends claim
+    at most ``overlap``, bases between them at most ``gap``. Split pairs that no
+    read pair supports need a match (the upper-case run of seq) of enough
+    letters, of which short repeats take no more than a share. Both ends lie in
+    merged segments widened by pad, and one end of a ds pair is among the sites
+    (chrom, coord, clip). Missing segments or sites aren't asked for.
+    """
+    from circlet.functions.text import first_upper_run, repeat_share
+
+    by_sequence = (F.col("source") == "split") & ~F.coalesce(F.col("pe"), F.lit(False))
+    run = F.coalesce(first_upper_run(F.col("seq")), F.lit(""))
+    offset = F.coalesce(F.col("offset"), F.lit(0))
+    rows = filter_pairs(pairs.where((offset <= overlap) & (offset >= -gap)), least, shortest, segments, pad)
+    rows = rows.where(~by_sequence | ((F.length(run) >= match) & (repeat_share(run) <= repeats)))
+    if sites is None:
+        return rows
+    known = sites.select("chrom", "coord", "clip").distinct().withColumn("_k", F.lit(True))
+    for k in (1, 2):
+        rows = rows.join(known.toDF(f"chrom{k}", f"coord{k}", f"clip{k}", f"_k{k}"), [f"chrom{k}", f"coord{k}", f"clip{k}"], "left")
+    rows = rows.where((F.col("source") != "ds") | F.col("_k1").isNotNull() | F.col("_k2").isNotNull())
+    return rows.select(*pairs.columns)
+
+
+def discordant_links(reads: DataFrame, max_insert: int = 450, min_mapq: int = 5) -> DataFrame:
+    """Links (chrom1..clip2, rid, bc) of the read pairs that discordant() finds, each pair once: a mate on + points right of its end (clip R), one on - left of its start.
+
+    A read says where its mate begins but not where it stops, so a mate's end is taken at the read's own length.
+    """
+    from .reads import discordant
+
+    bit = lambda n: F.col("flag").bitwiseAND(n) != 0
+    length = F.col("stop") - F.col("start")
+    end = lambda chrom, start, back: F.struct(chrom.alias("chrom"), F.when(back, start).otherwise(start + length - 1).alias("coord"), F.when(back, "L").otherwise("R").alias("clip"))
+    rows = discordant(reads, max_insert, min_mapq).select(F.xxhash64("qname").alias("rid"), F.col("cb").alias("bc"), end(F.col("chrom"), F.col("start"), bit(16)).alias("x"), end(F.col("mate_chrom"), F.col("mate_start"), bit(32)).alias("y"))
+    both = rows.select("rid", "bc", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    once = both.groupBy("rid").agg(F.min(F.struct("x", "y", "bc")).alias("l"))
+    return once.select(*[F.col(f"l.{s}.{c}").alias(f"{c}{k}") for k, s in ((1, "x"), (2, "y")) for c in ("chrom", "coord", "clip")], "rid", "l.bc")
+
+
 def nearest_strong_clip(boundaries: DataFrame, sites: DataFrame, reach: int = 10_000) -> DataFrame:
     """For each boundary (chrom, coord, clip) the site of its side with most clips within reach; nearest, then smallest, of equals."""
     near = band(sites.select("chrom", "clip", F.col("coord").alias("at"), "n"), reach + 1, "at")
@@ -178,5 +223,6 @@ def pairs_by_end(pairs: DataFrame, regions: DataFrame, pad: int = 0, keep: bool
 def stratified_sample(sites: DataFrame, value: str, strata: int, each: int, seed: int = 1) -> DataFrame:
     """At most ``each`` rows of every one of ``strata`` equal parts of the order of value, by hash. For tables of top sites, whose size is bounded."""
     part = F.ntile(strata).over(Window.orderBy(value, "chrom", "coord", "clip"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed), "chrom", "coord", "clip")))
+    name = F.md5(F.concat_ws(":", F.lit(str(seed)), "chrom", F.col("coord").cast("string"), "clip"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(name))
     return sites.withColumn("_part", part).withColumn("_rn", rank).where(F.col("_rn") <= each).drop("_part", "_rn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,13 +93,27 @@ def component_of(points: DataFrame, components: DataFrame, key: list[str], reach
     return near.groupBy(*key).agg(F.min_by(F.struct("r_start", "r_stop"), F.struct("_far", "r_start")).alias("_c"), F.min("_far").alias("distance")).select(*key, F.col("_c.r_start").alias("component_start"), F.col("_c.r_stop").alias("component_stop"), "distance")
 
 
-def reciprocal_overlap(rings: DataFrame) -> DataFrame:
-    """Pairs of rings (ring, chrom, start, stop) that share bases: each one's merged length and their common length, ends inclusive."""
-    merged = islands(rings, 1, ["ring", "chrom"], touching=True).groupBy("ring", "chrom", "island").agg(F.min("start").alias("start"), (F.max("stop") + 1).alias("stop")).drop("island")
-    total = merged.groupBy("ring").agg(F.sum(F.col("stop") - F.col("start")).alias("total"))
-    common = overlap_join(merged, merged).where("ring < r_ring").groupBy("ring", "r_ring").agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("common"))
-    other = total.select(F.col("ring").alias("r_ring"), F.col("total").alias("r_total"))
-    return common.join(total, "ring").join(other, "r_ring").select("ring", F.col("r_ring").alias("other"), "common", "total", F.col("r_total").alias("other_total"), (F.col("common") / F.greatest("total", "r_total")).alias("overlap"))
+def reciprocal_overlap(rings: DataFrame, above: float = 0.0) -> DataFrame:
+    """Pairs of rings (ring, chrom, start, stop) that share bases: each one's merged length and their common length, ends inclusive.
+
+    above: only pairs that share more than this part of the longer one. Their
+    lengths then differ by that factor at most, so only rings of neighbouring
+    classes of length meet.
+    """
+    # Everything before the join goes by ring: one shuffle, and the totals come along.
+    merged = islands(rings.select("ring", "chrom", "start", "stop").repartition("ring"), 1, ["ring", "chrom"], touching=True).groupBy("ring", "chrom", "island").agg(F.min("start").alias("start"), (F.max("stop") + 1).alias("stop")).drop("island")
+    merged = merged.withColumn("total", F.sum(F.col("stop") - F.col("start")).over(Window.partitionBy("ring")))
+    if above > 0:
+        merged = merged.withColumn("_class", F.floor(F.log(F.col("total").cast("double")) / math.log(1 / above)))
+        # the chromosome carries the class, so that the join's key does; a class meets itself and its neighbours
+        left = merged.withColumn("chrom", F.concat_ws("|", "chrom", F.col("_class").cast("string")))
+        right = merged.withColumn("_class", F.explode(F.array(*[F.col("_class") + k for k in (-1, 0, 1)]))).withColumn("chrom", F.concat_ws("|", "chrom", F.col("_class").cast("string")))
+    else:
+        left = right = merged
+    met = overlap_join(left.select("ring", "chrom", "start", "stop", "total"), right.select("ring", "chrom", "start", "stop", "total")).where("ring < r_ring")
+    common = met.groupBy("ring", F.col("r_ring").alias("other"), "total", F.col("r_total").alias("other_total")).agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("common"))
+    out = common.select("ring", "other", "common", "total", "other_total", (F.col("common") / F.greatest("total", "other_total")).alias("overlap"))
+    return out.where(F.col("overlap") > above)
 
 
 def linear_positions(points: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def passing(reads: DataFrame, min_mapq: int = 20, max_nm: int = 3) -> DataFrame:
@@ -53,13 +54,28 @@ def insert_size(pairs: DataFrame, order: str, n: int = 100_000) -> DataFrame:
     return first.agg(F.avg("tlen").alias("mean"), F.stddev_pop("tlen").alias("sd")).select("mean", "sd", (F.col("mean") + 3 * F.col("sd")).alias("upper"))
 
 
-def depth_at(sites: DataFrame, reads: DataFrame, share: float = 0.2) -> DataFrame:
-    """Depth of passing reads over each site (chrom, coord, clip, n), what lies outside the clips, and whether the site is clean."""
-    from .intervals import overlap_join
-
-    rows = sites.withColumns({"start": F.col("coord"), "stop": F.col("coord") + 1})
-    depth = overlap_join(rows, reads.select("chrom", "start", "stop")).groupBy("chrom", "coord", "clip").agg(F.count("*").alias("inside"))
-    out = sites.join(depth, ["chrom", "coord", "clip"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+def depth_at(sites: DataFrame, reads: DataFrame, share: float = 0.2, bucket: int = 1_000_000) -> DataFrame:
+    """Depth of passing reads over each site (chrom, coord, clip, n), what lies outside the clips, and whether the site is clean.
+
+    The depth at x is the reads that begin up to x less those that stop up to
+    x: no read is joined with a site. Begins and stops are counted by place
+    before the shuffle; running sums are taken inside buckets, and what is open
+    where a bucket begins is one row for each bucket of the genome.
+    """
+    ends = F.explode(F.array(F.struct(F.col("start").alias("coord"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("coord"), F.lit(-1).alias("d"))))
+    steps = reads.where("start < stop").select("chrom", ends.alias("e")).groupBy("chrom", "e.coord").agg(F.sum("e.d").alias("_d"))
+    cell = F.floor(F.col("coord") / bucket).alias("_bucket")
+    steps = steps.select("chrom", cell, "coord", "_d")
+    open_ = steps.groupBy("chrom", "_bucket").agg(F.sum("_d").alias("_d"))
+    asked = sites.select("chrom", cell).distinct()
+    # buckets with sites but without steps have something open, too
+    both = open_.withColumn("_own", F.lit(1)).unionByName(asked.withColumns({"_d": F.lit(0).cast("long"), "_own": F.lit(0)}))
+    both = both.groupBy("chrom", "_bucket").agg(F.sum("_d").alias("_d"))
+    before = both.withColumn("_open", F.sum("_d").over(Window.partitionBy("chrom").orderBy("_bucket")) - F.col("_d")).drop("_d")
+    rows = sites.select("chrom", cell, "coord", F.struct("clip", "n").alias("_site"), F.lit(0).cast("long").alias("_d")).unionByName(steps.withColumn("_site", F.lit(None).cast(T.StructType([sites.schema["clip"], sites.schema["n"]]))))
+    rows = rows.withColumn("_d", F.sum("_d").over(Window.partitionBy("chrom", "_bucket").orderBy("coord"))).where("_site is not null")
+    inside = F.col("_d") + F.col("_open")
+    out = rows.join(before, ["chrom", "_bucket"]).select("chrom", "coord", "_site.clip", "_site.n", inside.alias("inside"))
     return out.select("chrom", "coord", "clip", "n", "inside", (F.col("inside") - F.col("n")).alias("outside"), F.coalesce(F.try_divide("n", "inside") >= share, F.lit(False)).alias("clean"))
 
 

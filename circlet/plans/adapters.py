@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,10 +23,10 @@ select chrom, cast(floor(coord / 500.0) as bigint) * 500 as coord, clip, count(*
 group by chrom, cast(floor(coord / 500.0) as bigint) * 500, clip""",
     "genes": """
 select concat('chr', cast(p_partkey % 24 + 1 as string)) as chrom, (p_partkey * 50000) % 10500000 as start,
-  (p_partkey * 50000) % 10500000 + p_size * 1000 as stop, concat('g', cast(p_partkey as string)) as name, p_partkey as gid, p_brand as brand
+  (p_partkey * 50000) % 10500000 + p_size * 1000 as stop, concat('g', cast(p_partkey as string)) as name, p_partkey as gid, p_brand as brand, p_type as kind
 from {part}""",
     "segments": """
-select chrom, start, stop, gid as seg, cast(gid % 9 as double) + 1.5 as cn, brand from {genes} where gid % 3 = 0""",
+select chrom, start, stop, gid as seg, cast(gid % 9 as double) + 1.5 as cn, brand from {genes}""",
     "links": """
 select * from (select rid, bc, chrom as chrom1, cast(floor(start / 500.0) as bigint) * 500 as coord1, case when clip_l then 'L' else 'R' end as clip1,
   lead(chrom) over (partition by rid order by line, pk, sk, start) as chrom2,
@@ -40,16 +42,21 @@ from {orders}""",
     "frags": """
 select user_id as cell, concat('chr', cast(event_id % 24 + 1 as string)) as chrom, (event_id * 7919) % 10500000 as start,
   (event_id * 7919) % 10500000 + 200 as stop, cast(1 as bigint) as n, event_type as kind from {events}""",
+    # whole texts in pieces of 60 letters, each with the 60 that begin 19 letters later
     "strings": """
-select doc_id, substr(text, 1, 60) as a, substr(text, 20, 60) as b from {documents}""",
+select doc_id, piece, substr(text, cast(60 * piece + 1 as int), 60) as a, substr(text, cast(60 * piece + 20 as int), 60) as b
+from (select doc_id, text, {pieces:floor((length(text) + 59) / 60.0)} as piece from {documents}) p""",
 }
+#: One row for each whole number below a count: what the two dialects say differently.
+_PIECES = re.compile(r"\{pieces:(.*)\} as")
+_SPARK, _ORACLE = r"explode(sequence(0L, cast(greatest(\1, 1) as bigint) - 1)) as", r"unnest(range(0, cast(greatest(\1, 1) as bigint))) as"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table or a domain table."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = ADAPTERS[name]
+    text = _PIECES.sub(_SPARK, ADAPTERS[name])
     needs = {x: load(spark, sf_dir, x) for x in (*TABLES, *ADAPTERS) if "{" + x + "}" in text}
     return spark.sql(text, **needs)
 
@@ -59,7 +66,7 @@ def ctes(*names: str) -> str:
     found: dict[str, str] = {}
 
     def add(name: str) -> None:
-        text = ADAPTERS[name]
+        text = _PIECES.sub(_ORACLE, ADAPTERS[name])
         for x in ADAPTERS:
             if "{" + x + "}" in text:
                 add(x)

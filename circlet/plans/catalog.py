@@ -31,6 +31,8 @@ def query(name: str, *tables: str, sql: str | None = None, also: str = ""):
             head = ctes(*own) if own else ""
             if also:
                 head = f"{head},\n{also}" if head else f"WITH {also}"
+            if "UNION ALL SELECT" in also:  # a recursive part
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
             ORACLE_SQL[name] = f"{head}\n{sql}"
         return f
 
@@ -135,7 +137,11 @@ def _(df):
     return bins.smooth_outliers(x).select("chrom", "coord", F.round("x", 4).alias("x"), F.round("near_mean", 4).alias("near_mean"), F.round("near_sd", 4).alias("near_sd"))
 
 
-@query("smoothed_cn", "reads")
+def around_sql(k: int, weigh: str) -> str:
+    return " + ".join(f"coalesce({weigh.format(x=f'{f}(x, {i}) OVER o', w=k + 1 - i)}, 0)" for i in range(1, k + 1) for f in ("lag", "lead"))
+
+
+@query("smoothed_cn", "reads", also=BINS + f",\nx AS (SELECT *, log2(cn / 2) AS x FROM bins),\ne AS (SELECT *, avg(x) {NEAR_W} AS m, stddev_samp(x) {NEAR_W} AS s, {around_sql(10, '{x} * {w}')} AS t, {around_sql(10, 'CASE WHEN {x} IS NOT NULL THEN {w} END')} AS b FROM x WINDOW o AS (PARTITION BY chrom ORDER BY coord))", sql="SELECT chrom, coord, round(CASE WHEN abs(x - m) > 2 * s + 1e-9 THEN t / nullif(b, 0) ELSE x END, 6) AS smooth FROM e")
 def _(df):
     x = bins_of(df).withColumn("x", F.log2(F.col("cn") / 2))
     return bins.smooth_outliers(x, far=2.0).select("chrom", "coord", F.round("smooth", 6).alias("smooth"))
@@ -146,7 +152,10 @@ def _(df):
     return bins.mask_upper(bins.bin_counts(reads.passing(df)), passes=1).select("chrom", "coord", "n")
 
 
-@query("mask_ten_passes", "reads")
+TEN = BINS + ",\nm0 AS (SELECT chrom, coord, n::DOUBLE AS n FROM bins)" + "".join(f",\nm{k} AS (SELECT chrom, coord, CASE WHEN n > avg(n) {NEAR_W} + 2 * stddev_samp(n) {NEAR_W} + 1e-9 THEN NULL ELSE n END AS n FROM m{k - 1})" for k in range(1, 11))
+
+
+@query("mask_ten_passes", "reads", also=TEN, sql="SELECT chrom, coord, n FROM m10")
 def _(df):
     return bins.mask_upper(bins.bin_counts(reads.passing(df)), passes=10).select("chrom", "coord", "n")
 
@@ -212,9 +221,9 @@ def _(segments, genes):
     return intervals.map_all(segments, genes, ["seg"], "name")
 
 
-@query("cancer_gene_intersect", "segments", "genes", sql=f"SELECT seg, string_agg(DISTINCT g.name, '; ' ORDER BY g.name) AS cancer FROM segments s JOIN genes g ON {OVER} AND g.gid % 10 = 0 GROUP BY seg")
+@query("cancer_gene_intersect", "segments", "genes", sql=f"SELECT seg, string_agg(DISTINCT g.name, '; ' ORDER BY g.name) AS cancer FROM segments s JOIN genes g ON {OVER} AND g.kind = 'PROMO' GROUP BY seg")
 def _(segments, genes):
-    listed = genes.where("gid % 10 = 0").select("name").distinct()
+    listed = genes.where("kind = 'PROMO'").select("name").distinct()
     met = intervals.overlap_join(segments, genes).join(listed.select(F.col("name").alias("r_name")), "r_name", "left_semi")
     return met.groupBy("seg").agg(F.array_join(F.array_sort(F.collect_set("r_name")), "; ").alias("cancer"))
 
@@ -361,15 +370,15 @@ def _(links, segments):
 # --- text ------------------------------------------------------------------
 
 
-@query("revcomp", "strings", sql="SELECT doc_id, reverse(translate(regexp_replace(a, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM strings")
+@query("revcomp", "strings", sql="SELECT doc_id, piece, reverse(translate(regexp_replace(a, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM strings")
 def _(df):
-    return df.select("doc_id", text.reverse_complement(F.col("a")).alias("rc"))
+    return df.select("doc_id", "piece", text.reverse_complement(F.col("a")).alias("rc"))
 
 
-@query("norm_levenshtein", "strings", sql="SELECT doc_id, round(levenshtein(translate(a, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), translate(b, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) * 1.0 / greatest(length(a), length(b), 1), 6) AS d FROM (SELECT doc_id, regexp_replace(a, '[^ -~]', '?', 'g') AS a, regexp_replace(b, '[^ -~]', '?', 'g') AS b FROM strings)")
+@query("norm_levenshtein", "strings", sql="SELECT doc_id, piece, round(levenshtein(translate(a, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), translate(b, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) * 1.0 / greatest(length(a), length(b), 1), 6) AS d FROM (SELECT doc_id, piece, regexp_replace(a, '[^ -~]', '?', 'g') AS a, regexp_replace(b, '[^ -~]', '?', 'g') AS b FROM strings)")
 def _(df):
     plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")
-    return df.select("doc_id", F.round(text.normalised_distance(plain("a"), plain("b")), 6).alias("d"))
+    return df.select("doc_id", "piece", F.round(text.normalised_distance(plain("a"), plain("b")), 6).alias("d"))
 
 
 @query("first_upper_run", "documents", sql="SELECT doc_id, coalesce(regexp_extract(text, '([A-Z]+)', 1), '') AS run FROM documents")
@@ -406,22 +415,23 @@ def _(df):
 
 @query("short_repeat_filter", "strings")
 def _(df):
-    return df.select("doc_id", F.round(text.repeat_share(F.col("a")), 6).alias("share"))
+    return df.select("doc_id", "piece", F.round(text.repeat_share(F.col("a")), 6).alias("share"))
 
 
 @query("semi_global_distance", "strings")
 def _(df):
-    return df.select("doc_id", F.round(text.semi_global_distance("b", "a"), 6).alias("d"))
+    return df.select("doc_id", "piece", F.round(text.semi_global_distance("b", "a"), 6).alias("d"))
 
 
 @query("common_substring", "strings")
 def _(df):
-    return df.select("doc_id", text.common_substring("a", "b").alias("x")).select("doc_id", "x.*")
+    return df.select("doc_id", "piece", text.common_substring("a", "b").alias("x")).select("doc_id", "piece", "x.*")
 
 
 @query("fuzzy_clip_match", "strings")
 def _(df):
-    return df.select("doc_id", text.fuzzy_find(F.substring("b", 1, 20), "a").alias("at"))
+    clips = df.select("doc_id", "piece", "a", "b", F.explode(F.array(*map(F.lit, range(3)))).alias("clip"))
+    return clips.select("doc_id", "piece", "clip", text.fuzzy_find(F.substring(F.col("b"), 20 * F.col("clip") + 1, F.lit(20)), "a").alias("at"))
 
 
 # --- segments, graph and score ---------------------------------------------
@@ -437,9 +447,9 @@ def _(segments, df):
     return segmentation.interior_cn(segments, bins_of(df)).withColumns(r6("mean_cn", "high_share"))
 
 
-@query("add_cn", "segments", "genes", "reads", also=BINS + ",\nt AS (SELECT s.seg, round_even(max(g.cn), 0) AS top FROM segments s JOIN (SELECT chrom, start, stop, (gid % 11) / 2.0 AS cn FROM genes WHERE gid % 5 = 0) g ON g.chrom = s.chrom AND g.start < s.stop AND s.start < g.stop GROUP BY s.seg),\nm AS (SELECT seg, avg(b.cn) AS mean FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord >= s.start - 10000 AND b.coord < s.stop + 10000 GROUP BY seg)", sql="SELECT s.seg, round(coalesce(top, mean), 6) AS cn FROM segments s LEFT JOIN t USING (seg) LEFT JOIN m USING (seg)")
+@query("add_cn", "segments", "genes", "reads", also=BINS + ",\nt AS (SELECT s.seg, round_even(max(g.cn), 0) AS top FROM segments s JOIN (SELECT chrom, start, stop, (gid % 11) / 2.0 AS cn FROM genes WHERE kind = 'LARGE') g ON g.chrom = s.chrom AND g.start < s.stop AND s.start < g.stop GROUP BY s.seg),\nm AS (SELECT seg, avg(b.cn) AS mean FROM segments s JOIN bins b ON b.chrom = s.chrom AND b.coord >= s.start - 10000 AND b.coord < s.stop + 10000 GROUP BY seg)", sql="SELECT s.seg, round(coalesce(top, mean), 6) AS cn FROM segments s LEFT JOIN t USING (seg) LEFT JOIN m USING (seg)")
 def _(segments, genes, df):
-    calls = genes.where("gid % 5 = 0").select("chrom", "start", "stop", ((F.col("gid") % 11) / 2.0).alias("cn"))
+    calls = genes.where("kind = 'LARGE'").select("chrom", "start", "stop", ((F.col("gid") % 11) / 2.0).alias("cn"))
     return segmentation.add_cn(segments, calls, bins_of(df)).select("seg", F.round("cn", 6).alias("cn"))
 
 
@@ -519,7 +529,7 @@ def _(rings, df):
 @query("circle_dedup", "rings", "reads")
 def _(rings, df):
     scores = graph.score_rings(graph.segment_contrast(rings, bins_of(df)))
-    return graph.pick_rings(scores, intervals.reciprocal_overlap(rings), above=0.5).withColumns(r6("score"))
+    return graph.pick_rings(scores, intervals.reciprocal_overlap(rings, 0.95)).withColumns(r6("score"))
 
 
 @query("cbs_segments", "reads")
@@ -548,14 +558,18 @@ def _(links):
 
 # --- cells and targets -----------------------------------------------------
 
-JCS = JUNCTIONS + ",\ns AS (SELECT chrom1, chrom2, max(k) AS n FROM (SELECT chrom1, chrom2, count(*) AS k FROM links GROUP BY ALL) GROUP BY ALL),\nj AS (SELECT DISTINCT ring AS circle, idx AS junction, coord1 FROM junctions),\nm AS (SELECT j.circle, j.junction, coalesce(j.coord1 % 11, 0) AS n FROM j WHERE j.coord1 % 3 <> 0)"
+JCS = JUNCTIONS + ",\n" + EDGES + """,
+bth AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM pairs UNION SELECT chrom2, coord2, clip2, chrom1, coord1, clip1, n FROM pairs),
+m AS (SELECT j.ring AS circle, j.idx AS junction, max(p.n) AS n FROM junctions j JOIN bth p ON p.chrom1 = j.chrom1 AND p.clip1 = j.clip1 AND p.chrom2 = j.chrom2 AND p.clip2 = j.clip2 AND abs(p.coord1 - j.coord1) <= 400000 AND abs(p.coord2 - j.coord2) <= 400000 GROUP BY ALL),
+j AS (SELECT ring AS circle, idx AS junction, coalesce(n, 0) AS n FROM junctions LEFT JOIN m ON m.circle = ring AND m.junction = idx)"""
 
 
-@query("jcs", "rings", "links", also=JCS, sql="SELECT j.circle, count(DISTINCT j.junction) AS total, sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END)::BIGINT AS validated, sum(CASE WHEN coalesce(n, 0) >= 5 THEN n ELSE 0 END)::BIGINT AS support, round(sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END) * 1.0 / count(DISTINCT j.junction), 6) AS jcs, sum(CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END) * 1.0 / count(DISTINCT j.junction) >= 0.5 AS detected FROM j LEFT JOIN m ON m.circle = j.circle AND m.junction = j.junction GROUP BY j.circle")
+@query("jcs", "rings", "links", also=JCS, sql="SELECT circle, count(DISTINCT junction) AS total, count(*) FILTER (n >= 1) AS validated, coalesce(sum(n) FILTER (n >= 1), 0)::BIGINT AS support, round(count(*) FILTER (n >= 1) * 1.0 / count(DISTINCT junction), 6) AS jcs, count(*) FILTER (n >= 1) * 1.0 / count(DISTINCT junction) >= 0.5 AS detected FROM j GROUP BY circle")
 def _(rings, links):
-    j = cells.ring_junctions(rings).select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), "coord1")
-    matched = j.where("coord1 % 3 <> 0").select("circle", "junction", (F.col("coord1") % 11).alias("n"))
-    out = cells.concordance(j.select("circle", "junction"), matched)
+    junctions = cells.ring_junctions(rings).drop("single")
+    matched = breakpoints.match_known(junctions, breakpoints.count_links(links).drop("rids"), window=400_000)
+    one = lambda df, *more: df.select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), *more)
+    out = cells.concordance(one(junctions), one(matched, F.col("p_n").alias("n")), least=1)
     return out.select("circle", "total", F.col("validated").cast("long").alias("validated"), F.col("support").cast("long").alias("support"), F.round("jcs", 6).alias("jcs"), "detected")
 
 
@@ -594,10 +608,21 @@ def _(frags):
     return cells.ring_quartile(cell_features(frags)).select("cell", "ring", F.round("rate", 6).alias("rate"), "direct", F.round("q1", 6).alias("q1"))
 
 
-@query("cell_rules", "frags", also=CELLS + ",\nq AS (SELECT ring, quantile_cont(rate::DOUBLE, 0.25) AS q1 FROM f WHERE direct >= 3 GROUP BY ring)", sql="SELECT cell, CASE WHEN direct >= 3 THEN 'high' WHEN weak >= 0.3 THEN 'probable' WHEN rate >= q1 AND enrichment >= 2 THEN 'probable' ELSE 'none' END AS call FROM f LEFT JOIN q USING (ring)")
+PROFILE = CELLS + """,
+k AS (SELECT cell, kind, sum(n)::DOUBLE AS n FROM frags GROUP BY ALL),
+w AS (SELECT kind, sum(n) AS n FROM k GROUP BY kind),
+c AS (SELECT cell, sum(k.n * w.n) / (sqrt(sum(k.n * k.n)) * (SELECT sqrt(sum(n * n)) FROM w)) AS cosine, count(*) * 1.0 / (SELECT count(*) FROM w) AS covered FROM k JOIN w USING (kind) GROUP BY cell),
+q AS (SELECT ring, quantile_cont(rate::DOUBLE, 0.25) AS q1 FROM f WHERE direct >= 3 GROUP BY ring)"""
+
+
+@query("cell_rules", "frags", also=PROFILE, sql="SELECT cell, CASE WHEN direct >= 3 THEN 'high' WHEN weak >= 0.3 THEN 'probable' WHEN rate >= q1 AND enrichment >= 2 AND cosine >= 0.96 AND covered >= 1 THEN 'probable' ELSE 'none' END AS call FROM f JOIN c USING (cell) LEFT JOIN q USING (ring)")
 def _(frags):
     f = cell_features(frags).withColumn("direct", F.when(F.col("direct") >= 3, F.col("direct")).otherwise(0))
-    f = f.withColumns({"cosine": F.lit(1.0), "covered": F.lit(1.0)})
+    counts = frags.groupBy("cell", F.col("kind").alias("seg")).agg(F.sum("n").alias("n"))
+    anchor = counts.groupBy("seg").agg(F.sum("n").alias("n"))
+    kinds = anchor.agg(F.count("*").alias("_all"))
+    covered = counts.groupBy("cell").agg(F.count("*").alias("_k")).crossJoin(F.broadcast(kinds)).select("cell", (F.col("_k") / F.col("_all")).alias("covered"))
+    f = f.join(cells.profile_cosine(counts, anchor), "cell").join(covered, "cell")
     return cells.assign(cells.ring_quartile(f)).select("cell", "call")
 
 
@@ -685,16 +710,22 @@ def _(df):
     return out.select("qname", *[F.col(f"{s}.{c}").alias(f"{c}{k}") for k, s in ((1, "a"), (2, "b")) for c in ("chrom", "coord", "clip")], F.col("offset").cast("long").alias("offset"))
 
 
-@query("junction_support", "reads")
+SPLIT = """a0 AS (SELECT rid, chrom, start, stop, start % 2 = 0 AS rev, pk % 40 + 100 * row_number() OVER (PARTITION BY rid ORDER BY line, pk, sk, start) AS q, nm + 50 AS own FROM reads),
+a1 AS (SELECT row(chrom, CASE WHEN rev THEN start ELSE stop - 1 END, CASE WHEN rev THEN 'L' ELSE 'R' END) AS a, lead(row(chrom, CASE WHEN rev THEN stop - 1 ELSE start END, CASE WHEN rev THEN 'R' ELSE 'L' END)) OVER w AS b, q + own - lead(q) OVER w AS o FROM a0 WINDOW w AS (PARTITION BY rid ORDER BY q)),
+a2 AS (SELECT CASE WHEN a <= b THEN a ELSE b END AS lo, CASE WHEN a <= b THEN b ELSE a END AS hi, o FROM a1 WHERE b IS NOT NULL)"""
+
+
+@query("junction_support", "reads", also=SPLIT, sql="SELECT lo[1] AS chrom1, lo[2] AS coord1, lo[3] AS clip1, hi[1] AS chrom2, hi[2] AS coord2, hi[3] AS clip2, count(*) AS n, min(o)::BIGINT AS \"offset\" FROM a2 GROUP BY lo, hi")
 def _(df):
-    return splitreads.count_junctions(splitreads.split_junctions(alignments_of(df))).select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n", "offset")
+    return splitreads.count_junctions(splitreads.split_junctions(alignments_of(df))).select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n", F.col("offset").cast("long").alias("offset"))
 
 
-@query("read_groups", "reads", sql="SELECT rid::VARCHAR AS qname, count(*) FILTER (line % 4 = 1) AS read1, count(*) FILTER (line % 4 = 3) AS read1_s, count(*) FILTER (line % 4 = 2) AS read2, count(*) FILTER (line % 4 = 0) AS single FROM reads GROUP BY rid")
+@query("read_groups", "reads", sql="SELECT rid::VARCHAR AS qname, count(*) FILTER (line % 5 = 1) AS read1, count(*) FILTER (line % 5 = 3) AS read1_s, count(*) FILTER (line % 5 = 2) AS read2, count(*) FILTER (line % 5 = 4) AS read2_s, count(*) FILTER (line % 5 = 0) AS single FROM reads GROUP BY rid")
 def _(df):
-    flag = F.when(F.col("line") % 4 == 1, 65).when(F.col("line") % 4 == 3, 65 + 2048).when(F.col("line") % 4 == 2, 129).otherwise(0)
+    k = F.col("line") % 5
+    flag = F.when(k == 1, 65).when(k == 3, 65 + 2048).when(k == 2, 129).when(k == 4, 129 + 2048).otherwise(0)
     out = splitreads.group_by_read(df.select(F.col("rid").cast("string").alias("qname"), "chrom", "start", F.lit("50M").alias("cigar"), flag.alias("flag")))
-    return out.select("qname", *[F.size(c).cast("long").alias(c) for c in ("read1", "read1_s", "read2", "single")])
+    return out.select("qname", *[F.size(c).cast("long").alias(c) for c in ("read1", "read1_s", "read2", "read2_s", "single")])
 
 
 @query("normal_spanning", "sites", "reads", also=f"g AS (SELECT DISTINCT chrom, start, stop, rid FROM reads WHERE nm <= 1 AND NOT clip_l AND NOT clip_r)", sql="SELECT s.chrom || ':' || s.coord || s.clip AS site, g.rid::VARCHAR AS qname FROM sites s JOIN g ON g.chrom = s.chrom AND g.start <= s.coord - 5 AND g.stop > s.coord + 5 GROUP BY ALL")
@@ -721,7 +752,15 @@ def _(df):
     return splitreads.fragments_of(rows)
 
 
-@query("merge_close_pairs", "links")
+MERGED_PAIRS = EDGES + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY chrom1, coord1, clip1 ORDER BY coord2, chrom2, clip2) AS i FROM pairs),
+r AS (SELECT chrom1, coord1, clip1, i, 1 AS g, chrom2, coord2, clip2, n, 20000 AS wide FROM p WHERE i = 1
+ UNION ALL SELECT chrom1, coord1, clip1, i, g + CASE WHEN hit THEN 0 ELSE 1 END, CASE WHEN hit AND kn >= n THEN k2 ELSE chrom2 END, CASE WHEN hit AND kn >= n THEN kc ELSE coord2 END, CASE WHEN hit AND kn >= n THEN kp ELSE clip2 END, CASE WHEN hit THEN n + kn ELSE n END, CASE WHEN hit AND kn >= n THEN 20000 + coord2 - kc ELSE 20000 END
+ FROM (SELECT p.*, r.g, r.chrom2 AS k2, r.coord2 AS kc, r.clip2 AS kp, r.n AS kn, p.coord2 - r.coord2 <= greatest(20000, r.wide) AS hit FROM r JOIN p ON p.chrom1 = r.chrom1 AND p.coord1 = r.coord1 AND p.clip1 = r.clip1 AND p.i = r.i + 1)),
+z AS (SELECT *, row_number() OVER (PARTITION BY chrom1, coord1, clip1, g ORDER BY i DESC) AS k FROM r)"""
+
+
+@query("merge_close_pairs", "links", also=MERGED_PAIRS, sql="SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n FROM z WHERE k = 1")
 def _(links):
     return splitreads.merge_close_pairs(breakpoints.count_links(links), reach=20_000).select("chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2", "n")
 
@@ -747,7 +786,14 @@ def _(genes):
     return boundaries.pack_rows(genes)
 
 
-@query("plot_rois", "segments")
+ROIS = """p AS (SELECT chrom, start, stop, cn, row_number() OVER (PARTITION BY chrom ORDER BY start, stop) AS i FROM segments),
+r AS (SELECT chrom, i, 1 AS g, start AS a, stop AS b, cn AS s FROM p WHERE i = 1
+ UNION ALL SELECT chrom, i, g + CASE WHEN hit THEN 0 ELSE 1 END, CASE WHEN hit THEN a ELSE start END, CASE WHEN hit THEN greatest(b, stop) ELSE stop END, CASE WHEN hit THEN greatest(s, cn) ELSE cn END
+ FROM (SELECT p.*, r.g, r.a, r.b, r.s, p.start - greatest(trunc(0.3::DOUBLE * (p.stop - p.start)), 100000) <= r.b + greatest(trunc(0.3::DOUBLE * (r.b - r.a)), 100000) AS hit FROM r JOIN p ON p.chrom = r.chrom AND p.i = r.i + 1)),
+z AS (SELECT *, row_number() OVER (PARTITION BY chrom, g ORDER BY i DESC) AS k, greatest(trunc(0.3::DOUBLE * (b - a)), 100000)::BIGINT AS w FROM r)"""
+
+
+@query("plot_rois", "segments", also=ROIS, sql="SELECT chrom, greatest(0, a - w) AS start, b + w AS stop, s AS score FROM z WHERE k = 1")
 def _(segments):
     return boundaries.merge_rois(segments.withColumnRenamed("cn", "score"))
 
@@ -790,14 +836,17 @@ def _(links, segments):
     return breakpoints.pairs_by_end(breakpoints.count_links(links).drop("rids"), segments, 20_000, keep=False)
 
 
-@query("stratified_sites", "sites")
+STRATA = "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, clip ORDER BY n DESC, coord) AS k FROM sites) WHERE k <= 50),\nu AS (SELECT *, ntile(10) OVER (ORDER BY n, chrom, coord, clip) AS part FROM t),\nv AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('1:' || chrom || ':' || coord || ':' || clip)) AS j FROM u)"
+
+
+@query("stratified_sites", "sites", also=STRATA, sql="SELECT chrom, coord, clip, n FROM v WHERE j <= 20")
 def _(sites):
     return breakpoints.stratified_sample(breakpoints.top_n_per_chrom(sites, 50).drop("rank"), "n", 10, 20)
 
 
-@query("range_intersections", "segments", "genes", also="m AS (SELECT s.chrom, greatest(s.start, g.start) AS start, least(s.stop, g.stop) AS stop FROM segments s JOIN (SELECT * FROM genes WHERE gid % 2 = 0) g ON g.chrom = s.chrom AND g.start <= s.stop AND s.start <= g.stop),\n" + ISLANDS.replace("start >= max", "start > max").format(gap=0, t="m"), sql="SELECT chrom, start, stop FROM merged")
+@query("range_intersections", "segments", "genes", also="m AS (SELECT s.chrom, greatest(s.start, g.start) AS start, least(s.stop, g.stop) AS stop FROM segments s JOIN (SELECT * FROM genes WHERE kind IN ('SMALL', 'ECONOMY')) g ON g.chrom = s.chrom AND g.start <= s.stop AND s.start <= g.stop),\n" + ISLANDS.replace("start >= max", "start > max").format(gap=0, t="m"), sql="SELECT chrom, start, stop FROM merged")
 def _(segments, genes):
-    return intervals.intersections(segments, genes.where("gid % 2 = 0"))
+    return intervals.intersections(segments, genes.where("kind in ('SMALL', 'ECONOMY')"))
 
 
 @query("delta_projection", "embeddings", also=KNN + ",\ng AS (SELECT k.q, k.id, unnest(range(1, 33)) AS i FROM k WHERE rank <= 10),\nx AS (SELECT g.q, g.id, b.vec[i]::DOUBLE - a.vec[i]::DOUBLE AS d, a.vec[i + 32]::DOUBLE AS v FROM g JOIN p a ON a.id = g.q JOIN p b ON b.id = g.id)", sql="SELECT q AS a, id AS b, round(corr(sign(d) * log10(abs(d) + 1), sign(v) * log10(abs(v) + 1)), 5) AS r FROM x GROUP BY q, id")

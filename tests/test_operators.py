@@ -3,6 +3,8 @@
 import gzip
 import struct
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -55,9 +57,71 @@ def test_cbs_finds_a_step():
 
 def test_alternating_ring_and_line():
     ring = [(1, 2, "inner"), (2, 3, "outer"), (3, 4, "inner"), (1, 4, "outer")]
-    assert graph.alternating_paths(ring) == [("ring", [1, 2, 3, 4])]
-    assert graph.alternating_paths(ring[:3]) == [("line", [1, 2, 3, 4])]
-    assert graph.alternating_paths([(1, 2, "inner"), (1, 2, "outer")]) == [("ring", [1, 2])]
+    assert graph.alternating_paths(ring) == ([("ring", [1, 2, 3, 4])], False)
+    assert graph.alternating_paths(ring[:3]) == ([("line", [1, 2, 3, 4])], False)
+    assert graph.alternating_paths([(1, 2, "inner"), (1, 2, "outer")]) == ([("ring", [1, 2])], False)
+
+
+def plain_paths(edges):
+    """All alternating rings and longest lines, by trying every order of nodes."""
+    has = {(a, b, k) for a, b, k in edges} | {(b, a, k) for a, b, k in edges}
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    out = lambda x, path: any((x, y, "outer") in has for y in nodes if y not in path)
+    rings, lines = set(), set()
+    for n in range(2, len(nodes) + 1, 2):
+        for p in itertools.permutations(nodes, n):
+            if all((a, b, "outer" if i % 2 else "inner") in has for i, (a, b) in enumerate(itertools.pairwise(p))):
+                if (p[-1], p[0], "outer") in has:
+                    if p[0] == min(p):
+                        rings.add(min(p, (p[0], *reversed(p[1:]))))
+                elif p[0] < p[-1] and not out(p[0], p) and not out(p[-1], p):
+                    lines.add(p)
+    return [("ring", list(x)) for x in sorted(rings)] + [("line", list(x)) for x in sorted(lines)]
+
+
+def test_paths_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n = int(rng.integers(2, 7))
+        edges = [(a, b, k) for a in range(n) for b in range(a + 1, n) for k in ("inner", "outer") if rng.random() < 0.4]
+        assert graph.alternating_paths(edges) == (plain_paths(edges), False), edges
+
+
+def test_dense_graphs_end_and_say_so():
+    edges = [(a, b, k) for a in range(60) for b in range(a + 1, 60) for k in ("inner", "outer")]
+    found, cut = graph.alternating_paths(edges, max_steps=200_000)
+    assert cut and found and all(len(set(p)) == len(p) for _, p in found)
+    chain = [(i, i + 1, "outer" if i % 2 else "inner") for i in range(400)]
+    assert graph.alternating_paths(chain, max_nodes=200)[1]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_long_chains(spark, kind):
+    ids = np.random.default_rng(1).permutation(400).tolist()
+    name = (lambda i: f"r{i:03d}") if kind == "string" else int
+    links = [(name(a), name(b)) for a, b in zip(ids[:199], ids[1:200])] + [(name(a), name(b)) for a, b in zip(ids[200:399], ids[201:])]
+    got = {r.node: r.component for r in graph.label_components(spark.createDataFrame(links, f"a {kind}, b {kind}")).collect()}
+    want = {name(i): name(min(part)) for part in (ids[:200], ids[200:]) for i in part}
+    assert got == want
+
+
+def test_depth_equals_counting(spark):
+    rng = np.random.default_rng(3)
+    reads_ = [("a", int(s), int(s) + int(rng.integers(0, 300))) for s in rng.integers(0, 3_000_000, 400)] + [("a", 999_900, 1_000_100)] * 500 + [("b", 5, 4_000_000)]
+    sites = [("a", int(x), c, 1) for x in rng.integers(0, 3_100_000, 200) for c in "LR"] + [("a", 1_000_000, "L", 9), ("a", 999_900, "L", 9), ("a", 1_000_100, "R", 9), ("b", 3_500_000, "L", 1), ("c", 1, "L", 1)]
+    got = {(r.chrom, r.coord, r.clip): r.inside for r in reads.depth_at(spark.createDataFrame(sites, "chrom string, coord long, clip string, n long"), spark.createDataFrame(reads_, "chrom string, start long, stop long")).collect()}
+    assert got == {(c, x, k): sum(a <= x < b for d, a, b in reads_ if d == c) for c, x, k, _ in sites}
+
+
+def test_overlap_threshold_is_a_filter(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        a, n = int(rng.integers(0, 400)), int(rng.integers(900, 1000))
+        rows += [(f"r{i:03d}", "c", 10 * a, 10 * a + n), (f"r{i:03d}", "c", 50_000, 50_000 + n)]
+    rings = spark.createDataFrame(rows + [("one", "d", 5, 5)], "ring string, chrom string, start long, stop long")
+    every = intervals.reciprocal_overlap(rings).where("overlap > 0.95").collect()
+    assert every and sorted(map(tuple, every)) == sorted(map(tuple, intervals.reciprocal_overlap(rings, 0.95).collect()))
 
 
 def test_ring_choice_is_not_transitive(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from circlet.plans import catalog
+from circlet.plans import catalog, more  # noqa: F401  (more registers its queries with the catalog)
 from circlet.plans.adapters import TABLES
 
 SF = "/root/testdata/sf0.001"
