@@ -2,6 +2,7 @@
 
 import gzip
 import struct
+import zlib
 
 import itertools
 
@@ -179,6 +180,36 @@ def test_bam(spark, tmp_path):
     assert (r.qname, r.chrom, r.start, r.stop, r.cigar, r.nm, r.cb, r.seq) == ("r1", "chr1", 100, 105, "3S5M", 2, "cell", "ACGTACGT")
 
 
+def _blocked(raw: bytes, cuts: list[int]) -> bytes:
+    """A blocked gzip file of raw, cut at places, with the empty block that ends it."""
+    out = b""
+    for a, b in zip([0, *cuts], [*cuts, len(raw)]):
+        for part in ([raw[a:b]] if b > a else []) + ([b""] if b == len(raw) else []):
+            c = zlib.compressobj(6, zlib.DEFLATED, -15)
+            data = c.compress(part) + c.flush()
+            out += b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("split_bytes", [700, 5_000, 1 << 26])
+def test_bam_splits_own_each_record_once(spark, tmp_path, split_bytes):
+    rng = np.random.default_rng(5)
+    chroms = [f"chr{i}" for i in range(1, 25)]
+    head = b"@HD\tVN:1.6\n" * 40
+    raw = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", len(chroms)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 10**8) for c in chroms)
+    want = []
+    for i in range(1500):
+        n, name = int(rng.integers(1, 400)) if i % 300 else 20_000, f"read{i}:x".encode() + b"\0"
+        pos, ref = int(rng.integers(0, 10**6)), int(rng.integers(-1, 24))
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 60, 0, 1, 99, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + bytes(rng.integers(0, 256, (n + 1) // 2, dtype="u1")) + bytes(rng.integers(0, 40, n, dtype="u1"))
+        raw += struct.pack("<i", len(body)) + body
+        want.append((f"read{i}:x", None if ref < 0 else chroms[ref], pos, pos + n))
+    (tmp_path / "x.bam").write_bytes(_blocked(raw, sorted(rng.choice(np.arange(1, len(raw)), 300, replace=False).tolist())))
+    (tmp_path / "y.bam").write_bytes(_blocked(raw[: raw.index(struct.pack("<i", 24)) + 4 + sum(len(c) + 9 for c in chroms)], []))  # no records
+    got = alignments.read_bam(spark, str(tmp_path), split_bytes)
+    assert sorted((r.qname, r.chrom, r.start, r.stop) for r in got.collect()) == sorted(want, key=lambda x: (x[0], x[1] or ""))
+
+
 def test_sam_and_fetch(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\nr1\t99\tchr1\t101\t60\t3S5M\t=\t301\t208\tACGTACGT\t*\tNM:i:2\tCB:Z:cell\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tA\t*\n")
     df = alignments.read_sam(spark, str(tmp_path / "x.sam"))
