@@ -52,7 +52,7 @@ def parse_sa(tag: Column) -> Column:
 
 def gene_list(s: Column) -> Column:
     """Distinct names of a ;-separated list, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(s, ";"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(s, ";"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def junction_id(chrom1: Column, coord1: Column, clip1: Column, chrom2: Column, coord2: Column, clip2: Column) -> Column:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circlet.operators import bins, boundaries, breakpoints, cells, graph, intervals, reads, segmentation, splitreads
+from circlet.operators import bins, boundaries, breakpoints, cells, copynumber, graph, intervals, reads, refine, segmentation, singlecell, splitreads
 from circlet.sources.sinks import read_stage, run_stats, write_stage
+from circlet.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,13 @@ class Parameters:
     top_sites: int = 500
     least_pairs: int = 2
     shortest: int = 500
+    max_insert: int = 450
+    edge_gap: int = 350
+    edge_support: int = 2
+    snap: int = 150
+    merge: int = 100
+    most_nodes: int = 400
+    second_share: float = 0.85
     least_score: float = 0.0
     copy_overlap: float = 0.95
     junction_window: int = 200
@@ -43,27 +51,122 @@ class Stages:
         return read_stage(self.spark, at)
 
 
-def de_novo(alignments: DataFrame, path: str, p: Parameters = Parameters()) -> dict[str, DataFrame]:
-    """Amplified segments, breakpoint pairs, circles and their scores from alignments (the schema of sources.alignments, with dup)."""
+PAIR = ["chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2"]
+
+
+def _copy_number(counts: DataFrame, bias: DataFrame | None, p: Parameters) -> DataFrame:
+    """Copy number of bins, against their bias (chrom, start, gc, mappability) where that is given."""
+    if bias is None:
+        return bins.copy_number(counts)
+    known = counts.join(bins.mean_bias(bias, p.width), ["chrom", "coord"])
+    return copynumber.normalise(known, ["gc", "mappability"]).select("chrom", "coord", "n", "cn")
+
+
+def _amplified(cn: DataFrame, sites: DataFrame, edges: DataFrame, p: Parameters) -> DataFrame:
+    """Amplified segments (seg, chrom, start, stop, cn): segmented, filtered by size, ends at the strongest clip or discordant end nearby, and those that only such ends show."""
+    smooth = bins.smooth_outliers(cn.withColumn("x", F.log2(F.col("cn") / 2))).withColumn("x", F.col("smooth"))
+    cbs = segmentation.cbs_segments(smooth.select("chrom", "coord", "n", "x"), p.width)
+    amp = cbs.withColumn("cn", 2 * F.pow(F.lit(2.0), F.col("x"))).where(F.col("cn") >= p.least_cn).select("chrom", "start", "stop", "cn")
+    amp = stage(intervals.drop_small_rois(amp, p.width).withColumn("seg", F.xxhash64("chrom", "start")), "amplified")
+    ends = amp.select("chrom", F.col("start").alias("coord"), F.lit("L").alias("clip")).union(amp.select("chrom", "stop", F.lit("R")))
+    near = breakpoints.nearest_strong_clip(ends, sites, p.width)
+    for clip, col, name in (("L", "start", "clip_left"), ("R", "stop", "clip_right")):
+        to = near.where(F.col("clip") == clip).select("chrom", F.col("coord").alias(col), F.col("at").alias("_at"), F.col("n").alias(name))
+        amp = amp.join(to, ["chrom", col], "left").withColumn(col, F.coalesce("_at", col)).withColumn(name, F.coalesce(name, F.lit(0))).drop("_at")
+    one = lambda k: edges.select(F.col(f"chrom{k}").alias("chrom"), F.col(f"clip{k}").alias("clip"), F.col(f"coord{k}").alias("coord"), "support")
+    disc = breakpoints.collapse_ends(one(1).union(one(2)), p.snap)
+    moved = boundaries.boundary_support(amp, disc, p.width, weak=0).select("seg", "chrom", "start", "stop", "cn").where("start < stop")
+    found = boundaries.rescue_segments(disc, moved, cn, least_cn=p.least_cn).withColumn("seg", F.xxhash64(F.lit("rescued"), "chrom", "start"))
+    return moved.unionByName(found.select("seg", "chrom", "start", "stop", "cn"))
+
+
+def _pairs(split: DataFrame, edges: DataFrame, p: Parameters) -> DataFrame:
+    """Pairs of split reads, close ones merged, and discordant edges: those that lie on a pair mark it, the others are pairs of their own."""
+    own = split.select(*PAIR, "n", "offset", "seq", F.transform("reads", lambda r: F.xxhash64(r["qname"])).alias("rids"))
+    merged = splitreads.merge_close_pairs(splitreads.merge_close_pairs(own.select(*PAIR, "n", "rids"), 1, p.merge), 2, p.merge)
+    pairs = stage(merged.join(own.select(*PAIR, "offset", "seq"), PAIR).drop("rids"), "merged")
+    to = breakpoints.snap_two_ended(edges, pairs.select(*PAIR, "n"), p.snap)
+    marks = singlecell.canonical(to.where("snapped").select("chrom1", F.col("to1").alias("coord1"), "clip1", "chrom2", F.col("to2").alias("coord2"), "clip2")).distinct().withColumn("pe", F.lit(True))
+    known = singlecell.canonical(pairs).join(marks, PAIR, "left").withColumns({"pe": F.coalesce("pe", F.lit(False)), "source": F.lit("split")})
+    alone = to.where("not snapped").select(*PAIR, F.col("support").alias("n"), F.lit(0).alias("offset"), F.lit("").alias("seq"), F.lit(True).alias("pe"), F.lit("pe").alias("source"))
+    return known.unionByName(singlecell.canonical(alone))
+
+
+def _find_rings(v: DataFrame, pairs: DataFrame, amp: DataFrame, p: Parameters) -> DataFrame:
+    """Segments of the rings that stand for the others in the graph of these vertices, pairs and amplified segments."""
+    edges = graph.graph_edges(v, pairs, _segments(v, amp))
+    if v.count() > p.most_nodes and pairs.count() > p.most_nodes:
+        edges = graph.prune_neighbours(edges)
+    edges = stage(edges, "edges")
+    paths = stage(graph.find_paths(edges, graph.label_components(edges)), "paths")
+    chosen = stage(graph.representatives(paths, edges, v), "chosen")
+    return _rings(graph.path_segments(chosen.where("kind = 'ring'"), v, edges))
+
+
+def de_novo(alignments: DataFrame, path: str, p: Parameters = Parameters(), bias: DataFrame | None = None, listed: DataFrame | None = None, genes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Amplified segments, breakpoint pairs, circles and their scores from alignments (the schema of sources.alignments, with dup).
+
+    bias: chrom, start, gc, mappability; listed: chrom, start, stop of regions
+    that aren't trusted; genes: chrom, start, stop, name. Each is optional.
+    """
     st = Stages(alignments.sparkSession, path)
     good = st.step("reads", lambda: reads.passing(alignments, p.min_mapq, p.max_nm))
-    cn = st.step("bins", lambda: bins.copy_number(bins.bin_counts(good, p.width)))
-    smooth = bins.smooth_outliers(cn.withColumn("x", F.log2(F.col("cn") / 2))).withColumn("x", F.col("smooth"))
-    cbs = st.step("segments", lambda: segmentation.cbs_segments(smooth.select("chrom", "coord", "n", "x"), p.width))
-    amp = cbs.withColumn("cn", 2 * F.pow(F.lit(2.0), F.col("x"))).where(F.col("cn") >= p.least_cn).withColumn("seg", F.xxhash64("chrom", "start"))
-    amp = st.step("amplified", lambda: amp.select("seg", "chrom", "start", "stop", "cn"))
-    ends = good.withColumns({"clip_l": F.col("cigar").rlike("^[0-9]+[SH]"), "clip_r": F.col("cigar").rlike("[0-9]+[SH]$")})
-    sites = st.step("sites", lambda: breakpoints.top_n(reads.clip_counts(reads.clip_sites(ends)).where(F.col("n") >= p.least_clips), p.top_sites))
+    edges = st.step("discordant", lambda: breakpoints.cluster_links(breakpoints.discordant_links(alignments.where("not dup"), p.max_insert), p.edge_gap, p.edge_support))
+    raw = st.step("bins_raw", lambda: _copy_number(bins.bin_counts(good, p.width), bias, p))
+
+    def trusted() -> DataFrame:
+        if listed is None:
+            return raw
+        keep = refine.protected_bins(raw, edges, listed).withColumn("_keep", F.lit(True))
+        both = bins.reset_bins(raw, listed, p.width).withColumnRenamed("cn", "_reset").join(raw.select("chrom", "coord", "cn"), ["chrom", "coord"]).join(keep, ["chrom", "coord"], "left")
+        return both.withColumn("cn", F.when(F.col("_keep"), F.col("cn")).otherwise(F.col("_reset"))).drop("_reset", "_keep")
+
+    cn = st.step("bins", trusted)
+
+    def clipped() -> DataFrame:
+        ends = good.withColumns({"clip_l": F.col("cigar").rlike("^[0-9]+[SH]"), "clip_r": F.col("cigar").rlike("[0-9]+[SH]$")})
+        counts = reads.clip_counts(reads.clip_sites(ends))
+        one = lambda k: edges.select(F.col(f"chrom{k}").alias("chrom"), F.col(f"coord{k}").alias("coord"), F.col(f"clip{k}").alias("clip"), "support")
+        rows = breakpoints.rescue_near_edge(counts, one(1).union(one(2)), p.least_clips, p.snap, p.edge_support)
+        return breakpoints.top_n(rows if listed is None else breakpoints.drop_listed(rows, listed), p.top_sites)
+
+    sites = st.step("sites", clipped)
+    amp = st.step("amplified", lambda: _amplified(cn, sites, edges, p))
     split = good.where("sa is not null").withColumns({"reverse": F.col("flag").bitwiseAND(16) != 0, "bc": F.col("cb")})
-    pairs = st.step("pairs", lambda: splitreads.count_junctions(splitreads.split_junctions(split)))
-    kept = st.step("pairs_kept", lambda: breakpoints.filter_pairs(pairs, p.least_pairs, p.shortest, amp))
-    v = boundaries.vertex_table(amp, kept, p.least_cn)
-    edges = st.step("edges", lambda: graph.graph_edges(v, kept, _segments(v, amp)))
-    paths = st.step("paths", lambda: graph.find_paths(edges, graph.label_components(edges)))
-    rings = st.step("rings", lambda: _rings(graph.path_segments(paths.where("kind = 'ring'"), v, edges)))
-    scores = st.step("scores", lambda: graph.score_rings(graph.segment_contrast(rings, cn, p.width)).where(F.col("score") >= p.least_score))
-    picked = st.step("picked", lambda: graph.pick_rings(scores, intervals.reciprocal_overlap(rings), p.copy_overlap))
-    return {"amplified": amp, "sites": sites, "pairs": kept, "rings": rings, "scores": scores, "picked": picked, "stats": run_stats(reads=good, amplified=amp, sites=sites, pairs=kept, rings=rings)}
+    junctions = st.step("junctions", lambda: splitreads.count_junctions(splitreads.split_junctions(split)))
+    pairs = st.step("pairs", lambda: _pairs(junctions, edges, p))
+
+    def kept_pairs() -> DataFrame:
+        level = segmentation.support_threshold(pairs.where("source = 'split'"))
+        rows = breakpoints.sound_pairs(pairs, max(p.least_pairs, round(level or 0)), p.shortest, amp, sites)
+        return rows if listed is None else breakpoints.pairs_by_end(rows, listed, keep=False)
+
+    kept = st.step("pairs_kept", kept_pairs)
+    v = st.step("vertices", lambda: boundaries.vertex_table(amp, kept, p.least_cn))
+    rings = st.step("rings_first", lambda: _find_rings(v, kept, amp, p))
+    score = lambda found: graph.score_rings(graph.segment_contrast(segmentation.add_cn(found.withColumn("seg", F.xxhash64("ring", "idx")), amp, cn, p.width, p.width).drop("seg"), cn, p.width))
+    first = st.step("scores_first", lambda: score(rings))
+
+    def second() -> DataFrame:
+        """Rings that are found on the chromosomes of the best ones alone, if they are new."""
+        there = graph.second_search_chroms(rings, first, p.second_share)
+        on = lambda df, col: df.join(there.withColumnRenamed("chrom", col), col, "left_semi").select(*df.columns)
+        again = stage(_find_rings(on(v, "chrom"), on(on(kept, "chrom1"), "chrom2"), on(amp, "chrom"), p), "again")
+        return rings.unionByName(graph.new_circles(again, rings).withColumn("ring", F.concat("ring", F.lit("b"))))
+
+    every = st.step("rings", second)
+    scores = st.step("scores", lambda: score(every).where(F.col("score") >= p.least_score))
+    sound = every.join(scores.select("ring"), "ring", "left_semi")
+    picked = st.step("picked", lambda: graph.pick_rings(scores, intervals.reciprocal_overlap(sound, p.copy_overlap), p.copy_overlap))
+
+    def annotated() -> DataFrame:
+        names = intervals.map_all(sound, genes, ["ring", "idx"], "name").withColumnRenamed("name", "genes")
+        return sound.join(names, ["ring", "idx"], "left").withColumn("genes", F.coalesce("genes", F.lit("")))
+
+    out = {"amplified": amp, "sites": sites, "discordant": edges, "pairs": kept, "rings": every, "scores": scores, "picked": picked}
+    if genes is not None:
+        out["annotated"] = st.step("annotated", annotated)
+    return out | singlecell.dedup_audit(picked, every) | {"stats": run_stats(reads=good, amplified=amp, sites=sites, pairs=kept, rings=every)}
 
 
 def _segments(v: DataFrame, amp: DataFrame) -> DataFrame:
@@ -81,9 +184,33 @@ def _rings(segments: DataFrame) -> DataFrame:
 
 def targeted(known: DataFrame, alignments: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """Junction concordance of known rings (ring, idx, chrom, start, stop, strand) in alignments."""
-    junctions = cells.ring_junctions(known).drop("single")
-    good = reads.passing(alignments, p.min_mapq, p.max_nm)
+    return classify(extract(known), evidence(alignments, p), p)
+
+
+def extract(known: DataFrame) -> DataFrame:
+    """The junctions of known rings."""
+    return cells.ring_junctions(known).drop("single")
+
+
+def evidence(alignments: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """Pairs of split reads with their reads."""
+    good = singlecell.distinct_reads(reads.passing(alignments, p.min_mapq, p.max_nm))
     split = good.where("sa is not null").withColumns({"reverse": F.col("flag").bitwiseAND(16) != 0, "bc": F.col("cb")})
-    pairs = splitreads.count_junctions(splitreads.split_junctions(split)).drop("offset", "seq", "reads")
-    matched = breakpoints.match_known(junctions, pairs, p.junction_window)
+    return splitreads.count_junctions(splitreads.split_junctions(split))
+
+
+def classify(junctions: DataFrame, pairs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """Which rings have enough of their junctions among the pairs."""
+    matched = breakpoints.match_known(junctions, pairs.select(*PAIR, "n"), p.junction_window)
     return cells.concordance(junctions.select(F.col("ring").alias("circle"), F.col("idx").alias("junction")), matched.select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), F.col("p_n").alias("n")), p.junction_reads, p.jcs)
+
+
+def targeted_amplicons(known: DataFrame, alignments: DataFrame, path: str, p: Parameters = Parameters()) -> dict[str, DataFrame]:
+    """The de novo run on the chromosomes of known rings: its segments or, where it calls none, the known ones with their copy number and clips; and the concordance of the rings."""
+    there = known.select("chrom").distinct()
+    own = alignments.join(there, "chrom", "left_semi")
+    found = de_novo(own, path, p)
+    st = Stages(alignments.sparkSession, path)
+    called = found["amplified"].select("chrom", "start", "stop", "cn", F.lit(0).cast("long").alias("clip_left"), F.lit(0).cast("long").alias("clip_right"))
+    segments = st.step("segments_or_known", lambda: singlecell.called_or_known(called, known, read_stage(alignments.sparkSession, f"{st.path}/bins"), found["sites"]))
+    return found | {"segments": segments, "concordance": targeted(known, own, p)}

@@ -12,6 +12,7 @@ from circlet.plans import run
 from circlet.sources import tables
 from circlet.sources.alignments import SCHEMA
 
+LEFT, RIGHT = ("".join(np.random.default_rng(k).choice(list("ACGT"), 50)) for k in (1, 2))  # no short repeats, which the filter of pairs takes out
 PAIRS = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, n long, rids array<long>"
 
 
@@ -29,8 +30,8 @@ def ring(spark):
         for i in range(int(rng.poisson(60 if 400_000 <= b < 700_000 else 6))):
             read(f"r{b}_{i}", b + rng.integers(0, 9_900))
     for i in range(8):
-        read(f"s{i}", 699_950, "50M50S", "chr1,400001,+,50S50M,60,0;", seq="C" * 50)
-        read(f"s{i}", 400_000, "50S50M", "chr1,699951,+,50M50S,60,0;", 2048, "G" * 50)
+        read(f"s{i}", 699_950, "50M50S", "chr1,400001,+,50S50M,60,0;", seq=LEFT)
+        read(f"s{i}", 400_000, "50S50M", "chr1,699951,+,50M50S,60,0;", 2048, RIGHT)
     return spark.createDataFrame(rows, SCHEMA).withColumn("dup", F.lit(False))
 
 
@@ -40,13 +41,67 @@ def test_de_novo(spark, ring, tmp_path):
     assert any(abs(r.start - 400_000) <= 20_000 and abs(r.stop - 700_000) <= 20_000 for r in amp)
     (pair,) = found["pairs"].collect()
     assert (pair.coord1, pair.clip1, pair.coord2, pair.clip2, pair.n, pair.offset) == (400_000, "L", 699_999, "R", 8, 0)
-    assert pair.seq == "C" * 50 + "G" * 50
+    assert pair.seq == LEFT + RIGHT and pair.source == "split"
     rings = found["rings"].collect()
     assert [(r.start, r.stop) for r in rings] == [(400_000, 699_999)] and found["scores"].first().score > 0
     assert found["picked"].first().role == "chosen"
     assert run.de_novo(ring, str(tmp_path))["stats"].first().rings == 1  # from the stages
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """A ring of chr1 400000-700000 and chr2 1000000-1300000 at ten copies. Split reads join them at one side; read pairs alone at the other. A listed region of chr3 is as deep; bins have a bias."""
+    rng = np.random.default_rng(1)
+    rows = []
+
+    def read(name, chrom, start, cigar="100M", sa=None, flag=0, seq="A" * 100, mate=None):
+        span = sum(int(x) for x in re.findall("([0-9]+)M", cigar))
+        rows.append((name, flag, chrom, int(start), int(start) + span, 60, cigar, mate and mate[0], mate[1] if mate else -1, 0, seq, 0, sa, "cell1"))
+
+    deep = {"chr1": (400_000, 700_000), "chr2": (1_000_000, 1_300_000), "chr3": (200_000, 400_000)}
+    for chrom, (a, b) in deep.items():
+        for at in range(0, 2_000_000, 10_000):
+            for i in range(int(rng.poisson(60 if a <= at < b else 6))):
+                read(f"r{chrom}{at}_{i}", chrom, at + rng.integers(0, 9_900))
+    for i in range(9):  # the end of chr1's segment goes on at the start of chr2's
+        read(f"s{i}", "chr1", 699_950, "50M50S", "chr2,1000001,+,50S50M,60,0;", seq=LEFT)
+        read(f"s{i}", "chr2", 1_000_000, "50S50M", "chr1,699951,+,50M50S,60,0;", 2048, RIGHT)
+    for i in range(7):  # the end of chr2's segment and the start of chr1's: pairs, and clips without a second alignment
+        x, y = 1_299_700 + 10 * i, 400_020 + 10 * i
+        read(f"p{i}", "chr2", x, flag=1 + 32 + 64, mate=("chr1", y))
+        read(f"p{i}", "chr1", y, flag=1 + 16 + 128, mate=("chr2", x))
+        read(f"c{i}", "chr1", 400_000, "40S60M")
+        read(f"d{i}", "chr2", 1_299_900, "100M30S")
+    return spark.createDataFrame(rows, SCHEMA).withColumn("dup", F.lit(False))
+
+
+def test_each_step_of_the_run_is_needed(spark, planted, tmp_path):
+    listed = spark.createDataFrame([("chr3", 150_000, 450_000)], "chrom string, start long, stop long")
+    genes = spark.createDataFrame([("chr1", 500_000, 510_000, "g1"), ("chr2", 1_100_000, 1_110_000, "g2")], "chrom string, start long, stop long, name string")
+    p = run.Parameters(edge_gap=1000, snap=600)
+    found = run.de_novo(planted, str(tmp_path / "a"), p, listed=listed, genes=genes)
+    amp = {(r.chrom, r.start, r.stop) for r in found["amplified"].collect()}
+    assert {c for c, _, _ in amp} == {"chr1", "chr2"}  # not the listed one
+    assert ("chr1", 400_000, 699_999) in amp  # ends are where the clips are
+    (edge,) = found["discordant"].collect()
+    assert {(edge.chrom1, edge.clip1), (edge.chrom2, edge.clip2)} == {("chr1", "L"), ("chr2", "R")} and edge.support == 7
+    assert {(r.source, r.n) for r in found["pairs"].collect()} == {("split", 9), ("pe", 7)}
+    without = run.de_novo(planted, str(tmp_path / "b"), p)
+    assert "chr3" in {r.chrom for r in without["amplified"].collect()}
+    rings = found["rings"].collect()
+    assert found["stats"].first().rings == len(rings)
+    if rings:  # both junctions are in the graph, so the ring closes over both chromosomes
+        assert {r.chrom for r in rings} == {"chr1", "chr2"}
+        assert {r.genes for r in found["annotated"].collect()} == {"g1", "g2"}
+
+
+def test_targeted_run_falls_back_on_known_segments(spark, ring, tmp_path):
+    known = spark.createDataFrame([("x", 1, "chr9", 100_000, 150_000, "+")], "ring string, idx int, chrom string, start long, stop long, strand string")
+    found = run.targeted_amplicons(known, ring, str(tmp_path))
+    assert [(r.chrom, r.start, r.stop, r.cn) for r in found["segments"].collect()] == [("chr9", 100_000, 150_000, 2.0)]
+    assert [(r.circle, r.detected) for r in found["concordance"].collect()] == [("x", False)]
+
+
 def test_targeted(spark, ring):
     known = spark.createDataFrame([("k", 1, "chr1", 400_050, 699_950, "+"), ("x", 1, "chr1", 100_000, 150_000, "+")], "ring string, idx int, chrom string, start long, stop long, strand string")
     got = {r.circle: (r.jcs, r.detected) for r in run.targeted(known, ring).collect()}
