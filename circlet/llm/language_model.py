@@ -23,14 +23,13 @@ is never gathered, and no word of the join is hot.
 
 from __future__ import annotations
 
-from collections import Counter
 from heapq import heapify, heapreplace
-from itertools import repeat
 from math import log10
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ class Vocabulary:
         self.first = self.n_in + ENDINGS
         self.soft_counts = np.array([c for _, c in soft], dtype="f8")
         words = [w.encode("utf-8", "surrogatepass") for w, _ in head]
-        self.codes = {w: i for i, w in enumerate(words)}
+        self.words = pa.array([w for w, _ in head], pa.string())
         rare = np.array([_ending(w) for w in words], dtype="i4")
         ranks = np.arange(len(words), dtype="i4")
         self.ids = np.where(ranks + 1 < self.n_in, ranks + 1, self.n_in + rare).astype("u2")
@@ -94,22 +93,36 @@ class Vocabulary:
         self.rare_counts = np.array([endings.get(r, (0, 0))[0] for r in range(ENDINGS)], dtype="f8")
         self.base_z = log10(total + distinct + 1)
 
-    def read(self, data: bytes):
-        """(ids, known, sum of log10(c + 1), sum of what endings take off, words beyond the head) of a chunk of lower-cased text."""
-        words = data.split()
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), dtype="i8", count=len(words))
+    def read(self, pieces: list[bytes], owner: np.ndarray, texts: int):
+        """What the lower-cased pieces of texts hold, owner naming each piece's text in ascending order.
+
+        Returns the ids and how many each text has; by text the known tokens, the
+        sum of log10(c + 1), and the sum of what endings take off; and the words
+        beyond the head, each once a text: (words, text, place of the word, times).
+        """
+        split = pc.ascii_split_whitespace(pa.array(pieces, pa.string()))
+        words = split.values
+        who = np.repeat(owner, np.diff(np.asarray(split.offsets)))
+        some = np.asarray(pc.not_equal(pc.binary_length(words), 0))  # a piece may begin or end with white space
+        if not some.all():
+            words, who = words.filter(pa.array(some)), who[some]
+        codes = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype("i8")
         known = codes >= 0
-        others = [words[i] for i in np.flatnonzero(~known).tolist()]
-        beyond = Counter(others)
-        held = codes[known]
-        log_c = self.log_c[held]
+        held, whose = codes[known], who[known]
+        add = lambda at, x: np.bincount(at, x, texts).astype("f8")  # noqa: E731  (of nothing it counts in integers)
         ids = np.empty(len(words), dtype="u2")
         ids[known] = self.ids[held]
-        tails = np.array([_ending(w) for w in others], dtype="i8")
-        ids[~known] = self.n_in + tails
+        log_c = self.log_c[held]
         rare = held >= self.n_soft - 1
-        own = log_c[rare].sum() - self.rare_z[self.rare[held[rare]]].sum() - self.rare_z[tails].sum()
-        return ids, len(held), float(log_c.sum()), float(own), beyond
+        own = add(whose[rare], log_c[rare] - self.rare_z[self.rare[held[rare]]])
+        coded = words.filter(pa.array(~known)).dictionary_encode()
+        distinct, which, at = coded.dictionary, np.asarray(coded.indices).astype("i8"), who[~known]
+        tails = np.array([_ending(w) for w in distinct.cast(pa.binary()).to_pylist()], dtype="i8")[which] if len(which) else which
+        ids[~known] = self.n_in + tails
+        own -= add(at, self.rare_z[tails])
+        pair, times = np.unique(at * max(1, len(distinct)) + which, return_counts=True)
+        beyond = distinct, pair // max(1, len(distinct)), pair % max(1, len(distinct)), times
+        return ids, np.bincount(who, minlength=texts), np.bincount(whose, minlength=texts), add(whose, log_c), own, beyond
 
 
 def vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, DataFrame]:
@@ -344,39 +357,45 @@ _READ = "row long, doc_id long, key long, n_tokens long, n_known long, log_c dou
 def read_texts(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """Each text's ids (two bytes a token) and sums, and apart from them, by row, its words beyond the head with how often they occur."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
+    names = ["row", "doc_id", "key", "n_tokens", "n_known", "log_c", "own", "ids", "words", "times"]
 
     def run(batches):
-        v, base, i = shared.value, TaskContext.get().partitionId() << 40, 0
-        end = np.zeros(1, dtype="u2").tobytes()
-        rows: list[tuple] = []
-        held = 0
-
-        def out():
-            kinds = (*[pa.int64()] * 5, pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["row", "doc_id", "key", "n_tokens", "n_known", "log_c", "own", "ids", "words", "times"])
-
+        v, base, end = shared.value, TaskContext.get().partitionId() << 40, np.zeros(1, dtype="u2")
+
+        def out(first, keys, pieces, owner):
+            """The rows of the texts from number first on."""
+            n = len(keys)
+            ids, sizes, known, log_c, own, (distinct, text, word, times) = v.read(pieces, np.array(owner, dtype="i8"), n)
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            rows = pa.array((base | first) + np.arange(n, dtype="i8"))
+            texts = pa.array([np.concatenate((ids[a:b], end)).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+            none = lambda t, k: pa.nulls(k, t)
+            strings, counts = pa.list_(pa.string()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [rows, pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(sizes + 1), pa.array(known + int(v.ends > 0)), pa.array(log_c + log10(v.ends + 1)), pa.array(own), texts, none(strings, n), none(counts, n)], names=names
+            )
+            if len(text):
+                at = np.flatnonzero(np.diff(text, prepend=-1))
+                offsets = pa.array(np.append(at, len(text)).astype("i4"))
+                words = pa.ListArray.from_arrays(offsets, distinct.take(pa.array(word)))
+                k = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((base | first) + text[at]), *[none(pa.int64(), k) for _ in range(4)], none(pa.float64(), k), none(pa.float64(), k), none(pa.binary(), k), words, pa.ListArray.from_arrays(offsets, pa.array(times.astype("i8")))], names=names
+                )
+
+        first, keys, pieces, owner, held = 0, [], [], [], 0
         for batch in batches:
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text")):
-                parts, n, known, log_c, own = [], 1, int(v.ends > 0), log10(v.ends + 1), 0.0
-                for data in _chunks(text.as_py()):
-                    ids, k, c, o, beyond = v.read(data)
-                    n, known, log_c, own = n + len(ids), known + k, log_c + c, own + o
-                    parts.append(ids.tobytes())
-                    if beyond:
-                        rows.append((base | i, *[None] * 7, [x.decode("utf-8", "surrogatepass") for x in beyond], list(beyond.values())))
-                        held += sum(map(len, beyond)) + 16 * len(beyond)
-                    if held > BATCH_BYTES:
-                        yield out()
-                        rows, held = [], 0
-                parts.append(end)
-                rows.append((base | i, doc, key, n, known, log_c, own, b"".join(parts), None, None))
-                held += 2 * n + 64
-                i += 1
+                for piece in _chunks(text.as_py()):
+                    pieces.append(piece)
+                    owner.append(len(keys))
+                    held += len(piece)
+                keys.append((doc, key))
                 if held > BATCH_BYTES:
-                    yield out()
-                    rows, held = [], 0
-        if rows:
-            yield out()
+                    yield from out(first, keys, pieces, owner)
+                    first, keys, pieces, owner, held = first + len(keys), [], [], [], 0
+        if keys:
+            yield from out(first, keys, pieces, owner)
 
     return docs.select("doc_id", "text", F.xxhash64(F.lit("lm"), "doc_id", "text").alias("key")).mapInArrow(run, _READ)
 
