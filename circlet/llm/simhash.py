@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, partitions, stage, table
+from .common import LOWER_AZ, aside, components, partitions, stage, table
 
 BITS, SHINGLE, SEED = 4, 4, 42
 LIMIT = 4096
@@ -555,8 +555,10 @@ def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without the rows of a group of near copies but one: that of the smallest doc_id, and of its several texts in the group that of the smallest hash; of rows that repeat it, one stays. Texts of one doc_id that are no near copies are groups of their own. Rows without doc_id name no document: one of each text stays."""
     kept = stage(similar_least(docs, shingle).withColumnRenamed("mark", "hash of text"), "kept")
-    marked = docs.withColumn("hash of text", F.xxhash64("text"))
-    out = marked.join(kept.hint("merge"), ["doc_id", "hash of text"], "left_semi").dropDuplicates(["doc_id", "hash of text"]).select(*docs.columns)
+    held, back = aside(docs, "hash of text")
+    marked = held.withColumn("hash of text", F.xxhash64("text"))
+    out = marked.join(kept.hint("merge"), ["doc_id", "hash of text"], "left_semi").dropDuplicates(["doc_id", "hash of text"])
+    out = out.drop("hash of text").withColumnsRenamed(back).select(*docs.columns)
     lone = docs.where("doc_id is null")
     return out if lone.isEmpty() else out.union(lone.dropDuplicates(["text"]))
 
