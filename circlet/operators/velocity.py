@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest points (id, vec) of each query (id, vec) by Euclidean distance, smaller ids first of equals.
+#: Bytes of queries that are broadcast at a time.
+QUERY_BYTES = 64 << 20
 
-    queries is the stated, bounded side and is broadcast; the k best of each
-    task are kept before the shuffle.
+
+def _centred(v):
+    """A vector less its mean, at unit length: half the squared distance of two is one less their correlation."""
+    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
+    c = F.transform(v, lambda x: x - mean)
+    return F.transform(c, lambda x: F.try_divide(x, F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, y: acc + y * y))))
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int = 10, metric: str = "euclidean") -> DataFrame:
+    """The k nearest points (id, vec) of each query (id, vec), smaller ids first of equals. d: squared Euclidean distance, or one less the correlation.
+
+    queries is the smaller side: it is measured, and broadcast in slices of at
+    most QUERY_BYTES; the k best of each task are kept before the shuffle.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("vec").alias("_v"))
+    if metric == "correlation":
+        queries, points = (df.withColumn("vec", _centred(F.col("vec").cast("array<double>"))) for df in (queries, points))
+    bytes_ = queries.agg(F.sum(8 * F.size("vec") + 32)).first()[0] or 0
+    slices = max(1, -(-bytes_ // QUERY_BYTES))
     d = F.aggregate(F.zip_with("_v", "vec", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    near = points.join(F.broadcast(q), F.col("id") != F.col("q")).select("q", "id", d.alias("d"))
+    near = None
+    for i in range(slices):
+        q = queries.select(F.col("id").alias("q"), F.col("vec").alias("_v"))
+        q = q if slices == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == i)
+        met = points.join(F.broadcast(q), F.col("id") != F.col("q")).select("q", "id", (d / 2 if metric == "correlation" else d).alias("d"))
+        near = met if near is None else near.union(met)
     w = Window.partitionBy("q").orderBy("d", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -41,12 +60,17 @@ def grid_flow(arrows: DataFrame, n: int = 10, width: float = 0.5, least_mass: fl
 
 
 def squash(x, kind: str):
-    """Transform of a shift: log (sign * log10(|x| + 1)), sqrt (sign * sqrt(|x|)) or linear."""
+    """Transform of a shift: log (sign * log10(|x| + 1)), sqrt (sign * sqrt(|x|)) or linear; ranks are of a whole vector, see ranked()."""
     return F.signum(x) * F.log10(F.abs(x) + 1) if kind == "log" else F.signum(x) * F.sqrt(F.abs(x)) if kind == "sqrt" else x
 
 
+def ranked(v):
+    """Ranks of a vector's components, the mean rank of equals."""
+    return F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / 2.0)
+
+
 def delta_correlation(cells: DataFrame, pairs: DataFrame, kind: str = "log") -> DataFrame:
-    """Correlation r of the shift from cell a to b with the velocity of a, both squashed; a cell with itself has 0.
+    """Correlation r of the shift from cell a to b with the velocity of a, both squashed or (kind rank) ranked; a cell with itself has 0.
 
     cells: id, e (state) and v (velocity) as arrays of one length; pairs: a, b.
     """
@@ -54,6 +78,8 @@ def delta_correlation(cells: DataFrame, pairs: DataFrame, kind: str = "log") ->
     right = cells.select(F.col("id").alias("b"), F.col("e").alias("_eb"))
     shift = F.zip_with("_eb", "_ea", lambda x, y: squash(x - y, kind))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", shift.alias("_x"), F.transform("_va", lambda x: squash(x, kind)).alias("_y"))
+    if kind == "rank":
+        rows = rows.select("a", "b", ranked(F.col("_x")).alias("_x"), ranked(F.col("_y")).alias("_y"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
     product = lambda c, d: F.zip_with(c, d, lambda x, y: x * y)
     rows = rows.select("a", "b", F.size("_x").alias("n"), total("_x").alias("x"), total("_y").alias("y"), total(product("_x", "_x")).alias("xx"), total(product("_y", "_y")).alias("yy"), total(product("_x", "_y")).alias("xy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import breakpoints, cells, graph, intervals, refine, singlecell, splitreads
+from circlet.operators import breakpoints, cells, graph, intervals, refine, singlecell, splitreads, velocity
 from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
@@ -240,6 +240,25 @@ def _(df):
     return df.select("doc_id", F.size(text.gene_list(F.coalesce(F.regexp_replace("text", "[,.]", ";"), F.lit("")))).cast("long").alias("names"))
 
 
+# --- embeddings ------------------------------------------------------------
+
+CORR = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),\nx AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM p),\nd AS (SELECT a.id AS q, b.id, 1 - corr(a.v, b.v) AS d FROM x a JOIN x b ON a.i = b.i AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY ALL),\nk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), id) AS rank FROM d)"
+
+
+@query("correlation_knn", "embeddings", also=CORR, sql="SELECT q, id, round(d, 5) AS d, rank FROM k WHERE rank <= 10")
+def _(df):
+    p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return velocity.nearest(p.where("id % 100 = 0"), p, metric="correlation").select("q", "id", F.round("d", 5).alias("d"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("rank_projection", "embeddings", sql="WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), g AS (SELECT a.id AS a, b.id AS b, unnest(range(1, 33)) AS i, a.vec AS x, b.vec AS y FROM p a JOIN p b ON a.id % 100 = 0 AND b.id = a.id + 1), s AS (SELECT a, b, i, y[i] - x[i] AS d, x[i + 32] AS v FROM g), t AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY d) + (count(*) OVER (PARTITION BY a, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY a ORDER BY v) + (count(*) OVER (PARTITION BY a, v) - 1) / 2.0 AS rv FROM s) SELECT a, b, round(corr(rd, rv), 5) AS r FROM t GROUP BY a, b")
+def _(df):
+    p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    state = p.select("id", F.slice("vec", 1, 32).alias("e"), F.slice("vec", 33, 32).alias("v"))
+    pairs = p.where("id % 100 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return velocity.delta_correlation(state, pairs, "rank").withColumn("r", F.round("r", 5))
+
+
 # --- sequences of junctions ------------------------------------------------
 
 
