@@ -141,7 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     Each row of docs is a document; repeated rows and null doc_ids are packed
     like any other. An empty table gives no rows. Other columns are ignored.
-    What reaches the driver is one count for each length.
+    Pieces of equal length are alike to a packing: which of them comes first is
+    left open. What reaches the driver is one count for each length.
     """
     spark = docs.sparkSession
     # The ranks are those of one run of the tasks: staged, a lost executor can't deal them anew.
