@@ -235,7 +235,7 @@ def _(rings):
     return singlecell.gene_numbers(rings.withColumn("gene", gene), ["gene"])
 
 
-@query("gene_names", "documents")
+@query("gene_names", "documents", sql="SELECT doc_id, len(list_distinct(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[,.]', ';', 'g'), ';'), lambda x: trim(x)), lambda x: x <> '')))::BIGINT AS names FROM documents")
 def _(df):
     return df.select("doc_id", F.size(text.gene_list(F.coalesce(F.regexp_replace("text", "[,.]", ";"), F.lit("")))).cast("long").alias("names"))
 
