@@ -43,7 +43,7 @@ HIDDEN, STEPS, LANES, TRAIN_LANES = 16, 32, 1024, 512
 #: Rounds of training; tokens of a shard, of which there are at most SHARDS a round; the least updates that a small shard is cut for; longest piece of a document that training reads with one state.
 ROUNDS, SHARD_TOKENS, SHARDS, UPDATES, PIECE, RATE = 2, 1_500_000, 16_384, 100, 2_048, 0.02
 #: Tokens that are laid out in lanes at a time, bytes of a batch, and rows of one doc_id and text from which they are dealt by place.
-GROUP, BATCH_BYTES, HOT = 2_000_000, 4 << 20, 10_000
+GROUP, BATCH_BYTES, HOT = 8_000_000, 4 << 20, 10_000
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 _WHITE = b" \t\n\x0b\x0c\r"
 LN10 = float(np.log(10.0))
