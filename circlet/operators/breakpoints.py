@@ -91,8 +91,10 @@ def collapse_ends(ends: DataFrame, reach: int = NEAR) -> DataFrame:
 
 
 def _turned(links: DataFrame) -> DataFrame:
+    """Links in both directions; one that is its own turn is there once."""
     ends = ["chrom", "coord", "clip"]
-    back = links.select(*[c for c in links.columns if c[:-1] not in ends], *[F.col(f"{c}{3 - k}").alias(f"{c}{k}") for k in (1, 2) for c in ends])
+    apart = ~(F.col("chrom1").eqNullSafe(F.col("chrom2")) & F.col("coord1").eqNullSafe(F.col("coord2")) & F.col("clip1").eqNullSafe(F.col("clip2")))
+    back = links.where(apart).select(*[c for c in links.columns if c[:-1] not in ends], *[F.col(f"{c}{3 - k}").alias(f"{c}{k}") for k in (1, 2) for c in ends])
     return links.unionByName(back)
 
 
@@ -102,9 +104,10 @@ def snap_two_ended(edges: DataFrame, pairs: DataFrame, reach: int = NEAR) -> Dat
     edges: chrom1..clip2, support; pairs: chrom1..clip2, n. Returns the edges with to1, to2 and snapped.
     """
     key = ["chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2"]
-    near = _turned(pairs.select(*key, "n")).distinct().select("chrom1", "clip1", "chrom2", "clip2", F.col("coord1").alias("to1"), F.col("coord2").alias("to2"), "n")
-    near = band(near, reach + 1, "to1")
-    rows = edges.withColumn("_band", F.floor(F.col("coord1") / (reach + 1)))
+    near = _turned(pairs.select(*key, "n")).select("chrom1", "clip1", "chrom2", "clip2", F.col("coord1").alias("to1"), F.col("coord2").alias("to2"), "n")
+    # edges take the three cells: they are fewer than pairs read in both directions
+    near = near.withColumn("_band", F.floor(F.col("to1") / (reach + 1)))
+    rows = band(edges, reach + 1, "coord1")
     met = rows.join(near, ["chrom1", "clip1", "chrom2", "clip2", "_band"]).where((F.abs(F.col("coord1") - F.col("to1")) <= reach) & (F.abs(F.col("coord2") - F.col("to2")) <= reach))
     # The strongest is the only one if it is both the first and the last of the strongest by place.
     best = met.groupBy(*key).agg(F.max(F.struct("n", "to1", "to2")).alias("_last"), F.max(F.struct("n", -F.col("to1"), -F.col("to2"))).alias("_first"))
@@ -115,9 +118,9 @@ def snap_two_ended(edges: DataFrame, pairs: DataFrame, reach: int = NEAR) -> Dat
 
 def match_known(junctions: DataFrame, pairs: DataFrame, window: int = 200) -> DataFrame:
     """Junctions (id, chrom1..clip2) with the pairs that match both ends within the window, direct or turned."""
-    near = _turned(pairs).select(*[F.col(c).alias(f"p_{c}") for c in pairs.columns]).distinct()
-    near = band(near, window + 1, "p_coord1")
-    rows = junctions.withColumn("_band", F.floor(F.col("coord1") / (window + 1)))
+    near = _turned(pairs).select(*[F.col(c).alias(f"p_{c}") for c in pairs.columns])
+    near = near.withColumn("_band", F.floor(F.col("p_coord1") / (window + 1)))
+    rows = band(junctions, window + 1, "coord1")
     on = " and ".join(f"{c}{k} = p_{c}{k}" for k in (1, 2) for c in ("chrom", "clip"))
     met = rows.join(near, (rows["_band"] == near["_band"]) & F.expr(on))
     return met.where((F.abs(F.col("coord1") - F.col("p_coord1")) <= window) & (F.abs(F.col("coord2") - F.col("p_coord2")) <= window)).select(*junctions.columns, "p_coord1", "p_coord2", "p_n").distinct()
@@ -181,8 +184,8 @@ def discordant_links(reads: DataFrame, max_insert: int = 450, min_mapq: int = 5)
 
 def nearest_strong_clip(boundaries: DataFrame, sites: DataFrame, reach: int = 10_000) -> DataFrame:
     """For each boundary (chrom, coord, clip) the site of its side with most clips within reach; nearest, then smallest, of equals."""
-    near = band(sites.select("chrom", "clip", F.col("coord").alias("at"), "n"), reach + 1, "at")
-    met = boundaries.withColumn("_band", F.floor(F.col("coord") / (reach + 1))).join(near, ["chrom", "clip", "_band"]).where(F.abs(F.col("coord") - F.col("at")) <= reach)
+    near = sites.select("chrom", "clip", F.col("coord").alias("at"), "n").withColumn("_band", F.floor(F.col("at") / (reach + 1)))
+    met = band(boundaries, reach + 1).join(near, ["chrom", "clip", "_band"]).where(F.abs(F.col("coord") - F.col("at")) <= reach)
     return met.groupBy("chrom", "coord", "clip").agg(F.max_by("at", F.struct("n", -F.abs(F.col("coord") - F.col("at")), -F.col("at"))).alias("at"), F.max("n").alias("n"))
 
 
