@@ -101,19 +101,20 @@ def _turned(links: DataFrame) -> DataFrame:
 def snap_two_ended(edges: DataFrame, pairs: DataFrame, reach: int = NEAR) -> DataFrame:
     """Edges moved to the strongest pair within reach of both ends, in either direction; without a single strongest they stay.
 
-    edges: chrom1..clip2, support; pairs: chrom1..clip2, n. Returns the edges with to1, to2 and snapped.
+    edges: chrom1..clip2, support, each once; pairs: chrom1..clip2, n. Returns the edges with to1, to2 and snapped.
     """
     key = ["chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2"]
     near = _turned(pairs.select(*key, "n")).select("chrom1", "clip1", "chrom2", "clip2", F.col("coord1").alias("to1"), F.col("coord2").alias("to2"), "n")
     # edges take the three cells: they are fewer than pairs read in both directions
-    near = near.withColumn("_band", F.floor(F.col("to1") / (reach + 1)))
+    near = near.withColumn("_band", F.floor(F.col("to1") / (reach + 1))).withColumnsRenamed({c: f"_{c}" for c in ("chrom1", "clip1", "chrom2", "clip2", "_band")})
     rows = band(edges, reach + 1, "coord1")
-    met = rows.join(near, ["chrom1", "clip1", "chrom2", "clip2", "_band"]).where((F.abs(F.col("coord1") - F.col("to1")) <= reach) & (F.abs(F.col("coord2") - F.col("to2")) <= reach))
-    # The strongest is the only one if it is both the first and the last of the strongest by place.
-    best = met.groupBy(*key).agg(F.max(F.struct("n", "to1", "to2")).alias("_last"), F.max(F.struct("n", -F.col("to1"), -F.col("to2"))).alias("_first"))
-    best = best.where("_last.to1 = -_first.col2 and _last.to2 = -_first.col3").select(*key, "_last.to1", "_last.to2")
-    out = edges.join(best, key, "left")
-    return out.select(*edges.columns, F.coalesce("to1", "coord1").alias("to1"), F.coalesce("to2", "coord2").alias("to2"), F.col("to1").isNotNull().alias("snapped"))
+    on = [F.col(c) == F.col(f"_{c}") for c in ("chrom1", "clip1", "chrom2", "clip2", "_band")]
+    met = rows.join(near, [*on, F.abs(F.col("coord1") - F.col("to1")) <= reach, F.abs(F.col("coord2") - F.col("to2")) <= reach], "left")
+    # The strongest is the only one if it is both the first and the last of the strongest by place. An edge that meets none is there with nulls.
+    some = F.col("n").isNotNull()
+    best = met.groupBy(*edges.columns).agg(F.max(F.when(some, F.struct("n", "to1", "to2"))).alias("_last"), F.max(F.when(some, F.struct("n", (-F.col("to1")).alias("to1"), (-F.col("to2")).alias("to2")))).alias("_first"))
+    one = F.coalesce((F.col("_last.to1") == -F.col("_first.to1")) & (F.col("_last.to2") == -F.col("_first.to2")), F.lit(False))
+    return best.select(*edges.columns, F.when(one, F.col("_last.to1")).otherwise(F.col("coord1")).alias("to1"), F.when(one, F.col("_last.to2")).otherwise(F.col("coord2")).alias("to2"), one.alias("snapped"))
 
 
 def match_known(junctions: DataFrame, pairs: DataFrame, window: int = 200) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1_000_000
+BUCKET = 250_000
 
 
 def _bucketed(df: DataFrame, start: str, stop: str, bucket: int) -> DataFrame:
@@ -110,7 +110,7 @@ def reciprocal_overlap(rings: DataFrame, above: float = 0.0) -> DataFrame:
         right = merged.withColumn("_class", F.explode(F.array(*[F.col("_class") + k for k in (-1, 0, 1)]))).withColumn("chrom", F.concat_ws("|", "chrom", F.col("_class").cast("string")))
     else:
         left = right = merged
-    met = overlap_join(left.select("ring", "chrom", "start", "stop", "total"), right.select("ring", "chrom", "start", "stop", "total")).where("ring < r_ring")
+    met = overlap_join(left.select("ring", "chrom", "start", "stop", "total"), right.select("ring", "chrom", "start", "stop", "total"), bucket=100_000).where("ring < r_ring")
     common = met.groupBy("ring", F.col("r_ring").alias("other"), "total", F.col("r_total").alias("other_total")).agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("common"))
     out = common.select("ring", "other", "common", "total", "other_total", (F.col("common") / F.greatest("total", "other_total")).alias("overlap"))
     return out.where(F.col("overlap") > above)
