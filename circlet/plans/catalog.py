@@ -228,7 +228,7 @@ def _(segments, genes):
     return met.groupBy("seg").agg(F.array_join(F.array_sort(F.collect_set("r_name")), "; ").alias("cancer"))
 
 
-ISLANDS = "i0 AS (SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} OR row_number() OVER (PARTITION BY chrom ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS k FROM {t}),\ni1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM i0),\nmerged AS (SELECT chrom, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i1 GROUP BY chrom, g)"
+ISLANDS = "i0 AS (SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} OR row_number() OVER (PARTITION BY chrom ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS k FROM {t}),\ni1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY start, stop) AS g FROM i0),\nmerged AS (SELECT chrom, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i1 GROUP BY chrom, g)"
 
 
 @query("merge_bed", "segments", also=ISLANDS.format(gap=200000, t="segments"), sql="SELECT * FROM merged")
@@ -258,7 +258,7 @@ def _(sites, segments):
 
 @query("reciprocal_overlap", "rings", also="""q AS (SELECT * FROM rings),
 i0 AS (SELECT ring, chrom, start, stop, CASE WHEN start > max(stop) OVER (PARTITION BY ring, chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR row_number() OVER (PARTITION BY ring, chrom ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS k FROM q),
-i1 AS (SELECT *, sum(k) OVER (PARTITION BY ring, chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM i0),
+i1 AS (SELECT *, sum(k) OVER (PARTITION BY ring, chrom ORDER BY start, stop) AS g FROM i0),
 m AS (SELECT ring, chrom, min(start) AS start, max(stop) + 1 AS stop FROM i1 GROUP BY ring, chrom, g),
 t AS (SELECT ring, sum(stop - start)::BIGINT AS total FROM m GROUP BY ring),
 c AS (SELECT a.ring, b.ring AS other, sum(least(a.stop, b.stop) - greatest(a.start, b.start))::BIGINT AS common FROM m a JOIN m b ON a.chrom = b.chrom AND a.ring < b.ring AND a.start < b.stop AND b.start < a.stop GROUP BY ALL)""", sql="SELECT c.ring, other, common, t.total, u.total AS other_total, round(common * 1.0 / greatest(t.total, u.total), 6) AS overlap FROM c JOIN t USING (ring) JOIN t u ON u.ring = other")
@@ -459,13 +459,13 @@ def _(sites, segments):
     return segmentation.snap_to_boundary(points, segments.select("chrom", F.col("start").alias("at")).distinct()).select("chrom", "coord", "clip", "to")
 
 
-@query("graph_edges", "segments", "links", also=EDGES + ",\nv AS (SELECT row_number() OVER (ORDER BY chrom, coord, clip) AS id, chrom, coord, clip FROM (SELECT chrom1 AS chrom, coord1 AS coord, clip1 AS clip FROM pairs UNION SELECT chrom2, coord2, clip2 FROM pairs UNION SELECT chrom, start, 'L' FROM segments UNION SELECT chrom, stop, 'R' FROM segments)),\ne AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, 'outer' AS kind, n::DOUBLE AS weight FROM pairs p JOIN v a ON a.chrom = chrom1 AND a.coord = coord1 AND a.clip = clip1 JOIN v b ON b.chrom = chrom2 AND b.coord = coord2 AND b.clip = clip2 UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 'inner', s.cn FROM segments s JOIN v a ON a.chrom = s.chrom AND a.coord = s.start AND a.clip = 'L' JOIN v b ON b.chrom = s.chrom AND b.coord = s.stop AND b.clip = 'R')", sql="SELECT va.chrom || va.coord || va.clip AS a, vb.chrom || vb.coord || vb.clip AS b, kind, max(weight) AS weight FROM e JOIN v va ON va.id = a JOIN v vb ON vb.id = b GROUP BY ALL")
+@query("graph_edges", "segments", "links", also=EDGES + ",\nv AS (SELECT row_number() OVER (ORDER BY chrom, coord, clip) AS id, chrom, coord, clip FROM (SELECT chrom1 AS chrom, coord1 AS coord, clip1 AS clip FROM pairs UNION SELECT chrom2, coord2, clip2 FROM pairs UNION SELECT chrom, start, 'L' FROM segments UNION SELECT chrom, stop, 'R' FROM segments)),\ne AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, 'outer' AS kind, n::DOUBLE AS weight FROM pairs p JOIN v a ON a.chrom = chrom1 AND a.coord = coord1 AND a.clip = clip1 JOIN v b ON b.chrom = chrom2 AND b.coord = coord2 AND b.clip = clip2 UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 'inner', s.cn FROM segments s JOIN v a ON a.chrom = s.chrom AND a.coord = s.start AND a.clip = 'L' JOIN v b ON b.chrom = s.chrom AND b.coord = s.stop AND b.clip = 'R')", sql="SELECT va.chrom || ':' || va.coord || va.clip AS a, vb.chrom || ':' || vb.coord || vb.clip AS b, kind, max(weight) AS weight FROM e JOIN v va ON va.id = a JOIN v vb ON vb.id = b GROUP BY ALL")
 def _(segments, links):
     pairs = breakpoints.count_links(links).drop("rids")
     v = pairs.select(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord"), F.col("clip1").alias("clip")).union(pairs.select("chrom2", "coord2", "clip2")).union(segments.select("chrom", "start", F.lit("L"))).union(segments.select("chrom", "stop", F.lit("R"))).distinct()
     v = v.withColumn("id", F.row_number().over(Window.orderBy("chrom", "coord", "clip")).cast("long"))
     edges = graph.graph_edges(v, pairs, segments)
-    name = v.select("id", F.concat("chrom", F.col("coord").cast("string"), "clip").alias("name"))
+    name = v.select("id", F.concat("chrom", F.lit(":"), F.col("coord").cast("string"), "clip").alias("name"))
     return edges.join(name.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "kind", "weight")
 
 

@@ -211,7 +211,10 @@ def _(segments, df, sites):
     return singlecell.called_or_known(called, segments, bins_of(df), sites, reach=600).withColumns(r6("cn"))
 
 
-@query("junction_reads", "links", sql="SELECT l.chrom1 AS ring, l.rid AS junction, r.rid::VARCHAR AS qname, r.bc::VARCHAR AS bc, CASE WHEN r.bc % 2 = 0 THEN 'cell' || r.rid ELSE r.bc::VARCHAR END AS cell FROM links l JOIN links r ON (l.chrom1, l.coord1, l.clip1, l.chrom2, l.coord2, l.clip2) = (r.chrom1, r.coord1, r.clip1, r.chrom2, r.coord2, r.clip2) OR (l.chrom1, l.coord1, l.clip1, l.chrom2, l.coord2, l.clip2) = (r.chrom2, r.coord2, r.clip2, r.chrom1, r.coord1, r.clip1)")
+READS_OF = """e AS (SELECT *, CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom1, coord1, clip1) ELSE row(chrom2, coord2, clip2) END AS lo, CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom2, coord2, clip2) ELSE row(chrom1, coord1, clip1) END AS hi FROM links)"""
+
+
+@query("junction_reads", "links", also=READS_OF, sql="SELECT l.chrom1 AS ring, l.rid AS junction, r.rid::VARCHAR AS qname, r.bc::VARCHAR AS bc, CASE WHEN r.bc % 2 = 0 THEN 'cell' || r.rid ELSE r.bc::VARCHAR END AS cell FROM e l JOIN e r USING (lo, hi)")
 def _(links):
     # each link is a known junction; the pairs carry the reads of their links
     junctions = links.select(F.col("chrom1").alias("ring"), F.col("rid").alias("junction"), *singlecell.ENDS)
