@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import OP11_SQL, op11_conversation_repair
 from .decontam import OP8_SQL, op8_decontaminate
 from .embeddings import OP6_SQL, op6_embedding_collisions
 from .html_text import op10_html_layout
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_gated_lm": op9_gated_lm,
     "op10_html_layout": op10_html_layout,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op6_embedding_collisions": OP6_SQL,
     "op7_warc_index": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
