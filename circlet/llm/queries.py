@@ -6,6 +6,7 @@ from .conversations import OP11_SQL, op11_conversation_repair
 from .decontam import OP8_SQL, op8_decontaminate
 from .embeddings import OP6_SQL, op6_embedding_collisions
 from .html_text import op10_html_layout
+from .language_id import op12_language_id
 from .language_model import op9_gated_lm
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_gated_lm": op9_gated_lm,
     "op10_html_layout": op10_html_layout,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_language_id": op12_language_id,
 }
 
 ORACLE_SQL = {
