@@ -16,15 +16,16 @@ def bin_start(col, width: int):
     return F.floor(col / width).cast("long") * width
 
 
-def bin_counts(reads: DataFrame, width: int = 10_000) -> DataFrame:
-    """Reads by start bin, occupied bins only."""
-    return reads.groupBy("chrom", bin_start(F.col("start"), width).alias("coord")).agg(F.count("*").alias("n"))
+def bin_counts(reads: DataFrame, width: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reads by start bin, occupied bins only; by: of each sample apart."""
+    return reads.groupBy(*by, "chrom", bin_start(F.col("start"), width).alias("coord")).agg(F.count("*").alias("n"))
 
 
-def copy_number(bins: DataFrame) -> DataFrame:
-    """Twice the count over the mean count of occupied bins; the mean is one row, which is broadcast."""
-    mean = bins.agg(F.avg("n").alias("_mean"))
-    return bins.crossJoin(F.broadcast(mean)).withColumn("cn", 2 * F.col("n") / F.col("_mean")).drop("_mean")
+def copy_number(bins: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Twice the count over the mean count of occupied bins; the mean is one row, which is broadcast, or one a sample, which is joined."""
+    mean = bins.groupBy(*by).agg(F.avg("n").alias("_mean"))
+    met = bins.join(mean, list(by)) if by else bins.crossJoin(F.broadcast(mean))
+    return met.withColumn("cn", 2 * F.col("n") / F.col("_mean")).drop("_mean")
 
 
 def targeted_copy_number(bins: DataFrame, known: DataFrame, width: int = 10_000, least: int = 10) -> DataFrame:
@@ -53,13 +54,14 @@ def reset_bins(bins: DataFrame, black: DataFrame, width: int = 10_000) -> DataFr
     return bins.join(hit, ["chrom", "coord"], "left").withColumn("cn", F.when(F.col("_hit"), 2.0).otherwise(F.col("cn"))).drop("_hit")
 
 
-def around(reach: int):
-    return Window.partitionBy("chrom").orderBy("coord").rowsBetween(-reach, reach)
+def along(by: tuple[str, ...] = ()):
+    """The bins of a chromosome (of a sample) in order."""
+    return Window.partitionBy(*by, "chrom").orderBy("coord")
 
 
-def neighbours(df: DataFrame, value: str = "x", reach: int = 10) -> DataFrame:
+def neighbours(df: DataFrame, value: str = "x", reach: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean and sample deviation of the rows within reach, without the row itself."""
-    w, x = around(reach), F.col(value)
+    w, x = along(by).rowsBetween(-reach, reach), F.col(value)
     n = F.count(value).over(w) - F.when(x.isNull(), 0).otherwise(1)
     own = F.coalesce(x, F.lit(0.0))
     s, q = F.sum(value).over(w) - own, F.sum(x * x).over(w) - own * own
@@ -69,10 +71,10 @@ def neighbours(df: DataFrame, value: str = "x", reach: int = 10) -> DataFrame:
     return df.withColumn("near_sd", F.when(F.col("near_n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("_s", "_q")
 
 
-def smooth_outliers(df: DataFrame, value: str = "x", reach: int = 10, far: float = 5.0) -> DataFrame:
+def smooth_outliers(df: DataFrame, value: str = "x", reach: int = 10, far: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Values beyond far deviations of their neighbours become the triangularly weighted mean of these."""
-    df = neighbours(df, value, reach)
-    order = Window.partitionBy("chrom").orderBy("coord")
+    df = neighbours(df, value, reach, by)
+    order = along(by)
     top = bottom = F.lit(0.0)
     for k in range(1, reach + 1):
         for x in (F.lag(value, k).over(order), F.lead(value, k).over(order)):
@@ -82,18 +84,18 @@ def smooth_outliers(df: DataFrame, value: str = "x", reach: int = 10, far: float
     return df.withColumn("smooth", F.when(out, F.try_divide(top, bottom)).otherwise(F.col(value)))
 
 
-def mask_upper(df: DataFrame, value: str = "n", reach: int = 10, far: float = 2.0, passes: int = 1) -> DataFrame:
+def mask_upper(df: DataFrame, value: str = "n", reach: int = 10, far: float = 2.0, passes: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Nulls in place of values above the mean of their neighbours by far deviations, in passes over what is left."""
     df = df.withColumn(value, F.col(value).cast("double"))
     for _ in range(passes):
-        df = neighbours(df, value, reach)
+        df = neighbours(df, value, reach, by)
         df = df.withColumn(value, F.when(F.col(value) > F.col("near_mean") + far * F.col("near_sd") + ROUNDING, None).otherwise(F.col(value))).drop("near_n", "near_mean", "near_sd")
     return df
 
 
-def fill_linear(df: DataFrame, value: str = "n") -> DataFrame:
+def fill_linear(df: DataFrame, value: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
     """Linear interpolation of nulls by row in each chromosome; leading nulls stay, trailing ones take the last value."""
-    w = Window.partitionBy("chrom").orderBy("coord")
+    w = along(by)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     df = df.withColumn("_i", F.row_number().over(w)).withColumn("_k", F.when(F.col(value).isNotNull(), F.col("_i")))
     df = df.withColumns({"_a": F.last(value, True).over(back), "_ai": F.last("_k", True).over(back), "_b": F.first(value, True).over(ahead), "_bi": F.first("_k", True).over(ahead)})
@@ -101,11 +103,11 @@ def fill_linear(df: DataFrame, value: str = "n") -> DataFrame:
     return df.withColumn("filled", F.coalesce(value, F.when(F.col("_a").isNull(), None).otherwise(F.coalesce(line, F.col("_a"))))).drop("_i", "_k", "_a", "_ai", "_b", "_bi")
 
 
-def runs_above(bins: DataFrame, cut: float, width: int = 10_000, bridge: int = 0, drop_single: bool = False) -> DataFrame:
+def runs_above(bins: DataFrame, cut: float, width: int = 10_000, bridge: int = 0, drop_single: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Runs of bins with cn above the cut, over gaps of at most bridge bins."""
-    w = Window.partitionBy("chrom").orderBy("coord")
+    w = along(by)
     high = bins.where(F.col("cn") > cut).withColumn("_new", F.when(F.col("coord") - F.lag("coord").over(w) <= width * (1 + bridge), 0).otherwise(1))
-    runs = high.withColumn("run", F.sum("_new").over(w)).groupBy("chrom", "run").agg(F.min("coord").alias("start"), (F.max("coord") + width).alias("stop"), F.count("*").alias("bins"), F.avg("cn").alias("cn"))
+    runs = high.withColumn("run", F.sum("_new").over(w)).groupBy(*by, "chrom", "run").agg(F.min("coord").alias("start"), (F.max("coord") + width).alias("stop"), F.count("*").alias("bins"), F.avg("cn").alias("cn"))
     return (runs.where("bins > 1") if drop_single else runs).drop("run")
 
 
