@@ -39,9 +39,10 @@ _BLANK = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
 
 def sample(train: DataFrame) -> list[tuple[str, list[str]]]:
     """Pieces of texts by language, in order of language and hash. train: lang and text, neither null. Copies of a text count once."""
-    best = lambda df, by, most: df.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("_rank") <= most).drop("_rank")
+    best = lambda df, by, most, *within: df.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", *within).orderBy(*by))).where(F.col("_rank") <= most).drop("_rank")
     keyed = train.select("lang", "text", F.xxhash64("text").alias("h"))
-    keys = best(keyed.select("lang", "h").distinct(), ["h"], TEXTS)
+    # first inside parts of a language, so that no task takes more than TEXTS rows from each part
+    keys = best(best(keyed.select("lang", "h", F.pmod("h", F.lit(TEXTS)).alias("_part")).distinct(), ["h"], TEXTS, "_part"), ["h"], TEXTS).drop("_part")
     texts = keyed.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     pieces = texts.select("lang", "h", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece")).where(F.col("piece").rlike("\\p{L}"))
     rows = best(pieces, [F.xxhash64("h", "at"), "h", "at"], LANGUAGE // PIECE).collect()  # at most LANGUAGE characters of each language
