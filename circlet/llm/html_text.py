@@ -216,6 +216,14 @@ def build(source: str) -> Node:
         if at and at > last(bounds):
             cut(at)
 
+    def close_all(names, bounds) -> None:
+        """Ends every open element of names that is inside all of bounds, and so what is inside the outermost of these."""
+        bound = last(bounds)
+        inside = (places[t][i] for t in names if t in places and (i := bisect_right(places[t], bound)) < len(places[t]))
+        at = min(inside, default=0)
+        if at:
+            cut(at)
+
     def open_(tag: str, attrs: dict) -> Node:
         up = stack[-1]
         hidden, veiled = _shown(tag, attrs, rules)
@@ -291,7 +299,7 @@ def build(source: str) -> Node:
         if tag in ENDS_P and places.get("p"):
             close(("p",), ("td", "th", "button", "table"))
         if tag in IMPLIED_END:
-            close(*IMPLIED_END[tag])
+            close_all(*IMPLIED_END[tag])
         if stack[-1].tag == "head" and tag not in HIDDEN:  # the body is implied
             cut(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -453,10 +461,16 @@ def _table(node: Node, out: _Out, level: int) -> None:
             if cells:
                 rows.append([(i, lines) for i, (_, _, lines) in zip(at, cells)])
 
-    def walk(owner: Node) -> None:
-        group: list = []  # rowspans end with their group of rows
-        for c in owner.children:
-            if isinstance(c, str):
+    def walk() -> None:
+        """Rows of the table in order. What is open: (children left, owner, rows of its group); rowspans end with their group of rows."""
+        stack: list[tuple] = [(iter(node.children), node, [])]
+        while stack:
+            left, owner, group = stack[-1]
+            c = next(left, None)
+            if c is None:
+                place(group)
+                stack.pop()
+            elif isinstance(c, str):
                 astray(c, owner)
             elif c.hidden:
                 continue
@@ -464,14 +478,13 @@ def _table(node: Node, out: _Out, level: int) -> None:
                 row(c, group)
             elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 place(group)
-                group = []
-                walk(c)
+                group.clear()
+                stack.append((iter(c.children), c, []))
             elif c.tag != "col":
                 _flow([c], owner, out, level)
                 out.line()
-        place(group)
 
-    walk(node)
+    walk()
     wide: dict[int, int] = {}
     for r in rows:
         for i, lines in r:

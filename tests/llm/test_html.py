@@ -11,6 +11,9 @@ from circlet.llm import html_text
 from circlet.llm.html_text import visible_text
 
 
+TABLE_TAGS = "table caption colgroup col thead tbody tfoot tr td th".split()
+
+
 @pytest.mark.parametrize(
     "name, page",
     [
@@ -26,6 +29,10 @@ from circlet.llm.html_text import visible_text
         ("references", "&#" + "9" * 1_000_000 + ";" + "&#" * 500_000),
         ("lone signs", "<" * 3_000_000),
         ("comments", "<!--" * 700_000),
+        ("groups of rows", "<table>" + "<thead><colgroup>" * 100_000),
+        ("groups in captions", "<table>" + "<caption><tbody>" * 100_000),
+        ("groups that never end", "<table>" + "<div><tbody>" * 100_000),
+        *[(f"{a} {b}", "<table>" + f"<{a}><{b}>x" * 5_000) for a in TABLE_TAGS for b in TABLE_TAGS],
     ],
 )
 def test_hostile_pages_take_linear_time(name, page):
@@ -43,6 +50,9 @@ def test_hostile_pages_take_linear_time(name, page):
         ("<table><tr><td colspan=2>aa<td>b<tr><td>c<td>d<td>e</table>", "aa     b\nc   d  e"),
         ("<table><tr><td rowspan=3>a<td>b<td rowspan=2>c<tr><td>d<tr><td>e<td>f</table>", "a  b  c\n   d\n   e  f"),
         ("<table><tr><td colspan=99999999999999999999>a<td>b<tr><td colspan=x>c</table>", "a  b\nc"),
+        # a group of rows ends all that it can't be in, however these are nested
+        ("<table><thead><colgroup><thead><tr><td>a<tbody><tr><td>b</table>", "a\nb"),
+        ("<table><thead><colgroup><col><tbody><tr><td rowspan=2>a<tfoot><tr><td>b</table>", "a\nb"),
         # visibility is inherited and can be taken back; display can't
         ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
         ("<div style='display:none'>no<b style='display:block;visibility:visible'>no</b></div>yes", "yes"),
