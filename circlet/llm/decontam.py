@@ -87,12 +87,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         return docs.select(*text_name()).where("false").select("t1", "t2", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     set_ = set_.withColumnsRenamed({"words": "_words", "size": "_size"})
     held = with_window_hashes(docs.select(*text_name(), words_of(F.col("text")).alias("w")), sizes)
+    # Hashes alone are exploded, the place saying which size's they are: rows of structs would each carry a copy of the words.
     # "outer": else the optimiser filters on the size of the array, which it then makes twice
-    if len(sizes) == 1:
-        at = held.select("t1", "t2", "w", F.lit(sizes[0]).alias("size"), F.posexplode_outer(f"h{sizes[0]}").alias("at", "h"))
-    else:
-        places = lambda n: F.transform(f"h{n}", lambda h, i: F.struct(F.lit(n).alias("size"), i.alias("at"), h.alias("h")))
-        at = held.select("t1", "t2", "w", F.explode_outer(F.concat(*[places(n) for n in sorted(sizes)])).alias("x")).select("t1", "t2", "w", "x.size", "x.at", "x.h")
+    at = held.select("t1", "t2", "w", F.posexplode_outer(F.concat(*[F.col(f"h{n}") for n in sizes])).alias("at", "h"))
+    size, place, before = F.lit(sizes[0]), F.col("at"), F.lit(0)
+    for n, then in zip(sizes, sizes[1:]):
+        before = before + F.greatest(F.lit(0), F.size("w") - (n - 1))
+        size, place = F.when(F.col("at") >= before, then).otherwise(size), F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
+    at = at.select("t1", "t2", "w", "h", size.alias("size"), place.alias("at"))
     own = F.slice("w", F.col("at") + 1, F.col("size"))
     if size_bytes <= BROADCAST_BYTES:
         met = at.join(F.broadcast(set_), "h").where((F.col("size") == F.col("_size")) & (own == F.col("_words")))

@@ -5,6 +5,7 @@ import glob
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -353,3 +354,16 @@ def test_decontamination(spark):
 def test_line_hash_is_what_sha_compares(spark):
     df = docs_of(spark, ["a\nb"]).select(F.sha2(F.col("text").cast("binary"), 256).alias("x"))
     assert df.first().x == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_long_text_with_windows_of_several_sizes_takes_linear_time(spark):
+    """Three sizes of windows over one text of 400,000 words: seconds, where copies of the words beside each window take minutes."""
+    words = [f"w{i * 7919 % 5003}" for i in range(400_000)]
+    words[1000:1003] = ["alpha", "beta", "gamma"]
+    words[399_990:] = [f"x{i}" for i in range(10)]
+    benchmark = spark.createDataFrame([(1, "Alpha beta, gamma"), (2, "a b c d e f g"), (3, " ".join(f"x{i}" for i in range(10)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    began = time.time()
+    (got,) = decontam.contamination(docs, benchmark).collect()
+    assert (got.n_words, got.n_hit, list(got["items"])) == (400_000, 13, ["1", "3"])
+    assert time.time() - began < 60
