@@ -9,8 +9,8 @@ unseen word having c = 0. The state comes from a gated recurrent unit.
 
 Each text is read once into ids of two bytes a token, which training and
 scoring share. Training is truncated backpropagation through windows of
-``STEPS`` tokens over lanes of documents, the state being carried across
-windows. Every training document is dealt by a hash to one shard of one round
+``STEPS`` tokens over lanes of whole documents, the state being carried across
+windows from a document's first token to its last. Every training document is dealt by a hash to one shard of one round
 and is trained on in the order of that hash; a round's shards begin with the
 same weights, which are then averaged in the order of shards. So the weights
 don't depend on how the table is cut into tasks. Scoring carries the state from
@@ -40,8 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every task holds, none of more than WORD_BYTES; of these, INPUT are read as themselves, and SOFT are scored by the inner softmax, in CLASSES classes. Others are in ENDINGS classes.
 HEAD, WORD_BYTES, INPUT, SOFT, CLASSES, ENDINGS = 131_072, 64, 4_095, 2_047, 48, 16
 HIDDEN, STEPS, LANES, TRAIN_LANES = 16, 32, 1024, 512
-#: Rounds of training; tokens of a shard, of which there are at most SHARDS a round; the least updates that a small shard is cut for; longest piece of a document that training reads with one state.
-ROUNDS, SHARD_TOKENS, SHARDS, UPDATES, PIECE, RATE = 2, 1_500_000, 16_384, 100, 2_048, 0.02
+#: Rounds of training; tokens of a shard, of which there are at most SHARDS a round; the least updates that a small shard is cut for. A shard is large enough for its lanes to be longer than most documents.
+ROUNDS, SHARD_TOKENS, SHARDS, UPDATES, RATE = 2, 6_000_000, 16_384, 100, 0.02
 #: Tokens that are laid out in lanes at a time, bytes of a batch, and rows of one doc_id and text from which they are dealt by place.
 GROUP, BATCH_BYTES, HOT = 8_000_000, 4 << 20, 10_000
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -477,7 +477,7 @@ def train(read: DataFrame, v: Vocabulary, rounds: int = ROUNDS, shard_tokens: in
 
         def run(batches):
             v, left = words.value, iter(batches)
-            texts = ((s, x[a : a + PIECE]) for b in left for s, x in zip(b.column("shard").to_pylist(), _ids(b.column("ids"))) for a in range(0, len(x), PIECE))
+            texts = ((s, x) for b in left for s, x in zip(b.column("shard").to_pylist(), _ids(b.column("ids"))))
             ahead = next(texts, None)
 
             def groups(shard):

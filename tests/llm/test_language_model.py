@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from circlet.llm import language_model
-from circlet.llm.common import stage
+from circlet.llanguage_model.common import stage
 
 DOCS = "doc_id long, text string"
 
@@ -163,3 +163,22 @@ def test_language_model_of_no_documents(spark):
     assert language_model.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     only = spark.createDataFrame([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], DOCS)
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in language_model.score_documents(only).collect())
+
+
+def test_training_reads_documents_as_they_are(monkeypatch):
+    """In training only a document's first token follows the start symbol and an empty state, however long it is; a window after another has the state that this left."""
+    v = vocabulary_of(3)
+    texts = [np.array([1 + (i * i) % 3 for i in range(n)] + [0], dtype="u2") for n in (5 * language_model.STEPS * 100, 7)]
+    seen = []
+    real = language_model.Network.gradients
+
+    def watched(self, inp, tgt, reset, mask, h):
+        loss, g, after = real(self, inp, tgt, reset, mask, h)
+        seen.append((int(reset.sum()), int(((inp == v.first) & mask).sum()), h.copy(), after.copy()))
+        return loss, g, after
+
+    monkeypatch.setattr(language_model.Network, "gradients", watched)
+    language_model._train_shard(v, language_model.start_weights(v), [texts], sum(map(len, texts)))
+    assert sum(r for r, *_ in seen) == sum(s for _, s, *_ in seen) == len(texts)
+    for (_, _, _, after), (_, _, before, _) in zip(seen, seen[1:]):
+        assert np.array_equal(after[: before.shape[0]], before)
