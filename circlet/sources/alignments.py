@@ -112,8 +112,8 @@ class _Stream:
             pass
         part = bytes(self.held[:n])
         del self.held[:n]
-        kept = [(max(0, at - n), block) for at, block in self.begins]
-        first = max((i for i, (at, _) in enumerate(kept) if at == 0), default=0)
+        kept = [(at - len(part), block) for at, block in self.begins]
+        first = max((i for i, (at, _) in enumerate(kept) if at <= 0), default=0)
         self.begins = kept[first:]
         return part
 
@@ -123,6 +123,11 @@ class _Stream:
             pass
         return self.begins[0][1] if self.held else self.size
 
+    def place(self) -> int:
+        """The virtual offset of the next byte: its block's place times 65,536, and its place in the inflated block."""
+        block = self.block()
+        return block << 16 | (-self.begins[0][0] if self.held else 0)
+
 
 def _block_size(head: bytes) -> int | None:
     """Bytes of the block that begins with head; None if it isn't a block of a blocked file."""
@@ -169,15 +174,17 @@ def _first_record(data: bytes, n_ref: int, whole: bool) -> int | None:
     return None
 
 
-def _head(stream: _Stream) -> list[str]:
-    """The names of the chromosomes; the stream is then at the first record."""
+def _head(stream: _Stream, lengths: list[int] | None = None) -> list[str]:
+    """The names of the chromosomes (lengths takes their lengths); the stream is then at the first record."""
     if stream.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     stream.take(struct.unpack("<i", stream.take(4))[0])
     chroms = []
     for _ in range(struct.unpack("<i", stream.take(4))[0]):
         chroms.append(stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode())
-        stream.take(4)
+        (length,) = struct.unpack("<i", stream.take(4))
+        if lengths is not None:
+            lengths.append(length)
     return chroms
 
 
@@ -212,10 +219,16 @@ def decode_bam(data: bytes):
     yield from decode_split(io.BytesIO(data), 0, len(data) + 1, len(data))
 
 
+def _uri(path: str) -> str:
+    """A path as pyarrow names it."""
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+    return uri if re.match(r"^\w+:/", uri) else f"file://{uri}"
+
+
 def _open(uri: str):
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
+    store, path = fs.FileSystem.from_uri(_uri(uri))
     return store.open_input_file(path)
 
 
