@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import breakpoints, cells, graph, intervals, refine, singlecell, splitreads, velocity
-from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, bins_of, query, r6, ring_graph
+from circlet.operators import breakpoints, cells, graph, intervals, pairing, refine, singlecell, splitreads, velocity
+from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, QUERIES, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
 LISTED = "genes WHERE kind = 'PROMO'"
@@ -279,3 +279,47 @@ def _(df):
     sites = pairs.select(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord"), F.col("clip1").alias("clip")).union(pairs.select("chrom2", "coord2", "clip2"))
     joined = splitreads.joined_support(pairs, splitreads.soft_clips(reads), splitreads.breakend_consensus(sites, reads, 50))
     return splitreads.assembled(joined).select("chrom1", "coord1", "coord2", "n12", "n21", "n")
+
+
+def junction_reads(genes):
+    """Reads clipped at both ends of a junction for each gene: every orientation, letters between the ends or claimed by both, and a wrong letter in each thirtieth place."""
+    gid, ends = F.col("gid"), F.array(*[F.struct(F.lit(e).alias("e"), F.lit(c).alias("c")) for e, c in ((1, "coord1"), (2, "coord2"))])
+    sides = F.array(*[F.lit(s) for s in ("LR", "RL", "LL", "RR")])
+    first = F.col("start") + 1000 + F.floor(gid / 840) * 300
+    rows = genes.select("gid", "chrom", first.alias("coord1"), (first + F.col("stop") - F.col("start") + 500).alias("coord2"), F.element_at(sides, (gid % 4 + 1).cast("int")).alias("sides"), (gid % 7 - 3).cast("int").alias("o"))
+    rows = rows.withColumns({"clip1": F.substring("sides", 1, 1), "clip2": F.substring("sides", 2, 1), "turn": F.substring("sides", 1, 1) == F.substring("sides", 2, 1)}).withColumn("end", F.explode(ends)).select("*", "end.e")
+    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), 2 + F.pmod(F.xxhash64("gid", "e"), F.lit(4))))).withColumn("clipped", (8 + F.pmod(F.xxhash64("gid", "e", "r"), F.lit(20))).cast("int"))
+    pick = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(4))  # noqa: E731  (letters are numbers up to the end: 3 - x is the complement of x)
+    turned = lambda x: F.when(F.col("turn"), 3 - x).otherwise(x)
+    o = F.col("o")
+    inside1 = lambda k: pick(gid, F.lit(1), k)
+    inside2 = lambda k: F.when(k < -o, turned(inside1(-o - 1 - k))).otherwise(pick(gid, F.lit(2), k))
+    beyond1 = lambda k: F.when(k < o, pick(gid, F.lit(9), k)).otherwise(turned(inside2(k - o)))
+    beyond2 = lambda k: F.when(k < o, turned(pick(gid, F.lit(9), o - 1 - k))).otherwise(turned(inside1(k - o)))
+    one = F.col("e") == 1
+    wrong = lambda x, p: F.when(F.pmod(F.xxhash64("gid", "e", "r", p), F.lit(30)) == 0, F.pmod(x + 1, F.lit(4))).otherwise(x)
+    letter = lambda x: F.element_at(F.array(*map(F.lit, "ACGT")), (x + 1).cast("int"))
+    text_of = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), f), "")
+    rows = rows.withColumns({
+        "inner": text_of(F.lit(50), lambda k: letter(wrong(F.when(one, inside1(k)).otherwise(inside2(k)), k))),
+        "outer": text_of(F.col("clipped"), lambda k: letter(wrong(F.when(one, beyond1(k)).otherwise(beyond2(k)), k + 100))),
+        "coord": F.when(one, F.col("coord1")).otherwise(F.col("coord2")), "clip": F.when(one, F.col("clip1")).otherwise(F.col("clip2")),
+    })
+    left = F.col("clip") == "L"
+    return rows.select(
+        "chrom", F.when(left, F.col("coord")).otherwise(F.col("coord") - 49).alias("start"), F.when(left, F.col("coord") + 50).otherwise(F.col("coord") + 1).alias("stop"), "coord", "clip", F.concat_ws("/", "gid", "e", "r").alias("qname"), F.lit(None).cast("string").alias("cb"),
+        F.when(left, F.concat("clipped", F.lit("S50M"))).otherwise(F.concat(F.lit("50M"), "clipped", F.lit("S"))).alias("cigar"), F.when(left, F.concat(F.reverse("outer"), "inner")).otherwise(F.concat(F.reverse("inner"), "outer")).alias("seq"),
+    )
+
+
+@query("sequence_pairs", "genes")
+def _(genes):
+    """Pairs of ends found by sequence alone, among all ends of the genes' junctions."""
+    reads = junction_reads(genes)
+    found = pairing.pairs_by_sequence(reads.select("chrom", "coord", "clip"), reads, reads.limit(0).select(*[F.col(c).alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "coord", "clip")]))
+    return found.select(*pairing.PAIR, "n", "offset", "seq", F.size("reads").alias("names"))
+
+
+def catalog_query(name: str):
+    """A registered query."""
+    return QUERIES[name]

@@ -161,5 +161,5 @@ def test_pushed_filters_plan_fewer_bytes(folder):
     asked = bam_index.BamReader(str(folder), 1 << 26)
     filters = [bam_index.EqualTo(("chrom",), "chr1"), bam_index.LessThan(("start",), 20_001_000), bam_index.GreaterThan(("stop",), 20_000_000)]
     assert list(asked.pushFilters(filters)) == filters
-    planned = sum((e >> 16) - (b >> 16) for p in asked.partitions() for b, e in p.chunks)
-    assert 0 < planned < 0.1 * whole
+    chunks = [c for p in asked.partitions() for c in p.chunks]
+    assert chunks and sum((e >> 16) - (b >> 16) for b, e in chunks) < 0.1 * whole
