@@ -102,6 +102,35 @@ def _(rings):
     return chosen.select(F.element_at("path", 1).alias("id"), F.size("path").alias("k")).join(v.select("id", "chrom"), "id").groupBy("chrom").agg(F.count("*").alias("rings"), F.sum("k").cast("long").alias("nodes"))
 
 
+def inverted_rings(rings):
+    """The rings' graph with a second way through each ring of three segments and more: its second segment the other way round. Its two junctions have as much support as the ring's first two segments have copies."""
+    v, edges = ring_graph(rings)
+    end = lambda idx, clip: F.xxhash64("ring", idx, F.lit(clip))
+    k = rings.groupBy("ring").agg(F.count("*").alias("k"), F.sum(F.when(F.col("idx") == 1, F.round("cn", 2))).alias("w1"), F.sum(F.when(F.col("idx") == 2, F.round("cn", 2))).alias("w2")).where("k >= 3")
+    idx = [F.lit(i).cast(rings.schema["idx"].dataType) for i in (1, 2, 3)]
+    ways = ((end(idx[0], "R"), end(idx[1], "R"), "w1"), (end(idx[1], "L"), end(idx[2], "L"), "w2"))
+    for x, y, w in ways:
+        edges = edges.unionByName(k.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit("outer").alias("kind"), F.col(w).alias("weight")))
+    return v, edges
+
+
+@query("competing_rings", "rings", also="k AS (SELECT ring, count(*) AS k, any_value(chrom) AS chrom, sum(splits) FILTER (idx <= 2) AS own, round(sum(round(cn, 2)) FILTER (idx <= 2), 2) AS other FROM rings GROUP BY ring HAVING count(*) >= 3)", sql="SELECT ring, own < other AS inverted, round(greatest(own, other), 2) AS best FROM k WHERE own <> other")
+def _(rings):
+    """Which of a ring's two ways through its second segment stands for both: the one whose junctions have more support. Rings whose ways are equal are left out."""
+    # vertices of every other segment are on another chromosome, so that no ring is at home and each must compete
+    v, edges = inverted_rings(rings)
+    apart = v.withColumn("chrom", F.concat_ws("_", "chrom", (F.col("idx") % 2).cast("string")))
+    paths = graph.find_paths(edges, graph.label_components(edges)).where("kind = 'ring'")
+    chosen = graph.representatives(paths, edges, apart)
+    seconds = v.where("idx = 2 and clip = 'R'").select(F.col("id").alias("second"), "ring").join(v.where("idx = 1 and clip = 'R'").select(F.col("id").alias("first"), "ring"), "ring")
+    met = chosen.select("path", F.explode("path").alias("second")).join(seconds, "second")
+    # next to each other in the ring: the segment is entered at its right end
+    at = lambda c: F.array_position("path", F.col(c))
+    inverted = F.abs(at("first") - at("second")).isin(1, F.size(F.col("path")) - 1)
+    w = rings.groupBy("ring").agg(F.sum(F.when(F.col("idx") <= 2, F.col("splits"))).alias("own"), F.round(F.sum(F.when(F.col("idx") <= 2, F.round("cn", 2))), 2).alias("other"), F.count("*").alias("k")).where("k >= 3 and own <> other")
+    return met.join(w, "ring").select("ring", inverted.alias("inverted"), F.round(F.when(inverted, F.col("other")).otherwise(F.col("own")), 2).alias("best"))
+
+
 @query("second_search_chroms", "rings", also="l AS (SELECT ring, arg_min(row(chrom, start, stop), idx) AS s, avg(cn) AS score FROM rings GROUP BY ring),\nb AS (SELECT s, max(score) AS score FROM l GROUP BY s)", sql="SELECT DISTINCT s[1] AS chrom FROM b WHERE score >= (SELECT quantile_cont(score, 0.995) FROM b)")
 def _(rings):
     scores = rings.groupBy("ring").agg(F.avg("cn").alias("score"))

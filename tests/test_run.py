@@ -133,13 +133,25 @@ def test_merge_close_pairs(spark):
     assert [(r.coord2, r.n, r.rids) for r in got] == [(100, 7, [100, 190]), (370, 1, [370]), (1050, 5, [1050, 1000])]
 
 
-def test_representative_paths():
-    paths = [([1, 2, 3, 4], 5.0, False), ([1, 2, 3, 5], 9.0, True), ([6, 7], 1.0, False), ([1, 2, 3, 4, 8, 9], 2.0, False)]
-    assert graph.representative_paths(paths) == [[6, 7], [1, 2, 3, 4], [1, 2, 3, 4, 8, 9]]
-    assert graph.representative_paths([]) == []
+def test_rings_that_stand_for_others():
+    # of length 4 the best has rank 1; [1, 2, 3, 5] shares three quarters of its nodes with it and goes, [1, 2, 7, 8] stays for the next turn
+    ranked = [([1, 2, 3, 5], 2, False), ([1, 2, 3, 4], 1, False), ([6, 9], 1, False), ([1, 2, 7, 8], 3, False), ([1, 2, 3, 4, 10, 11], 1, False)]
+    assert graph.standing_for(ranked) == [[6, 9], [1, 2, 3, 4], [1, 2, 3, 4, 10, 11], [1, 2, 7, 8]]
+    assert graph.standing_for([(p, r, r == 2) for p, r, _ in ranked]) == [[6, 9], [1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 4, 10, 11], [1, 2, 7, 8]]  # at home: taken in the first turn
+    assert graph.standing_for([]) == []
     assert graph.disjoint_lines([([1, 2, 3, 4], 1.0), ([3, 4, 5, 6], 2.0), ([7, 8], 1.0)]) == [[3, 4, 5, 6], [7, 8]]
 
 
+def test_representatives_compete(spark):
+    """Two rings over the same four vertices: placed before unplaced, then the better supported; both if they are on one chromosome; and whether the search was cut goes with them."""
+    paths = spark.createDataFrame([(1, "ring", [1, 2, 3, 4], True), (1, "ring", [1, 2, 4, 3], True)], "component long, kind string, path array<long>, truncated boolean")
+    edges = spark.createDataFrame([(1, 2, "inner", 9.0), (3, 4, "inner", 9.0), (2, 3, "outer", 5.0), (1, 4, "outer", 1.0), (2, 4, "outer", 4.0), (1, 3, "outer", 4.0)], "a long, b long, kind string, weight double")
+    for chroms, want in ((["chr1", "chr2"], {(1, 2, 4, 3)}), (["chr1", "chr1"], {(1, 2, 3, 4), (1, 2, 4, 3)}), (["chrUn_1", "chrUn_1"], {(1, 2, 3, 4), (1, 2, 4, 3)})):
+        v = spark.createDataFrame([(i, chroms[i > 2], i * 10, "L") for i in range(1, 5)], "id long, chrom string, coord long, clip string")
+        got = graph.representatives(paths, edges, v).collect()
+        assert {tuple(r.path) for r in got} == want and all(r.truncated for r in got)
+
+
 def test_rescue_takes_no_overlap(spark):
     ends = spark.createDataFrame([("c", "L", 100, 9), ("c", "L", 150, 5), ("c", "R", 300, 4), ("c", "R", 500, 4)], "chrom string, clip string, coord long, support long")
     none = spark.createDataFrame([], "chrom string, start long, stop long")
@@ -158,18 +170,22 @@ def test_new_circles(spark):
     assert {r.ring for r in graph.new_circles(a, a.where("ring = 'x'")).collect()} == {"y"}
 
 
-def test_support_threshold(spark):
-    few = spark.createDataFrame([(5,)] * 10, "n int")
-    assert segmentation.support_threshold(few) is None
-    counts = [1] * 3000 + [2] * 300 + [3] * 60 + [4] * 20 + [7] * 9 + [30] * 5
-    rows = spark.createDataFrame([(c,) for c in counts], "n int")
-    x = np.log(counts)
-    held, edges = np.histogram(x, bins=1000)
-    full = held[held != 0]
-    at = int(np.argmax(full[:-1] / np.cumsum(full)[1:] <= 0.01))
-    k = int(np.argmax(held == full[at + 1]))
-    want = min(float(np.exp(edges[k : k + 2].mean())), 5.0)
-    assert segmentation.support_threshold(rows) == pytest.approx(want, rel=1e-9)
+@pytest.mark.parametrize(
+    "held, want",
+    [
+        ({5: 10}, None),  # ten pairs are too few to say
+        ({1: 3000, 2: 300, 3: 60, 4: 20, 7: 9, 30: 5}, 5.0),  # the tail begins behind 4, whose 20 pairs are under a hundredth of all up to 7: 7; fewer than 300 pairs of at most 5,000 are left: no more than 5
+        ({1: 6000, 2: 600, 3: 120, 4: 40, 7: 18, 30: 10}, 7.0),  # the same among more pairs, for which there is no such limit
+        ({1: 2000, 2: 50}, 3.0),  # two kinds have no tail: the first; 300 pairs and more are left of over 1,000: no less than 3
+        ({1: 12_000, 2: 50}, 20.0),  # over 1,000 are left of over 10,000: no less than 20
+        ({1: 40_000, 50: 1500}, 50.0),  # over 30,000 are left: as many as the 1,200th has
+        ({4: 12}, 4.0),  # one kind alone
+    ],
+)
+def test_support_threshold(spark, held, want):
+    rows = spark.createDataFrame(list(held.items()), "n int, k int").selectExpr("n", "explode(sequence(1, k))").select("n")
+    got = segmentation.support_threshold(rows)
+    assert got is None if want is None else got == pytest.approx(want, rel=2e-3)
 
 
 def test_structures(spark, tmp_path):
