@@ -179,6 +179,67 @@ def pair_ends(sites: DataFrame, knn: int = 5, shortest: int = 100, longest: int
     return met.groupBy("chrom", "start").agg(F.max_by("stop", F.struct("n", -F.col("stop"))).alias("stop"), F.max("n").alias("n"))
 
 
+def _paired_inside(ends: DataFrame, knn: int) -> DataFrame:
+    """chrom, start, stop: each end (component, chrom, coord, clip, n) that isn't _done with the deepest of the ``knn`` nearest ends of the other side that face it in its component, the nearest of equals."""
+    place = Window.partitionBy("chrom", "component").orderBy("coord")
+    before = place.rangeBetween(Window.unboundedPreceding, -1)
+    upto = place.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    is_ = lambda side: F.when(F.col("clip") == side, 1).otherwise(0)
+    rows = ends.withColumns({
+        "_lefts": F.coalesce(F.sum(is_("L")).over(before), F.lit(0)), "_rights": F.sum(is_("R")).over(upto),
+        "_k": F.row_number().over(Window.partitionBy("chrom", "component", "clip").orderBy("coord")),
+    })
+    # a left end's partners are the right ends with the next numbers, a right end's the left ends with the last ones
+    asked = F.when(F.col("clip") == "L", F.sequence(F.col("_rights") + 1, F.col("_rights") + knn)).otherwise(F.sequence(F.greatest(F.lit(0), F.col("_lefts") - knn + 1), F.col("_lefts")))
+    left = rows.where(~F.coalesce("_done", F.lit(False))).select("chrom", "component", "coord", "clip", F.explode(asked).alias("_k"), F.when(F.col("clip") == "L", "R").otherwise("L").alias("_side"))
+    right = rows.select("chrom", "component", F.col("coord").alias("_to"), F.col("clip").alias("_side"), "_k", "n")
+    met = left.join(right, ["chrom", "component", "_side", "_k"])
+    best = met.groupBy("chrom", "coord", "clip").agg(F.max_by("_to", F.struct("n", -F.abs(F.col("_to") - F.col("coord")))).alias("_to"))
+    return best.select("chrom", F.least("coord", "_to").alias("start"), F.greatest("coord", "_to").alias("stop"))
+
+
+def graph_segments(ends: DataFrame, pairs: DataFrame, regions: DataFrame, knn: int = 3, within: bool = True, shortest: int = 100, longest: int = 50_000_000, share: float = 0.5, reach: int = 20_000) -> DataFrame:
+    """chrom, start, stop: the amplified regions and the segments that breakpoints make of them.
+
+    ends: chrom, coord, clip, n (depth of clips), each once; pairs: chrom1..clip2,
+    n, source; regions: merged amplified sequence, apart from each other. An end
+    belongs to the region that holds it, else to the nearest within reach.
+    Inside a region's ends each one is paired with the deepest of the ``knn``
+    next that face it; but not an end for which pairs suggest segments (within:
+    knn_segments()). Pairs that lead from an end back to one before it are
+    segments, too; of those that read pairs alone show only a region as it is.
+    Segments of a sound length stay if regions cover a share of them.
+    """
+    from .intervals import component_of
+    from .refine import knn_segments
+
+    where = ["chrom", "coord", "clip"]
+    known = ends.select(*where).distinct()
+    for k in (1, 2):
+        pairs = pairs.join(known.toDF(f"chrom{k}", f"coord{k}", f"clip{k}"), [f"chrom{k}", f"coord{k}", f"clip{k}"], "left_semi")
+    left, found = ends.withColumn("_done", F.lit(False)), []
+    if within:
+        sub = knn_segments(regions, pairs, knn, named=True)
+        found.append(sub.select("chrom", "start", "stop"))
+        done = sub.select("chrom", F.when(F.col("clip") == "L", F.col("start")).otherwise(F.col("stop")).alias("coord"), "clip").distinct()
+        left = ends.join(done.withColumn("_done", F.lit(True)), where, "left")
+    inside = left.join(component_of(known, regions.select("chrom", "start", "stop"), where, reach).select(*where, F.col("component_start").alias("component")), where)
+    # an end that is done is still a partner of others
+    found.append(_paired_inside(inside, knn))
+    loop = F.when((F.col("clip1") == "L") & (F.col("clip2") == "R") & (F.col("coord1") < F.col("coord2")), True).otherwise((F.col("clip1") == "R") & (F.col("clip2") == "L") & (F.col("coord1") > F.col("coord2")))
+    loops = pairs.where((F.col("chrom1") == F.col("chrom2")) & loop).select(F.col("chrom1").alias("chrom"), F.least("coord1", "coord2").alias("start"), F.greatest("coord1", "coord2").alias("stop"), "source")
+    own = regions.select("chrom", "start", "stop").distinct()
+    found.append(loops.where("source <> 'pe'").select("chrom", "start", "stop"))
+    found.append(loops.where("source = 'pe'").select("chrom", "start", "stop").join(own, ["chrom", "start", "stop"], "left_semi"))
+    new = found[0]
+    for more in found[1:]:
+        new = new.union(more)
+    size = F.col("stop") - F.col("start")
+    new = new.distinct().where((size >= shortest) & (size <= longest))
+    cover = overlap_join(new, own).groupBy("chrom", "start", "stop").agg(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("_in"))
+    return own.union(cover.where(F.col("_in") >= share * size).select("chrom", "start", "stop")).distinct()
+
+
 def snap_to_boundary(points: DataFrame, boundaries: DataFrame, reach: int = 30_000) -> DataFrame:
     """Points (id, chrom, coord) with the nearest boundary (chrom, at) within reach; none if two are equally near."""
     near = boundaries.withColumn("_band", F.explode(F.array(*[F.floor(F.col("at") / (reach + 1)) + k for k in (-1, 0, 1)])))

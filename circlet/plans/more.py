@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import breakpoints, cells, graph, intervals, pairing, refine, singlecell, splitreads, velocity
+from circlet.operators import breakpoints, cells, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
 from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, QUERIES, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
@@ -91,6 +91,30 @@ def _(links, segments, sites):
     return out.drop("source", "pe", "offset", "seq")
 
 
+SEGMENTS_SQL = ISLANDS.format(gap=20000, t="segments") + """,
+e AS (SELECT chrom, coord, clip, n FROM sites WHERE n >= 2),
+p AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n, CASE WHEN n = 1 THEN 'pe' ELSE 'split' END AS source FROM pairs
+  WHERE (chrom1, coord1, clip1) IN (SELECT (chrom, coord, clip) FROM e) AND (chrom2, coord2, clip2) IN (SELECT (chrom, coord, clip) FROM e)),
+near AS (SELECT e.*, m.start AS component, greatest(m.start - coord, coord - m.stop, 0) AS far, row_number() OVER (PARTITION BY e.chrom, coord, clip ORDER BY greatest(m.start - coord, coord - m.stop, 0), m.start) AS r
+  FROM e JOIN merged m ON m.chrom = e.chrom AND m.start - coord <= 20000 AND coord - m.stop <= 20000),
+c AS (SELECT * FROM near WHERE r = 1),
+facing AS (SELECT a.chrom, a.coord, a.clip, b.coord AS other, b.n, row_number() OVER (PARTITION BY a.chrom, a.coord, a.clip ORDER BY abs(a.coord - b.coord)) AS k
+  FROM c a JOIN c b ON a.chrom = b.chrom AND a.component = b.component AND a.clip <> b.clip AND CASE WHEN a.clip = 'L' THEN b.coord > a.coord ELSE b.coord < a.coord END),
+paired AS (SELECT chrom, coord, arg_max(other, (n, -abs(coord - other))) AS other FROM facing WHERE k <= 3 GROUP BY chrom, coord, clip),
+loops AS (SELECT chrom1 AS chrom, least(coord1, coord2) AS start, greatest(coord1, coord2) AS stop, source FROM p WHERE chrom1 = chrom2 AND (clip1 = 'L' AND clip2 = 'R' AND coord1 < coord2 OR clip1 = 'R' AND clip2 = 'L' AND coord1 > coord2)),
+new AS (SELECT chrom, least(coord, other) AS start, greatest(coord, other) AS stop FROM paired
+  UNION SELECT chrom, start, stop FROM loops WHERE source = 'split' OR (chrom, start, stop) IN (SELECT (chrom, start, stop) FROM merged)),
+cover AS (SELECT n.chrom, n.start, n.stop, sum(least(n.stop, m.stop) - greatest(n.start, m.start)) AS inside FROM new n JOIN merged m ON m.chrom = n.chrom AND m.start < n.stop AND n.start < m.stop WHERE n.stop - n.start BETWEEN 100 AND 50000000 GROUP BY ALL)"""
+
+
+@query("graph_segments", "segments", "sites", "links", also=EDGES + ",\n" + SEGMENTS_SQL, sql="SELECT chrom, start, stop FROM merged UNION SELECT chrom, start, stop FROM cover WHERE inside >= 0.5 * (stop - start)")
+def _(segments, sites, links):
+    """Segments of the graph between breakpoints in amplified regions."""
+    pairs = breakpoints.count_links(links).withColumn("source", F.when(F.col("n") == 1, "pe").otherwise("split"))
+    regions = intervals.merge_bed(segments, 10_000).select("chrom", "start", "stop")
+    return segmentation.graph_segments(sites.where("n >= 2"), pairs, regions, within=False)
+
+
 # --- graph -----------------------------------------------------------------
 
 
