@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from circlet.sources.staging import stage
+
 from .breakpoints import band
-from .intervals import overlap_join
+from .intervals import islands, overlap_join
 
 
 def boundary_support(segments: DataFrame, ends: DataFrame, reach: int = 10_000, weak: int = 1) -> DataFrame:
@@ -56,6 +58,147 @@ def rescue_segments(ends: DataFrame, segments: DataFrame, bins: DataFrame, candi
     return sound.groupBy("chrom").applyInPandas(run, "chrom string, start long, stop long, cn double")
 
 
+SIDES = (("L", "start", "left"), ("R", "stop", "right"))
+EDGE = ["chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2"]
+
+
+def _ends(edges: DataFrame, least: int) -> DataFrame:
+    """Both ends of each edge of enough support, each with its partner: chrom, coord, clip, support, partner."""
+    one = lambda k: F.struct(F.col(f"chrom{k}").alias("chrom"), F.col(f"coord{k}").alias("coord"), F.col(f"clip{k}").alias("clip"))
+    both = F.explode(F.array(F.struct(one(1).alias("own"), one(2).alias("partner")), F.struct(one(2).alias("own"), one(1).alias("partner"))))
+    return edges.where(F.col("support") >= least).select("support", both.alias("e")).select("e.own.*", "support", "e.partner").distinct()
+
+
+def _boundaries(segments: DataFrame) -> DataFrame:
+    """seg, chrom, clip, at: the two boundaries of each segment."""
+    return segments.select("seg", "chrom", F.explode(F.array(*[F.struct(F.lit(clip).alias("clip"), F.col(col).alias("at")) for clip, col, _ in SIDES])).alias("b")).select("seg", "chrom", "b.clip", "b.at")
+
+
+def _anchored(ends: DataFrame, segments: DataFrame, window: int) -> DataFrame:
+    """Ends whose partner is within window of a boundary of its side, with the first and last segment (_first, _last) that has one."""
+    near = band(_boundaries(segments), window + 1, "at").select("seg", F.col("chrom").alias("_c"), F.col("clip").alias("_k"), "at", "_band")
+    rows = ends.withColumn("_band", F.floor(F.col("partner.coord") / (window + 1)))
+    met = rows.join(near, (F.col("partner.chrom") == F.col("_c")) & (F.col("partner.clip") == F.col("_k")) & (rows["_band"] == near["_band"]) & (F.abs(F.col("partner.coord") - F.col("at")) <= window))
+    return met.groupBy(*ends.columns).agg(F.min("seg").alias("_first"), F.max("seg").alias("_last"))
+
+
+def _median_cn(spans: DataFrame, bins: DataFrame, width: int) -> DataFrame:
+    """chrom, start, stop of spans with cn, the median copy number of the bins that they touch, and count, the mean of these bins' counts."""
+    at = bins.select("chrom", F.col("coord").alias("start"), (F.col("coord") + width).alias("stop"), "cn", "n")
+    return overlap_join(spans.select("chrom", "start", "stop").distinct(), at).groupBy("chrom", "start", "stop").agg(F.median("r_cn").alias("_cn"), F.avg("r_n").alias("_count"))
+
+
+def _move(segments: DataFrame, candidates: DataFrame, name: str, col: str, valid) -> DataFrame:
+    """segments with a boundary at its nearest candidate (seg, coord, support, partner, distance), the best supported of equals, if that is valid."""
+    best = candidates.groupBy("seg").agg(F.min(F.struct("distance", (-F.col("support")).alias("s"), "coord", "partner")).alias("_b"))
+    out = segments.join(best, "seg", "left")
+    go = F.col("_b").isNotNull() & valid(F.col("_b.coord"))
+    return out.withColumns({
+        col: F.when(go, F.col("_b.coord")).otherwise(F.col(col)), f"disc_{name}": F.when(go, -F.col("_b.s")).otherwise(F.col(f"disc_{name}")),
+        f"partner_{name}": F.when(go, F.col("_b.partner")).otherwise(F.col(f"partner_{name}")), "source": F.when(go, "PE_boundary").otherwise(F.col("source")), "_moved": go,
+    }).drop("_b")
+
+
+def _near_boundary(ends: DataFrame, segments: DataFrame, clip: str, col: str, of, reach: int) -> DataFrame:
+    """Anchored ends of a side within reach of that boundary of a segment that ``of`` picks, anchored by another segment."""
+    points = segments.where(of).select("seg", "chrom", "start", "stop", F.col(col).alias("_x")).withColumn("_band", F.floor(F.col(col) / (reach + 1)))
+    near = band(ends.where(F.col("clip") == clip), reach + 1).drop("clip")
+    met = points.join(near, ["chrom", "_band"]).withColumn("distance", F.abs(F.col("coord") - F.col("_x")))
+    return met.where((F.col("distance") <= reach) & ((F.col("_first") != F.col("seg")) | (F.col("_last") != F.col("seg")))).drop("_band")
+
+
+def refine_boundaries(segments: DataFrame, edges: DataFrame, bins: DataFrame, reach: int = 30_000, least: int = 2, anchor: int = 10_000, merge: int = 150, min_cn: float = 4.5, shortest: int = 100, longest: int = 100_000_000, width: int = 10_000, weak: int = 1, weak_reach: int = 10_000, weak_least: int = 5, candidates: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Amplified segments and discordant edges after each has mended the other.
+
+    segments: seg (whole number), chrom, start, stop, cn, clip_left, clip_right;
+    edges: chrom1..clip2, support. An end of an edge counts if its partner is
+    anchored: near a boundary of the partner's side of another segment. In order:
+
+    1. A boundary without clips goes to the nearest such end within reach.
+    2. Where both boundaries have at most ``weak`` clips, one with some goes
+       outward to the nearest end of weak_least support within weak_reach, its
+       partner within ``merge`` of the boundaries that step 1 left, if what is
+       added has a median copy number of min_cn. Its clips are then none.
+    3. Ends far from every boundary whose partners are near one make segments:
+       each left end in order takes the first of the next ``candidates`` right
+       ends that no other took, if the segment overlaps none and has the copy number.
+    4. Ends within ``merge`` of a boundary of their side go there.
+
+    Segments have disc_left, disc_right (support of the edge), partner_left,
+    partner_right, and source: clip, PE_boundary (steps 1, 2) or PE_seg (3).
+    """
+    place = "struct<chrom:string,coord:bigint,clip:string>"
+    ends = _ends(edges, least)
+    out = segments.select("seg", "chrom", "start", "stop", "cn", "clip_left", "clip_right").withColumns({f"{n}_{s}": F.lit(0).cast("long") if n == "disc" else F.lit(None).cast(place) for n in ("disc", "partner") for s in ("left", "right")} | {"source": F.lit("clip")})
+    far = {"L": lambda x: x < F.col("stop"), "R": lambda x: x > F.col("start")}
+    held = stage(_anchored(ends, out, anchor), "anchored")
+    for clip, col, name in SIDES:
+        out = _move(out, _near_boundary(held, out, clip, col, F.col(f"clip_{name}") == 0, reach), name, col, far[clip]).drop("_moved")
+    out = stage(out, "first")
+    strict = stage(_anchored(ends.where(F.col("support") >= weak_least), out, merge), "anchored")
+    both_weak = (F.col("clip_left") <= weak) & (F.col("clip_right") <= weak)
+    out = out.withColumn("_weak", both_weak)
+    for clip, col, name in SIDES:
+        near = _near_boundary(strict, out, clip, col, F.col("_weak") & (F.col(f"clip_{name}") > 0) & (F.col(f"clip_{name}") <= weak), weak_reach)
+        size = F.col("stop") - F.col("coord") if clip == "L" else F.col("coord") - F.col("start")
+        near = near.where((F.col("coord") < F.col("_x") if clip == "L" else F.col("coord") > F.col("_x")) & (size >= shortest) & (size <= longest))
+        span = near.drop("start", "stop").withColumns({"start": F.least("coord", "_x"), "stop": F.greatest("coord", "_x")})
+        sound = span.join(_median_cn(span, bins, width), ["chrom", "start", "stop"]).where(F.col("_cn") >= min_cn)
+        out = _move(out, sound, name, col, lambda x: F.lit(True))
+        out = out.withColumn(f"clip_{name}", F.when(F.col("_moved"), 0).otherwise(F.col(f"clip_{name}"))).drop("_moved")
+    out = stage(out.drop("_weak"), "second")
+    found = _rescued(ends, out, bins, anchor, merge, min_cn, shortest, longest, width, candidates)
+    out = stage(out.unionByName(found), "refined")
+    return out, snap_ends(edges, out, merge)
+
+
+def _rescued(ends: DataFrame, segments: DataFrame, bins: DataFrame, anchor: int, merge: int, min_cn: float, shortest: int, longest: int, width: int, candidates: int) -> DataFrame:
+    """Step 3 of refine_boundaries(). Candidates, their copy number and what they overlap are found natively; the choice goes through islands of candidates that overlap one another."""
+    near = band(_boundaries(segments), anchor + 1, "at").select("chrom", "clip", "at", "_band").distinct()
+    own = ends.withColumn("_band", F.floor(F.col("coord") / (anchor + 1))).join(near, ["chrom", "clip", "_band"]).where(F.abs(F.col("coord") - F.col("at")) <= anchor).select(*ends.columns)
+    lost = _anchored(ends, segments, anchor).drop("_first", "_last").join(own.select("chrom", "coord", "clip").distinct(), ["chrom", "coord", "clip"], "left_anti")
+    order = Window.partitionBy("chrom", "clip").orderBy("coord")
+    chain = lost.withColumn("_new", F.when(F.col("coord") - F.lag("coord").over(order) <= merge, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
+    one = chain.groupBy("chrom", "clip", "_g").agg(F.max(F.struct("support", (-F.col("coord")).alias("c"), "partner")).alias("_b")).select("chrom", "clip", (-F.col("_b.c")).alias("coord"), F.col("_b.support").alias("support"), F.col("_b.partner").alias("partner"))
+    rights = one.where("clip = 'R'").withColumn("_rn", F.row_number().over(Window.partitionBy("chrom").orderBy("coord")))
+    # a left end's candidates begin with the first right end that is far enough behind it
+    at = one.withColumn("_x", F.when(F.col("clip") == "L", F.col("coord") + shortest).otherwise(F.col("coord")))
+    seen = F.coalesce(F.sum(F.when(F.col("clip") == "R", 1).otherwise(0)).over(Window.partitionBy("chrom").orderBy("_x").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lefts = at.withColumn("_seen", seen).where("clip = 'L'").select("chrom", F.col("coord").alias("start"), F.col("support").alias("disc_left"), F.col("partner").alias("partner_left"), F.explode(F.sequence(F.col("_seen") + 1, F.col("_seen") + candidates)).alias("_rn"))
+    pairs = lefts.join(rights.select("chrom", "_rn", F.col("coord").alias("stop"), F.col("support").alias("disc_right"), F.col("partner").alias("partner_right")), ["chrom", "_rn"]).where(F.col("stop") - F.col("start") <= longest)
+    free = pairs.join(overlap_join(pairs.select("chrom", "start", "stop").distinct(), segments.select("chrom", "start", "stop")).select("chrom", "start", "stop").distinct(), ["chrom", "start", "stop"], "left_anti")
+    sound = free.join(_median_cn(free, bins, width), ["chrom", "start", "stop"]).where(F.col("_cn") >= min_cn)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, used, done, kept = [], set(), set(), []
+        for i, start, stop in rows.sort_values(["start", "stop"])[["start", "stop"]].itertuples():
+            if start not in done and stop not in used and all(stop <= a or start >= b for a, b in taken):
+                taken.append((start, stop))
+                used.add(stop)
+                done.add(start)
+                kept.append(i)
+        return rows.loc[kept, ["chrom", "start", "stop"]]
+
+    chosen = islands(sound, 0, ["chrom"]).groupBy("chrom", "island").applyInPandas(run, "chrom string, start long, stop long")
+    rows = sound.join(chosen, ["chrom", "start", "stop"])
+    return rows.select(
+        F.xxhash64(F.lit("rescued"), "chrom", "start", "stop").alias("seg"), "chrom", "start", "stop", F.col("_cn").cast(segments.schema["cn"].dataType).alias("cn"), *[F.lit(0).cast(segments.schema[f"clip_{n}"].dataType).alias(f"clip_{n}") for n in ("left", "right")],
+        *[F.col(f"disc_{n}").cast("long").alias(f"disc_{n}") for n in ("left", "right")], "partner_left", "partner_right", F.lit("PE_seg").alias("source"),
+    )
+
+
+def snap_ends(edges: DataFrame, segments: DataFrame, reach: int = 150) -> DataFrame:
+    """edges with each end at the nearest boundary of its side within reach, the one behind it of two as near."""
+    near = band(_boundaries(segments).select("chrom", "clip", "at").distinct(), reach + 1, "at")
+    points = edges.select(F.explode(F.array(*[F.struct(F.col(f"chrom{k}").alias("chrom"), F.col(f"coord{k}").alias("coord"), F.col(f"clip{k}").alias("clip")) for k in (1, 2)])).alias("e")).select("e.*").distinct()
+    met = points.withColumn("_band", F.floor(F.col("coord") / (reach + 1))).join(near, ["chrom", "clip", "_band"]).where(F.abs(F.col("coord") - F.col("at")) <= reach)
+    to = met.groupBy("chrom", "coord", "clip").agg(F.min_by("at", F.struct(F.abs(F.col("coord") - F.col("at")), -F.col("at"))).alias("_to"))
+    out = edges
+    for k in (1, 2):
+        out = out.join(to.toDF(f"chrom{k}", f"coord{k}", f"clip{k}", "_to"), [f"chrom{k}", f"coord{k}", f"clip{k}"], "left").withColumn(f"coord{k}", F.coalesce("_to", f"coord{k}")).drop("_to")
+    return out.select(*edges.columns)
+
+
 def vertex_table(segments: DataFrame, pairs: DataFrame, least: float = 5.0) -> DataFrame:
     """Breakpoints of the graph: the ends of segments whose copy number rounds (half to even) to at least ``least``, and the ends of pairs."""
     high = segments.where(F.bround("cn") >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import breakpoints, cells, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
+from circlet.operators import boundaries, breakpoints, cells, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
 from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, QUERIES, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
@@ -91,6 +91,42 @@ def _(links, segments, sites):
     return out.drop("source", "pe", "offset", "seq")
 
 
+def clipped_segments(segments, sites):
+    """Segments apart from each other; the clips of a boundary are the clipped places of its side within 2 kb."""
+    rows = intervals.merge_bed(segments, 0).select(F.xxhash64("chrom", "start").alias("seg"), "chrom", "start", "stop", F.lit(5.0).alias("cn"))
+    for side, col, name in boundaries.SIDES:
+        near = breakpoints.band(sites.where(F.col("clip") == side).select("chrom", F.col("coord").alias("_at")), 2_001, "_at")
+        met = rows.withColumn("_band", F.floor(F.col(col) / 2_001)).join(near, ["chrom", "_band"]).where(F.abs(F.col(col) - F.col("_at")) <= 2_000)
+        rows = rows.join(met.groupBy("seg").agg(F.count("*").alias(f"clip_{name}")), "seg", "left").withColumn(f"clip_{name}", F.coalesce(f"clip_{name}", F.lit(0)))
+    return rows
+
+
+def wide_edges(links):
+    """Links as edges, those whose places share a cell of 5 kb together."""
+    cell = lambda c: F.floor(F.col(c) / 5000) * 5000
+    return breakpoints.count_links(links.withColumns({"coord1": cell("coord1"), "coord2": cell("coord2")})).drop("rids").withColumnRenamed("n", "support")
+
+
+def refined(segments, sites, links, df):
+    """refine_boundaries() of the test tables."""
+    edges = wide_edges(links)
+    return boundaries.refine_boundaries(clipped_segments(segments, sites), edges, bins_of(df), reach=30_000, least=1, anchor=20_000, merge=5_000, min_cn=1.5, weak_least=1, weak_reach=20_000)
+
+
+@query("refined_boundaries", "segments", "sites", "links", "reads")
+def _(segments, sites, links, df):
+    """Segments after the passes over discordant ends, with where each boundary comes from."""
+    out, _ = refined(segments, sites, links, df)
+    partner = lambda n: F.concat_ws(":", f"partner_{n}.chrom", F.col(f"partner_{n}.coord").cast("string"), f"partner_{n}.clip").alias(f"partner_{n}")
+    return out.select("chrom", "start", "stop", F.round("cn", 6).alias("cn"), "clip_left", "clip_right", "disc_left", "disc_right", partner("left"), partner("right"), "source")
+
+
+@query("snapped_edges", "segments", "sites", "links", "reads")
+def _(segments, sites, links, df):
+    """Discordant edges whose ends went to the refined boundaries."""
+    return refined(segments, sites, links, df)[1].select(*boundaries.EDGE, "support")
+
+
 SEGMENTS_SQL = ISLANDS.format(gap=20000, t="segments") + """,
 e AS (SELECT chrom, coord, clip, n FROM sites WHERE n >= 2),
 p AS (SELECT chrom1, coord1, clip1, chrom2, coord2, clip2, n, CASE WHEN n = 1 THEN 'pe' ELSE 'split' END AS source FROM pairs
