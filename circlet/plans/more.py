@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import boundaries, breakpoints, cells, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
+from circlet.operators import boundaries, breakpoints, cells, evidence, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
 from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, QUERIES, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
@@ -332,6 +333,76 @@ def _(df):
     return df.select("doc_id", F.size(text.gene_list(F.coalesce(F.regexp_replace("text", "[,.]", ";"), F.lit("")))).cast("long").alias("names"))
 
 
+# --- evidence of reads -----------------------------------------------------
+
+ALIGNED = "a AS (SELECT rid, line, pk, sk, chrom, start, bc, nm, clip_l, clip_r, nm >= 2 AND NOT clip_l AND NOT clip_r AS gap, start + CASE WHEN clip_l AND clip_r THEN 60 WHEN clip_l OR clip_r THEN 80 WHEN nm >= 2 THEN 110 ELSE 100 END AS stop, lead(chrom) OVER w AS sa_chrom, lead(start) OVER w AS sa_pos FROM reads WINDOW w AS (PARTITION BY rid ORDER BY line, pk, sk, start)),\nj AS (SELECT rid || '/' || line || '/' || pk || '/' || sk AS junction, chrom AS c1, stop - 1 AS x1, 'R' AS k1, sa_chrom AS c2, sa_pos AS x2, 'L' AS k2 FROM a WHERE sa_chrom IS NOT NULL),\ne AS (SELECT junction, c1 AS chrom, x1 AS coord, k1 AS side, c2 AS oc, x2 AS ox FROM j UNION ALL SELECT junction, c2, x2, k2, c1, x1 FROM j),\nclips AS (SELECT *, start AS at, 'L' AS clip FROM a WHERE clip_l UNION ALL SELECT *, stop - 1, 'R' FROM a WHERE clip_r),\nparts AS (SELECT rid, bc, chrom, start AS p0, CASE WHEN gap THEN start + 50 ELSE stop END AS p1 FROM a WHERE {clean} UNION ALL SELECT rid, bc, chrom, start + 60, stop FROM a WHERE gap AND {clean}),\nh AS (SELECT junction, rid, bc, CASE WHEN clip_r AND sa_chrom = oc AND (abs(sa_pos - ox) <= 200 OR abs(sa_pos + 79 - ox) <= 200) THEN 0 ELSE 1 END AS k FROM e JOIN clips c ON c.chrom = e.chrom AND c.clip = e.side AND abs(c.at - e.coord) <= 5 UNION ALL SELECT junction, rid, bc, 2 FROM e JOIN parts p ON p.chrom = e.chrom AND p.p0 <= e.coord - 5 AND p.p1 > e.coord + 5),\nv AS (SELECT junction, rid, min(bc::VARCHAR) AS bc, min(k) AS k FROM h GROUP BY ALL)"
+STRICT_SQL, LOOSE_SQL = ALIGNED.format(clean="NOT clip_l AND NOT clip_r AND nm <= 1"), ALIGNED.format(clean="true")
+
+
+def read_alignments(df):
+    """The test reads as alignments, and the junctions between neighbours of an order. Clips are 20 letters; a read without one and two edits has a deletion; one clipped at its end has a second alignment, that of the next read."""
+    w = Window.partitionBy("rid").orderBy("line", "pk", "sk", "start")
+    cigar = F.when(F.col("clip_l") & F.col("clip_r"), "20S60M20S").when(F.col("clip_l"), "20S80M").when(F.col("clip_r"), "80M20S").when(F.col("nm") >= 2, "50M10D50M").otherwise("100M")
+    rows = df.withColumns({"_c": F.lead("chrom").over(w), "_p": F.lead("start").over(w), "cigar": cigar}).withColumn("stop", F.col("start") + text.cigar_length(F.col("cigar")))
+    sa = F.when(F.col("clip_r") & F.col("_c").isNotNull(), F.concat_ws(",", "_c", (F.col("_p") + 1).cast("string"), F.lit("+"), F.lit("20S80M"), F.lit("60"), F.lit("0;")))
+    junctions = rows.where("_c is not null").select(F.concat_ws("/", "rid", "line", "pk", "sk").alias("junction"), F.col("chrom").alias("chrom1"), (F.col("stop") - 1).alias("coord1"), F.lit("R").alias("clip1"), F.col("_c").alias("chrom2"), F.col("_p").alias("coord2"), F.lit("L").alias("clip2"))
+    return rows.select(F.col("rid").cast("string").alias("qname"), "chrom", "start", "stop", "cigar", "nm", sa.alias("sa"), F.col("bc").cast("string").alias("cb")), junctions
+
+
+@query("junction_evidence", "reads", also=STRICT_SQL, sql="SELECT junction, rid::VARCHAR AS qname, bc::VARCHAR AS bc, ['split_SA', 'single_clip', 'normal_spanning'][k + 1] AS kind FROM v")
+def _(df):
+    return evidence.junction_evidence(*read_alignments(df))
+
+
+@query("junction_evidence_loose", "reads", also=LOOSE_SQL, sql="SELECT k, count(*) AS reads, count(DISTINCT junction) AS junctions FROM v GROUP BY k")
+def _(df):
+    found = evidence.junction_evidence(*read_alignments(df), strict=False)
+    rank = F.when(F.col("kind") == "split_SA", 0).when(F.col("kind") == "single_clip", 1).otherwise(2)
+    return found.groupBy(rank.alias("k")).agg(F.count("*").alias("reads"), F.count_distinct("junction").alias("junctions"))
+
+
+@query("evidence_matrix", "reads", also=STRICT_SQL, sql="SELECT junction, bc::VARCHAR AS cell, count(*) FILTER (k = 0) AS \"split_SA\", count(*) FILTER (k = 1) AS single_clip, count(*) FILTER (k = 2) AS normal_spanning FROM v GROUP BY ALL")
+def _(df):
+    return evidence.evidence_matrix(evidence.junction_evidence(*read_alignments(df)))
+
+
+CALLS = """seg AS (SELECT brand AS ring, gid AS seg, chrom, start, stop FROM genes WHERE start < stop),
+fl AS (SELECT ring, seg, chrom, greatest(0, start - (stop - start)) AS start, start AS stop FROM seg UNION ALL SELECT ring, seg, chrom, stop, stop + (stop - start) FROM seg),
+flank AS (SELECT * FROM fl WHERE start < stop),
+fr AS (SELECT cell % 50 AS cell, chrom, start, stop, n FROM frags),
+ct AS (SELECT cell, sum(n)::BIGINT AS total FROM fr GROUP BY cell),
+sz AS (SELECT ring, sum(stop - start) AS len, count(*) AS k FROM seg GROUP BY ring),
+oz AS (SELECT ring, sum(stop - start) AS len FROM flank GROUP BY ring),
+ins AS (SELECT cell, ring, sum(n) AS n, count(DISTINCT seg) AS hit FROM fr JOIN seg s ON s.chrom = fr.chrom AND s.start < fr.stop AND fr.start < s.stop GROUP BY ALL),
+ous AS (SELECT cell, ring, sum(n) AS n FROM fr JOIN flank s ON s.chrom = fr.chrom AND s.start < fr.stop AND fr.start < s.stop GROUP BY ALL),
+feat AS (SELECT ct.cell, sz.ring, coalesce(ins.n, 0) * 1e9 / (total * sz.len) AS rate, coalesce(ous.n, 0) * 1e9 / (total * oz.len) AS around, coalesce(hit, 0) / sz.k AS covered
+  FROM ct CROSS JOIN sz LEFT JOIN ins ON ins.cell = ct.cell AND ins.ring = sz.ring LEFT JOIN ous ON ous.cell = ct.cell AND ous.ring = sz.ring LEFT JOIN oz ON oz.ring = sz.ring),
+ev AS (SELECT s.ring, r.bc AS cell, r.rid, max(CASE WHEN clip_l AND clip_r THEN 1 ELSE 0 END) AS d, max(CASE WHEN clip_l AND clip_r THEN 0 ELSE 0.3 END) AS w
+  FROM reads r JOIN seg s ON s.chrom = r.chrom AND s.start < r.stop AND r.start < s.stop WHERE clip_l OR clip_r GROUP BY ALL),
+seen AS (SELECT ring, cell, sum(d)::BIGINT AS direct, sum(CASE WHEN d = 0 THEN w ELSE 0 END) AS weak FROM ev GROUP BY ALL),
+cn AS (SELECT cell, ring, seg, sum(n)::DOUBLE AS n FROM fr JOIN seg s ON s.chrom = fr.chrom AND s.start < fr.stop AND fr.start < s.stop GROUP BY ALL),
+tot AS (SELECT cell, ring, sum(n) AS t, sqrt(sum(n * n)) AS c FROM cn GROUP BY ALL),
+sure AS (SELECT tot.* FROM tot JOIN seen USING (cell, ring) WHERE direct >= 1 AND t > 0),
+anchor AS (SELECT ring, seg, sum(n / t) / (SELECT count(*) FROM sure x WHERE x.ring = cn.ring) AS a FROM cn JOIN sure USING (cell, ring) GROUP BY ring, seg),
+ln AS (SELECT ring, sqrt(sum(a * a)) AS s FROM anchor GROUP BY ring),
+dot AS (SELECT cell, ring, sum(n * a) AS d FROM cn JOIN anchor USING (ring, seg) GROUP BY ALL),
+cosine AS (SELECT cell, ring, coalesce(d / (c * s), 0) AS cosine FROM tot LEFT JOIN dot USING (cell, ring) LEFT JOIN ln USING (ring)),
+q AS (SELECT ring, quantile_cont(rate, 0.25) AS q1 FROM feat JOIN seen USING (cell, ring) WHERE direct >= 1 GROUP BY ring)"""
+
+
+@query("assigned_cells", "frags", "genes", "reads", also=CALLS, sql="SELECT cell, ring, coalesce(direct, 0) AS direct, round(coalesce(weak, 0), 4) AS weak, round(rate, 4) AS rate, round(ln(1 + rate) - ln(1 + around), 4) AS enrichment, round(covered, 4) AS covered, round(coalesce(cosine, 0), 4) AS cosine, CASE WHEN coalesce(direct, 0) >= 1 THEN 'high' WHEN coalesce(weak, 0) >= 0.3 THEN 'probable' WHEN rate >= q1 AND ln(1 + rate) - ln(1 + around) >= 2 AND coalesce(cosine, 0) >= 0.96 AND covered >= 1 THEN 'probable' ELSE 'none' END AS call FROM feat LEFT JOIN seen USING (cell, ring) LEFT JOIN cosine USING (cell, ring) LEFT JOIN q USING (ring)")
+def _(frags, genes, df):
+    """Calls of every cell with every ring from fragments and reads: the segments of one brand are a ring, reads clipped on both sides its split reads."""
+    segments = genes.select(F.col("brand").alias("ring"), F.col("gid").alias("seg"), "chrom", "start", "stop").where("start < stop")
+    n = F.col("stop") - F.col("start")
+    flank = segments.withColumns({"stop": F.col("start"), "start": F.greatest(F.lit(0), F.col("start") - n)}).unionByName(segments.withColumns({"start": F.col("stop"), "stop": F.col("stop") + n})).where("start < stop")
+    own = frags.withColumn("cell", F.col("cell") % 50)
+    clipped = df.where("clip_l or clip_r").select("chrom", "start", "stop", F.col("bc").alias("cell"), F.col("rid").alias("qname"), F.when(F.col("clip_l") & F.col("clip_r"), "split_SA").otherwise("single_clip").alias("kind"))
+    seen = intervals.overlap_join(clipped, segments).select(F.col("r_ring").alias("ring"), "cell", "qname", "kind")
+    out = evidence.assign_cells(own, segments, flank, own.groupBy("cell").agg(F.sum("n").alias("total")), seen)
+    return out.select("cell", "ring", "direct", "call", *[F.round(c, 4).alias(c) for c in ("weak", "rate", "enrichment", "covered", "cosine")])
+
+
 # --- embeddings ------------------------------------------------------------
 
 CORR = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),\nx AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM p),\nd AS (SELECT a.id AS q, b.id, 1 - corr(a.v, b.v) AS d FROM x a JOIN x b ON a.i = b.i AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY ALL),\nk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), id) AS rank FROM d)"
@@ -343,11 +414,13 @@ def _(df):
     return velocity.nearest(p.where("id % 100 = 0"), p, metric="correlation").select("q", "id", F.round("d", 5).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("rank_projection", "embeddings", sql="WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), g AS (SELECT a.id AS a, b.id AS b, unnest(range(1, 33)) AS i, a.vec AS x, b.vec AS y FROM p a JOIN p b ON a.id % 100 = 0 AND b.id = a.id + 1), s AS (SELECT a, b, i, y[i] - x[i] AS d, x[i + 32] AS v FROM g), t AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY d) + (count(*) OVER (PARTITION BY a, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY a ORDER BY v) + (count(*) OVER (PARTITION BY a, v) - 1) / 2.0 AS rv FROM s) SELECT a, b, round(corr(rd, rv), 5) AS r FROM t GROUP BY a, b")
+@query("rank_projection", "embeddings", also=CORR, sql="SELECT a, b, CASE WHEN a = b THEN 0 ELSE round(corr(rd, rv), 5) END AS r FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY d) + (count(*) OVER (PARTITION BY a, b, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS rv FROM (SELECT a.id AS a, b.id AS b, y.v - x.v AS d, z.v AS v FROM p a JOIN p b ON a.id % 100 = 0 JOIN x x ON x.id = a.id AND x.i <= 32 JOIN x y ON y.id = b.id AND y.i = x.i JOIN x z ON z.id = a.id AND z.i = x.i + 32) s) t GROUP BY a, b")
 def _(df):
+    """Every hundredth vector against all: how its ranked velocity goes with the ranked way to each."""
     p = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     state = p.select("id", F.slice("vec", 1, 32).alias("e"), F.slice("vec", 33, 32).alias("v"))
-    pairs = p.where("id % 100 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    asked = p.where("id % 100 = 0").agg(F.collect_list("id").alias("_ids"))
+    pairs = p.select(F.col("id").alias("b")).crossJoin(F.broadcast(asked)).select(F.explode("_ids").alias("a"), "b")
     return velocity.delta_correlation(state, pairs, "rank").withColumn("r", F.round("r", 5))
 
 

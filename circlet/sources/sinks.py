@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import hadoop_path
+
 STAGE_VERSION = 1
 
 
@@ -31,6 +36,53 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return df.drop("_schema_version")
 
 
+def content_digest(df: DataFrame | None) -> str:
+    """What a table holds, whatever its order and partitions: a count and two sums of hashes, in one pass."""
+    if df is None:
+        return "none"
+    row = F.to_json(F.struct(*[df[f"`{c}`"] for c in sorted(df.columns)]))
+    n, a, b = df.agg(F.count("*"), F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)"))).first()
+    return f"{','.join(sorted(df.columns))}:{n}:{a}:{b}"
+
+
+class Stages:
+    """Steps of a run by name under a folder. A step that is there is read only if it was made from the same input by the same code and parameters; else it is made again, and so is all that needs it.
+
+    Beside each step is a manifest with its digest: of its name, its version, the
+    parameters it uses, and the digests of what it needs. The manifest is taken
+    away before a step is written and comes back after it, so a step that was cut
+    short is made again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, inputs: dict[str, DataFrame | None], parameters: dict):
+        self.spark, self.path, self.parameters = spark, path.rstrip("/"), parameters
+        self.digests = {f"input:{name}": content_digest(df) for name, df in inputs.items()}
+        self.made: list[str] = []
+
+    def _manifest(self, name: str) -> str:
+        return f"{self.path}/manifests/{name}"
+
+    def _known(self, name: str) -> str | None:
+        fs, at = hadoop_path(self.spark, f"{self._manifest(name)}/_SUCCESS")
+        if not fs.exists(at):
+            return None
+        row = self.spark.read.schema("digest string").json(self._manifest(name)).first()
+        return row.digest if row else None
+
+    def step(self, name: str, make, needs: tuple[str, ...] = (), uses: tuple[str, ...] = (), version: int = 1) -> DataFrame:
+        """The table of a step; needs: names of steps and inputs (input:...) that it reads, uses: names of parameters, version: of its code."""
+        said = [name, STAGE_VERSION, version, {u: self.parameters[u] for u in sorted(uses)}, {n: self.digests[n] for n in sorted(needs)}]
+        digest = self.digests[name] = hashlib.sha256(json.dumps(said).encode()).hexdigest()
+        at = f"{self.path}/{name}"
+        if self._known(name) != digest:
+            fs, old = hadoop_path(self.spark, self._manifest(name))
+            fs.delete(old, True)
+            write_stage(make(), at)
+            self.spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("overwrite").json(self._manifest(name))
+            self.made.append(name)
+        return read_stage(self.spark, at)
+
+
 def write_sorted_reads(reads: DataFrame, path: str, files: int = 64) -> str:
     """Reads as Parquet in ranges of position, so that region filters prune files and row groups."""
     reads.repartitionByRange(files, "chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").parquet(path)
