@@ -14,7 +14,9 @@ STAGE_VERSION = 1
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True, single: bool = False) -> str:
-    """Delimited text; single puts a small result in one file."""
+    """Delimited text; single puts a small result in one file. The fields of a struct are joined by colons, those of an array by commas."""
+    said = lambda f: F.concat_ws(":", *[F.col(f"`{f.name}`.{x}").cast("string") for x in f.dataType.names]) if f.dataType.typeName() == "struct" else F.concat_ws(",", F.col(f"`{f.name}`").cast("array<string>"))
+    df = df.withColumns({f.name: said(f) for f in df.schema if f.dataType.typeName() in ("struct", "array")})
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep=sep, header=header)
     return path
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAGMENTS = "chrom string, start string, stop string, barcode string, n string"
@@ -89,7 +89,10 @@ HEADERLESS = ["Chrom", "Start", "End", "Strand", "Score", "AmpliconID", "Gene",
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """Known structures: a headered table with AmpliconID, Chrom, Start, End and Strand, or six columns and more without a header. Row order becomes idx."""
+    """Known structures: a headered table with AmpliconID, Chrom, Start, End and Strand, or six columns and more without a header. idx is the row's place in the file.
+
+    A table of structures is read as one text, so that places are those of the file.
+    """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path} is empty")
@@ -98,10 +101,24 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     if not headered and len(fields) < 6:
         raise ValueError(f"{path}: neither the named columns nor six columns")
     names = fields if headered else [*HEADERLESS[: len(fields)], *[f"Extra{i}" for i in range(len(fields) - len(HEADERLESS))]]
-    rows = spark.read.csv(path, sep="\t", header=headered, schema=", ".join(f"`{n}` string" for n in names)).withColumn("idx", F.monotonically_increasing_id())
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where((F.trim("line") != "") & (F.col("at") >= int(headered)))
+    rows = lines.select((F.col("at") - int(headered)).cast("long").alias("idx"), F.split("line", "\t").alias("f"))
+    rows = rows.select(*[F.nullif(F.get("f", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)], "idx")
     return rows.withColumns({"Start": F.col("Start").cast("long"), "End": F.col("End").cast("long")})
 
 
+def known_rings(spark: SparkSession, path: str) -> DataFrame:
+    """read_structures() as rings: ring, idx (from 1, in the order of the file), chrom, start, stop, strand."""
+    rows = read_structures(spark, path)
+    place = F.row_number().over(Window.partitionBy("AmpliconID").orderBy("idx"))
+    return rows.select(F.col("AmpliconID").alias("ring"), place.alias("idx"), F.col("Chrom").alias("chrom"), F.col("Start").alias("start"), F.col("End").alias("stop"), F.col("Strand").alias("strand"))
+
+
+def read_genes(spark: SparkSession, path: str) -> DataFrame:
+    """A BED of genes: chrom, start, stop, name (the fourth field)."""
+    return read_bed(spark, path).select("chrom", "start", "stop", F.get("extra", F.lit(0)).alias("name")).where("name is not null")
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     """The first path that exists in its store."""
     jvm = spark.sparkContext._jvm

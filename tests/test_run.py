@@ -1,6 +1,8 @@
 """A de novo run and a targeted search on a made-up ring, and kernels of the later operators."""
 
+import dataclasses
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -40,59 +42,131 @@ def test_de_novo(spark, ring, tmp_path):
     amp = found["amplified"].collect()
     assert any(abs(r.start - 400_000) <= 20_000 and abs(r.stop - 700_000) <= 20_000 for r in amp)
     (pair,) = found["pairs"].collect()
-    assert (pair.coord1, pair.clip1, pair.coord2, pair.clip2, pair.n, pair.offset) == (400_000, "L", 699_999, "R", 8, 0)
+    assert (pair.coord1, pair.clip1, pair.coord2, pair.clip2, pair.n, pair.offset) == (400_000, "L", 699_999, "R", 16, 0)  # eight reads, on both sides
     assert pair.seq == LEFT + RIGHT and pair.source == "split"
     rings = found["rings"].collect()
     assert [(r.start, r.stop) for r in rings] == [(400_000, 699_999)] and found["scores"].first().score > 0
-    assert found["picked"].first().role == "chosen"
-    assert run.de_novo(ring, str(tmp_path))["stats"].first().rings == 1  # from the stages
+    assert found["picked"].first().role == "chosen" and found["stats"].first().rings == 1
 
 
-@pytest.fixture(scope="module")
-def planted(spark):
-    """A ring of chr1 400000-700000 and chr2 1000000-1300000 at ten copies. Split reads join them at one side; read pairs alone at the other. A listed region of chr3 is as deep; bins have a bias."""
+GENOME = {c: "".join(np.random.default_rng(10 + i).choice(list("ACGT"), 2_000_000)) for i, c in enumerate(("chr1", "chr2", "chr3"))}
+DEEP = {"chr1": (400_000, 700_000), "chr2": (1_000_000, 1_300_000), "chr3": (200_000, 400_000)}
+LISTED = [("chr3", 150_000, 450_000)]
+
+
+def planted_rows():
+    """A ring of chr1 400000-700000 and chr2 1000000-1300000 at ten copies over a random genome. Split reads join them at one side; clips on both ends, which no second alignment explains, at the other, and read pairs at both. A listed region of chr3 is as deep."""
     rng = np.random.default_rng(1)
     rows = []
 
-    def read(name, chrom, start, cigar="100M", sa=None, flag=0, seq="A" * 100, mate=None):
+    def read(name, chrom, start, cigar="100M", sa=None, flag=0, seq=None, mate=None, tlen=0):
         span = sum(int(x) for x in re.findall("([0-9]+)M", cigar))
-        rows.append((name, flag, chrom, int(start), int(start) + span, 60, cigar, mate and mate[0], mate[1] if mate else -1, 0, seq, 0, sa, "cell1"))
+        rows.append((name, flag, chrom, int(start), int(start) + span, 60, cigar, mate and mate[0], mate[1] if mate else -1, tlen, seq or GENOME[chrom][int(start) : int(start) + 100], 0, sa, "cell1"))
 
-    deep = {"chr1": (400_000, 700_000), "chr2": (1_000_000, 1_300_000), "chr3": (200_000, 400_000)}
-    for chrom, (a, b) in deep.items():
+    for chrom, (a, b) in DEEP.items():
         for at in range(0, 2_000_000, 10_000):
             for i in range(int(rng.poisson(60 if a <= at < b else 6))):
                 read(f"r{chrom}{at}_{i}", chrom, at + rng.integers(0, 9_900))
+    one, two = GENOME["chr1"], GENOME["chr2"]
     for i in range(9):  # the end of chr1's segment goes on at the start of chr2's
-        read(f"s{i}", "chr1", 699_950, "50M50S", "chr2,1000001,+,50S50M,60,0;", seq=LEFT)
-        read(f"s{i}", "chr2", 1_000_000, "50S50M", "chr1,699951,+,50M50S,60,0;", 2048, RIGHT)
-    for i in range(7):  # the end of chr2's segment and the start of chr1's: pairs, and clips without a second alignment
+        read(f"s{i}", "chr1", 699_950, "50M50S", "chr2,1000001,+,50S50M,60,0;", seq=one[699_950:700_000])
+        read(f"s{i}", "chr2", 1_000_000, "50S50M", "chr1,699951,+,50M50S,60,0;", 2048, two[1_000_000:1_000_050])
+    for i in range(7):  # the end of chr2's segment and the start of chr1's
+        read(f"c{i}", "chr1", 400_000, "40S60M", seq=two[1_299_960:1_300_000] + one[400_000:400_060])
+        read(f"d{i}", "chr2", 1_299_940, "60M40S", seq=two[1_299_940:1_300_000] + one[400_000:400_040])
         x, y = 1_299_700 + 10 * i, 400_020 + 10 * i
         read(f"p{i}", "chr2", x, flag=1 + 32 + 64, mate=("chr1", y))
         read(f"p{i}", "chr1", y, flag=1 + 16 + 128, mate=("chr2", x))
-        read(f"c{i}", "chr1", 400_000, "40S60M")
-        read(f"d{i}", "chr2", 1_299_900, "100M30S")
-    return spark.createDataFrame(rows, SCHEMA).withColumn("dup", F.lit(False))
+    for i in range(50):  # sound pairs with inserts of 290 to 310
+        read(f"i{i}", "chr3", 1_000_000 + 200 * i, flag=1 + 2 + 32 + 64, mate=("chr3", 1_000_200 + 200 * i), tlen=290 + i % 21)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    return spark.createDataFrame(planted_rows(), SCHEMA).withColumn("dup", F.lit(False))
 
 
-def test_each_step_of_the_run_is_needed(spark, planted, tmp_path):
-    listed = spark.createDataFrame([("chr3", 150_000, 450_000)], "chrom string, start long, stop long")
+def spans(df):
+    return sorted((r.chrom, r.start, r.stop) for r in df.collect())
+
+
+PARAMETERS = run.Parameters(edge_gap=1000, snap=600)
+RING = [("chr1", 400_000, 699_999), ("chr2", 1_000_000, 1_299_999)]
+
+
+@pytest.fixture(scope="module")
+def found(spark, planted, tmp_path_factory):
+    listed = spark.createDataFrame(LISTED, "chrom string, start long, stop long")
     genes = spark.createDataFrame([("chr1", 500_000, 510_000, "g1"), ("chr2", 1_100_000, 1_110_000, "g2")], "chrom string, start long, stop long, name string")
-    p = run.Parameters(edge_gap=1000, snap=600)
-    found = run.de_novo(planted, str(tmp_path / "a"), p, listed=listed, genes=genes)
-    amp = {(r.chrom, r.start, r.stop) for r in found["amplified"].collect()}
-    assert {c for c, _, _ in amp} == {"chr1", "chr2"}  # not the listed one
-    assert ("chr1", 400_000, 699_999) in amp  # ends are where the clips are
-    (edge,) = found["discordant"].collect()
+    at = str(tmp_path_factory.mktemp("run"))
+    return at, listed, genes, run.de_novo(planted, at, PARAMETERS, listed=listed, genes=genes)
+
+
+def test_planted_ring_is_found(found):
+    out = found[3]
+    assert spans(out["amplified"]) == RING  # not the listed region; ends are where the clips are
+    (edge,) = out["discordant"].collect()
     assert {(edge.chrom1, edge.clip1), (edge.chrom2, edge.clip2)} == {("chr1", "L"), ("chr2", "R")} and edge.support == 7
-    assert {(r.source, r.n) for r in found["pairs"].collect()} == {("split", 9), ("pe", 7)}
-    without = run.de_novo(planted, str(tmp_path / "b"), p)
-    assert "chr3" in {r.chrom for r in without["amplified"].collect()}
-    rings = found["rings"].collect()
-    assert found["stats"].first().rings == len(rings)
-    if rings:  # both junctions are in the graph, so the ring closes over both chromosomes
-        assert {r.chrom for r in rings} == {"chr1", "chr2"}
-        assert {r.genes for r in found["annotated"].collect()} == {"g1", "g2"}
+    pairs = {((r.chrom1, r.coord1, r.clip1), (r.chrom2, r.coord2, r.clip2)): r for r in out["pairs"].collect()}
+    assert set(pairs) == {(("chr1", 699_999, "R"), ("chr2", 1_000_000, "L")), (("chr1", 400_000, "L"), ("chr2", 1_299_999, "R"))}
+    split, seq = pairs[("chr1", 699_999, "R"), ("chr2", 1_000_000, "L")], pairs[("chr1", 400_000, "L"), ("chr2", 1_299_999, "R")]
+    assert (split.n, split.offset, split.pe) == (18, 0, False)  # each split read counts on both sides
+    assert (seq.n, seq.offset, seq.pe) == (14, 0, True)  # found by sequence, and read pairs agree
+    assert spans(out["rings"]) == RING and {r.truncated for r in out["rings"].collect()} == {False}
+    (score,) = out["scores"].collect()
+    assert score.segments == 2 and score.score >= 4 and score.genes_num == 2
+    assert {r.genes for r in out["annotated"].collect()} == {"g1", "g2"}
+    stats = out["stats"].first()
+    assert (stats.rings, stats.pairs, stats.truncated) == (2, 2, 0)
+    assert [r.role for r in out["picked"].collect()] == ["chosen"]
+
+
+def test_stages_are_read_only_if_nothing_changed(spark, planted, found, tmp_path):
+    first, listed, genes, out = found
+    at = str(shutil.copytree(first, tmp_path / "copy"))
+    made = lambda **kw: {r.step for r in run.de_novo(kw.pop("rows", planted), at, kw.pop("p", PARAMETERS), listed=kw.pop("listed", listed), genes=genes)["made"].collect()}
+    assert {r.step for r in out["made"].collect()} >= {"reads", "bins", "called", "pairs", "rings", "scores"}
+    assert made() == set()
+    assert made(p=dataclasses.replace(PARAMETERS, least_score=3.0)) == {"scores", "picked", "annotated"}
+    assert made(p=dataclasses.replace(PARAMETERS, least_score=3.0), rows=planted.repartition(3)) == set()  # the same rows in another order
+    changed = made(p=dataclasses.replace(PARAMETERS, least_score=3.0), rows=planted.where("qname <> 's0'"))
+    assert {"reads", "bins_raw", "junctions", "pairs", "rings", "scores"} <= changed
+
+
+def without(spark, rows, tmp_path, **kw):
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("dup", F.lit(False))
+    return run.de_novo(df, str(tmp_path / "run"), kw.pop("p", PARAMETERS), **kw)
+
+
+@pytest.mark.parametrize("gone", ["split reads", "pairs by sequence"])
+def test_each_kind_of_evidence_is_needed(spark, tmp_path, monkeypatch, gone):
+    """Without one of its junctions the ring doesn't close."""
+    rows = planted_rows()
+    if gone == "split reads":
+        rows = [r for r in rows if not r[0].startswith("s")]
+    else:  # neither clips matched by sequence nor read pairs
+        rows = [r for r in rows if not r[0].startswith("p")]
+        monkeypatch.setattr(run.pairing, "pairs_by_sequence", lambda sites, reads, known, **kw: spark.createDataFrame([], "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, n long, offset int, seq string, reads array<string>"))
+    out = without(spark, rows, tmp_path, listed=spark.createDataFrame(LISTED, "chrom string, start long, stop long"))
+    assert out["rings"].count() == 0
+    assert out["lines"].count() > 0  # what is left is a line
+
+
+@pytest.mark.parametrize("step", ["clean sites", "score floor", "interior"])
+def test_each_filter_has_an_effect(planted, found, step):
+    """On the stages of the first run, of which only those behind the filter are made again."""
+    at, listed, genes, _ = found
+    kw = {"clean sites": {"clean_share": 1.1}, "score floor": {"least_score": 1e9}, "interior": {"interior_share": 1.1}}[step]
+    out = run.de_novo(planted, at, dataclasses.replace(PARAMETERS, **kw), listed=listed, genes=genes)
+    assert "reads" not in {r.step for r in out["made"].collect()}
+    if step == "score floor":
+        assert out["rings"].count() == 2 and out["scores"].count() == 0
+    elif step == "clean sites":
+        assert out["sites"].count() == 0
+        assert {r.source for r in out["pairs"].collect()} == {"split", "ds"}  # nothing is found by sequence
+    else:
+        assert out["segments"].count() == 0 and out["rings"].count() == 0
 
 
 def test_targeted_run_falls_back_on_known_segments(spark, ring, tmp_path):
@@ -110,8 +184,22 @@ def test_targeted(spark, ring):
 
 def test_command_line(spark, ring, tmp_path):
     ring.drop("dup").write.parquet(str(tmp_path / "reads"))
-    cli.main(["denovo", "--input", str(tmp_path / "reads"), "--output", str(tmp_path / "out")])
-    assert (tmp_path / "out" / "scores" / "_SUCCESS").exists()
+    (tmp_path / "genes.bed").write_text("chr1\t500000\t510000\tg1\n")
+    (tmp_path / "known.tsv").write_text("AmpliconID\tChrom\tStart\tEnd\tStrand\nk\tchr1\t400050\t699950\t+\n")
+    (tmp_path / "regions.bed").write_text("chr1\t390000\t710000\n")
+    cli.main(["denovo", "--input", str(tmp_path / "reads"), "--output", str(tmp_path / "out"), "--genes", str(tmp_path / "genes.bed"), "--least-score", "0"])
+    assert "g1" in (next((tmp_path / "out" / "annotated").glob("*.csv"))).read_text()
+    for command, table in (("search", "concordance"), ("extract", "junctions"), ("evidence", "evidence"), ("classify", "concordance")):
+        cli.main([command, "--input", f"{tmp_path / 'reads'}", "--known", str(tmp_path / "known.tsv"), "--output", str(tmp_path / command)])
+        text = next((tmp_path / command / table).glob("*.csv")).read_text().splitlines()
+        assert len(text) == 2 and (table != "concordance" or text[1].startswith("k\t"))
+
+
+def test_region_option(spark, ring, tmp_path):
+    ring.drop("dup").write.parquet(str(tmp_path / "reads.parquet"))
+    (tmp_path / "regions.bed").write_text("chr1\t699990\t700000\n")
+    got = cli.read_alignments(spark, str(tmp_path / "reads.parquet"), str(tmp_path / "regions.bed"))
+    assert got.count() == ring.where("start < 700000 and stop > 699990").count() > 0
 
 
 def test_overlap_and_gap_of_split_reads(spark):
