@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from circlet.functions import text
-from circlet.operators import boundaries, breakpoints, cells, evidence, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
+from circlet.operators import boundaries, breakpoints, cells, coverage, evidence, graph, intervals, pairing, refine, segmentation, singlecell, splitreads, velocity
 from circlet.plans.catalog import BINS, EDGES, ISLANDS, JUNCTIONS, QUERIES, bins_of, query, r6, ring_graph
 
 CLUSTERS = "w0 AS (SELECT *, CASE WHEN coord1 - lag(coord1) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid) < 3500 THEN 0 ELSE 1 END AS k FROM links),\nw1 AS (SELECT *, sum(k) OVER (PARTITION BY chrom1, clip1, chrom2, clip2 ORDER BY coord1, coord2, rid ROWS UNBOUNDED PRECEDING) AS g FROM w0),\ncl AS (SELECT chrom1, CASE WHEN clip1 = 'R' THEN max(coord1) ELSE min(coord1) END AS coord1, chrom2, CASE WHEN clip2 = 'R' THEN max(coord2) ELSE min(coord2) END AS coord2 FROM w1 GROUP BY chrom1, clip1, chrom2, clip2, g HAVING count(*) >= 2)"
@@ -390,6 +390,39 @@ cosine AS (SELECT cell, ring, coalesce(d / (c * s), 0) AS cosine FROM tot LEFT J
 q AS (SELECT ring, quantile_cont(rate, 0.25) AS q1 FROM feat JOIN seen USING (cell, ring) WHERE direct >= 1 GROUP BY ring)"""
 
 
+DRAWN = """sz AS (SELECT chrom, max(stop)::BIGINT AS length FROM reads GROUP BY chrom),
+bs AS (SELECT *, sum(length) OVER (ORDER BY chrom) - length AS before, sum(length) OVER () AS total FROM sz),
+dr AS (SELECT i, ('0x' || substr(md5('7:' || i), 1, 12))::BIGINT / 281474976710656.0 AS u FROM range(2000) r(i)),
+pl AS (SELECT i, chrom, floor(u * total)::BIGINT - before AS start, length FROM dr JOIN bs ON floor(u * total) >= before AND floor(u * total) < before + length),
+ok AS (SELECT i, chrom, start, start + 20000 AS stop FROM pl p WHERE start >= 20000 AND start + 20000 <= length AND NOT EXISTS (SELECT 1 FROM genes g WHERE g.kind = 'PROMO' AND g.start < g.stop AND g.chrom = p.chrom AND g.start < p.start + 40000 AND p.start - 20000 < g.stop)),
+w AS (SELECT DISTINCT chrom, start, stop FROM (SELECT * FROM ok ORDER BY i LIMIT 500) x)"""
+SAMPLED = DRAWN + """,
+rd AS (SELECT chrom, start, stop, 100 + nm AS length, CASE WHEN dup THEN 16 ELSE 2 END AS flag, pk % 700 - 100 AS tlen FROM reads),
+met AS (SELECT w.chrom, w.start, rd.length, CASE WHEN (flag & 2) <> 0 AND tlen > 0 THEN tlen END AS ins FROM w JOIN rd ON rd.chrom = w.chrom AND rd.start < w.stop AND w.start < rd.stop),
+wd AS (SELECT count(*) / 20001.0 AS d FROM met GROUP BY chrom, start),
+md AS (SELECT list_sort(list(d))[cast(floor(count(*) / 2.0) as bigint) + 1] AS m FROM wd),
+st AS (SELECT max(m) AS median, avg(d) AS mean, stddev_pop(d) AS sd, count(*) AS windows FROM wd, md WHERE d > 0 AND d < 5 * m),
+fl AS (SELECT avg(length) AS read_length, avg(ins) AS insert_size, stddev_pop(ins) AS insert_sd, 2.0 * count(ins) / count(*) AS proper FROM met)"""
+
+
+def sampled_windows(df, genes):
+    return coverage.draw_windows(df.groupBy("chrom").agg(F.max("stop").alias("length")), 500, 20_000, 7, listed(genes))
+
+
+@query("sampled_windows", "reads", "genes", also=DRAWN, sql="SELECT chrom, start, stop FROM w")
+def _(df, genes):
+    """Windows drawn by a seed from the span of the reads, away from listed regions."""
+    return sampled_windows(df, genes)
+
+
+@query("sampled_coverage", "reads", "genes", also=SAMPLED, sql="SELECT round(read_length, 4) AS read_length, round(insert_size, 4) AS insert_size, round(insert_sd, 4) AS insert_sd, round(proper, 4) AS proper, round(median * read_length, 4) AS median, round(mean * read_length, 4) AS mean, round(sd * read_length, 4) AS sd, windows, round(least(0.4, 0.01 / (median * read_length)), 4) AS keep FROM st, fl")
+def _(df, genes):
+    """Lengths, inserts and depth over the drawn windows, and the share of reads to keep of a file that is too large."""
+    rows = df.select("chrom", "start", "stop", (100 + F.col("nm")).alias("length"), F.when(F.col("dup"), 16).otherwise(2).alias("flag"), (F.col("pk") % 700 - 100).alias("tlen"))
+    stats = coverage.thinning(coverage.sampled_coverage(rows, sampled_windows(df, genes), 20_000), 80.0, target=0.01)
+    return stats.select(*[F.round(c, 4).alias(c) for c in ("read_length", "insert_size", "insert_sd", "proper", "median", "mean", "sd", "keep")], "windows")
+
+
 @query("assigned_cells", "frags", "genes", "reads", also=CALLS, sql="SELECT cell, ring, coalesce(direct, 0) AS direct, round(coalesce(weak, 0), 4) AS weak, round(rate, 4) AS rate, round(ln(1 + rate) - ln(1 + around), 4) AS enrichment, round(covered, 4) AS covered, round(coalesce(cosine, 0), 4) AS cosine, CASE WHEN coalesce(direct, 0) >= 1 THEN 'high' WHEN coalesce(weak, 0) >= 0.3 THEN 'probable' WHEN rate >= q1 AND ln(1 + rate) - ln(1 + around) >= 2 AND coalesce(cosine, 0) >= 0.96 AND covered >= 1 THEN 'probable' ELSE 'none' END AS call FROM feat LEFT JOIN seen USING (cell, ring) LEFT JOIN cosine USING (cell, ring) LEFT JOIN q USING (ring)")
 def _(frags, genes, df):
     """Calls of every cell with every ring from fragments and reads: the segments of one brand are a ring, reads clipped on both sides its split reads."""
