@@ -19,6 +19,7 @@ from .common import new_path, partitions, table
 from .tokens import encoder, groups
 
 END_ID = 2
+FILE = "shard int, doc_id long, shard_start long, n_tokens int, tokens array<int>"
 
 
 def _list_array(parts: list[bytes]) -> pa.Array:
@@ -28,7 +29,7 @@ def _list_array(parts: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
-    """docs (doc_id, text) as shard int, doc_id, shard_start long (ids before the document within its shard), tokens array<int>.
+    """docs (doc_id, text) as shard int, doc_id, shard_start long (ids before the document within its shard), n_tokens int, tokens array<int>.
 
     Shards are ranges of doc_id in ascending order, null ids first; rows of the
     same doc_id, which may span shards, stay in the order in which they are
@@ -50,9 +51,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int |
                 n = np.array([len(x) // 4 for x in ids], dtype="i8")
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(starts), _list_array(ids)], names=["shard", "doc_id", "shard_start", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(starts), pa.array(n.astype("i4")), _list_array(ids)], names=[c.split()[0] for c in FILE.split(", ")])
 
-    return rows.mapInArrow(run, "shard int, doc_id long, shard_start long, tokens array<int>")
+    return rows.mapInArrow(run, FILE)
 
 
 def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = 64 << 20, stride: int = 10_000, bloom_fpp: float = 0.01) -> str:
@@ -71,18 +72,18 @@ def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = 64 << 20, strid
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with start: the ids of all documents before this one.
 
-    Adds up what each shard holds, from two columns; the table of shards has
-    one row for each file.
+    Adds up what each shard holds, from two columns without the ids; the table
+    of shards has one row for each file.
     """
-    rows = spark.read.schema("shard int, doc_id long, shard_start long, tokens array<int>").orc(path)
-    held = rows.groupBy("shard").agg(F.sum(F.size("tokens")).alias("n"))
+    rows = spark.read.schema(FILE).orc(path)
+    held = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = held.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "tokens")
 
 
 def find(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """Documents by id; the filter reaches the file, stripe and row-group statistics and the Bloom filters."""
-    return spark.read.schema("shard int, doc_id long, shard_start long, tokens array<int>").orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "tokens")
+    return spark.read.schema(FILE).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "tokens")
 
 
 def digest(rows: DataFrame) -> DataFrame:
