@@ -201,6 +201,64 @@ def merge_evidence(rows: DataFrame) -> DataFrame:
     return best.join(reads, "junction", "left").select("junction", "source", "top", F.coalesce("reads", "total").alias("n"), F.coalesce("barcodes", F.lit(0)).alias("barcodes"))
 
 
+PAIR = ["chrom1", "coord1", "clip1", "chrom2", "coord2", "clip2"]
+
+
+def merge_pairs(*sources: DataFrame) -> DataFrame:
+    """Pairs of several sources, the first the most trusted, as one row for each two ends in ascending order: n, offset, seq, pe, source, reads.
+
+    sources: chrom1..clip2, n, offset, seq, pe (read pairs support it), source,
+    reads (array of structs rid, bc). Reads are counted once each, with their
+    first barcode in order of the sources; a pair of which no source names a read
+    counts the sum of n. offset, seq and source are those of the strongest row of
+    its first source; pe is true if it is anywhere. Reads are merged one by one
+    before they are gathered, so what is gathered are the reads of a pair, each once.
+    """
+    rows = None
+    for k, df in enumerate(sources):
+        own = df.select(*PAIR, F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("offset"), "seq", "pe", "source", "reads", F.lit(k).alias("_p"))
+        rows = own if rows is None else rows.unionByName(own)
+    a, b = (F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("chrom", "coord", "clip")]) for k in (1, 2))
+    rows = rows.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b"), "n", "offset", "seq", "pe", "source", "reads", "_p")
+    key = ["_a", "_b"]
+    each = rows.select(*key, "_p", "n", F.explode("reads").alias("r")).select(*key, "_p", "n", "r.rid", F.when(~F.trim("r.bc").isin("", "None", "nan"), F.trim("r.bc")).alias("bc")).where("rid is not null")
+    one = each.groupBy(*key, "rid").agg(F.min_by("bc", F.struct(F.col("bc").isNull(), "_p", -F.col("n"), "bc")).alias("bc"))
+    held = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rid", "bc"))).alias("reads"))
+    best = F.max_by(F.struct("offset", "seq", "source"), F.struct(-F.col("_p"), "n", -F.col("offset"), "seq"))
+    known = rows.groupBy(*key).agg(best.alias("_m"), F.sum("n").alias("_n"), F.bool_or(F.coalesce("pe", F.lit(False))).alias("pe"))
+    out = known.join(held, key, "left")
+    empty = F.array().cast(held.schema["reads"].dataType)
+    return out.select(*[F.col(f"{k}.{c}").alias(f"{c}{n}") for n, k in ((1, "_a"), (2, "_b")) for c in ("chrom", "coord", "clip")], F.coalesce(F.size("reads").cast("long"), "_n").alias("n"), "_m.offset", "_m.seq", "pe", "_m.source", F.coalesce("reads", empty).alias("reads"))
+
+
+def barcodes_of(reads):
+    """The barcodes of a pair's reads in their order, nulls among them; an empty array if no read has one."""
+    return F.when(F.exists(reads, lambda r: r["bc"].isNotNull()), F.transform(reads, lambda r: r["bc"])).otherwise(F.array().cast("array<string>"))
+
+
+def paired_ends(sites: DataFrame, reads: DataFrame, length: int = 500, least: int = 2) -> DataFrame:
+    """Pairs of sites (chrom1..clip2, n, reads) that reads of no proper pair share: such reads (chrom, start, stop, qname, cb, flag) lie in the ``length`` bases inside each site.
+
+    n counts the first site's alignments whose name the second site has too, so a
+    name that is there twice counts twice. Sites closer than length on one
+    chromosome, or with fewer than ``least`` alignments, have no pairs.
+    """
+    from .intervals import overlap_join
+
+    site = F.struct("chrom", "coord", "clip")
+    left = F.col("clip") == "L"
+    spans = sites.select("chrom", F.when(left, F.col("coord")).otherwise(F.greatest(F.col("coord") - length, F.lit(0))).alias("start"), F.when(left, F.col("coord") + length).otherwise(F.col("coord")).alias("stop"), site.alias("site")).distinct()
+    improper = reads.where(F.col("flag").bitwiseAND(2) == 0).select("chrom", "start", "stop", "qname", "cb")
+    met = overlap_join(spans, improper).select("site", F.col("r_qname").alias("qname"), F.col("r_cb").alias("bc"))
+    many = met.groupBy("site").agg(F.count("*").alias("_k")).where(F.col("_k") >= least).select("site")
+    met = met.join(many, "site", "left_semi")
+    other = met.groupBy("site", "qname").agg(F.max("bc").alias("_bc")).select(F.col("site").alias("other"), "qname", "_bc")
+    far = (F.col("site.chrom") != F.col("other.chrom")) | (F.abs(F.col("site.coord") - F.col("other.coord")) >= length)
+    both = met.join(other, "qname").where((F.col("site") < F.col("other")) & far)
+    out = both.groupBy("site", "other").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.struct(F.xxhash64("qname").alias("rid"), F.coalesce("bc", "_bc").alias("bc")))).alias("reads")).where(F.col("n") >= least)
+    return out.select(*[F.col(f"{k}.{c}").alias(f"{c}{n}") for n, k in ((1, "site"), (2, "other")) for c in ("chrom", "coord", "clip")], "n", "reads")
+
+
 def drop_listed(sites: DataFrame, listed: DataFrame, pad: int = 100) -> DataFrame:
     """Sites (chrom, coord, clip) away from the listed intervals by more than pad."""
     from .intervals import clear_of

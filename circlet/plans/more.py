@@ -390,6 +390,46 @@ cosine AS (SELECT cell, ring, coalesce(d / (c * s), 0) AS cosine FROM tot LEFT J
 q AS (SELECT ring, quantile_cont(rate, 0.25) AS q1 FROM feat JOIN seen USING (cell, ring) WHERE direct >= 1 GROUP BY ring)"""
 
 
+MERGED = """f AS (SELECT chrom1, cast(floor(coord1 / 2500000.0) as bigint) AS coord1, clip1, chrom2, cast(floor(coord2 / 2500000.0) as bigint) AS coord2, clip2, CASE WHEN bc % 3 = 0 THEN 0 ELSE 1 END AS p, CASE WHEN rid % 5 > 0 THEN rid END AS rid, CASE WHEN bc % 4 > 0 THEN bc::VARCHAR END AS bc, rid % 11 = 0 AS pe FROM links),
+g AS (SELECT *, CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom1, coord1, clip1) ELSE row(chrom2, coord2, clip2) END AS a, CASE WHEN (chrom1, coord1, clip1) <= (chrom2, coord2, clip2) THEN row(chrom2, coord2, clip2) ELSE row(chrom1, coord1, clip1) END AS b FROM f),
+rw AS (SELECT a, b, chrom1, p, count(*) AS n, bool_or(pe) AS pe FROM g GROUP BY a, b, chrom1, coord1, clip1, chrom2, coord2, clip2, p),
+rr AS (SELECT a, b, rid, arg_min(bc, (p, -n, bc)) FILTER (bc IS NOT NULL) AS bc FROM (SELECT g.a, g.b, g.p, g.rid, g.bc, w.n FROM g JOIN (SELECT a, b, chrom1, coord1, clip1, chrom2, coord2, clip2, p, count(*) AS n FROM g GROUP BY ALL) w USING (a, b, chrom1, coord1, clip1, chrom2, coord2, clip2, p)) x WHERE rid IS NOT NULL GROUP BY a, b, rid),
+rl AS (SELECT a, b, count(*) AS k, count(bc) AS bcs, string_agg(rid || ':' || coalesce(bc, '-'), ',' ORDER BY rid) AS reads FROM rr GROUP BY a, b),
+t AS (SELECT a, b, sum(n)::BIGINT AS n, bool_or(pe) AS pe, min(p) AS p FROM rw GROUP BY a, b)"""
+
+
+def evidence_sources(links):
+    """Links in two sources, each pair of cells with its reads; some reads have no name, some no barcode."""
+    cell = lambda c: F.floor(F.col(c) / 2500000)
+    rows = links.withColumns({"coord1": cell("coord1"), "coord2": cell("coord2"), "p": F.when(F.col("bc") % 3 == 0, 0).otherwise(1)})
+    read = F.struct(F.when(F.col("rid") % 5 > 0, F.col("rid")).alias("rid"), F.when(F.col("bc") % 4 > 0, F.col("bc").cast("string")).alias("bc"))
+    held = rows.groupBy(*breakpoints.PAIR, "p").agg(F.count("*").alias("n"), F.bool_or(F.col("rid") % 11 == 0).alias("pe"), F.collect_list(read).alias("reads")).withColumns({"offset": F.lit(0), "seq": F.lit(""), "source": F.concat(F.lit("s"), "p")})
+    return [held.where(F.col("p") == k).drop("p") for k in (0, 1)]
+
+
+@query("merged_pairs", "links", also=MERGED, sql="SELECT a[1] AS chrom1, a[2] AS coord1, a[3] AS clip1, b[1] AS chrom2, b[2] AS coord2, b[3] AS clip2, coalesce(k, t.n) AS n, pe, 's' || p AS source, coalesce(reads, '') AS reads, CASE WHEN coalesce(bcs, 0) > 0 THEN k ELSE 0 END AS barcodes FROM t LEFT JOIN rl USING (a, b)")
+def _(links):
+    """Evidence of two sources as one: each read once, with its first barcode."""
+    out = breakpoints.merge_pairs(*evidence_sources(links))
+    said = F.array_join(F.transform("reads", lambda r: F.concat(r["rid"].cast("string"), F.lit(":"), F.coalesce(r["bc"], F.lit("-")))), ",")
+    return out.select(*breakpoints.PAIR, "n", "pe", "source", said.alias("reads"), F.size(breakpoints.barcodes_of(F.col("reads"))).cast("long").alias("barcodes"))
+
+
+PAIRED = """im AS (SELECT chrom, start, stop, rid::VARCHAR AS qname FROM reads WHERE NOT dup),
+st AS (SELECT DISTINCT chrom, coord, clip, CASE WHEN clip = 'L' THEN coord ELSE greatest(coord - 100000, 0) END AS lo, CASE WHEN clip = 'L' THEN coord + 100000 ELSE coord END AS hi FROM sites WHERE n >= 2),
+mt AS (SELECT s.*, qname FROM st s JOIN im i ON i.chrom = s.chrom AND i.start < s.hi AND s.lo < i.stop AND s.lo < s.hi),
+mk AS (SELECT * FROM mt WHERE (chrom, coord, clip) IN (SELECT (chrom, coord, clip) FROM mt GROUP BY chrom, coord, clip HAVING count(*) >= 2)),
+ot AS (SELECT DISTINCT chrom, coord, clip, qname FROM mk)"""
+
+
+@query("paired_ends", "sites", "reads", also=PAIRED, sql="SELECT a.chrom AS chrom1, a.coord AS coord1, a.clip AS clip1, b.chrom AS chrom2, b.coord AS coord2, b.clip AS clip2, count(*) AS n, count(DISTINCT a.qname) AS names FROM mk a JOIN ot b ON a.qname = b.qname AND (a.chrom, a.coord, a.clip) < (b.chrom, b.coord, b.clip) AND (a.chrom <> b.chrom OR abs(a.coord - b.coord) >= 100000) GROUP BY a.chrom, a.coord, a.clip, b.chrom, b.coord, b.clip HAVING count(*) >= 2")
+def _(sites, df):
+    """Sites that share reads of no proper pair in the 100 kb inside them."""
+    reads = df.where("not dup").select("chrom", "start", "stop", F.col("rid").cast("string").alias("qname"), F.col("bc").cast("string").alias("cb"), F.lit(1).alias("flag"))
+    out = breakpoints.paired_ends(sites.where("n >= 2"), reads, 100_000)
+    return out.select(*breakpoints.PAIR, "n", F.array_size(F.array_distinct(F.transform("reads", lambda r: r["rid"]))).cast("long").alias("names"))
+
+
 DRAWN = """sz AS (SELECT chrom, max(stop)::BIGINT AS length FROM reads GROUP BY chrom),
 bs AS (SELECT *, sum(length) OVER (ORDER BY chrom) - length AS before, sum(length) OVER () AS total FROM sz),
 dr AS (SELECT i, ('0x' || substr(md5('7:' || i), 1, 12))::BIGINT / 281474976710656.0 AS u FROM range(2000) r(i)),

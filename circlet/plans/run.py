@@ -89,22 +89,27 @@ def _clean(sites: DataFrame, good: DataFrame, p: Parameters) -> DataFrame:
     return reads.depth_at(sites, good, p.clean_share).where("clean")
 
 
-def _pairs(junctions: DataFrame, sites: DataFrame, edges: DataFrame, good: DataFrame, p: Parameters) -> DataFrame:
-    """Pairs (chrom1..clip2, n, offset, seq, pe, source) of split reads, those found by sequence among the sites, and discordant edges.
+def _pairs(junctions: DataFrame, sites: DataFrame, edges: DataFrame, amp: DataFrame, good: DataFrame, p: Parameters) -> DataFrame:
+    """Pairs (chrom1..clip2, n, offset, seq, pe, source, reads) of all evidence, each two ends once: split reads and what sequence shows among the sites (split), read pairs that boundaries of amplified sequence share (pe), and discordant edges (ds).
 
-    Clips of both ends add to what split reads count. Close pairs are one. Edges
-    go to the strongest pair beside them and mark it (pe); the others are pairs of
-    their own (ds).
+    Clips of both ends add to what split reads count, and close pairs are one.
+    Edges go to the strongest pair beside them and mark it. A pair counts the
+    reads of all its evidence, each once.
     """
     split = pairing.recount(junctions.select(*PAIR, "n", "offset", "seq", "reads"), good, method=p.match)
     by_seq = pairing.pairs_by_sequence(sites.select(*WHERE), good, junctions, seed=p.seed, method=p.match)
     both = stage(split.unionByName(by_seq), "matched")
-    pairs = stage(pairing.merged(both, p.merge).drop("rids"), "merged")
-    to = breakpoints.snap_two_ended(edges, pairs.select(*PAIR, "n"), p.snap)
-    marks = singlecell.canonical(to.where("snapped").select("chrom1", F.col("to1").alias("coord1"), "clip1", "chrom2", F.col("to2").alias("coord2"), "clip2")).distinct().withColumn("pe", F.lit(True))
-    known = singlecell.canonical(pairs).join(marks, PAIR, "left").withColumns({"pe": F.coalesce("pe", F.lit(False)), "source": F.lit("split")})
-    alone = to.where("not snapped").select(*PAIR, F.col("support").alias("n"), F.lit(0).alias("offset"), F.lit("").alias("seq"), F.lit(True).alias("pe"), F.lit("ds").alias("source"))
-    return known.unionByName(singlecell.canonical(alone))
+    found = stage(pairing.merged(both, p.merge), "merged")
+    code = good.where("cb is not null").groupBy(F.xxhash64("qname").alias("rid")).agg(F.min("cb").alias("bc"))
+    named = found.select(*PAIR, F.explode("rids").alias("rid")).distinct().join(code, "rid", "left").groupBy(*PAIR).agg(F.collect_list(F.struct("rid", "bc")).alias("reads"))
+    own = found.drop("rids").join(named, PAIR).withColumns({"pe": F.lit(False), "source": F.lit("split")})
+    ends = amp.select("chrom", F.col("start").alias("coord"), F.lit("L").alias("clip")).union(amp.select("chrom", "stop", F.lit("R")))
+    said = {"offset": F.lit(0), "seq": F.lit(""), "pe": F.lit(True)}
+    shared = breakpoints.paired_ends(ends, good, p.shortest, p.least_pairs).withColumns(said | {"source": F.lit("pe")})
+    to = breakpoints.snap_two_ended(edges, found.select(*PAIR, "n"), p.snap)
+    snapped = to.select(F.col("chrom1"), F.col("to1").alias("coord1"), "clip1", "chrom2", F.col("to2").alias("coord2"), "clip2", F.col("support").alias("n"))
+    alone = snapped.withColumns(said | {"source": F.lit("ds"), "reads": F.array().cast(shared.schema["reads"].dataType)})
+    return breakpoints.merge_pairs(own, shared, alone)
 
 
 def _segments(v: DataFrame, pairs: DataFrame, amp: DataFrame, cn: DataFrame, sites: DataFrame, p: Parameters) -> DataFrame:
@@ -186,10 +191,10 @@ def de_novo(alignments: DataFrame, path: str, p: Parameters = Parameters(), bias
     split = st.step("junctions", junctions, ("reads", "mended", "input:listed"), ("width",))
 
     def paired() -> DataFrame:
-        rows = _pairs(split, sites, edges, good, p).withColumn("id", F.xxhash64(*PAIR))
+        rows = _pairs(split, sites, edges, amp, good, p).withColumn("id", F.xxhash64(*PAIR))
         return refine.snap_ds_pairs(rows, amp, cn, clips).drop("id")
 
-    pairs = st.step("pairs", paired, ("junctions", "sites", "mended", "clips", "reads", "bins"), ("match", "seed", "merge", "snap"))
+    pairs = st.step("pairs", paired, ("junctions", "sites", "mended", "clips", "reads", "bins"), ("match", "seed", "merge", "snap", "shortest", "least_pairs"))
 
     def kept_pairs() -> DataFrame:
         level = segmentation.support_threshold(pairs.where("source <> 'ds'")) if pairs.count() >= p.estimate_from else None

@@ -42,7 +42,7 @@ def test_de_novo(spark, ring, tmp_path):
     amp = found["amplified"].collect()
     assert any(abs(r.start - 400_000) <= 20_000 and abs(r.stop - 700_000) <= 20_000 for r in amp)
     (pair,) = found["pairs"].collect()
-    assert (pair.coord1, pair.clip1, pair.coord2, pair.clip2, pair.n, pair.offset) == (400_000, "L", 699_999, "R", 16, 0)  # eight reads, on both sides
+    assert (pair.coord1, pair.clip1, pair.coord2, pair.clip2, pair.n, pair.offset) == (400_000, "L", 699_999, "R", 8, 0)
     assert pair.seq == LEFT + RIGHT and pair.source == "split"
     rings = found["rings"].collect()
     assert [(r.start, r.stop) for r in rings] == [(400_000, 699_999)] and found["scores"].first().score > 0
@@ -111,8 +111,9 @@ def test_planted_ring_is_found(found):
     pairs = {((r.chrom1, r.coord1, r.clip1), (r.chrom2, r.coord2, r.clip2)): r for r in out["pairs"].collect()}
     assert set(pairs) == {(("chr1", 699_999, "R"), ("chr2", 1_000_000, "L")), (("chr1", 400_000, "L"), ("chr2", 1_299_999, "R"))}
     split, seq = pairs[("chr1", 699_999, "R"), ("chr2", 1_000_000, "L")], pairs[("chr1", 400_000, "L"), ("chr2", 1_299_999, "R")]
-    assert (split.n, split.offset, split.pe) == (18, 0, False)  # each split read counts on both sides
-    assert (seq.n, seq.offset, seq.pe) == (14, 0, True)  # found by sequence, and read pairs agree
+    assert (split.n, split.offset, split.pe, split.source) == (9, 0, True, "split")  # each read once
+    assert (seq.n, seq.offset, seq.pe, seq.source) == (21, 0, True, "split")  # seven clips at each end found by sequence, and seven read pairs
+    assert {r.bc for r in split.reads} == {"cell1"}
     assert spans(out["rings"]) == RING and {r.truncated for r in out["rings"].collect()} == {False}
     (score,) = out["scores"].collect()
     assert score.segments == 2 and score.score >= 4 and score.genes_num == 2
