@@ -110,6 +110,33 @@ def common_substring(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["a_at", "b_at", "size"], dtype="int32")
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("at", "stop", "edits")]))
+def place_in(read: pd.Series, template: pd.Series) -> pd.DataFrame:
+    """Where a read lies in a template with the fewest edits, both ends of the template being free: from at up to stop. Of equals the first stop, then the last start."""
+    import numpy as np
+
+    def one(x, y):
+        if not x or not y:
+            return 0, 0, len(x or "")
+        letters, steps = np.frombuffer(y.encode("utf-32-le"), "u4"), np.arange(len(y) + 1)
+        cost, start = np.zeros(len(y) + 1, "i4"), steps.copy()
+        for c in np.frombuffer(x.encode("utf-32-le"), "u4"):
+            now, origin = cost + 1, start.copy()  # the letter stands alone
+            side = cost[:-1] + (letters != c)
+            better = (side < now[1:]) | (side == now[1:]) & (start[:-1] > origin[1:])
+            now[1:] = np.where(better, side, now[1:])
+            origin[1:] = np.where(better, start[:-1], origin[1:])
+            # letters of the template left out: the best before each place, the latest start of equals
+            key = (now - steps).astype("i8") * (2 * len(steps)) - origin
+            best = np.minimum.accumulate(key)
+            origin = -best % (2 * len(steps))
+            cost, start = ((best + origin) // (2 * len(steps)) + steps).astype("i4"), origin
+        stop = int(cost.argmin())
+        return int(start[stop]), stop, int(cost[stop])
+
+    return pd.DataFrame([one(x, y) for x, y in zip(read, template)], columns=["at", "stop", "edits"], dtype="int32")
+
+
 @F.pandas_udf(T.IntegerType())
 def fuzzy_find(clip: pd.Series, seq: pd.Series) -> pd.Series:
     """First place in seq where clip matches with at most a tenth of its letters changed; -1: none."""

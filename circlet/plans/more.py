@@ -555,6 +555,16 @@ def _(genes):
     return found.select(*pairing.PAIR, "n", "offset", "seq", F.size("reads").alias("names"))
 
 
+@query("junction_alignments", "genes")
+def _(genes):
+    """Pictures of the genes' junctions with their reads."""
+    reads = junction_reads(genes)
+    sites = reads.select("chrom", "coord", "clip")
+    pairs = pairing.match(pairing.seeded(pairing.assemble(sites, reads)))
+    drawn = pairing.junction_alignments(pairs, reads, 50)
+    return drawn.select(*pairing.PAIR, F.array_join("lines", "\n").alias("lines"))
+
+
 def catalog_query(name: str):
     """A registered query."""
     return QUERIES[name]

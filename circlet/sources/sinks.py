@@ -21,6 +21,15 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
     return path
 
 
+def write_pictures(drawn: DataFrame, path: str) -> str:
+    """The lines of each picture (ends, lines) as text, below a line that names its ends."""
+    names = [c for c in drawn.columns if c != "lines"]
+    head = F.concat(F.lit(">"), F.concat_ws("\t", *[F.col(c).cast("string") for c in names]))
+    rows = drawn.select(*names, F.posexplode(F.concat(F.array(head), "lines", F.array(F.lit("")))).alias("at", "line"))
+    rows.orderBy(*names, "at").select("line").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def write_bedgraph(track: DataFrame, path: str) -> str:
     return write_table(track.select("chrom", "start", "stop", "value").orderBy("chrom", "start"), path, header=False)
 

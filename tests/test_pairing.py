@@ -4,9 +4,11 @@ import collections
 import difflib
 import itertools
 import os
+import random
 
 import pytest
 
+from circlet.functions.text import place_in
 from circlet.operators import pairing, splitreads
 from circlet.plans import more
 from circlet.plans.adapters import load
@@ -155,3 +157,54 @@ def test_recount_and_merge(spark):
     assert got == {1000: (5, ["1/0", "1/1", "2/0", "2/1"]), 1001: (6, ["2/0", "2/1", "y", "z"])}  # reads counted before count for both sides; a letter aside the clips of the other end still fit
     (one,) = pairing.merged(pairing.recount(known, reads)).collect()
     assert (one.coord1, one.n, len(one.rids), one.offset, one.seq) == (1001, 11, 8, 0, "x")
+
+
+def plain_place(read, template):
+    """(start, stop, edits) of the read in the template by a whole table: fewest edits, then the first stop, then the last start."""
+    table = [[(0, -j) for j in range(len(template) + 1)]]
+    for i, c in enumerate(read, 1):
+        row = [(i, 0)]
+        for j, d in enumerate(template, 1):
+            ways = (table[-1][j][0] + 1, table[-1][j][1]), (row[-1][0] + 1, row[-1][1]), (table[-1][j - 1][0] + (c != d), table[-1][j - 1][1])
+            row.append(min(ways))
+        table.append(row)
+    stop = min(range(len(template) + 1), key=lambda j: (table[-1][j][0], j))
+    return -table[-1][stop][1], stop, table[-1][stop][0]
+
+
+def test_placing_reads(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = [("", "ACG"), ("ACG", ""), ("A", "T"), ("ACGT", "ACGT"), ("ACGT", "TTACGTTT"), ("ACGT", "ACT"), ("AAAA", "AATAATAA")]
+    for _ in range(60):
+        t = word(rng.randrange(1, 40))
+        a = rng.randrange(len(t))
+        r = list(t[a : a + rng.randrange(1, 25)])
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(r) + 1)
+            r[k : k + rng.randrange(2)] = word(rng.randrange(3))
+        rows.append(("".join(r), t))
+    got = [tuple(r.p) for r in spark.createDataFrame(rows, "a string, b string").select(place_in("a", "b").alias("p")).collect()]
+    assert got == [plain_place(a, b) if a and b else (0, 0, len(a)) for a, b in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_alignments_equal_plain_python(spark):
+    reads = more.junction_reads(load(spark, SF, "genes")).collect()
+    sites, _ = plain_assembly(reads, 50)
+    got = {tuple(r)[:6]: r.lines.split("\n") for r in more.catalog_query("junction_alignments")(spark, SF).collect()}
+    offsets = {p[:6]: p[7] for p in plain_pairs(reads)}
+    assert set(offsets) <= set(got)
+    for pair, offset in offsets.items():
+        one, two = sites[pair[:3]][0], sites[pair[3:]][0]  # from the break inward
+        first = one[::-1] if pair[2] == "R" else rc(one)
+        second = two if pair[5] == "L" else rc(two[::-1])
+        template = first + "N" * max(offset, 0) + second[max(-offset, 0) :]
+        lines = []
+        for r in reads:
+            for k, side in ((0, "R"), (3, "L")):
+                if (r.chrom, r.coord, r.clip) == pair[k : k + 3]:
+                    seq = r.seq if r.clip == side else rc(r.seq)
+                    at, _, edits = plain_place(seq, template)
+                    lines.append((at, r.qname, seq, f"{' ' * at}{seq}  {r.qname} {edits}"))
+        assert got[pair] == [template, *(x[-1] for x in sorted(set(lines)))]

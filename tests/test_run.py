@@ -189,6 +189,8 @@ def test_command_line(spark, ring, tmp_path):
     (tmp_path / "known.tsv").write_text("AmpliconID\tChrom\tStart\tEnd\tStrand\nk\tchr1\t400050\t699950\t+\n")
     (tmp_path / "regions.bed").write_text("chr1\t390000\t710000\n")
     cli.main(["denovo", "--input", str(tmp_path / "reads"), "--output", str(tmp_path / "out"), "--genes", str(tmp_path / "genes.bed"), "--least-score", "0"])
+    picture = next((tmp_path / "out" / "alignments").glob("*.txt")).read_text().splitlines()
+    assert picture[0] == ">chr1\t400000\tL\tchr1\t699999\tR" and len(picture) == 2 + 16 + 1 and picture[-1] == ""  # both alignments of eight reads
     assert "g1" in (next((tmp_path / "out" / "annotated").glob("*.csv"))).read_text()
     for command, table in (("search", "concordance"), ("extract", "junctions"), ("evidence", "evidence"), ("classify", "concordance")):
         cli.main([command, "--input", f"{tmp_path / 'reads'}", "--known", str(tmp_path / "known.tsv"), "--output", str(tmp_path / command)])
