@@ -217,7 +217,7 @@ def remap_axis(points: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def pack_rows(features: DataFrame, gap: int = 0) -> DataFrame:
-    """features (chrom, start, stop, name) with the first row in which they overlap none before."""
+    """features (chrom, start, stop, name) with the first row in which they overlap none before. Where all rows are free again a new group begins."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "stop", "name"])
@@ -229,7 +229,8 @@ def pack_rows(features: DataFrame, gap: int = 0) -> DataFrame:
             placed.append(k)
         return rows.assign(row=placed)
 
-    return features.select("chrom", "start", "stop", "name").groupBy("chrom").applyInPandas(run, "chrom string, start long, stop long, name string, row long")
+    apart = islands(features.select("chrom", "start", "stop", "name"), gap, ["chrom"])
+    return apart.groupBy("chrom", "island").applyInPandas(lambda rows: run(rows.drop(columns="island")), "chrom string, start long, stop long, name string, row long")
 
 
 def merge_rois(rois: DataFrame, width: int = 10_000, share: float = 0.3) -> DataFrame:

@@ -463,10 +463,10 @@ def _(sites, segments):
 def _(segments, links):
     pairs = breakpoints.count_links(links).drop("rids")
     v = pairs.select(F.col("chrom1").alias("chrom"), F.col("coord1").alias("coord"), F.col("clip1").alias("clip")).union(pairs.select("chrom2", "coord2", "clip2")).union(segments.select("chrom", "start", F.lit("L"))).union(segments.select("chrom", "stop", F.lit("R"))).distinct()
-    v = v.withColumn("id", F.row_number().over(Window.orderBy("chrom", "coord", "clip")).cast("long"))
-    edges = graph.graph_edges(v, pairs, segments)
-    name = v.select("id", F.concat("chrom", F.lit(":"), F.col("coord").cast("string"), "clip").alias("name"))
-    return edges.join(name.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "kind", "weight")
+    # a vertex is its own id, which orders as its number would
+    edges = graph.graph_edges(v.withColumn("id", F.struct("chrom", "coord", "clip")), pairs, segments)
+    name = lambda k: F.concat(F.col(f"{k}.chrom"), F.lit(":"), F.col(f"{k}.coord").cast("string"), F.col(f"{k}.clip")).alias(k)
+    return edges.select(name("a"), name("b"), "kind", "weight")
 
 
 def ring_graph(rings: DataFrame):
