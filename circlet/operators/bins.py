@@ -103,6 +103,13 @@ def fill_linear(df: DataFrame, value: str = "n", by: tuple[str, ...] = ()) -> Da
     return df.withColumn("filled", F.coalesce(value, F.when(F.col("_a").isNull(), None).otherwise(F.coalesce(line, F.col("_a"))))).drop("_i", "_k", "_a", "_ai", "_b", "_bi")
 
 
+def robust_copy_number(reads: DataFrame, width: int = 10_000, sub: int = 100, q: float = 0.5, reach: int = 10, passes: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """chrom, coord, n, cn of bins that spikes don't lift: counts of sub-bins, the outliers among these masked in passes, the q-quantile of each bin's sub-bins, and bins without any filled between their neighbours; cn is twice n over its mean."""
+    counts = mask_upper(bin_counts(reads, sub, by), reach=reach, passes=passes, by=by)
+    held = counts.groupBy(*by, "chrom", bin_start(F.col("coord"), width).alias("coord")).agg(F.percentile("n", q).alias("n"))
+    return copy_number(fill_linear(held, by=by).select(*by, "chrom", "coord", F.col("filled").alias("n")), by)
+
+
 def runs_above(bins: DataFrame, cut: float, width: int = 10_000, bridge: int = 0, drop_single: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Runs of bins with cn above the cut, over gaps of at most bridge bins."""
     w = along(by)

@@ -170,6 +170,19 @@ def _(df):
     return bins.fill_linear(x).select("chrom", "coord", F.round("filled", 6).alias("filled"))
 
 
+ROBUST = f"m0 AS (SELECT chrom, cast(floor(start / 2000.0) as bigint) * 2000 AS coord, count(*)::DOUBLE AS n FROM reads WHERE {PASS} GROUP BY ALL)" + "".join(f",\nm{k} AS (SELECT chrom, coord, CASE WHEN n > avg(n) {NEAR_W} + 2 * stddev_samp(n) {NEAR_W} + 1e-9 THEN NULL ELSE n END AS n FROM m{k - 1})" for k in (1, 2)) + """,
+h AS (SELECT chrom, cast(floor(coord / 20000.0) as bigint) * 20000 AS coord, quantile_cont(n, 0.7) AS n FROM m2 GROUP BY ALL),
+k AS (SELECT *, CASE WHEN n IS NOT NULL THEN i END AS k FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY coord) AS i FROM h) x),
+f AS (SELECT chrom, coord, i, n, last_value(n IGNORE NULLS) OVER a AS a, last_value(k IGNORE NULLS) OVER a AS ai, first_value(n IGNORE NULLS) OVER b AS b, first_value(k IGNORE NULLS) OVER b AS bi FROM k
+ WINDOW a AS (PARTITION BY chrom ORDER BY coord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY chrom ORDER BY coord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+y AS (SELECT chrom, coord, coalesce(n, CASE WHEN a IS NULL THEN NULL WHEN b IS NULL THEN a ELSE a + (b - a) * (i - ai) * 1.0 / nullif(bi - ai, 0) END) AS n FROM f)"""
+
+
+@query("robust_copy_number", "reads", also=ROBUST, sql="SELECT chrom, coord, round(n, 6) AS n, round(2 * n / (SELECT avg(n) FROM y), 6) AS cn FROM y")
+def _(df):
+    return bins.robust_copy_number(reads.passing(df), 20_000, 2_000, 0.7, passes=2).withColumns(r6("n", "cn"))
+
+
 @query("runs_above", "reads", also=BINS + ",\nh AS (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY chrom ORDER BY coord) <= 30000 THEN 0 ELSE 1 END AS k FROM bins WHERE cn > 3),\ng AS (SELECT *, sum(k) OVER (PARTITION BY chrom ORDER BY coord) AS g FROM h)", sql="SELECT chrom, min(coord) AS start, max(coord) + 10000 AS stop, count(*) AS bins, round(avg(cn), 6) AS cn FROM g GROUP BY chrom, g HAVING count(*) > 1")
 def _(df):
     return bins.runs_above(bins_of(df), 3.0, bridge=2, drop_single=True).withColumns(r6("cn"))
