@@ -4,7 +4,7 @@ Sequences that many reads of many samples share are artefacts of mapping or of
 the library, not breakpoints; a search for breakpoints leaves them out. Each run
 takes only files that no earlier run took: the stream's checkpoint says which.
 
-    spark-submit jobs/clip_panel.py --input PATH --output PATH [--config FILE]
+    PYTHONPATH=. spark-submit jobs/clip_panel.py --input PATH --output PATH [--config FILE]
 
 Input: Parquet with the columns that the config names (sample, sequence text of
 one or more lines). Lines are cut into pieces of ``width`` letters, in upper

@@ -1,6 +1,6 @@
 """Copy number and amplified regions of each sample, with the genes on them.
 
-    spark-submit jobs/sample_amplification.py --reads PATH --genes PATH --output PATH [--config FILE] [--samples A,B]
+    PYTHONPATH=. spark-submit jobs/sample_amplification.py --reads PATH --genes PATH --output PATH [--config FILE] [--samples A,B]
 
 Reads that pass are counted in bins of ``width`` for each sample; the copy number
 of a bin is twice its count over the mean of its own sample's occupied bins. Runs
@@ -9,7 +9,8 @@ regions. The config says, as SQL expressions, how the columns of reads and genes
 are read; rows without a sample are those of ``unknown``.
 
 Output, partitioned by sample: ``bins`` (chrom, coord, n, cn) and ``amplified``
-(chrom, start, stop, bins, cn, genes). A run replaces the partitions of the
+(chrom, start, stop, bins, cn, genes; a sample without regions has one row
+without a chromosome, so that it is known to have been run). A run replaces the partitions of the
 samples that it computes, and no others, so some samples can be run again
 (--samples) and a run that failed is simply repeated.
 """
@@ -76,6 +77,8 @@ def run(spark: SparkSession, reads_path: str, genes_path: str, output: str, conf
     cn = spark.read.schema(BINS).parquet(f"{output}/bins")
     if samples is not None:
         cn = cn.where(F.col("sample").isin(samples))
+    for r in cn.groupBy("sample").agg(F.sum("n").alias("reads"), F.count("*").alias("bins")).orderBy("sample").limit(1_000).collect():
+        log.info("sample %s: %s sound reads in %s bins", r.sample, r.reads, r.bins)
     regions = amplified(cn, genes, config)
     # A sample that has bins and no regions keeps its place with a row without a chromosome, so that what an earlier run wrote there goes.
     none = cn.select("sample").distinct().join(regions, "sample", "left_anti")
