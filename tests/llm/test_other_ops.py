@@ -186,7 +186,7 @@ def test_html_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
     rows = lambda f: sorted(str([None if x is pd.NA or x != x else x for x in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
@@ -195,9 +195,10 @@ def test_sql(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_every_query_covers_its_table(spark):
-    tables = {"op6": "embeddings", "op7": "pages", "op10": "pages"}
+    tables = {"op6": "embeddings", "op7": "pages", "op10": "pages", "op11": "conversations"}
     for name, f in queries.QUERIES.items():
-        n = spark.read.parquet(f"{SF}/{tables.get(name.split('_')[0], 'documents')}.parquet").count()
+        rows = spark.read.parquet(f"{SF}/{tables.get(name.split('_')[0], 'documents')}.parquet")
+        n = rows.select("conv_id").distinct().count() if "conv_id" in rows.columns else rows.count()
         assert f(spark, SF).count() >= n
 
 
