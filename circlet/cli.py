@@ -62,6 +62,7 @@ def main(args: list[str] | None = None) -> None:
         found = {"concordance": targeted(known, rows, p) if a.command == "search" else classify(extract(known), pairs, p)}
     if "alignments" in found:
         sinks.write_pictures(found["alignments"], f"{a.output}/alignments")
+        sinks.write_bedgraph(found["track"], f"{a.output}/clips.bedgraph")
     for name in (*WRITTEN, "junctions", "evidence"):
         if name in found:
             write(found[name], name)

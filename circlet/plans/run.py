@@ -235,6 +235,7 @@ def de_novo(alignments: DataFrame, path: str, p: Parameters = Parameters(), bias
     if genes is not None:
         out["annotated"] = st.step("annotated", lambda: _with_genes(sound, genes, ["ring", "idx"]), ("rings", "scores", "input:genes"))
         out["lines"] = st.step("lines_annotated", lambda: _with_genes(lines, genes, ["line", "idx"]), ("paths", "input:genes"))
+    out["track"] = reads.bedgraph(clips)
     out["alignments"] = pairing.junction_alignments(kept.where("source = 'split'"), good)
     stats = run_stats(reads=good, amplified=amp, sites=sites, pairs=kept, rings=every, lines=lines, truncated=every.where("truncated"))
     return out | singlecell.dedup_audit(picked, every) | {"stats": stats, "made": alignments.sparkSession.createDataFrame([(name,) for name in st.made], "step string")}

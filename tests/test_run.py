@@ -165,7 +165,7 @@ def test_each_filter_has_an_effect(planted, found, step):
         assert out["rings"].count() == 2 and out["scores"].count() == 0
     elif step == "clean sites":
         assert out["sites"].count() == 0
-        assert {r.source for r in out["pairs"].collect()} == {"split", "ds"}  # nothing is found by sequence
+        assert {r.source for r in out["pairs"].collect()} == {"split", "pe"}  # nothing is found by sequence
     else:
         assert out["segments"].count() == 0 and out["rings"].count() == 0
 
@@ -191,6 +191,8 @@ def test_command_line(spark, ring, tmp_path):
     cli.main(["denovo", "--input", str(tmp_path / "reads"), "--output", str(tmp_path / "out"), "--genes", str(tmp_path / "genes.bed"), "--least-score", "0"])
     picture = next((tmp_path / "out" / "alignments").glob("*.txt")).read_text().splitlines()
     assert picture[0] == ">chr1\t400000\tL\tchr1\t699999\tR" and len(picture) == 2 + 16 + 1 and picture[-1] == ""  # both alignments of eight reads
+    track = "".join(f.read_text() for f in sorted((tmp_path / "out" / "clips.bedgraph").glob("*.csv"))).splitlines()
+    assert track == ["chr1\t400000\t400001\t-8", "chr1\t699999\t700000\t8"]
     assert "g1" in (next((tmp_path / "out" / "annotated").glob("*.csv"))).read_text()
     for command, table in (("search", "concordance"), ("extract", "junctions"), ("evidence", "evidence"), ("classify", "concordance")):
         cli.main([command, "--input", f"{tmp_path / 'reads'}", "--known", str(tmp_path / "known.tsv"), "--output", str(tmp_path / command)])
