@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import intervals
+from circlet.operators import cells, intervals
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -45,6 +45,9 @@ def test_copies_of_intervals_make_no_pairs(spark):
     assert rows_of_plan(intervals.unlike(own, listed, "brand"), "Join") <= 400
     assert intervals.clear_of(segments, genes, ["seg"]).agg(F.min("seg"), F.count("*")).first() == (200, 200)
     assert rows_of_plan(intervals.clear_of(segments, genes, ["seg"]), "Join") <= 400
+    reads = genes.select("chrom", "start", "stop", (F.col("gid") % 7).alias("rid"))
+    assert {(r.seg, r.reads) for r in cells.interval_reads(segments, reads).collect()} == {(i, 7) for i in range(200)}
+    assert rows_of_plan(cells.interval_reads(segments, reads), "Join") <= 400
     assert [(r.start, r.stop) for r in intervals.intersections(segments, genes).collect()] == [(10, 20)]
     assert rows_of_plan(intervals.intersections(segments, genes), "Join") <= 400
 
@@ -60,3 +63,25 @@ def test_clear_of_is_padded_at_both_sides(spark):
     assert sorted(r.seg for r in intervals.clear_of(a, b, ["seg"], pad=2).collect()) == [1, 3]
     assert [r.seg for r in intervals.overlapping(a, b, ["seg"], pad=2).collect()] == [2]
 
+
+def test_segments_of_several_intervals_are_classes(spark):
+    segments = spark.createDataFrame([(1, "c", 0, 10), (1, "c", 20, 30), (2, "c", 20, 30), (2, "c", 0, 10), (3, "c", 0, 10)], SPANS)
+    frags = spark.createDataFrame([(7, "c", 5, 25, 2), (7, "c", 1, 2, 1), (8, "c", 50, 60, 1)], "cell int, chrom string, start long, stop long, n long")
+    assert {tuple(r) for r in cells.fragment_counts(frags, segments).collect()} == {(7, 1, 5), (7, 2, 5), (7, 3, 3)}
+    rings = segments.withColumn("ring", F.when(F.col("seg") == 3, "b").otherwise("a"))
+    flank = spark.createDataFrame([("a", "c", 22, 24), ("a", "c", 22, 24)], "ring string, chrom string, start long, stop long")
+    inside, outside = cells.ring_counts(frags, rings, flank)
+    assert {tuple(r) for r in inside.collect()} == {(7, "a", 10, 2), (7, "b", 3, 1)}
+    assert [tuple(r) for r in outside.collect()] == [(7, "a", 4)]
+    counts, _ = cells.class_counts(frags, segments)
+    plain = cells.fragment_counts(frags, segments)
+    own = lambda c: [(r.cell, round(r.cosine, 9)) for r in cells.profile_cosine(c, c.groupBy("seg").agg(F.sum("n").alias("n"))).collect()]
+    assert own(counts) == own(plain)
+
+
+def test_copies_of_segments_are_counted_once_by_cell(spark):
+    segments, genes = copies(spark)
+    frags = genes.select((F.col("gid") % 2).alias("cell"), "chrom", "start", "stop", F.lit(1).cast("long").alias("n"))
+    assert cells.fragment_counts(frags, segments).count() == 400
+    counts, _ = cells.class_counts(frags, segments)
+    assert rows_of_plan(counts, "Join") <= 400
