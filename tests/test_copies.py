@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import cells, intervals
+from circlet.operators import cells, graph, intervals
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -85,3 +85,31 @@ def test_copies_of_segments_are_counted_once_by_cell(spark):
     assert cells.fragment_counts(frags, segments).count() == 400
     counts, _ = cells.class_counts(frags, segments)
     assert rows_of_plan(counts, "Join") <= 400
+
+
+def test_components_share_a_batch(spark):
+    """Many small components are one call of Python, not one each; big ones go over batches."""
+    edges = spark.range(500).select(F.explode(F.array(*[F.struct((F.col("id") * 10 + a).alias("a"), (F.col("id") * 10 + b).alias("b"), F.lit(k).alias("kind"), F.lit(1.0).alias("weight")) for a, b, k in ((0, 1, "inner"), (1, 2, "outer"), (2, 3, "inner"), (0, 3, "outer"))])).alias("e")).select("e.*")
+    components = spark.range(5000).select(F.col("id").alias("node"), (F.floor(F.col("id") / 10) * 10).alias("component"))
+    paths = graph.find_paths(edges, components)
+    assert "FlatMapGroupsInPandas" not in paths._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.component, r.kind, tuple(r.path), r.truncated) for r in paths.where("kind = 'ring'").collect()) == [(10 * i, "ring", (10 * i, 10 * i + 1, 10 * i + 2, 10 * i + 3), False) for i in range(500)]
+    vertices = spark.range(5000).select("id", F.lit("c").alias("chrom"))
+    chosen = graph.representatives(paths, edges, vertices)
+    assert chosen.where("kind = 'ring'").count() == 500 and "FlatMapGroupsInPandas" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_take_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm of a ring or chain, whatever the order of its nodes."""
+    rounds = []
+    plain = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    for name, node in (("mixed", lambda x: F.pmod(x * 7919 + 13, F.lit(64))), ("sorted", lambda x: x)):
+        rounds.clear()
+        edges = spark.range(64).select(node(F.col("id")).alias("a"), node(F.pmod(F.col("id") + 1, F.lit(64))).alias("b")).union(spark.createDataFrame([(100, 100)], "a long, b long"))
+        got = {r.node: r.component for r in graph.label_components(edges).collect()}
+        assert got == dict.fromkeys(range(64), 0) | {100: 100}
+        assert len(rounds) <= 9, name
+    line = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rounds.clear()
+    assert graph.label_components(line).where("component <> 0").isEmpty() and len(rounds) <= 10
