@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import cells, graph, intervals
+from circlet.operators import cells, graph, intervals, velocity
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -113,3 +113,29 @@ def test_labels_take_few_rounds(spark, monkeypatch):
     line = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rounds.clear()
     assert graph.label_components(line).where("component <> 0").isEmpty() and len(rounds) <= 10
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """No row is made for a pair of vectors before the nearest are chosen; ties go by id; slices and blocks change nothing."""
+    monkeypatch.setattr(velocity, "QUERY_BYTES", 200)
+    monkeypatch.setattr(velocity, "QUERIES", 3)
+    monkeypatch.setattr(velocity, "POINTS", 7)
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [float("nan"), 0.0])]
+    p = spark.createDataFrame(rows, "id long, vec array<double>")
+    near = velocity.nearest(p.where("id < 9"), p, k=4)
+    got = sorted((r.q, r["rank"], r.id, r.d) for r in near.collect())
+    want = []
+    for q in range(9):
+        d = sorted(((sum((x - y) ** 2 for x, y in zip(rows[q][1], v))), i) for i, v in rows[:60] if i != q)[:4]
+        want += [(q, k + 1, i, x) for k, (x, i) in enumerate(d)]
+    assert got == want
+    assert rows_of_plan(near, "Join") <= 300
+
+
+def test_ranks_of_all_pairs_equal_those_of_listed_ones(spark):
+    rows = [(i, [float((i * k) % 7) for k in range(1, 6)], [float((i + k * k) % 4) for k in range(1, 6)]) for i in range(30)]
+    cells_ = spark.createDataFrame(rows, "id long, e array<double>, v array<double>")
+    asked = cells_.where("id % 10 = 0")
+    pairs = asked.select(F.col("id").alias("a")).crossJoin(cells_.select(F.col("id").alias("b")))
+    one = lambda df: sorted((r.a, r.b, None if r.r is None else round(r.r, 9)) for r in df.collect())
+    assert one(velocity.rank_correlation(asked, cells_)) == one(velocity.delta_correlation(cells_, pairs, "rank"))
