@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import cells, graph, intervals, velocity
+from circlet.operators import cells, evidence, graph, intervals, velocity
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -139,3 +139,21 @@ def test_ranks_of_all_pairs_equal_those_of_listed_ones(spark):
     pairs = asked.select(F.col("id").alias("a")).crossJoin(cells_.select(F.col("id").alias("b")))
     one = lambda df: sorted((r.a, r.b, None if r.r is None else round(r.r, 9)) for r in df.collect())
     assert one(velocity.rank_correlation(asked, cells_)) == one(velocity.delta_correlation(cells_, pairs, "rank"))
+
+
+def test_junctions_of_the_same_ends_are_shown_once(spark):
+    """Copies of a junction and reads of it make no pairs until members are joined."""
+    junctions = spark.createDataFrame([(f"j{i:03}", "c", 100, "R", "d", 500, "L") for i in range(200)] + [("k", "c", 100, "R", "d", 9000, "L")], "junction string, chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string")
+    reads = spark.createDataFrame([(f"q{i}", "c", 21, 101, "80M20S", 0, "d,501,+,20S80M,60,0;", str(i % 4)) for i in range(200)] + [("s", "c", 50, 150, "100M", 0, None, "0")], "qname string, chrom string, start long, stop long, cigar string, nm int, sa string, cb string")
+    got = evidence.junction_matrix(reads, junctions)
+    assert {(r.junction, r.cell): (r.split_SA, r.single_clip, r.normal_spanning) for r in got.collect()} == {(f"j{i:03}", c): (50, 0, int(c == "0")) for i in range(200) for c in "0123"} | {("k", c): (0, 50, int(c == "0")) for c in "0123"}
+    assert rows_of_plan(evidence.junction_matrix(reads, junctions), "Join") <= 1000
+    assert {r.kind: (r.reads, r.junctions) for r in evidence.kinds_shown(reads, junctions).collect()} == {"split_SA": (40_000, 200), "single_clip": (200, 1), "normal_spanning": (201, 201)}
+    assert rows_of_plan(evidence.kinds_shown(reads, junctions), "Join") <= 1000
+    assert evidence.junction_evidence(reads, junctions).count() == 201 * 201
+
+
+def test_a_junction_of_several_rows_is_one(spark):
+    junctions = spark.createDataFrame([("a", "c", 100, "R", None, None, None), ("a", "c", 900, "R", "d", 500, "L"), ("b", "c", 900, "R", "d", 500, "L")], "junction string, chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string")
+    reads = spark.createDataFrame([("q", "c", 21, 101, "80M20S", 0, None, "x"), ("q", "c", 821, 901, "80M20S", 0, "d,501,+,20S80M,60,0;", "w")], "qname string, chrom string, start long, stop long, cigar string, nm int, sa string, cb string")
+    assert sorted(tuple(r) for r in evidence.junction_evidence(reads, junctions).collect()) == [("a", "q", "w", "split_SA"), ("b", "q", "w", "split_SA")]
