@@ -15,7 +15,7 @@ def reverse_complement(s: Column) -> Column:
 
 def normalised_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance in upper case over the longer length."""
-    return F.levenshtein(F.upper(a), F.upper(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return edit_distance(F.upper(a), F.upper(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def first_upper_run(s: Column) -> Column:
@@ -64,26 +64,111 @@ def turn_clip(s: Column, turn: Column) -> Column:
     return F.when(turn.isin("L2R", "R2L"), F.reverse(s)).otherwise(reverse_complement(s))
 
 
+#: Sequences up to this length are compared many pairs at a time, as matrices of letters; longer ones pair by pair.
+LENGTH = 1024
+#: Letters in a matrix, so that it stays in a core's cache.
+LETTERS = 400_000
+#: No letter.
+_NONE = 0xFFFFFFFF
+
+
+def _letters(texts):
+    """Texts as rows of letters, filled up with what equals none; and their lengths."""
+    import numpy as np
+
+    size = np.fromiter(map(len, texts), "i8", len(texts))
+    wide = max(int(size.max()), 1)
+    rows = np.array(texts, f"U{wide}").view("u4").reshape(len(texts), wide)
+    rows[np.arange(wide) >= size[:, None]] = _NONE
+    return rows, size
+
+
+def _blocks(a: pd.Series, b: pd.Series, steps, widest: int = LENGTH):
+    """Places of pairs of texts, neither null nor empty, in blocks by falling length of the side named by steps, the smaller first of equals by the other; then the places of those that are too long. a is at most ``widest``."""
+    import numpy as np
+
+    texts = [a.to_numpy(object), b.to_numpy(object)]
+    size = [np.fromiter((len(x) if isinstance(x, str) else 0 for x in t), "i8", len(t)) for t in texts]
+    some = np.flatnonzero((size[0] > 0) & (size[1] > 0))
+    fit = (size[0][some] <= widest) & (size[1][some] <= LENGTH)
+    good = some[fit]
+    good = good[np.lexsort((size[1 - steps][good], -size[steps][good]))]
+    found, at = [], 0
+    while at < len(good):
+        upto = at + max(1, LETTERS // int(max(size[0][good[at]], size[1][good[at]], 64)))
+        # a row of another length class may be much wider: the block is as wide as its widest
+        part = good[at:upto]
+        wide = int(max(size[0][part].max(), size[1][part].max()))
+        part = part[: max(1, LETTERS // max(wide, 64))]
+        found.append(part)
+        at += len(part)
+    return texts, found, some[~fit]
+
+
+def _edit_steps(x, y):
+    """Edits of each x (at most 64 letters) to the beginnings of its y, bit-parallel: the fewest of all beginnings, and those to the whole of y. Rows come by falling length of y."""
+    import numpy as np
+
+    (p, m), (t, n) = _letters(x), _letters(y)
+    p = np.pad(p, ((0, 0), (0, 64 - p.shape[1])), constant_values=_NONE)
+    up, down = np.full(len(p), 2**64 - 1, "u8"), np.zeros(len(p), "u8")
+    score, top, one = m.copy(), (m - 1).astype("u8"), np.uint64(1)
+    least = score.copy()
+    for j in range(t.shape[1]):
+        k = int(np.searchsorted(-n, -j, "left"))  # rows that have this letter
+        same = np.packbits(p[:k] == t[:k, j, None], axis=1, bitorder="little").view("u8")[:, 0]
+        pv, mv = up[:k], down[:k]
+        xv = same | mv
+        xh = (((same & pv) + pv) ^ pv) | same
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score[:k] += ((ph >> top[:k]) & one).astype("i8") - ((mh >> top[:k]) & one).astype("i8")
+        np.minimum(least[:k], score[:k], out=least[:k])
+        ph, mh = (ph << one) | one, mh << one
+        up[:k], down[:k] = mh | ~(xv | ph), ph & xv
+    return least, score
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance; null with a null."""
+    import numpy as np
+
+    out = np.array([np.nan if x is None or y is None else max(len(x), len(y)) for x, y in zip(a, b)], "f8")
+    texts, blocks, rest = _blocks(a, b, 1, 64)
+    for at in blocks:
+        out[at] = _edit_steps(texts[0][at].tolist(), texts[1][at].tolist())[1]
+    for at in rest:
+        out[at] = _last_row(texts[0][at], texts[1][at])[-1]
+    return pd.Series(out).astype("Int32")
+
+
+def _last_row(x, y):
+    """Edits of x to each beginning of y."""
+    import numpy as np
+
+    letters, steps = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), "u4"), np.arange(len(y) + 1)
+    last = steps
+    for i, c in enumerate(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "u4"), 1):
+        row = np.empty_like(last)
+        row[0] = i
+        row[1:] = np.minimum(last[1:] + 1, last[:-1] + (letters != c))
+        last = np.minimum.accumulate(row - steps) + steps  # insertions from the left
+    return last
+
+
 @F.pandas_udf(T.DoubleType())
 def semi_global_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Fewest edits of a against any part of b that begins at b's start, over the length of a: the minimum of the last row."""
     import numpy as np
 
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        if not x:
-            return 0.0
-        last, letters = np.arange(len(y) + 1), np.array(list(y) or [""])
-        steps = np.arange(len(y) + 1)
-        for i, c in enumerate(x, 1):
-            row = np.empty_like(last)
-            row[0] = i
-            row[1:] = np.minimum(last[1:] + 1, last[:-1] + (letters[: len(y)] != c))
-            last = np.minimum.accumulate(row - steps) + steps  # insertions from the left
-        return float(last.min()) / len(x)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    out = np.array([np.nan if x is None or y is None else float(len(x) > 0) for x, y in zip(a, b)], "f8")
+    texts, blocks, rest = _blocks(a, b, 1, 64)
+    for at in blocks:
+        x = texts[0][at].tolist()
+        out[at] = _edit_steps(x, texts[1][at].tolist())[0] / np.array([len(t) for t in x])
+    for at in rest:
+        out[at] = _last_row(texts[0][at], texts[1][at]).min() / len(texts[0][at])
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a_at", "b_at", "size")]))
@@ -91,23 +176,23 @@ def common_substring(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The longest common substring: its places and size. Of equals the first in a, then in b; of nothing in common (0, 0, 0)."""
     import numpy as np
 
-    def one(x, y):
-        if not x or not y:
-            return 0, 0, 0
-        letters = np.frombuffer(y.encode("utf-32-le"), "u4")
-        runs, best = np.zeros(len(letters), "i4"), (0, 0, 0)
-        for i, c in enumerate(np.frombuffer(x.encode("utf-32-le"), "u4")):
-            runs[1:] = runs[:-1] + 1  # of the letters before, which this one makes longer
-            runs[0] = 1
-            runs *= letters == c
-            j = int(runs.argmax())
-            n = int(runs[j])
+    out = np.zeros((len(a), 3), "i4")
+    texts, blocks, rest = _blocks(a, b, 0)
+    for at in [*blocks, *([k] for k in rest)]:
+        (x, m), (y, _) = _letters(texts[0][at].tolist()), _letters(texts[1][at].tolist())
+        # runs of the letters before, each one place on
+        runs, best = np.zeros((len(x), y.shape[1] + 1), "i2" if y.shape[1] < 2**15 else "i4"), np.zeros((len(x), 3), "i4")
+        for i in range(x.shape[1]):
+            k = int(np.searchsorted(-m, -i, "left"))  # rows that have this letter
+            runs[:k, 1:] = (runs[:k, :-1] + 1) * (y[:k] == x[:k, i, None])
+            longest = runs[:k].max(1)
             # one that ends later is first only if it is longer
-            if n > best[2]:
-                best = i - n + 1, j - n + 1, n
-        return best
-
-    return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["a_at", "b_at", "size"], dtype="int32")
+            more = np.flatnonzero(longest > best[:k, 2])
+            if len(more):
+                n = longest[more]
+                best[more] = np.stack((i - n + 1, runs[more].argmax(1) - n, n), 1)
+        out[at] = best
+    return pd.DataFrame(out, columns=["a_at", "b_at", "size"])
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("at", "stop", "edits")]))
@@ -115,26 +200,26 @@ def place_in(read: pd.Series, template: pd.Series) -> pd.DataFrame:
     """Where a read lies in a template with the fewest edits, both ends of the template being free: from at up to stop. Of equals the first stop, then the last start."""
     import numpy as np
 
-    def one(x, y):
-        if not x or not y:
-            return 0, 0, len(x or "")
-        letters, steps = np.frombuffer(y.encode("utf-32-le"), "u4"), np.arange(len(y) + 1)
-        cost, start = np.zeros(len(y) + 1, "i4"), steps.copy()
-        for c in np.frombuffer(x.encode("utf-32-le"), "u4"):
-            now, origin = cost + 1, start.copy()  # the letter stands alone
-            side = cost[:-1] + (letters != c)
-            better = (side < now[1:]) | (side == now[1:]) & (start[:-1] > origin[1:])
-            now[1:] = np.where(better, side, now[1:])
-            origin[1:] = np.where(better, start[:-1], origin[1:])
-            # letters of the template left out: the best before each place, the latest start of equals
-            key = (now - steps).astype("i8") * (2 * len(steps)) - origin
-            best = np.minimum.accumulate(key)
-            origin = -best % (2 * len(steps))
-            cost, start = ((best + origin) // (2 * len(steps)) + steps).astype("i4"), origin
-        stop = int(cost.argmin())
-        return int(start[stop]), stop, int(cost[stop])
-
-    return pd.DataFrame([one(x, y) for x, y in zip(read, template)], columns=["at", "stop", "edits"], dtype="int32")
+    out = np.array([(0, 0, len(x or "")) for x in read], "i4").reshape(-1, 3)
+    texts, blocks, rest = _blocks(read, template, 0)
+    for at in [*blocks, *([k] for k in rest)]:
+        (x, m), (y, n) = _letters(texts[0][at].tolist()), _letters(texts[1][at].tolist())
+        steps, twice = np.arange(y.shape[1] + 1), 2 * (y.shape[1] + 1)
+        cost, start = np.zeros((len(x), len(steps)), "i8"), np.tile(steps, (len(x), 1))
+        for i in range(x.shape[1]):
+            k = int(np.searchsorted(-m, -i, "left"))  # rows that have this letter
+            # cost and start as one number, the least of which has the latest start: the letter stands alone, or beside one of the template
+            key = (cost[:k] + 1 - steps) * twice - start[:k]
+            side = (cost[:k, :-1] + (y[:k] != x[:k, i, None]) - steps[1:]) * twice - start[:k, :-1]
+            np.minimum(key[:, 1:], side, out=key[:, 1:])
+            # letters of the template left out: the best before each place
+            best = np.minimum.accumulate(key, axis=1)
+            origin = -best % twice
+            cost[:k], start[:k] = (best + origin) // twice + steps, origin
+        cost[steps > n[:, None]] = np.iinfo("i8").max
+        stop, row = cost.argmin(1), np.arange(len(x))
+        out[at] = np.stack((start[row, stop], stop, cost[row, stop]), 1)
+    return pd.DataFrame(out, columns=["at", "stop", "edits"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -142,14 +227,17 @@ def fuzzy_find(clip: pd.Series, seq: pd.Series) -> pd.Series:
     """First place in seq where clip matches with at most a tenth of its letters changed; -1: none."""
     import numpy as np
 
-    def one(x, y):
-        if not x or not y or len(x) > len(y):
-            return -1
-        windows = np.lib.stride_tricks.sliding_window_view(np.array(list(y)), len(x))
-        ok = np.flatnonzero((windows != np.array(list(x))).sum(1) <= 0.1 * len(x))
-        return int(ok[0]) if len(ok) else -1
-
-    return pd.Series([one(x, y) for x, y in zip(clip, seq)], dtype="int32")
+    out = np.full(len(clip), -1, "i4")
+    texts, blocks, rest = _blocks(clip, seq, 0)
+    for at in [*blocks, *([k] for k in rest)]:
+        (x, m), (y, n) = _letters(texts[0][at].tolist()), _letters(texts[1][at].tolist())
+        wrong = np.zeros((len(x), y.shape[1]), "i4")
+        for i in range(min(x.shape[1], y.shape[1])):
+            k = int(np.searchsorted(-m, -i, "left"))  # rows that have this letter
+            wrong[:k, : y.shape[1] - i] += y[:k, i:] != x[:k, i, None]
+        ok = (wrong <= 0.1 * m[:, None]) & (np.arange(y.shape[1]) <= (n - m)[:, None])
+        out[at] = np.where(ok.any(1), ok.argmax(1), -1)
+    return pd.Series(out)
 
 
 def consensus(bases, pos: str = "pos", base: str = "base", by: list[str] = ()):
