@@ -229,7 +229,7 @@ def de_novo(alignments: DataFrame, path: str, p: Parameters = Parameters(), bias
 
     scores = st.step("scores", scored, ("rings", "mended", "bins", "input:genes"), ("width", "least_score"))
     sound = every.join(scores.select("ring"), "ring", "left_semi")
-    picked = st.step("picked", lambda: graph.pick_rings(scores, intervals.reciprocal_overlap(sound, p.copy_overlap), p.copy_overlap), ("rings", "scores"), ("copy_overlap",))
+    picked = st.step("picked", lambda: graph.pick_distinct(scores, sound, p.copy_overlap), ("rings", "scores"), ("copy_overlap",))
     lines = _rings(paths.where("kind = 'line'")).withColumnRenamed("ring", "line")
     out = {"amplified": amp, "sites": sites, "discordant": edges, "pairs": kept, "segments": segments, "rings": every, "lines": lines, "scores": scores, "picked": picked}
     if genes is not None:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import cells, evidence, graph, intervals, velocity
+from circlet.operators import breakpoints, cells, evidence, graph, intervals, velocity
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -157,3 +157,26 @@ def test_a_junction_of_several_rows_is_one(spark):
     junctions = spark.createDataFrame([("a", "c", 100, "R", None, None, None), ("a", "c", 900, "R", "d", 500, "L"), ("b", "c", 900, "R", "d", 500, "L")], "junction string, chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string")
     reads = spark.createDataFrame([("q", "c", 21, 101, "80M20S", 0, None, "x"), ("q", "c", 821, 901, "80M20S", 0, "d,501,+,20S80M,60,0;", "w")], "qname string, chrom string, start long, stop long, cigar string, nm int, sa string, cb string")
     assert sorted(tuple(r) for r in evidence.junction_evidence(reads, junctions).collect()) == [("a", "q", "w", "split_SA"), ("b", "q", "w", "split_SA")]
+
+
+def test_junctions_of_the_same_ends_match_once(spark):
+    ends = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string"
+    junctions = spark.createDataFrame([(f"r{i}", "c", 100, "R", "d", 500, "L") for i in range(200)] * 2, "ring string, " + ends)
+    pairs = spark.createDataFrame([("c", 100 + i, "R", "d", 500, "L", i) for i in range(50)] + [("d", 500, "L", "c", 100, "R", 9)], ends + ", n long")
+    found = breakpoints.match_known(junctions, pairs, 20)
+    assert sorted((r.ring, r.p_coord1, r.p_n) for r in found.collect()) == sorted((f"r{i}", 100 + k, n) for i in range(200) for k, n in [(j, j) for j in range(21)] + [(0, 9)])
+    assert rows_of_plan(found, "Join") == 200 * 22  # the result itself, as members are joined
+
+
+def test_copies_of_rings_are_picked_by_their_best(spark, monkeypatch):
+    """Rings of the same segments make no pairs, and go where pick_rings() sends each."""
+    rows = [(f"r{k}{i:02}", "c", 10_000 * (k // 3) + k % 3, 10_000 * (k // 3) + 1000 + 30 * (k % 3)) for k in range(9) for i in range(20)]
+    rings = spark.createDataFrame(rows, "ring string, chrom string, start long, stop long")
+    scores = spark.createDataFrame([(r[0], float(n * 7919 % 7) if n % 9 else None) for n, r in enumerate(rows)] + [("lone", 1.0)], "ring string, score double")
+    want = sorted(map(str, graph.pick_rings(scores, intervals.reciprocal_overlap(rings, 0.95)).collect()))
+    seen = []
+    plain = graph.pick_rings
+    monkeypatch.setattr(graph, "pick_rings", lambda s, overlaps, above: seen.append(overlaps.count()) or plain(s, overlaps, above))
+    got = graph.pick_distinct(scores, rings)
+    assert sorted(map(str, got.select("ring", "score", "chosen", "role").collect())) == want
+    assert seen[0] <= 9
