@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from circlet.operators import breakpoints, cells, evidence, graph, intervals, velocity
+from circlet.operators import breakpoints, cells, evidence, graph, intervals, singlecell, splitreads, velocity
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -180,3 +180,25 @@ def test_copies_of_rings_are_picked_by_their_best(spark, monkeypatch):
     got = graph.pick_distinct(scores, rings)
     assert sorted(map(str, got.select("ring", "score", "chosen", "role").collect())) == want
     assert seen[0] <= 9
+
+
+def test_chains_of_pairs_share_a_batch(spark):
+    """Chains of close pairs are read in order, and go on from batch to batch."""
+    ends = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, n long, rids array<long>"
+    pairs = spark.createDataFrame([("c", i, "L", "d", k, "R", n, [i + k]) for i in range(300) for k, n in ((0, 1), (90, 3), (180, 2), (270, 1), (900, 5))], ends)
+    merged = splitreads.merge_close_pairs(pairs)
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().executedPlan().toString()
+    want = sorted(("c", i, "L", "d", k, "R", n, r) for i in range(300) for k, n, r in ((90, 7, [i, i + 90, i + 180, i + 270]), (900, 5, [i + 900])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted((*r[:7], sorted(r.rids)) for r in merged.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_weak_hits_of_the_same_ends_are_found_once(spark):
+    junctions = spark.createDataFrame([(f"r{i:03}", 1, "c", 100, "R", "d", 500, "L") for i in range(200)], "ring string, junction long, chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string")
+    reads = spark.createDataFrame([("c", 20, 100, "80M20S", "d,501,+,20S80M,60,0;", 0, "c", 5, f"q{i}", str(i % 2), 60, 1) for i in range(50)], "chrom string, start long, stop long, cigar string, sa string, flag int, mate_chrom string, mate_start long, qname string, cb string, mapq int, nh int")
+    found = singlecell.weak_hits(reads, junctions)
+    assert {tuple(r) for r in found.collect()} == {(str(i % 2), f"r{k:03}", 1, f"q{i}", "split") for i in range(50) for k in range(200)}
+    assert rows_of_plan(found.groupBy("kind").count(), "Generate") <= 200
