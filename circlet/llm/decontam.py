@@ -125,8 +125,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows whose text holds a window of the benchmark; all columns stay as they are."""
     hit = stage(hits(docs, benchmark, window).select("t1", "t2"), "hits")
+    # texts are not shuffled and sorted for the few that go, unless these are too many to broadcast
+    hit = F.broadcast(hit) if hit.count() * HASH_BYTES <= BROADCAST_BYTES else hit.hint("merge")
     held, back = aside(docs, "t1", "t2")
-    return held.select("*", *text_name()).join(hit.hint("merge"), ["t1", "t2"], "left_anti").drop("t1", "t2").withColumnsRenamed(back).select(*docs.columns)
+    return held.select("*", *text_name()).join(hit, ["t1", "t2"], "left_anti").drop("t1", "t2").withColumnsRenamed(back).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

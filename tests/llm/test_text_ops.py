@@ -367,3 +367,16 @@ def test_long_text_with_windows_of_several_sizes_takes_linear_time(spark):
     (got,) = decontam.contamination(docs, benchmark).collect()
     assert (got.n_words, got.n_hit, list(got["items"])) == (400_000, 13, ["1", "3"])
     assert time.time() - began < 60
+
+
+def test_decontamination_moves_no_texts(spark, monkeypatch):
+    """The few texts that go are broadcast, the others are neither shuffled nor sorted; beyond the limit it is a join of both sides, with the same rows."""
+    item = "one two three four five six seven eight nine ten"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of(spark, ["before " + item + " after", "clean words", None, ""])
+    for limit, joins in ((decontam.BROADCAST_BYTES, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+        kept = decontam.decontaminate(docs, b)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert joins in plan and ("Exchange hashpartitioning" in plan) == (limit == 0)
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
