@@ -509,11 +509,22 @@ def verified(loose: DataFrame, sets: DataFrame) -> DataFrame:
     return full.repartition(partitions(spark), "root", "c", "d").sortWithinPartitions("root", "c", "d").mapInArrow(_verified, "u binary, v binary")
 
 
+def fuzzy_pairs(named: DataFrame) -> DataFrame:
+    """named (fp long, node) -> u, v: nodes whose fingerprints Golay keys link within BITS bits, as links that span every group; equal fingerprints are linked too."""
+    held = stage(named.distinct(), "named")
+    one = stage(held.groupBy("fp").agg(F.min("node").alias("node")), "firsts")
+    first = lambda c: one.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")).hint("merge")
+    apart = links(one).join(first("u"), "u").join(first("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    same = held.join(one.select("fp", F.col("node").alias("first")).hint("merge"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return apart.union(same)
+
+
 def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, mark: of each group of near copies the row of the smallest doc_id, mark being the hash of its text (of several the smallest).
 
     Groups are closed over links of a Jaccard similarity of 0.8 or more between
-    the distinct shingles of two texts. Bands of least hashes only propose groups; every
+    the distinct shingles of two texts. Golay keys of the SimHash prints propose
+    groups, and bands of least hashes what lies beyond the keys' reach; every
     link is verified on the shingles themselves. Null doc_ids are not counted.
     Null and empty texts are copies of each other.
     """
@@ -544,6 +555,7 @@ def similar_least(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     keyed = prints.select(*names, "keys").dropDuplicates(["n0", "n1"]).mapInArrow(give, ", ".join(f"{c} long" for c in _KEYED))
     met = keyed.repartition(n, "key").sortWithinPartitions("key", "n0", "n1").mapInArrow(_proposals, "u binary, v binary")
+    met = fuzzy_pairs(prints.select(F.col("p0").alias("fp"), node.alias("node"))).union(met)
     met = stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
     sets = stage(shingle_sets(docs, met, shingle), "sets")
     roots = stage(components(stage(verified(stage(components(met), "loose"), sets), "links")), "roots")

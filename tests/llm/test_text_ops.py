@@ -282,6 +282,22 @@ def test_near_copies_equal_exact_similarity(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == want
 
 
+def test_near_dedup_goes_by_golay_keys(spark, monkeypatch):
+    """Near copies are found by Golay keys of the SimHash prints alone, where no bands propose any; sets of one print are compared too."""
+    rng = np.random.default_rng(3)
+    base = [f"w{rng.integers(10**9)}" for _ in range(1500)]
+    texts = [" ".join(base), " ".join(base[:700] + ["changed"] + base[701:]), " ".join(f"w{rng.integers(10**9)}" for _ in range(1500))]
+
+    def nothing(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.binary())] * 2, names=["u", "v"])
+
+    monkeypatch.setattr(simhash, "_proposals", nothing)
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == [0, 2]
+    named = spark.createDataFrame([(7, b"a"), (7, b"b"), (15, b"c"), (15, b"c"), (-1, b"d")], "fp long, node binary")
+    assert {frozenset((bytes(r.u), bytes(r.v))) for r in simhash.fuzzy_pairs(named).collect()} == {frozenset((b"a", b"b")), frozenset((b"a", b"c"))}
+
+
 def test_near_dedup_of_texts_that_share_a_doc_id(spark):
     one, two = ("one two three four five six seven", "quite another text than these others here")
     rows = [(5, one), (5, two), (5, two.upper()), (3, one), (3, one), (7, None), (7, two + " " + one)]
