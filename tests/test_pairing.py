@@ -208,3 +208,18 @@ def test_alignments_equal_plain_python(spark):
                     at, _, edits = plain_place(seq, template)
                     lines.append((at, r.qname, seq, f"{' ' * at}{seq}  {r.qname} {edits}"))
         assert got[pair] == [template, *(x[-1] for x in sorted(set(lines)))]
+
+
+def test_equal_reads_are_counted_once_and_weighed(spark):
+    """Alignments and clips of the same letters are one row with a weight: the letters are exploded in one place, and every read is still counted and named."""
+    data = [("c1", 100, 110, f"r{k}", None, "4S10M", "ACGT" + ("AAAAACCCCC" if k < 3 else "GAAAACCCCC")) for k in range(5)]
+    reads = spark.createDataFrame(data, "chrom string, start long, stop long, qname string, cb string, cigar string, seq string")
+    sites = spark.createDataFrame([("c1", 100, "L"), ("c1", 500, "L")], "chrom string, coord long, clip string")
+    ends = splitreads.breakend_consensus(sites, reads, 12)
+    assert ends._jdf.queryExecution().executedPlan().toString().count("Generate posexplode") == 1
+    assert {r.coord: r.seq for r in ends.collect()} == {100: "AAAAACCCCC--", 500: "-" * 12}
+    key = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, offset int, n long"
+    pairs = spark.createDataFrame([("c1", 100, "L", "c1", 500, "L", 0, 0)], key)
+    far = spark.createDataFrame([("c1", 100, "L", "AAAA"), ("c1", 500, "L", "ACGTACGT")], "chrom string, coord long, clip string, seq string")
+    r = splitreads.joined_support(pairs, splitreads.soft_clips(reads), far, method="perfect").first()
+    assert (r.n12, r.start12, r.reads12, r.n21) == (5, 0, ["r0", "r1", "r2", "r3", "r4"], 0)
