@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -227,3 +228,28 @@ def test_rings_that_share_bases_meet_in_a_task(spark, monkeypatch):
         monkeypatch.setattr(intervals, "AT_ONCE", portion)
         got = [tuple(r.values()) for chrom in ("c", "d") for b in intervals._block_pairs((pa.scalar(chrom), pa.scalar(0), pa.scalar(0)), iter(batch)) for r in b.to_pylist()]
         assert sorted(got) == [("a", "b", 10, 30, 5), ("a", "e", 10, 6, 1), ("b", "e", 30, 6, 3)]
+
+
+def test_pairs_get_names_where_their_ends_are_dealt(spark, monkeypatch):
+    """Names of rings aren't shuffled with pairs; segments may lie over several stretches, and ends in none."""
+    monkeypatch.setattr(singlecell, "STRETCH", 1000)
+    draw = random.Random(5)
+    end = lambda: (f"c{draw.randrange(2)}", draw.randrange(4000), draw.choice("LR"))
+    pairs = [(*end(), *end(), draw.randrange(1, 9)) for _ in range(200)] + [("c0", 5, "L", None, None, "R", 4), ("x", 5, "L", "c0", 7, "R", 4)]
+    rings = [(f"r{draw.randrange(12)}", f"c{draw.randrange(2)}", a, a + draw.randrange(1500)) for a in (draw.randrange(4000) for _ in range(25))] + [(None, "c0", 0, 4000), ("r1", "c0", 9, 3)]
+    of = lambda c, x: sorted({r for r, k, a, b in rings if r and x is not None and k == c and a <= x <= b})
+    want = {}
+    for *ends, n in pairs:
+        a, b = sorted([tuple(ends[:3]), tuple(ends[3:])], key=lambda e: (e[0] is not None, e[0] or "", e[1] or 0, e[2]))
+        m, k = want.get((*a, *b), (0, 0))
+        want[(*a, *b)] = (max(m, n), k + 1)
+    want = {e: (n, k, ";".join(of(*e[:2])), ";".join(of(*e[3:5])), ";".join(sorted({*of(*e[:2])} & {*of(*e[3:5])})), bool(of(*e[:2]) and of(*e[3:5]))) for e, (n, k) in want.items() if n >= 3}
+    schema = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, n long"
+    found = singlecell.annotate_pairs(spark.createDataFrame(pairs, schema), spark.createDataFrame(rings, "ring string, chrom string, start long, stop long"), 3)
+    assert {tuple(r)[1:7]: tuple(r)[7:] for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    points, spans = [0, 5, 9], ([0, 4, 5, 5], [9, 5, 5, 7], [1, 0, 1, 2])
+    for portion in (1, 1000):
+        monkeypatch.setattr(singlecell, "AT_ONCE", portion)
+        first, names = singlecell._holding(np.array(points), *map(np.array, spans))
+        assert [names[a:b].tolist() for a, b in zip(first, first[1:])] == [[1], [0, 1, 2], [1]]
