@@ -165,3 +165,24 @@ def test_segments_of_the_graph_inside_pairs(spark):
     for source, want in (("split", True), ("pe", False)):
         got = {(r.start, r.stop) for r in segmentation.graph_segments(ends, loop.where(f"source = '{source}'"), regions, within=False).collect()}
         assert ((10_000, 90_000) in got) == want
+
+
+def test_edges_and_bins_are_read_once(spark, tmp_path):
+    """refine_boundaries() makes its inputs once, however many steps read them."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("edges", "bins", "segments")}
+
+    def counted(df, name):
+        def add(batches):
+            for b in batches:
+                seen[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(add, df.schema)
+
+    segments = counted(spark.createDataFrame([(1, "c", 1000, 9000, 5.0, 0, 0), (2, "c", 50_000, 90_000, 5.0, 1, 0)], "seg long, chrom string, start long, stop long, cn double, clip_left long, clip_right long"), "segments")
+    edges = counted(spark.createDataFrame([("c", 1100, "L", "c", 90_100, "R", 7)], "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string, support long"), "edges")
+    bins = counted(spark.createDataFrame([("c", 10_000 * i, 5.0, 9) for i in range(12)], "chrom string, coord long, cn double, n long"), "bins")
+    out, moved = boundaries.refine_boundaries(segments, edges, bins)
+    assert {(r.seg, r.start, r.stop) for r in out.collect()} == {(1, 1100, 9000), (2, 50_000, 90_100)}
+    assert [tuple(r) for r in moved.collect()] == [("c", 1100, "L", "c", 90_100, "R", 7)]
+    assert {n: a.value for n, a in seen.items()} == {"edges": 1, "bins": 12, "segments": 2}
