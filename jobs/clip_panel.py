@@ -44,22 +44,24 @@ def canonical(s: Column) -> Column:
 
 
 def pieces(rows: DataFrame, config: dict) -> DataFrame:
-    """sample, row (a number of the row), sequence: one row for each piece."""
-    whole = rows.select(F.nullif(F.col(config["sample"]).cast("string"), F.lit("")).alias("sample"), F.col(config["text"]).alias("text"), F.monotonically_increasing_id().alias("row"))
-    lines = whole.select("sample", "row", F.explode(F.split("text", "\n")).alias("line"))  # below the step that numbers rows
-    cut = lines.select("sample", "row", F.explode(F.regexp_extract_all(F.translate("line", LOWER, LOWER.upper()), F.lit(f"(?s).{{1,{config['width']}}}"), F.lit(0))).alias("piece"))
-    return cut.where(F.length("piece") >= config["least_length"]).select("sample", "row", canonical(F.col("piece")).alias("sequence"))
+    """sample, sequence, first (no equal piece of its row is before it): one row for each piece."""
+    cut = F.regexp_extract_all(F.translate(F.col(config["text"]), LOWER, LOWER.upper()), F.lit(f"[^\\n]{{1,{config['width']}}}"), F.lit(0))
+    said = F.transform(F.filter(cut, lambda s: F.length(s) >= config["least_length"]), canonical)
+    whole = rows.select(F.nullif(F.col(config["sample"]).cast("string"), F.lit("")).alias("sample"), F.sort_array(said).alias("_p"))
+    marked = F.transform("_p", lambda s, i: F.struct(s.alias("sequence"), (~s.eqNullSafe(F.get("_p", i - 1))).alias("first")))
+    return whole.select("sample", F.explode(marked).alias("p")).select("sample", "p.*")
 
 
 def counted(rows: DataFrame, config: dict) -> DataFrame:
-    """Rows and pieces of each sample by sequence: summed by row first, so a sequence that all rows share is no hot key."""
-    by_row = pieces(rows, config).groupBy("sample", "sequence", "row").agg(F.count("*").alias("k"))
-    return by_row.groupBy("sample", "sequence").agg(F.count("*").alias("n_rows"), F.sum("k").alias("n_pieces"))
+    """Rows and pieces of each sample by sequence: a row's equal pieces are known in the row, so pieces are shuffled once."""
+    return pieces(rows, config).groupBy("sample", "sequence").agg(F.sum(F.col("first").cast("long")).alias("n_rows"), F.count("*").alias("n_pieces"))
 
 
 def panel(counts: DataFrame, least_rows: int) -> DataFrame:
-    """The panel from the counts of all batches."""
-    own = counts.groupBy("sample", "sequence").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_pieces").alias("n_pieces"))
+    """The panel from the counts of all batches. Most sequences are rare: hashes, which are short, tell which may be in it, and only these are summed whole."""
+    hashed = counts.withColumn("_h", F.xxhash64("sequence"))
+    often = hashed.groupBy("_h").agg(F.sum("n_rows").alias("_k")).where(F.col("_k") >= least_rows).select("_h")
+    own = hashed.join(often, "_h", "left_semi").groupBy("sample", "sequence").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_pieces").alias("n_pieces"))
     every = own.groupBy("sequence").agg(F.count("*").alias("samples"), F.sum("n_rows").alias("all_rows")).where(F.col("all_rows") >= least_rows)
     return own.join(every, "sequence").select("sequence", "n_rows", "n_pieces", "samples", "all_rows", "sample")
 

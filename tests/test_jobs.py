@@ -147,3 +147,14 @@ def test_command_line(job, tmp_path, spark, monkeypatch):
         args = ["--reads", reads, "--genes", genes]
     job.main([*args, "--output", f"{tmp_path}/out", "--config", f"{tmp_path}/config.json"])
     assert spark.read.parquet(f"{tmp_path}/out/{'panel' if job is clip_panel else 'amplified'}").count()
+
+
+def test_pieces_are_counted_in_their_row_and_hashes_go_first(spark):
+    """Pieces are shuffled once to be counted; whole sequences of the panel only if their hash is frequent enough."""
+    df = spark.createDataFrame(FIRST + THEN, "sample string, seq string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    counts = clip_panel.counted(df, PANEL)
+    assert plan(counts).count("Exchange hashpartitioning") == 1
+    assert {(r.sample, r.sequence): (r.n_rows, r.n_pieces) for r in counts.where("sequence = 'ACGTTTGACC'").collect()} == {("a", "ACGTTTGACC"): (1, 2), ("b", "ACGTTTGACC"): (2, 2)}
+    assert panel_rows(clip_panel.panel(counts, 2)) == plain_panel(FIRST + THEN)
+    assert "LeftSemi" in plan(clip_panel.panel(counts, 2))
