@@ -270,8 +270,8 @@ def evidence(alignments: DataFrame, p: Parameters = Parameters()) -> DataFrame:
 
 def classify(junctions: DataFrame, pairs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """Which rings have enough of their junctions among the pairs."""
-    matched = breakpoints.match_known(junctions, pairs.select(*PAIR, "n"), p.junction_window)
-    return cells.concordance(junctions.select(F.col("ring").alias("circle"), F.col("idx").alias("junction")), matched.select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), F.col("p_n").alias("n")), p.junction_reads, p.jcs)
+    matched = breakpoints.best_known(junctions, pairs.select(*PAIR, "n"), p.junction_window)
+    return cells.concordance(junctions.select(F.col("ring").alias("circle"), F.col("idx").alias("junction")), matched.select(F.col("ring").alias("circle"), F.col("idx").alias("junction"), "n"), p.junction_reads, p.jcs)
 
 
 def targeted_amplicons(known: DataFrame, alignments: DataFrame, path: str, p: Parameters = Parameters()) -> dict[str, DataFrame]:

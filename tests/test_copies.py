@@ -253,3 +253,39 @@ def test_pairs_get_names_where_their_ends_are_dealt(spark, monkeypatch):
         monkeypatch.setattr(singlecell, "AT_ONCE", portion)
         first, names = singlecell._holding(np.array(points), *map(np.array, spans))
         assert [names[a:b].tolist() for a, b in zip(first, first[1:])] == [[1], [0, 1, 2], [1]]
+
+
+ENDED = "chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string"
+
+
+def test_turned_links_are_read_once(spark):
+    links = spark.createDataFrame([("c", 1, "L", "d", 2, "R", 7), ("c", 1, "L", "c", 1, "L", 8), (None, 1, "L", None, 1, "L", 9), (None, 1, "L", "c", 1, "L", 3)], ENDED + ", n long")
+    turned = breakpoints._turned(links)
+    assert turned.columns == links.columns and "Union" not in turned._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, turned.collect()))) == sorted(map(str, [("c", 1, "L", "d", 2, "R", 7), ("d", 2, "R", "c", 1, "L", 7), ("c", 1, "L", "c", 1, "L", 8), (None, 1, "L", None, 1, "L", 9), (None, 1, "L", "c", 1, "L", 3), ("c", 1, "L", None, 1, "L", 3)]))
+
+
+def test_best_known_is_the_most_of_match_known(spark):
+    """Pairs far from a junction's second end aren't met, and what is met is summed up before it is shuffled."""
+    draw = random.Random(7)
+    end = lambda: (draw.choice("cd"), draw.randrange(-300, 900), draw.choice("LR"))
+    junctions = spark.createDataFrame([(f"r{i % 50}", *end(), *end()) for i in range(80)] * 2 + [("n", "c", None, "L", "c", 5, "R")], "ring string, " + ENDED)
+    pairs = spark.createDataFrame([(*end(), *end(), draw.randrange(9)) for _ in range(200)], ENDED + ", n long")
+    want = breakpoints.match_known(junctions, pairs, 90).groupBy(*junctions.columns).agg(F.max("p_n").alias("n"))
+    got = sorted(map(tuple, breakpoints.best_known(junctions, pairs, 90).collect()))
+    assert got == sorted(map(tuple, want.collect())) and got
+    one = spark.createDataFrame([("r", "c", 0, "R", "c", 0, "L")], "ring string, " + ENDED)
+    column = spark.createDataFrame([("c", 0, "R", "c", 1000 * i, "L", i) for i in range(300)], ENDED + ", n long")
+    far = breakpoints.best_known(one, column, 90)
+    assert [r.n for r in far.collect()] == [0] and "_band2" in far._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_reads_are_joined_before_junctions(spark):
+    """Reads get their cells once, however many junctions have their ends."""
+    junctions = spark.createDataFrame([(f"r{i}", i, "c", 100, "R", "d", 500, "L") for i in range(100)], "ring string, junction long, " + ENDED)
+    pairs = spark.createDataFrame([("d", 500, "L", "c", 100, "R", [("q", "1"), ("p", "2")])], ENDED + ", reads array<struct<qname:string,bc:string>>")
+    found = singlecell.junction_reads(junctions, pairs, spark.createDataFrame([("q", "x"), ("q", "y")], "qname string, cell string"))
+    want = {(f"r{i}", i, *t) for i in range(100) for t in (("q", "1", "x"), ("q", "1", "y"), ("p", "2", "2"))}
+    assert {tuple(r) for r in found.collect()} == want
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "Inner" in joins[0] and "LeftOuter" in joins[1]  # the outermost is with the junctions
