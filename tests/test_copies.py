@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from circlet.operators import breakpoints, cells, evidence, graph, intervals, singlecell, splitreads, velocity
+from circlet.plans import more
 
 SPANS = "seg long, chrom string, start long, stop long"
 
@@ -289,3 +290,30 @@ def test_cells_of_reads_are_joined_before_junctions(spark):
     assert {tuple(r) for r in found.collect()} == want
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert "Inner" in joins[0] and "LeftOuter" in joins[1]  # the outermost is with the junctions
+
+
+def test_every_vector_is_asked(spark, monkeypatch):
+    """Queries as many as points: these are broadcast, in slices too; tasks keep only the nearest, whatever copies there are."""
+    monkeypatch.setattr(velocity, "QUERIES", 3)
+    monkeypatch.setattr(velocity, "POINTS", 7)
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0])]
+    p = spark.createDataFrame(rows, "id long, vec array<double>")
+    want = {}
+    for q, v in rows[:60]:
+        far = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), i) for i, w in rows[:60] if i != q)[:4]
+        want |= {(q, k + 1): (i, d) for k, (d, i) in enumerate(far)}
+    for kept, bytes_ in ((1 << 20, 1 << 26), (20, 1 << 26), (1 << 20, 1_000)):
+        monkeypatch.setattr(velocity, "KEPT", kept)
+        monkeypatch.setattr(velocity, "QUERY_BYTES", bytes_)
+        near = velocity.nearest(p, p, k=4).collect()
+        assert {(r.q, r["rank"]): (r.id, r.d) for r in near} == want and len(near) == len(want)
+
+
+def test_queries_of_vectors_leave_none_out(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, [rng.random() for _ in range(64)]) for i in range(23)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, key in (("embedding_knn", "q"), ("delta_projection", "a"), ("transition_prob", "a")):
+        got = [r[key] for r in more.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(list(range(23)) * 10), name
