@@ -314,6 +314,6 @@ def test_queries_of_vectors_leave_none_out(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, [rng.random() for _ in range(64)]) for i in range(23)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for name, key in (("embedding_knn", "q"), ("delta_projection", "a"), ("transition_prob", "a")):
+    for name, key in (("embedding_knn", "q"), ("correlation_knn", "q"), ("delta_projection", "a"), ("transition_prob", "a")):
         got = [r[key] for r in more.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(list(range(23)) * 10), name
