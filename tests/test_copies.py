@@ -317,3 +317,15 @@ def test_queries_of_vectors_leave_none_out(spark, tmp_path):
     for name, key in (("embedding_knn", "q"), ("correlation_knn", "q"), ("delta_projection", "a"), ("transition_prob", "a")):
         got = [r[key] for r in more.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(list(range(23)) * 10), name
+
+
+def test_evidence_is_dealt_once_by_class(spark):
+    """Reads of junctions are shuffled once after they met, by the class's number; what follows from an interval is not shuffled."""
+    junctions = spark.createDataFrame([("a", "c", 100, "R", "d", 500, "L"), ("b", "c", 100, "R", "d", 500, "L"), ("k", "c", 100, "R", None, None, None)], "junction string, chrom1 string, coord1 long, clip1 string, chrom2 string, coord2 long, clip2 string")
+    reads = spark.createDataFrame([("q", "c", 21, 101, "80M20S", 0, "d,501,+,20S80M,60,0;", "x")], "qname string, chrom string, start long, stop long, cigar string, nm int, sa string, cb string")
+    for made in (evidence.kinds_shown(reads, junctions), evidence.junction_matrix(reads, junctions), evidence.junction_evidence(reads, junctions)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert not [line for line in dealt if "qname" in line.split("hashpartitioning(")[1].split(")")[0]]
+        assert "_from#" not in plan and "_s#" not in plan
+    assert sorted(tuple(r) for r in made.collect()) == [("a", "q", "x", "split_SA"), ("b", "q", "x", "split_SA"), ("k", "q", "x", "single_clip")]
