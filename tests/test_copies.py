@@ -329,3 +329,14 @@ def test_evidence_is_dealt_once_by_class(spark):
         assert not [line for line in dealt if "qname" in line.split("hashpartitioning(")[1].split(")")[0]]
         assert "_from#" not in plan and "_s#" not in plan
     assert sorted(tuple(r) for r in made.collect()) == [("a", "q", "x", "split_SA"), ("b", "q", "x", "split_SA"), ("k", "q", "x", "single_clip")]
+
+
+def test_segments_go_to_few_blocks_of_pairs(spark, monkeypatch):
+    """A segment isn't sent to each pair of stretches, and rings of one segment send it once."""
+    monkeypatch.setattr(singlecell, "STRETCH", 100)
+    pairs = [("c", 100 * i, "L", "c", 100 * k + 50, "R", 5) for i in range(20) for k in range(i, 20)]
+    rings = [(f"r{i:02}", "c", 0, 1999) for i in range(30)]
+    found = singlecell.annotate_pairs(spark.createDataFrame(pairs, ENDED + ", n long"), spark.createDataFrame(rings, "ring string, chrom string, start long, stop long"), 3)
+    names = ";".join(r[0] for r in rings)
+    assert {(r.rings1, r.rings2, r.shared, r.both) for r in found.collect()} == {(names, names, names, True)}
+    assert rows_of_plan(found, "Join") <= 600 and rows_of_plan(found, "Generate") <= 600
