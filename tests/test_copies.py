@@ -340,3 +340,14 @@ def test_segments_go_to_few_blocks_of_pairs(spark, monkeypatch):
     names = ";".join(r[0] for r in rings)
     assert {(r.rings1, r.rings2, r.shared, r.both) for r in found.collect()} == {(names, names, names, True)}
     assert rows_of_plan(found, "Join") <= 600 and rows_of_plan(found, "Generate") <= 600
+
+
+def test_pairs_are_made_distinct_before_they_match(spark):
+    """What junctions and pairs make is distinct already: it is shuffled by the junction's ends alone."""
+    junctions = spark.createDataFrame([("r", "c", 100, "R", "d", 500, "L"), ("r", "c", 100, "R", "d", 500, "L"), ("s", "c", 130, "R", "d", 500, "L")], "ring string, " + ENDED)
+    pairs = spark.createDataFrame([("c", 101, "R", "d", 500, "L", 3), ("d", 500, "L", "c", 101, "R", 3), ("c", 101, "R", "d", 500, "L", 4)], ENDED + ", n long")
+    found = breakpoints.match_known(junctions, pairs, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [d for d in dealt if "p_n#" in d or "ring#" in d]
+    assert sorted((r.ring, r.p_coord1, r.p_n) for r in found.collect()) == [("r", 101, 3), ("r", 101, 4)]
