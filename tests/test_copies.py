@@ -351,3 +351,18 @@ def test_pairs_are_made_distinct_before_they_match(spark):
     dealt = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert not [d for d in dealt if "p_n#" in d or "ring#" in d]
     assert sorted((r.ring, r.p_coord1, r.p_n) for r in found.collect()) == [("r", 101, 3), ("r", 101, 4)]
+
+
+def test_an_edge_is_one_row_of_labels_and_steps_have_no_paths(spark, monkeypatch):
+    rows, plain = {}, graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: rows.setdefault(f"{name}{len(rows)}", plain(df, name)))
+    monkeypatch.setattr(graph, "drop_stage", lambda *_: None)
+    edges = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(1, 0), (9, 9)], "a long, b long")
+    assert {r.node: r.component for r in graph.label_components(edges).collect()} == dict.fromkeys(range(6), 0) | {9: 9}
+    assert rows["links0"].count() == 7
+    paths = spark.createDataFrame([(1, "ring", [1, 2, 3, 4], False), (1, "line", [5, 6], False)], "component long, kind string, path array<long>, truncated boolean")
+    outer = spark.createDataFrame([(2, 3, "outer", 5.0), (1, 4, "outer", 2.0)], "a long, b long, kind string, weight double")
+    v = spark.createDataFrame([(i, "c" if i < 6 else "chrUn_1") for i in range(1, 7)], "id long, chrom string")
+    got = graph.path_support(paths, outer, v)
+    assert {(r.kind, tuple(r.path), r.support, r.unplaced, r.whole) for r in got.collect()} == {("ring", (1, 2, 3, 4), 7.0, False, True), ("line", (5, 6), 0.0, True, False)}
+    assert any(name.startswith("paths") for name in rows)
